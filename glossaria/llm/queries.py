@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glossaria.llm.byte_bpe import op4_byte_bpe
 from glossaria.llm.language_id import op1_language_id
+from glossaria.llm.packing import op9_packing
 from glossaria.llm.quality_rules import SQL_OP3, op3_quality_rules
+from glossaria.llm.token_files import op7_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op3_quality_rules": op3_quality_rules}
+    return {
+        "op1_language_id": op1_language_id,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_byte_bpe": op4_byte_bpe,
+        "op7_token_files": op7_token_files,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
