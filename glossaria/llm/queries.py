@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossaria.llm.byte_bpe import op4_byte_bpe
 from glossaria.llm.language_id import op1_language_id
+from glossaria.llm.ngram_join import op8_ngram_join
 from glossaria.llm.packing import op9_packing
 from glossaria.llm.quality_rules import SQL_OP3, op3_quality_rules
 from glossaria.llm.token_files import op7_token_files
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_byte_bpe": op4_byte_bpe,
         "op7_token_files": op7_token_files,
+        "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
     }
 
