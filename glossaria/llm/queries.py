@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glossaria.llm.byte_bpe import op4_byte_bpe
+from glossaria.llm.embedding_dedup import op10_embedding_dedup
 from glossaria.llm.language_id import op1_language_id
 from glossaria.llm.ngram_join import op8_ngram_join
 from glossaria.llm.packing import op9_packing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_files": op7_token_files,
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
