@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glossaria.llm.byte_bpe import op4_byte_bpe
+from glossaria.llm.context_tree import op5_context_tree
 from glossaria.llm.embedding_dedup import op10_embedding_dedup
 from glossaria.llm.language_id import op1_language_id
 from glossaria.llm.ngram_join import op8_ngram_join
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op3_quality_rules": op3_quality_rules,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_context_tree": op5_context_tree,
         "op7_token_files": op7_token_files,
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
