@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glossaria.llm.byte_bpe import op4_byte_bpe
+from glossaria.llm.chat_format import SQL_OP2, op2_chat_format
 from glossaria.llm.context_tree import op5_context_tree
 from glossaria.llm.embedding_dedup import op10_embedding_dedup
+from glossaria.llm.html_text import op6_html_text
 from glossaria.llm.language_id import op1_language_id
 from glossaria.llm.ngram_join import op8_ngram_join
 from glossaria.llm.packing import op9_packing
@@ -19,9 +21,11 @@ from glossaria.llm.token_files import op7_token_files
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_chat_format": op2_chat_format,
         "op3_quality_rules": op3_quality_rules,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_context_tree": op5_context_tree,
+        "op6_html_text": op6_html_text,
         "op7_token_files": op7_token_files,
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
@@ -30,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": SQL_OP3}
+    return {"op2_chat_format": SQL_OP2, "op3_quality_rules": SQL_OP3}
