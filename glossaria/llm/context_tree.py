@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import held_out, materialized, table
@@ -133,53 +133,100 @@ def _gathered(chunks: DataFrame, depth: int) -> DataFrame:
     return chunks.mapInPandas(batches, "chunk long, kind int, key long, n long")
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series after a shift by 8; exact to about 1e-12 for x > 0."""
-    y = x + 8
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    shift = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - shift
+def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of a zeros and b ones, by Stirling's series."""
 
+    def log_gamma(x: np.ndarray) -> np.ndarray:
+        y = x + 8
+        shift = sum(np.log(x + k) for k in range(8))
+        return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
-def _log_kt(a: Column, b: Column) -> Column:
-    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - 1.1447298858494002
+    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
+
+
+_HALF = np.log(0.5)
+_TOP = 2  # contexts of so many bytes root the subtrees that one task holds; those above are at most 255 * 257 nodes
+
+
+class _Level:
+    """The nodes of one depth: ``at`` leads from each entry below (or each bit of a gram) to its node."""
+
+    def __init__(self, names: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        self.names, self.at = np.unique(names, return_inverse=True)
+        n = len(self.names)
+        self.a, self.b = np.bincount(self.at, zeros, n), np.bincount(self.at, ones, n)
+        self.kt = _log_kt(self.a, self.b)
+        self.w = self.kt if below is None else np.logaddexp(self.kt, np.bincount(self.at, below, n)) + _HALF
+
+    def mixed(self, p: np.ndarray | float, rest: np.ndarray | float, leaf: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Add this depth's share to the probability of a one, given that and the weight left by the depths above."""
+        share = 1.0 if leaf else np.exp(self.kt + _HALF - self.w)
+        return p + rest * share * (self.b + 0.5) / (self.a + self.b + 1.0), rest * (1.0 - share)
+
+
+def _shorter(names: np.ndarray, depth: int) -> np.ndarray:
+    """A node is named by its context above eight bits of path; cut the context to ``depth`` bytes."""
+    return names & np.int64((1 << 8 * (depth + 1)) - 1)
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[_Level], np.ndarray]:
+    """Levels from ``depth`` down to ``_TOP`` of the grams, and the bits: entry k * len(keys) + i is bit k of gram i."""
+    byte, k = keys & 255, np.arange(8)[:, None]
+    path, bit = (1 << k) | (byte[None, :] >> (8 - k)), (byte[None, :] >> (7 - k)) & 1
+    names = ((keys >> 8)[None, :] << 8 | path).ravel()
+    bit, counts = bit.ravel(), np.tile(n, 8)
+    levels = [_Level(names, counts * (1 - bit), counts * bit, None)]
+    for d in range(depth - 1, _TOP - 1, -1):
+        last = levels[-1]
+        levels.append(_Level(_shorter(last.names, d), last.a, last.b, last.w))
+    return levels, bit
 
 
 def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
-    """(key, n) to (key, log_p): the log probability of the last byte of each gram after the others, under the weighted trees."""
-    half = -0.6931471805599453
-    bit = F.col("bit")
-    bits = grams.select("key", "n", F.shiftright("key", 8).alias("context"), (F.col("key") % 256).alias("byte"), F.explode(F.array(*map(F.lit, range(8)))).alias("k"))
-    bits = bits.select(
-        "key",
-        "n",
-        "context",
-        F.expr("shiftleft(1L, k) + shiftright(byte, 8 - k)").alias("u"),
-        F.expr("shiftright(byte, 7 - k) % 2").alias("bit"),
-    )
-    nodes = {}
-    counted = bits.groupBy("u", "context").agg(F.sum(F.col("n") * (1 - bit)).alias("a"), F.sum(F.col("n") * bit).alias("b"))
-    nodes[depth] = materialized(counted.withColumn("kt", _log_kt(F.col("a"), F.col("b"))).withColumn("w", F.col("kt")))
-    for d in range(depth - 1, -1, -1):
-        shorter = F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1))
-        up = nodes[d + 1].groupBy("u", shorter.alias("context")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("below"))
-        up = up.withColumn("kt", _log_kt(F.col("a"), F.col("b")))
-        high, low = F.greatest("kt", "below"), F.least("kt", "below")
-        nodes[d] = materialized(up.withColumn("w", high + F.log1p(F.exp(low - high)) + half).drop("below"))
-    ones = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
-    own = F.exp(F.col("kt") + half - F.col("w"))
-    mixed = nodes[0].select("u", "context", (own * ones).alias("p"), (1 - own).alias("rest"))
-    for d in range(1, depth + 1):
-        before = mixed.select("u", F.col("context").alias("shorter"), F.col("p").alias("p0"), F.col("rest").alias("r0"))
-        down = nodes[d].withColumn("shorter", F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))).join(before, ["u", "shorter"])
-        share = own if d < depth else F.lit(1.0)
-        mixed = materialized(down.select("u", "context", (F.col("p0") + F.col("r0") * share * ones).alias("p"), (F.col("r0") * (1 - share)).alias("rest")))
-    log_p = F.log(F.when(bit == 1, F.col("p")).otherwise(1 - F.col("p")))
-    return bits.join(mixed, ["u", "context"]).groupBy("key").agg(F.sum(log_p).alias("log_p"))
-
-
-def score(docs: DataFrame, depth: int = 5, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """(key, n), keys distinct, to (key, log_p): the log probability of a gram's last byte after the others, under the weighted trees.
+
+    Grams that end in the same ``_TOP`` context bytes meet in one task. It sends up its nodes of that depth, summed by the
+    byte nearest to the prediction, at most 255 * 256 sums in all, which are collected; their mixture goes back to all tasks.
+    """
+    nearest = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * _TOP) - 1))
+    dealt = grams.repartition(nearest)
+
+    def whole(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+        frames = list(frames)
+        if not frames:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate([f["key"] for f in frames]), np.concatenate([f["n"] for f in frames])
+
+    def up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, n = whole(frames)
+        if len(keys):
+            top = _levels(keys, n, depth)[0][-1]
+            yield pd.DataFrame({"name": _shorter(top.names, 1), "a": top.a, "b": top.b, "w": top.w})
+
+    sums = dealt.mapInPandas(up, "name long, a double, b double, w double").groupBy("name").agg(F.sum("a"), F.sum("b"), F.sum("w")).collect()
+    name, a, b, w = (np.array(x) for x in zip(*sums, strict=True)) if sums else (np.empty(0, np.int64), *[np.empty(0)] * 3)
+    one = _Level(name.astype(np.int64), a, b, w)
+    zero = _Level(_shorter(one.names, 0), one.a, one.b, one.w)
+    p, rest = zero.mixed(0.0, 1.0, False)
+    p, rest = one.mixed(p[zero.at], rest[zero.at], False)
+    known = one.names
+
+    def down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, n = whole(frames)
+        if len(keys):
+            levels, bit = _levels(keys, n, depth)
+            at = np.searchsorted(known, _shorter(levels[-1].names, 1))
+            q, left = p[at], rest[at]
+            for k in range(len(levels) - 1, -1, -1):
+                q, left = levels[k].mixed(q, left, k == 0)
+                q, left = q[levels[k].at], left[levels[k].at]
+            log_p = np.log(np.where(bit == 1, q, 1.0 - q)).reshape(8, -1).sum(axis=0)
+            yield pd.DataFrame({"key": keys, "log_p": log_p})
+
+    return dealt.mapInPandas(down, "key long, log_p double")
+
+
+def score(docs: DataFrame, depth: int = 4, chunk_bytes: int = 32 << 20) -> DataFrame:
     """Score the rows of ``docs`` (doc_id long, text string, held_out boolean), learning from those with ``held_out`` false.
 
     One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities),
@@ -196,7 +243,7 @@ def score(docs: DataFrame, depth: int = 5, chunk_bytes: int = 16 << 20) -> DataF
     words, grams = summed.where(F.col("kind") == WORD), summed.where(F.col("kind") == GRAM)
     size = words.where("first").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.count_if(F.col("total") > 0), F.lit(0))).first()
     train_tokens, vocabulary = int(size[0]), int(size[1])
-    values = materialized(gram_scores(grams.where("first").select("key", F.col("total").alias("n")), depth))
+    values = gram_scores(grams.where("first").select("key", F.col("total").alias("n")), depth)
     asked = words.select("chunk", "kind", "key", F.col("total").cast("double").alias("value")).unionByName(
         grams.join(values, "key").select("chunk", "kind", "key", F.col("log_p").alias("value"))
     )
