@@ -130,17 +130,24 @@ def scalar_code(language_terms: bool = False, expect_types: bool = False, allow_
     return code.otherwise(15)
 
 
-def _looked_up(d: Dictionary, rows: DataFrame, resolve_field: str | None) -> DataFrame:
-    """Add what the dictionary knows of each text that a rule takes for a reference."""
-    refers = F.when(F.col("type").isin("_type_string_key", "_type_string_enum"), F.col("text"))
-    flags = d.term_flags.select(F.col("term").alias("_ref"), F.lit(True).alias("term_found"), "is_descriptor", "is_structure", "roots")
-    rows = rows.withColumn("_ref", refers).join(flags, "_ref", "left").drop("_ref")
-    documents = d.terms.select(F.concat(F.lit("terms/"), "_key").alias("_doc"), F.lit(True).alias("document_found"))
-    rows = rows.withColumn("_doc", F.when(F.col("type") == "_type_string_handle", F.col("text"))).join(documents, "_doc", "left").drop("_doc")
+def _looked_up(d: Dictionary, rows: DataFrame, resolve_field: str | None, types: set[str | None]) -> DataFrame:
+    """Add what the dictionary knows of each text that a rule takes for a reference; ``types`` are those that occur."""
+    none = F.lit(None)
+    if types & {"_type_string_key", "_type_string_enum"}:
+        refers = F.when(F.col("type").isin("_type_string_key", "_type_string_enum"), F.col("text"))
+        flags = d.term_flags.select(F.col("term").alias("_ref"), F.lit(True).alias("term_found"), "is_descriptor", "is_structure", "roots")
+        rows = rows.withColumn("_ref", refers).join(flags, "_ref", "left").drop("_ref")
+    else:
+        rows = rows.withColumns({c: none.cast("boolean") for c in ("term_found", "is_descriptor", "is_structure")}).withColumn("roots", none.cast("array<string>"))
+    if "_type_string_handle" in types:
+        documents = d.terms.select(F.concat(F.lit("terms/"), "_key").alias("_doc"), F.lit(True).alias("document_found"))
+        rows = rows.withColumn("_doc", F.when(F.col("type") == "_type_string_handle", F.col("text"))).join(documents, "_doc", "left").drop("_doc")
+    else:
+        rows = rows.withColumn("document_found", none.cast("boolean"))
     false = F.lit(False)
     rows = rows.withColumns({c: F.coalesce(c, false) for c in ("term_found", "is_descriptor", "is_structure", "document_found")})
     rows = rows.withColumn("roots", F.coalesce("roots", F.array().cast("array<string>")))
-    if resolve_field is None:
+    if resolve_field is None or "_type_string_enum" not in types:
         return rows.withColumn("resolved", F.lit(None).cast("string"))
     # For each code and enumeration the element, if it is the only one; then the first kind that has one
     members = d.enum_members.select(F.col("term").alias("key"), "root")
@@ -167,6 +174,10 @@ def validate(
     ``resolved`` is the corrected value as JSON, the given one if nothing changed; corrections cover scalars, arrays and sets of scalars.
     Unknown descriptors have code 28. ``changes``: array of (hash, field, original, resolved), all as text.
     """
+    # which sections and types occur decides what the plan needs; both are small closed sets
+    sections = rules.select("path", "container", "type").distinct().collect()
+    containers, types = {r["container"] for r in sections}, {r["type"] for r in sections}
+    levels = min(levels, 1 + max((r["path"].count("/") for r in sections), default=0)) if "_tuple" not in containers else levels
     known = rules.select("descriptor").distinct().withColumn("known", F.lit(True))
     here = rows.select("row_id", "descriptor", F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), "value", F.col("descriptor").alias("field"))
     scalars, failures = [], []
@@ -174,7 +185,7 @@ def validate(
         joined = here.join(rules, ["descriptor", "path"]).withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
         leaf = joined.where(F.col("container").isin("_scalar", "_set_scalar", "_dict_key"))
         scalars.append(leaf)
-        n = F.size(F.try_cast(F.col("value"), "array<variant>")) if hasattr(F, "try_cast") else F.size(F.expr("try_cast(value AS array<variant>)"))
+        n = F.size(F.expr("try_cast(value AS array<variant>)"))
         lists = joined.where(F.col("container").isin("_array", "_set", "_tuple")).withColumn("n", F.when(F.col("kind").startswith("ARRAY"), n))
         wrong = F.when(F.col("n").isNull(), F.when(F.col("container") == "_tuple", 44).otherwise(35))
         sized = F.when(F.col("container") != "_tuple", F.when(F.col("n") < F.col("min_items"), 36).when(F.col("n") > F.col("max_items"), 37))
@@ -192,7 +203,8 @@ def validate(
         lists = lists.withColumn("code", F.coalesce(wrong, sized, shape, F.lit(0)))
         dicts = joined.where("container = '_dict'").withColumn("code", F.when(~F.col("kind").startswith("OBJECT"), 31).otherwise(0))
         bare = joined.where("container IS NULL").withColumn("code", F.lit(-1 if expect_types else 0))
-        failures += [x.where("code <> 0").select("row_id", "at", "code") for x in (lists, dicts, bare)]
+        used = [lists] * bool(containers & {"_array", "_set", "_tuple"}) + [dicts] * ("_dict" in containers) + [bare] * (None in containers)
+        failures += [x.where("code <> 0").select("row_id", "at", "code") for x in used]
         if level + 1 < levels:
             good = lists.where("code = 0").select("row_id", "descriptor", "path", "at", "value", "field", "container", "tuple_types")
             elements = good.select("*", F.posexplode(F.expr("try_cast(value AS array<variant>)")).alias("pos", "element"))
@@ -202,12 +214,12 @@ def validate(
             pairs = dicts.where("code = 0").select("row_id", "descriptor", "path", "at", "field", F.posexplode(F.map_entries(F.expr("try_cast(value AS map<string, variant>)"))).alias("pos", "e"))
             keys = pairs.select("row_id", "descriptor", F.concat("path", F.lit("/k")).alias("path"), F.concat("at", F.array(F.lit(0), F.col("pos"))).alias("at"), F.col("e.key").cast("variant").alias("value"), "field")
             values = pairs.select("row_id", "descriptor", F.concat("path", F.lit("/v")).alias("path"), F.concat("at", F.array(F.lit(1), F.col("pos"))).alias("at"), F.col("e.value").alias("value"), "field")
-            here = inner.unionByName(keys).unionByName(values)
+            here = inner if "_dict" not in containers else inner.unionByName(keys).unionByName(values)
     leaves = reduce(DataFrame.unionByName, scalars)
     leaves = leaves.withColumn("text", F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string"))).withColumn(
         "number", F.when(_is(F.col("kind"), "BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get("value", "$", "double"))
     )
-    leaves = _looked_up(d, leaves, resolve_field).withColumn("code", scalar_code(expect_types=expect_types, allow_default=allow_default))
+    leaves = _looked_up(d, leaves, resolve_field, types).withColumn("code", scalar_code(expect_types=expect_types, allow_default=allow_default))
     stamp = F.when((F.col("type") == "_type_number_timestamp") & (F.col("kind") == "STRING"), F.unix_millis(F.try_to_timestamp("text")).cast("string"))
     enum = F.when(F.col("resolved").isNotNull(), F.to_json(F.struct(F.col("resolved").alias("v"))))
     enum = F.get_json_object(enum, "$.v")
@@ -216,8 +228,8 @@ def validate(
     change = F.when(F.col("after").isNotNull(), F.struct(change_hash(F.col("field"), F.col("after")).alias("hash"), "field", F.col("text").alias("original"), F.col("after").alias("resolved")))
     quoted = F.when(stamp.isNotNull(), F.col("after")).otherwise(F.concat(F.lit('"'), F.col("after"), F.lit('"')))
     leaf = leaves.select("row_id", "at", "code", change.alias("change"), F.coalesce(quoted, given).alias("json"), "container")
-    failed = reduce(DataFrame.unionByName, failures).select("row_id", "at", "code", F.lit(None).cast(leaf.schema["change"].dataType).alias("change"), F.lit(None).cast("string").alias("json"), F.lit("").alias("container"))
-    marks = leaf.unionByName(failed)
+    empty = [F.lit(None).cast(leaf.schema["change"].dataType).alias("change"), F.lit(None).cast("string").alias("json"), F.lit("").alias("container")]
+    marks = reduce(DataFrame.unionByName, [leaf, *(x.select("row_id", "at", "code", *empty) for x in failures)])
     found = marks.groupBy("row_id").agg(
         F.min(F.when(F.col("code") != 0, F.struct("at", "code"))).alias("first"),
         F.array_sort(F.collect_list(F.when(F.col("change").isNotNull(), F.struct("at", "change")))).alias("changed"),
