@@ -34,7 +34,7 @@ class PieceEncoder:
     """
 
     def __init__(
-        self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaced: bool, normalize: Callable[[str], str] | None = None, limit: int = 1_000_000
+        self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaced: bool, normalize: Callable[[str], str] | None = None, limit: int = 400_000
     ):
         self.split, self.encode, self.spaced, self.normalize, self.limit = regex.compile(pattern).findall, encode, spaced, normalize, limit
         self.clear()
