@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     folder, so a join has plain scans on both sides and Spark can split a hub with very many nodes. The driver sees one sum a round.
     """
     edges = materialized(edges.where("hub <> node").select("hub", "node").distinct())
-    ends = edges.select("node", F.col("hub").alias("label")).unionByName(edges.select(F.col("hub").alias("node"), F.col("hub").alias("label")))
+    ends = edges.select("node", F.least("hub", "node").alias("label")).unionByName(edges.select(F.col("hub").alias("node"), F.col("hub").alias("label")))
     labels = materialized(ends.groupBy("node").agg(F.min("label").alias("label")))
     total = F.sum(F.col("label").cast("decimal(38,0)"))
     before = labels.agg(total).first()[0]
