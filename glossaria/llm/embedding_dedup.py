@@ -24,23 +24,34 @@ CODES = 9
 
 
 class CapFilters:
-    """``code ** blocks`` filters in ``dim`` dimensions; a cap holds a unit vector x where its inner product with the direction is
-    ``height / sqrt(dim)`` or more.
+    """``code ** blocks`` filters in ``dim`` dimensions; a cap holds a unit vector whose inner product with the direction is ``least`` or
+    more, and ``least`` is set so that a random vector lies in ``each`` caps on average, in any dimension.
 
-    A code with its own rotation misses a pair of cosine 0.93 with probability 0.49, one of 0.98 with 0.02; codes miss
-    independently, so ``CODES`` of them miss the former with probability 0.002.
+    In 64 dimensions, a code with its own rotation misses a pair of cosine 0.93 with probability 0.49, one of 0.98 with 0.02; codes
+    miss independently, so ``CODES`` of them miss the former with probability 0.002.
     """
 
-    def __init__(self, dim: int, blocks: int = 3, code: int = 64, height: float = 3.7, seed: int = 5):
+    def __init__(self, dim: int, blocks: int = 3, code: int = 64, each: float = 13.5, seed: int = 5, least: float | None = None):
         rng = np.random.default_rng([seed, dim])
-        self.blocks = min(blocks, dim)
+        if dim <= 12:  # too few coordinates to share out: one plain code
+            blocks, code = 1, code**2
+        self.blocks = blocks
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = np.linspace(0, dim, self.blocks + 1).astype(int)
         self.codes = []
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
             c = rng.standard_normal((code, b - a))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(self.blocks))
-        self.code, self.least = code, height / np.sqrt(dim)
+        self.code, self.least = code, -np.inf
+        if least is None:
+            x = rng.standard_normal((40, dim))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            sums = np.zeros((len(x), 1))
+            for a, b, c in zip(self.cuts[:-1], self.cuts[1:], self.codes, strict=True):
+                sums = (sums[:, :, None] + (x[:, a:b] @ c.T)[:, None, :]).reshape(len(x), -1)
+            rank = min(int(each * len(x)), sums.size - 1)
+            least = min(-np.partition(-sums.ravel(), rank)[rank], 0.93)
+        self.least = least
 
     def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
         """For each row (not zero) the numbers of all filters that hold it."""
@@ -86,7 +97,8 @@ def near_vectors(
         for frame in frames:
             for dim, part in frame.groupby(frame["e"].map(len), sort=False):
                 if dim not in known:
-                    known[dim] = [CapFilters(dim, seed=k, **filters) for k in range(codes)]
+                    first = CapFilters(dim, seed=0, **filters)
+                    known[dim] = [first, *(CapFilters(dim, seed=k, least=first.least, **filters) for k in range(1, codes))]
                 for at in range(0, len(part), 1000):
                     some = part.iloc[at : at + 1000]
                     x = np.stack(some["e"].to_numpy()).astype(np.float64)
