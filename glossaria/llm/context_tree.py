@@ -226,7 +226,7 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     return dealt.mapInPandas(down, "key long, log_p double")
 
 
-def score(docs: DataFrame, depth: int = 4, chunk_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, depth: int = 4, chunk_bytes: int = 12 << 20) -> DataFrame:
     """Score the rows of ``docs`` (doc_id long, text string, held_out boolean), learning from those with ``held_out`` false.
 
     One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities),
