@@ -29,6 +29,8 @@ class LanguageModel:
 
     content: dict[str, bytes]
     level: int = 5
+    short_level: int = 12
+    short_bytes: int = 512
     chunk_bytes: int = 16 << 10
     min_margin: float = 0.002
 
@@ -74,18 +76,22 @@ def fit(
     return LanguageModel({k: v for k, v in sorted(content.items()) if v}, **options)
 
 
-def _scorer(model: LanguageModel):
-    packers = []
+def _packers(model: LanguageModel, level: int) -> list[zstandard.ZstdCompressor]:
+    out = []
     for content in model.content.values():
         packed = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        packed.precompute_compress(level=model.level)
-        packers.append(
-            zstandard.ZstdCompressor(level=model.level, dict_data=packed, write_content_size=False, write_checksum=False, write_dict_id=False)
-        )
-    names = list(model.content)
+        packed.precompute_compress(level=level)
+        out.append(zstandard.ZstdCompressor(level=level, dict_data=packed, write_content_size=False, write_checksum=False, write_dict_id=False))
+    return out
+
+
+def _scorer(model: LanguageModel):
+    """Texts of at most ``short_bytes`` are packed harder, for a byte more or less decides there."""
+    usual, short, names = _packers(model, model.level), _packers(model, model.short_level), list(model.content)
 
     def score(letters: str) -> tuple[str, float, float]:
-        data = letters.encode()
+        data = f" {letters} ".encode()
+        packers = short if len(data) <= model.short_bytes else usual
         sizes = [0] * len(packers)
         for at in range(0, len(data), model.chunk_bytes):
             piece = data[at : at + model.chunk_bytes]
