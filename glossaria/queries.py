@@ -618,3 +618,155 @@ def w14_edge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = dictionary(spark, sf_dir).edges
     checked = validate.edge_keys(edges.withColumn("edge_key", F.when(F.col("edge_key") < "8", F.col("edge_key"))))
     return checked.where("code = 0").select(F.coalesce("edge_key", edge_key(F.col("from"), F.col("predicate"), F.col("to"))).alias("edge_key"), F.col("from").alias("from_handle"))
+
+
+# More of the same families
+
+
+@query("q AS (SELECT 1) SELECT DISTINCT lid AS request_id, k AS key, name AS title FROM tm JOIN ep ON f = 'terms/' || k AND p = '_predicate_enum-of' AND root = 'terms/catalog'")
+def i5_enum_terms_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    codes = d.terms.select(F.col("_code._lid").alias("code")).distinct()
+    asked = codes.select(F.col("code").alias("request_id"), F.lit("_lid").alias("field"), "code", F.lit("terms/catalog").alias("root"))
+    return flat.enum_terms_by_code(d, asked).select("request_id", "key", F.col("_code._name").alias("title"))
+
+
+@query("""
+own AS (SELECT DISTINCT f FROM ep WHERE root = 'terms/supply' AND p = '_predicate_enum-of'),
+up AS (SELECT t, arg_min(f, edge_key) AS f FROM ep WHERE root = 'terms/supply' AND p = '_predicate_enum-of' GROUP BY t)
+SELECT DISTINCT lid AS request_id, coalesce(own.f, up.f) AS matched FROM tm LEFT JOIN own ON own.f = 'terms/' || k LEFT JOIN up ON up.t = 'terms/' || k
+WHERE own.f IS NOT NULL OR (up.f IS NOT NULL AND nid IN ('region', 'nation'))
+""")
+def g9_match_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    codes = d.terms.select(F.col("_code._lid").alias("code")).distinct()
+    asked = codes.select(F.col("code").alias("request_id"), F.lit("terms/supply").alias("root"), F.lit("_lid").alias("field"), "code")
+    return walk.match_codes(d, asked, model.ENUM_OF)
+
+
+@query("q AS (SELECT 1) SELECT k AS key, CASE WHEN nid = 'part' AND lid::INT % 2 = 0 THEN 'inserted' ELSE 'conflict' END AS action FROM (SELECT CASE WHEN nid = 'part' AND lid::INT % 2 = 0 THEN 'spare_' || lid ELSE k END AS k, nid, lid FROM tm)")
+def t2_insert_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    spare = F.expr("_code._nid = 'part' AND try_cast(_code._lid AS INT) % 2 = 0")
+    new = d.terms.withColumn("_code", F.when(F.coalesce(spare, F.lit(False)), F.col("_code").withField("_nid", F.lit("spare"))).otherwise(F.col("_code")))
+    return terms.plan_inserts(d.terms, new).select(F.col("_key").alias("key"), "action")
+
+
+@query("w AS (SELECT DISTINCT f FROM lk UNION SELECT DISTINCT f || 'x' FROM lk) SELECT CASE WHEN k IS NULL THEN 'ignored' ELSE 'removed' END AS action, count(*) AS n FROM w LEFT JOIN tm ON 'terms/' || k = w.f GROUP BY 1")
+def t5_delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    keys = d.links.select("from").unionByName(d.links.select(F.concat("from", F.lit("x")).alias("from"))).select(handle_key(F.col("from")).alias("_key"))
+    return terms.plan_deletes(d.terms, keys).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("""
+b AS (SELECT DISTINCT 'terms/brand_' || replace(p_brand, 'Brand#', '') AS f FROM part),
+ky AS (SELECT md5(concat_ws('/', f, '_predicate_section-of', 'terms/catalog')) AS edge_key, 'terms/supply' AS root FROM b UNION ALL SELECT md5(concat_ws('/', f, '_predicate_section-of', 'terms/supply')), 'terms/supply' FROM b)
+SELECT ky.edge_key, CASE WHEN count(ep.edge_key) = 0 THEN 'inserted' ELSE 'updated' END AS action FROM ky LEFT JOIN ep ON ep.edge_key = ky.edge_key GROUP BY ky.edge_key
+""")
+def w2_set_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("terms/brand_"), F.replace("p_brand", F.lit("Brand#"), F.lit(""))).alias("child")).distinct()
+    asked = brands.select(F.lit("r").alias("request_id"), F.lit("terms/supply").alias("root"), F.explode(F.array(F.lit("terms/catalog"), F.lit("terms/supply"))).alias("parent"), "child", F.lit(None).cast("map<string,string>").alias("data"))
+    return edits.plan_set_edges(dictionary(spark, sf_dir), edits.children(edits.containers(asked))).select("edge_key", "action")
+
+
+@query("""
+b AS (SELECT DISTINCT root FROM ep), pr AS (SELECT a.root, b.root AS bridged FROM b a JOIN b ON a.root <> b.root),
+ky AS (SELECT root || '>' || bridged AS request_id, root, md5(concat_ws('/', bridged, '_predicate_bridge-of', root)) AS edge_key FROM pr)
+SELECT ky.request_id, CASE WHEN count(ep.edge_key) = 0 THEN 'inserted' ELSE 'existing' END AS action FROM ky LEFT JOIN ep ON ep.edge_key = ky.edge_key AND ep.root = ky.root GROUP BY ky.request_id
+""")
+def w5_set_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    roots = d.edge_path.select("root").distinct()
+    pairs = roots.join(roots.withColumnRenamed("root", "bridged"), F.col("root") != F.col("bridged"))
+    asked = pairs.select(F.concat("root", F.lit(">"), "bridged").alias("request_id"), "root", "bridged", F.lit(None).cast("map<string,string>").alias("data"))
+    return edits.plan_set_edges(d, edits.children(edits.bridges(asked))).select("request_id", "action")
+
+
+@query("""
+h AS (SELECT DISTINCT o_orderstatus AS request_id, 'terms/customer_' || o_custkey AS handle FROM orders UNION SELECT DISTINCT o_orderstatus, 'orders/' || o_orderkey FROM orders)
+SELECT request_id, handle, CASE WHEN k IS NULL THEN 'not a term' ELSE 'not a descriptor' END AS reason FROM h LEFT JOIN tm ON 'terms/' || k = handle
+""")
+def w11_not_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    asked = orders.select(F.col("o_orderstatus").alias("request_id"), F.concat(F.lit("terms/customer_"), "o_custkey").alias("parent"), F.concat(F.lit("orders/"), "o_orderkey").alias("child"))
+    return edits.not_descriptors(dictionary(spark, sf_dir), asked)
+
+
+_MORE_RULES = {
+    "anykey": '{"_scalar": {"_type": "_type_string_key", "_kind": ["_any-term"]}}',
+    "enumkey": '{"_scalar": {"_type": "_type_string_key", "_kind": ["_any-enum"]}}',
+    "handle": '{"_scalar": {"_type": "_type_string_handle"}}',
+    "sizes": '{"_array": {"_scalar": {"_type": "_type_number_integer", "_valid-range": {"_max-range-inclusive": 40}}, "_elements": {"_min-items": 1, "_max-items": 3}}}',
+    "pair": '{"_tuple": {"_tuple_types": ["anysize", "anytext"]}}',
+    "anysize": '{"_scalar": {"_type": "_type_number_integer", "_valid-range": {"_max-range-inclusive": 40}}}',
+    "anytext": '{"_scalar": {"_type": "_type_string"}}',
+    "prices": '{"_dict": {"_dict_key": {"_type_key": "_type_string", "_regexp": "^[a-z]+$"}, "_dict_value": {"_scalar": {"_type": "_type_number", "_valid-range": {"_min-range-inclusive": 1000}}}}}',
+    "place": '{"_scalar": {"_type": "_type_object_geojson"}}',
+}
+
+
+def _more(spark: SparkSession, sf_dir: str, names: list[str], table: str, key: Column, value: Column, levels: int) -> DataFrame:
+    """Codes of the first of ``names``; the others are descriptors that it refers to."""
+    definitions = " UNION ALL ".join(f"SELECT '{n}' AS descriptor, parse_json('{_MORE_RULES[n]}') AS definition" for n in names)
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key.alias("row_id"), F.lit(names[0]).alias("descriptor"), value.alias("value"))
+    return validate.validate(dictionary(spark, sf_dir), validate.descriptor_rules(spark.sql(definitions), levels), rows, levels=levels).select("row_id", "code")
+
+
+@query("SELECT c_custkey AS row_id, CASE c_custkey % 5 WHEN 0 THEN 30 WHEN 1 THEN 23 WHEN 2 THEN 18 WHEN 3 THEN 21 ELSE 0 END AS code FROM customer", dictionary_sql=False)
+def v23_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 5
+    value = F.when(k == 0, F.concat(F.lit("nobody_"), "c_custkey")).when(k == 1, "a b").when(k == 2, "").when(k == 3, ";").otherwise(F.concat(F.lit("customer_"), "c_custkey"))
+    return _more(spark, sf_dir, ["anykey"], "customer", F.col("c_custkey"), value.cast("variant"), 1)
+
+
+@query("SELECT p_partkey AS row_id, CASE WHEN p_partkey % 2 = 0 THEN 19 ELSE 0 END AS code FROM part", dictionary_sql=False)
+def v23_enum_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("brand_"), F.replace("p_brand", F.lit("Brand#"), F.lit("")))).otherwise(F.concat(F.lit("part_"), "p_partkey"))
+    return _more(spark, sf_dir, ["enumkey"], "part", F.col("p_partkey"), value.cast("variant"), 1)
+
+
+@query("SELECT c_custkey AS row_id, CASE c_custkey % 6 WHEN 0 THEN 24 WHEN 1 THEN 25 WHEN 2 THEN 26 WHEN 3 THEN 23 WHEN 4 THEN 22 ELSE 0 END AS code FROM customer", dictionary_sql=False)
+def v24_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 6
+    value = F.when(k == 0, "terms").when(k == 1, "te rms/x").when(k == 2, "users/x").when(k == 3, "terms/a b").when(k == 4, "terms/nobody").otherwise(F.concat(F.lit("terms/customer_"), "c_custkey"))
+    return _more(spark, sf_dir, ["handle"], "customer", F.col("c_custkey"), value.cast("variant"), 1)
+
+
+@query("SELECT p_partkey AS row_id, CASE p_size % 4 WHEN 0 THEN 36 WHEN 1 THEN 37 WHEN 2 THEN 35 ELSE CASE WHEN p_size > 40 THEN 13 ELSE 0 END END AS code FROM part", dictionary_sql=False)
+def v10_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_size") % 4, F.col("p_size").cast("string")
+    text = F.when(k == 0, "[]").when(k == 1, "[1, 2, 3, 4]").when(k == 2, size).otherwise(F.concat(F.lit("[1, "), size, F.lit("]")))
+    return _more(spark, sf_dir, ["sizes"], "part", F.col("p_partkey"), F.parse_json(text), 2)
+
+
+@query("SELECT p_partkey AS row_id, CASE p_size % 4 WHEN 0 THEN 49 WHEN 1 THEN 44 WHEN 2 THEN CASE WHEN p_size > 40 THEN 13 ELSE 16 END ELSE CASE WHEN p_size > 40 THEN 13 ELSE 0 END END AS code FROM part", dictionary_sql=False)
+def v13_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_size") % 4, F.col("p_size").cast("string")
+    text = F.when(k == 0, "[1]").when(k == 1, size).when(k == 2, F.concat(F.lit("["), size, F.lit(", 5]"))).otherwise(F.concat(F.lit("["), size, F.lit(', "x"]')))
+    return _more(spark, sf_dir, ["pair", "anysize", "anytext"], "part", F.col("p_partkey"), F.parse_json(text), 2)
+
+
+@query("SELECT p_partkey AS row_id, CASE p_size % 3 WHEN 0 THEN 31 WHEN 1 THEN 17 ELSE CASE WHEN p_retailprice < 1000 THEN 12 ELSE 0 END END AS code FROM part", dictionary_sql=False)
+def v15_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, price = F.col("p_size") % 3, F.col("p_retailprice").cast("string")
+    text = F.when(k == 0, price).when(k == 1, F.concat(F.lit('{"N7": '), price, F.lit("}"))).otherwise(F.concat(F.lit('{"price": '), price, F.lit("}")))
+    return _more(spark, sf_dir, ["prices"], "part", F.col("p_partkey"), F.parse_json(text), 2)
+
+
+@query("SELECT c_custkey AS row_id, CASE c_custkey % 5 WHEN 0 THEN 31 WHEN 1 THEN 38 WHEN 2 THEN 39 WHEN 3 THEN 40 ELSE 0 END AS code FROM customer", dictionary_sql=False)
+def v30_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 5
+    text = F.when(k == 0, F.col("c_custkey").cast("string")).when(k == 1, '{"coordinates": [1, 2]}').when(k == 2, '{"type": "Point"}').when(k == 3, '{"type": "Point", "coordinates": 3}')
+    text = text.otherwise(F.concat(F.lit('{"type": "Point", "coordinates": ['), F.col("c_nationkey").cast("string"), F.lit(", 2]}")))
+    return _more(spark, sf_dir, ["place"], "customer", F.col("c_custkey"), F.parse_json(text), 1)
+
+
+@query("SELECT 'part_' || p_partkey AS structure, CASE p_partkey % 4 WHEN 1 THEN 'selector any has fewer options' WHEN 2 THEN 'banned list extended' ELSE 'selector one added' END AS violation FROM part WHERE p_partkey % 4 > 0", dictionary_sql=False)
+def u10_structure_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part_"), "p_partkey").alias("structure"), (F.col("p_partkey") % 4).alias("m"))
+    rule = lambda options, banned, more="": f'{{"_required": {{"_selection-descriptors_any": {options}{more}}}, "_banned": {banned}}}'
+    old = part.select("structure", F.parse_json(F.lit(rule('["a", "b"]', '["z"]'))).alias("definition"))
+    m = F.col("m")
+    new = F.when(m == 1, rule('["a"]', '["z"]')).when(m == 2, rule('["a", "b"]', '["z", "y"]')).when(m == 3, rule('["a", "b"]', '["z"]', ', "_selection-descriptors_one": ["c"]')).otherwise(rule('["a", "b", "c"]', "[]"))
+    return evolve.structure_violations(validate.structure_rules(old), validate.structure_rules(part.select("structure", F.parse_json(new).alias("definition"))))
