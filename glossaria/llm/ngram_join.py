@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import groupby
 
 import numpy as np
@@ -119,16 +120,17 @@ def links_within(sets: list[np.ndarray], weights: np.ndarray, threshold: float,
             x = np.zeros((len(sets), 2048), both.dtype)
             x[owner[a:b], column[a:b] - at] = 1
             both += x @ x.T
-    linked = both * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+    least = Fraction(str(threshold)).limit_denominator(1_000_000)  # counts are compared as integers, so equality is a link
+    linked = both.astype(np.int64) * (least.numerator + least.denominator) >= least.numerator * (sizes[:, None] + sizes[None, :])
     np.fill_diagonal(linked, False)
     if half is not None:
         linked[:half, :half] = linked[half:, half:] = False
     label = np.arange(len(sets))
     while True:
-        least = np.minimum(label, np.where(linked, label[None, :], len(sets)).min(axis=1))
-        if (least == label).all():
+        lower = np.minimum(label, np.where(linked, label[None, :], len(sets)).min(axis=1))
+        if (lower == label).all():
             return linked @ weights, label
-        label = least
+        label = lower
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:

@@ -82,6 +82,21 @@ def test_links_within_halves():
     assert links_within(sets, weights, 0.8, 1)[0].tolist() == [6, 1, 1, 0]
 
 
+@pytest.mark.parametrize("shared", [4, 12, 44, 396, 1204, 20_000])
+def test_links_at_exactly_the_threshold(shared):
+    whole = np.arange(shared * 5 // 4, dtype=np.uint64)
+    over, under = whole[:shared], whole[: shared - 1]
+    assert links_within([whole, over], np.array([1, 1]), 0.8, None)[0].tolist() == [1, 1]
+    assert links_within([whole, under], np.array([1, 1]), 0.8, None)[0].tolist() == [0, 0]
+
+
+def test_a_text_and_the_same_with_three_words_more(spark):
+    words = [f"w{k}" for k in range(19)]
+    docs = spark.createDataFrame([(1, " ".join(words[:16])), (2, " ".join(words))], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in near_duplicates(docs).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((20, 16))
