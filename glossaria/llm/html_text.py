@@ -16,17 +16,22 @@ from pyspark.sql import functions as F
 
 from glossaria.llm.common import table
 
+# Quotes delimit a value only directly after "="; an unquoted value ends at white space or ">". A tag that the page's end cuts off is no tag.
+_NAME = r"[^\s/>][^\s/>=]*+"
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+"
+_ATTRS = rf"(?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE}))?+)*+"
 _TOKEN = re.compile(
-    r"<!--(?:.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    rf"<!--(?:.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*+){_ATTRS}(?:>|\Z)|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?P<shut>>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+")
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 
 # Element classes of the HTML standard (fixed values).
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select option".split())
+_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr".split())
 _BLOCKS = _SPACED | frozenset(
     "html body address article aside caption center dd details dialog div dt figcaption footer form header legend li main nav section summary tbody td tfoot th thead tr".split()
@@ -75,13 +80,18 @@ def parse(html: str) -> Node:
         found = _TOKEN.search(html, at)
         text = html[at : found.start() if found else n]
         if text:
-            stack[-1].children.append(unescape(text))
+            text = unescape(text)
+            if stack[-1].tag == "head" and text.strip(" \t\n\f\r"):
+                stack.pop()
+            stack[-1].children.append(text)
         if not found:
             break
         at = found.end()
         if name := found["end"]:
             name = name.lower()
             if name == "br":
+                if stack[-1].tag == "head":
+                    stack.pop()
                 stack[-1].children.append(Node("br"))
             elif name == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].children.append(Node("p"))
@@ -90,7 +100,11 @@ def parse(html: str) -> Node:
                 if k and not (name not in ("table", "html", "body") and any(x.tag == "table" for x in stack[k + 1 :])):
                     del stack[k:]
         elif name := found["start"]:
+            if not found["shut"]:
+                break
             name = name.lower()
+            if stack[-1].tag == "head" and name not in _HEAD:
+                stack.pop()
             if name in ("html", "body") and any(x.tag == name for x in stack):
                 continue
             if name in _IMPLIED:
@@ -98,7 +112,7 @@ def parse(html: str) -> Node:
             elif name in _CLOSES_P:
                 close({"p"}, {"table", "td", "th", "button", "object", "caption"})
             raw = found["attrs"]
-            attrs = {a.lower(): (v.strip("\"'") if v else "") for a, v in _ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
+            attrs = {a.lower(): (v[1:-1] if v[:1] in ("'", '"') else v) for a, v in _ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
             hidden = "hidden" in attrs or (name == "input" and attrs.get("type") == "hidden") or bool("style" in attrs and _HIDING.search(attrs["style"]))
             node = Node(name, hidden, int(attrs["start"]) if attrs.get("start", "").isdecimal() and len(attrs["start"]) < 10 else 1)
             stack[-1].children.append(node)

@@ -61,9 +61,24 @@ HTML = [
     ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ("</p>a</b>", "a"),
 ]
+HTML_OPEN_HEAD = [
+    ("<html><head><title>T</title><p>Hello", "Hello"),
+    ("<head><meta charset=utf-8><link rel=x><style>s</style>\n<script>s</script>Hello <b>there</b>", "Hello there"),
+    ("<head><title>T</title><noscript><img src=x>n</noscript><template><p>n</template> <div>a</div></head>b", "a\nb"),
+    ("<!DOCTYPE html><head>\n <title>T</title>\n<body><p>a", "a"),
+]
+HTML_QUOTES = [
+    ("<p title=it's>Hello world. That's all</p>tail", "Hello world. That's all\n\ntail"),
+    ('<a href="x"">Link</a> y', "Link y"),
+    ("<p title=a\"b>x</p>y 'z' \"w\"", "x\n\ny 'z' \"w\""),
+    ("<p 'a' \"b>x</p><i title = 'a>b' alt=\"c>d\">y</i>", "x\n\ny"),
+    ("<p style=display:none title=it's>n</p><p title='it\"s' hidden>n</p>x", "x"),
+    ("<img alt=/><a href=/a/>l</a></p title='>'>x", "l\n\nx"),
+    ("x <a href='y", "x"),
+]
 
 
-@pytest.mark.parametrize("html,text", HTML)
+@pytest.mark.parametrize("html,text", HTML + HTML_OPEN_HEAD + HTML_QUOTES)
 def test_layout(html, text):
     assert visible_text(html) == text
 
