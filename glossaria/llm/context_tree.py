@@ -145,6 +145,7 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _HALF = np.log(0.5)
+_AT_ONCE = 1 << 16  # grams whose subtrees a task holds at a time, or those of one context of _TOP bytes
 _TOP = 2  # contexts of so many bytes root the subtrees that one task holds; those above are at most 255 * 257 nodes
 
 
@@ -191,15 +192,23 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     nearest = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * _TOP) - 1))
     dealt = grams.repartition(nearest)
 
-    def whole(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         frames = list(frames)
         if not frames:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([f["key"] for f in frames]), np.concatenate([f["n"] for f in frames])
+            return
+        keys, n = np.concatenate([f["key"] for f in frames]), np.concatenate([f["n"] for f in frames])
+        del frames
+        top = keys >> 8 & ((1 << 8 * _TOP) - 1)
+        order = np.argsort(top, kind="stable")
+        keys, n, top = keys[order], n[order], top[order]
+        start = 0
+        for end in [*(np.flatnonzero(top[1:] != top[:-1]) + 1).tolist(), len(keys)]:
+            if end > start and (end - start >= _AT_ONCE or end == len(keys)):
+                yield keys[start:end], n[start:end]
+                start = end
 
     def up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, n = whole(frames)
-        if len(keys):
+        for keys, n in subtrees(frames):
             top = _levels(keys, n, depth)[0][-1]
             yield pd.DataFrame({"name": _shorter(top.names, 1), "a": top.a, "b": top.b, "w": top.w})
 
@@ -212,8 +221,7 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     known = one.names
 
     def down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, n = whole(frames)
-        if len(keys):
+        for keys, n in subtrees(frames):
             levels, bit = _levels(keys, n, depth)
             at = np.searchsorted(known, _shorter(levels[-1].names, 1))
             q, left = p[at], rest[at]
@@ -226,11 +234,11 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     return dealt.mapInPandas(down, "key long, log_p double")
 
 
-def score(docs: DataFrame, depth: int = 4, chunk_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 12 << 20) -> DataFrame:
     """Score the rows of ``docs`` (doc_id long, text string, held_out boolean), learning from those with ``held_out`` false.
 
     One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities),
-    bits_per_byte. A null text is empty: it has its end alone, and a probability for it. Repeated rows each count and are each
+    bits_per_byte. Contexts are of up to ``depth`` bytes, six at most, as a gram is packed into a long. A null text is empty: it has its end alone, and a probability for it. Repeated rows each count and are each
     scored. Without training rows every byte has the probability 1/256. Equal texts get equal scores.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))

@@ -170,6 +170,17 @@ def test_context_trees_equal_brute_force(spark):
         assert (rows[k]["n_tokens"], rows[k]["n_known"], rows[k]["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), sum(c.values()))
 
 
+def test_contexts_are_six_bytes_deep(spark, monkeypatch):
+    texts = [f"{a}bcdéf {a}" for a in "xyxyzxzyxz"] * 2 + ["xbcdéf x", "ybcdef z"]
+    held = [k >= 20 for k in range(len(texts))]
+    docs = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, held_out boolean")
+    want = _brute(texts, held, 6)
+    for at_once in (1, context_tree._AT_ONCE):
+        monkeypatch.setattr(context_tree, "_AT_ONCE", at_once)
+        rows = {r["doc_id"]: r["score"] for r in context_tree.score(docs).collect()}
+        assert all(abs(rows[k] - w) < 1e-8 for k, w in enumerate(want))
+
+
 def test_scores_without_rows_or_training(spark):
     docs = spark.createDataFrame([(1, "ab", True), (None, "ab", True)], "doc_id long, text string, held_out boolean")
     assert context_tree.score(docs.limit(0)).count() == 0
