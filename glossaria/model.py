@@ -90,6 +90,7 @@ STATUS = {
     50: "kTUPLE_MIN_ELEMENTS_OVERFLOW",
     51: "kTUPLE_MAXELEMENTS_OVERFLOW",
     52: "kELEMENTS_COUNT_NOT_OBJECT",
+    53: "kNESTED_BEYOND_LEVELS",  # not the reference's: the elements were not validated
 }
 
 CODE = "_code STRUCT<_nid: STRING, _lid: STRING, _gid: STRING, _aid: ARRAY<STRING>, _pid: ARRAY<STRING>, _name: STRING>"

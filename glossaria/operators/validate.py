@@ -172,7 +172,8 @@ def validate(
     """V1, V2: (row_id, descriptor, code, status, value, resolved, changes) for each row of (row_id, descriptor, value VARIANT).
 
     ``resolved`` is the corrected value as JSON, the given one if nothing changed; corrections cover scalars, arrays and sets of scalars.
-    Unknown descriptors have code 28. ``changes``: array of (hash, field, original, resolved), all as text.
+    Unknown descriptors have code 28, containers whose elements lie beyond ``levels`` 53. Of ``_type_object`` values only that they are
+    objects is checked. ``changes``: array of (hash, field, original, resolved), all as text.
     """
     # which sections and types occur decides what the plan needs; both are small closed sets
     sections = rules.select("path", "container", "type").distinct().collect()
@@ -202,6 +203,9 @@ def validate(
         )
         lists = lists.withColumn("code", F.coalesce(wrong, sized, shape, F.lit(0)))
         dicts = joined.where("container = '_dict'").withColumn("code", F.when(~F.col("kind").startswith("OBJECT"), 31).otherwise(0))
+        if level + 1 == levels:
+            beyond = lambda x, n: x.withColumn("code", F.when((F.col("code") == 0) & (n > 0), 53).otherwise(F.col("code")))
+            lists, dicts = beyond(lists, F.col("n")), beyond(dicts, F.size(F.expr("try_cast(value AS map<string, variant>)")))
         bare = joined.where("container IS NULL").withColumn("code", F.lit(-1 if expect_types else 0))
         used = [lists] * bool(containers & {"_array", "_set", "_tuple"}) + [dicts] * ("_dict" in containers) + [bare] * (None in containers)
         failures += [x.where("code <> 0").select("row_id", "at", "code") for x in used]

@@ -60,6 +60,14 @@ def test_corrections(report):
     assert not by["int", "3"]["changes"]
 
 
+def test_elements_beyond_levels_are_not_called_valid(spark, sf_dir):
+    text = '{"_array": {"_array": {"_array": {"_scalar": {"_type": "_type_number"}}}}}'
+    rules = validate.descriptor_rules(spark.sql(f"SELECT 'deep' AS descriptor, parse_json('{text}') AS definition"), 2)
+    rows = spark.sql("SELECT id AS row_id, 'deep' AS descriptor, parse_json(text) AS value FROM VALUES (1, '[]'), (2, '[[]]'), (3, '[[[\"x\"]]]'), (4, '[1]') AS t(id, text)")
+    got = {r["row_id"]: r["code"] for r in validate.validate(dictionary(spark, sf_dir), rules, rows, levels=2).select("row_id", "code").collect()}
+    assert got == {1: 0, 2: 0, 3: 53, 4: 35}
+
+
 def test_empty(spark, sf_dir):
     definitions = spark.createDataFrame([("flag", json.dumps(RULES["flag"]))], "descriptor string, text string").select("descriptor", F.parse_json("text").alias("definition"))
     rows = spark.sql("SELECT 1 AS row_id, 'flag' AS descriptor, parse_json('true') AS value WHERE false")
