@@ -6,8 +6,10 @@ the product of its children. The prediction mixes the estimates of all depths wi
 
 Trained once, the model gives a byte a probability that depends on that byte and the ``depth`` bytes before it alone. So the
 corpus is read as grams of ``depth + 1`` bytes: counts are summed by gram, nodes by depth, and each gram gets its code length.
-Texts travel in chunks of some megabytes. A chunk asks only for the grams and words that it holds, so no table of all words or grams
-is ever broadcast or collected.
+
+Texts travel in chunks of some megabytes. A chunk asks only for the grams and words that it holds, in lists dealt over buckets by
+their hash; the bucket sums each key's count over all chunks, and later answers the lists in the order of their keys. So no
+table of all words or grams is ever broadcast or collected, and no task's share grows with how often a gram or word occurs.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import held_out, materialized, table
@@ -30,6 +33,7 @@ START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 WORD, GRAM = 0, 1
 END_WORD = b""
 _SLICE = 1 << 20
+_UNIT = 2.0**32  # code lengths travel in this fraction of a nat
 
 
 class _Hashes(dict):
@@ -44,7 +48,7 @@ def _lower(text: str | None) -> bytes:
 
 
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(chunk, blob): about ``chunk_bytes`` of consecutive texts with their ids and folds, compressed."""
+    """(chunk, size, blob): about ``chunk_bytes`` of consecutive texts with their ids and folds, compressed; ``size`` is their bytes."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, n, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -55,7 +59,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(whole)
-            return pd.DataFrame({"chunk": [first + n], "blob": [sink.getvalue()]})
+            return pd.DataFrame({"chunk": [first + n], "size": [size], "blob": [sink.getvalue()]})
 
         for frame in frames:
             ids = frame["doc_id"].astype(object).where(frame["doc_id"].notna(), None)
@@ -68,7 +72,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if rows:
             yield packed()
 
-    return docs.mapInPandas(batches, "chunk long, blob binary")
+    return docs.mapInPandas(batches, "chunk long, size long, blob binary")
 
 
 def _opened(blob: bytes) -> tuple[list, np.ndarray, list[bytes]]:
@@ -101,8 +105,55 @@ def _slices(texts: list[bytes]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def _gathered(chunks: DataFrame, depth: int) -> DataFrame:
-    """(chunk, kind, key, n): each distinct word and gram of a chunk with its training count there, 0 if only held-out texts have it."""
+def _distinct(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys of some lists of ascending keys, and the sums of their counts."""
+    if not grams:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, n = np.concatenate(grams), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")  # merges ascending runs
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _bucket(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
+    """Grams that differ in their last two bytes alone share a bucket, so that neighbours stay close and pack well."""
+    h = (keys.view(np.uint64) >> np.uint64(0 if kind == WORD else 16)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending keys, dealt: the order by bucket then key, the buckets that occur, and the start of each in that order."""
+    bucket = _bucket(keys, kind, buckets)
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    return order, found, np.append(starts, len(keys))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Integers, the bytes of equal weight side by side, compressed: the empty high bytes cost nothing."""
+    return zstandard.compress(np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending integers."""
+    return _pack(np.diff(keys, prepend=np.int64(0)))
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob))
+
+
+def _asked(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(kind, bucket, chunk, keys, counts): the distinct words and grams of a chunk, dealt over buckets, with their training counts there.
+
+    The count is 0 where only held-out texts of the chunk have the key.
+    """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
@@ -111,26 +162,60 @@ def _gathered(chunks: DataFrame, depth: int) -> DataFrame:
                 _, folds, texts = _opened(blob)
                 words: Counter[bytes] = Counter()
                 other: set[bytes] = set()
-                grams: list[tuple[np.ndarray, np.ndarray]] = []
+                grams: list[np.ndarray] = []
+                counts: list[np.ndarray] = []
                 for held in (False, True):
                     mine = [t for t, f in zip(texts, folds, strict=True) if f == held]
                     for some in _slices(mine):
                         split = b" ".join(mine[some]).split()
                         other.update(split) if held else words.update(split)
                         keys, n = np.unique(_grams(mine[some], depth)[0], return_counts=True)
-                        grams.append((keys, n * (not held)))
+                        grams.append(keys)
+                        counts.append(n * (not held))
+                        if len(grams) == 8:
+                            keys, n = _distinct(grams, counts)
+                            grams, counts = [keys], [n]
                     if mine:
                         other.add(END_WORD) if held else words.update({END_WORD: len(mine)})
+                del texts, mine
                 words.update(dict.fromkeys(other - words.keys(), 0))
                 if len(hashes) > 500_000:
                     hashes.clear()
                 keys = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
-                yield pd.DataFrame({"chunk": chunk, "kind": WORD, "key": keys, "n": np.fromiter(words.values(), np.int64, len(words))})
-                keys, inverse = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([n for _, n in grams])).astype(np.int64)
-                yield pd.DataFrame({"chunk": chunk, "kind": GRAM, "key": keys, "n": n})
+                n = np.fromiter(words.values(), np.int64, len(words))
+                for kind, keys, n in ((WORD, *_distinct([keys], [n])), (GRAM, *_distinct(grams, counts))):
+                    order, found, starts = _dealt(keys, kind, buckets)
+                    keys, n = keys[order], n[order]
+                    lists = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+                    yield pd.DataFrame(
+                        {"kind": kind, "bucket": found, "chunk": chunk, "keys": [_pack_keys(keys[a:b]) for a, b in lists], "counts": [_pack(n[a:b]) for a, b in lists]}
+                    )
+
+    return chunks.select("chunk", "blob").mapInPandas(batches, "kind int, bucket int, chunk long, keys binary, counts binary")
+
 
-    return chunks.mapInPandas(batches, "chunk long, kind int, key long, n long")
+def _summed(asked: DataFrame) -> DataFrame:
+    """(kind, bucket, key, n): each distinct key with its count over all chunks."""
+
+    def of_bucket(name: tuple, lists: pd.DataFrame) -> pd.DataFrame:
+        keys, n = _distinct([_unpack_keys(x) for x in lists["keys"]], [_unpack(x) for x in lists["counts"]])
+        return pd.DataFrame({"kind": name[0], "bucket": name[1], "key": keys, "n": n})
+
+    return asked.groupBy("kind", "bucket").applyInPandas(of_bucket, "kind int, bucket int, key long, n long")
+
+
+def _answered(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """(chunk, kind, bucket, answers): for each list of keys the values (kind, bucket, key, value), integers, in its order."""
+
+    def of_bucket(name: tuple, lists: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        keys, value = known["key"].to_numpy(), known["value"].to_numpy()
+        order = np.argsort(keys)
+        keys, value = keys[order], value[order]
+        found = [_pack(value[np.searchsorted(keys, _unpack_keys(x))]) for x in lists["keys"]]
+        return pd.DataFrame({"chunk": lists["chunk"], "kind": name[0], "bucket": name[1], "answers": found})
+
+    by = ("kind", "bucket")
+    return asked.drop("counts").groupBy(*by).cogroup(values.groupBy(*by)).applyInPandas(of_bucket, "chunk long, kind int, bucket int, answers binary")
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,8 +230,8 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _HALF = np.log(0.5)
-_AT_ONCE = 1 << 16  # grams whose subtrees a task holds at a time, or those of one context of _TOP bytes
-_TOP = 2  # contexts of so many bytes root the subtrees that one task holds; those above are at most 255 * 257 nodes
+_AT_ONCE = 1 << 16  # grams whose subtrees a task holds at a time, or those of one context of _CUT bytes
+_CUT = 4  # contexts of so many bytes root the subtrees that a row holds whole; the levels above are tables
 
 
 class _Level:
@@ -171,123 +256,173 @@ def _shorter(names: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _levels(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[_Level], np.ndarray]:
-    """Levels from ``depth`` down to ``_TOP`` of the grams, and the bits: entry k * len(keys) + i is bit k of gram i."""
+    """Levels from ``depth`` down to the cut of the grams, and the bits: entry k * len(keys) + i is bit k of gram i."""
     byte, k = keys & 255, np.arange(8)[:, None]
     path, bit = (1 << k) | (byte[None, :] >> (8 - k)), (byte[None, :] >> (7 - k)) & 1
     names = ((keys >> 8)[None, :] << 8 | path).ravel()
     bit, counts = bit.ravel(), np.tile(n, 8)
     levels = [_Level(names, counts * (1 - bit), counts * bit, None)]
-    for d in range(depth - 1, _TOP - 1, -1):
+    for d in range(depth - 1, min(_CUT, depth) - 1, -1):
         last = levels[-1]
         levels.append(_Level(_shorter(last.names, d), last.a, last.b, last.w))
     return levels, bit
 
 
+def _weighed(a: Column, b: Column, below: Column) -> Column:
+    """(w, share): a node's weighted log probability, and the part of it that is the node's own estimate."""
+
+    @F.pandas_udf("w double, share double")
+    def weigh(zeros: pd.Series, ones: pd.Series, children: pd.Series) -> pd.DataFrame:
+        kt = _log_kt(zeros.to_numpy(), ones.to_numpy())
+        w = np.logaddexp(kt, children.to_numpy()) + _HALF
+        return pd.DataFrame({"w": w, "share": np.exp(kt + _HALF - w)})
+
+    return weigh(a, b, below)
+
+
+def _context(name: Column, depth: int) -> Column:
+    """A node's name, or a gram, with its context cut to ``depth`` bytes; the last byte stays."""
+    return name.bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
+
+
+def _subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that together hold about ``_AT_ONCE`` grams, at least one row."""
+    for frame in frames:
+        before = np.cumsum(frame["keys"].map(len).to_numpy()) // _AT_ONCE
+        for _, rows in frame.groupby(before, sort=False):
+            yield rows
+
+
 def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     """(key, n), keys distinct, to (key, log_p): the log probability of a gram's last byte after the others, under the weighted trees.
 
-    Grams that end in the same ``_TOP`` context bytes meet in one task. It sends up its nodes of that depth, summed by the
-    byte nearest to the prediction, at most 255 * 256 sums in all, which are collected; their mixture goes back to all tasks.
+    Grams that end in the same ``_CUT`` context bytes form one row, a subtree; it has at most 256 ** (depth - _CUT + 1) of them,
+    however large the corpus. Nodes of fewer context bytes are rows of a table a level: summed upwards by the name of the
+    parent, then joined downwards with the parent's mixture. Nothing is collected or broadcast by force.
     """
-    nearest = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * _TOP) - 1))
-    dealt = grams.repartition(nearest)
-
-    def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        frames = list(frames)
-        if not frames:
-            return
-        keys, n = np.concatenate([f["key"] for f in frames]), np.concatenate([f["n"] for f in frames])
-        del frames
-        top = keys >> 8 & ((1 << 8 * _TOP) - 1)
-        order = np.argsort(top, kind="stable")
-        keys, n, top = keys[order], n[order], top[order]
-        start = 0
-        for end in [*(np.flatnonzero(top[1:] != top[:-1]) + 1).tolist(), len(keys)]:
-            if end > start and (end - start >= _AT_ONCE or end == len(keys)):
-                yield keys[start:end], n[start:end]
-                start = end
+    cut = min(_CUT, depth)
+    named = grams.select("key", "n", F.shiftright(_context(F.col("key"), cut - 1), 8).alias("upper"), F.shiftright(_context(F.col("key"), cut), 8).alias("root"))
+    packed = named.repartition("upper").groupBy("upper", "root").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("ns"))
+    packed = materialized(packed.drop("root"))
 
     def up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for keys, n in subtrees(frames):
-            top = _levels(keys, n, depth)[0][-1]
-            yield pd.DataFrame({"name": _shorter(top.names, 1), "a": top.a, "b": top.b, "w": top.w})
-
-    sums = dealt.mapInPandas(up, "name long, a double, b double, w double").groupBy("name").agg(F.sum("a"), F.sum("b"), F.sum("w")).collect()
-    name, a, b, w = (np.array(x) for x in zip(*sums, strict=True)) if sums else (np.empty(0, np.int64), *[np.empty(0)] * 3)
-    one = _Level(name.astype(np.int64), a, b, w)
-    zero = _Level(_shorter(one.names, 0), one.a, one.b, one.w)
-    p, rest = zero.mixed(0.0, 1.0, False)
-    p, rest = one.mixed(p[zero.at], rest[zero.at], False)
-    known = one.names
+        for rows in _subtrees(frames):
+            last = _levels(np.concatenate(rows["keys"].tolist()), np.concatenate(rows["ns"].tolist()), depth)[0][-1]
+            names, at = np.unique(_shorter(last.names, cut - 1), return_inverse=True)
+            yield pd.DataFrame({"name": names} | {k: np.bincount(at, v, len(names)) for k, v in (("a", last.a), ("b", last.b), ("below", last.w))})
+
+    def level(sums: DataFrame, d: int) -> DataFrame:
+        nodes = sums.groupBy(_context(F.col("name"), d).alias("name")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below"))
+        nodes = nodes.withColumn("_w", _weighed(F.col("a"), F.col("b"), F.col("below")))
+        return materialized(nodes.select("name", "a", "b", "_w.w", "_w.share"))
+
+    levels = [level(packed.mapInPandas(up, "name long, a double, b double, below double"), cut - 1)]
+    for d in range(cut - 2, -1, -1):
+        levels.append(level(levels[-1].withColumnRenamed("w", "below"), d))
+    p_one = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
+    mixed = levels[-1].select("name", (F.col("share") * p_one).alias("q"), (1 - F.col("share")).alias("rest"))
+    for d in range(1, cut):
+        above = mixed.select(F.col("name").alias("parent"), F.col("q").alias("q0"), F.col("rest").alias("rest0"))
+        own = levels[cut - 1 - d].withColumn("parent", _context(F.col("name"), d - 1)).join(above, "parent")
+        mixed = own.select("name", (F.col("q0") + F.col("rest0") * F.col("share") * p_one).alias("q"), (F.col("rest0") * (1 - F.col("share"))).alias("rest"))
+    tops = mixed.groupBy(F.shiftright("name", 8).alias("upper")).agg(F.collect_list(F.struct("name", "q", "rest")).alias("tops"))
+    tops = materialized(tops.select("upper", "tops.name", "tops.q", "tops.rest"))
 
     def down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for keys, n in subtrees(frames):
-            levels, bit = _levels(keys, n, depth)
-            at = np.searchsorted(known, _shorter(levels[-1].names, 1))
-            q, left = p[at], rest[at]
+        for rows in _subtrees(frames):
+            keys = np.concatenate(rows["keys"].tolist())
+            levels, bit = _levels(keys, np.concatenate(rows["ns"].tolist()), depth)
+            known, first = np.unique(np.concatenate(rows["name"].tolist()), return_index=True)
+            at = first[np.searchsorted(known, _shorter(levels[-1].names, cut - 1))]
+            q, left = np.concatenate(rows["q"].tolist())[at], np.concatenate(rows["rest"].tolist())[at]
             for k in range(len(levels) - 1, -1, -1):
                 q, left = levels[k].mixed(q, left, k == 0)
                 q, left = q[levels[k].at], left[levels[k].at]
             log_p = np.log(np.where(bit == 1, q, 1.0 - q)).reshape(8, -1).sum(axis=0)
             yield pd.DataFrame({"key": keys, "log_p": log_p})
 
-    return dealt.mapInPandas(down, "key long, log_p double")
+    return packed.join(tops, "upper").drop("upper").mapInPandas(down, "key long, log_p double")
 
 
 def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 12 << 20) -> DataFrame:
     """Score the rows of ``docs`` (doc_id long, text string, held_out boolean), learning from those with ``held_out`` false.
 
     One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities),
-    bits_per_byte. Contexts are of up to ``depth`` bytes, six at most, as a gram is packed into a long. A null text is empty: it has its end alone, and a probability for it. Repeated rows each count and are each
-    scored. Without training rows every byte has the probability 1/256. Equal texts get equal scores.
+    bits_per_byte. Contexts are of up to ``depth`` bytes, one to six, as a gram is packed into a long. A null text is empty: it has its end
+    alone, and a probability for it. Repeated rows each count and are each scored. Without training rows every byte has the
+    probability 1/256. Equal texts get equal scores. Other columns play no part. A task holds one chunk, or the lists of one bucket,
+    of which there are two a chunk's worth of text; words are told apart by 64-bit hashes, and a gram's code length is rounded to 2 ** -32.
     """
+    if not 1 <= depth <= 6:
+        raise ValueError("a context has one to six bytes")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     chunks = materialized(_chunks(rows, chunk_bytes))
-    same = Window.partitionBy("kind", "key")
-    summed = _gathered(chunks, depth).select(
-        "chunk", "kind", "key", F.sum("n").over(same).alias("total"), (F.min("chunk").over(same) == F.col("chunk")).alias("first")
-    )
-    summed = materialized(summed)
+    buckets = max(1, -(-2 * (chunks.agg(F.sum("size")).first()[0] or 0) // chunk_bytes))
+    asked = materialized(_asked(chunks, depth, buckets))
+    summed = materialized(_summed(asked))
     words, grams = summed.where(F.col("kind") == WORD), summed.where(F.col("kind") == GRAM)
-    size = words.where("first").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.count_if(F.col("total") > 0), F.lit(0))).first()
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.count_if(F.col("n") > 0), F.lit(0))).first()
     train_tokens, vocabulary = int(size[0]), int(size[1])
-    values = gram_scores(grams.where("first").select("key", F.col("total").alias("n")), depth)
-    asked = words.select("chunk", "kind", "key", F.col("total").cast("double").alias("value")).unionByName(
-        grams.join(values, "key").select("chunk", "kind", "key", F.col("log_p").alias("value"))
+
+    @F.pandas_udf("int")
+    def in_bucket(keys: pd.Series) -> pd.Series:
+        return pd.Series(_bucket(keys.to_numpy(), GRAM, buckets))
+
+    logs = gram_scores(grams.select("key", "n"), depth).withColumns({"kind": F.lit(GRAM), "bucket": in_bucket("key")})
+    values = words.select("kind", "bucket", "key", F.col("n").alias("value")).unionByName(
+        logs.select("kind", "bucket", "key", F.round(F.col("log_p") * -_UNIT).cast("long").alias("value"))
     )
+    answers = _answered(asked, values)
     whole = train_tokens + 0.1 * (vocabulary + 1)
 
     def of_chunk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tables = []
-        for kind in (WORD, GRAM):
-            mine = right[right["kind"] == kind]
-            keys, value = mine["key"].to_numpy(), mine["value"].to_numpy()
-            order = np.argsort(keys)
-            tables.append((keys[order], value[order]))
-        (word_keys, counts), (gram_keys, logs) = tables
+        right = right.sort_values(["kind", "bucket"])
+        given = [right.loc[right["kind"] == kind, "answers"] for kind in (WORD, GRAM)]
         hashes, out = _Hashes(), []
+
+        def by_key(keys: np.ndarray, kind: int) -> np.ndarray:
+            """The answers in the order of ``keys``, which ascend."""
+            value = np.empty(len(keys), np.int64)
+            value[_dealt(keys, kind, buckets)[0]] = np.concatenate([_unpack(x) for x in given[kind]])
+            return value
+
         for blob in left["blob"]:
             ids, folds, texts = _opened(blob)
+            split = [[hashes[w] for w in t.split()] for t in texts]
+            of_end = hashes[END_WORD]
+            n = np.fromiter(map(len, split), np.int64, len(split)) + 1
+            last = np.cumsum(n) - 1
+            keys = np.full(int(n.sum()), of_end, np.int64)
+            inside = np.ones(len(keys), bool)
+            inside[last] = False
+            keys[inside] = np.fromiter((h for hs in split for h in hs), np.int64, int(n.sum()) - len(n))
+            del split
+            names, at = np.unique(keys, return_inverse=True)
+            c = by_key(names, WORD)[at]
+            known = np.add.reduceat((c > 0).astype(np.int64), last + 1 - n)
+            base = np.add.reduceat(np.log10((c + 0.1) / whole), last + 1 - n)
+            del keys, inside, at, c
+            parts = []
             for some in _slices(texts):
-                split = [t.split() + [END_WORD] for t in texts[some]]
-                n = np.fromiter(map(len, split), np.int64, len(split))
-                keys = np.fromiter((hashes[w] for ws in split for w in ws), np.int64, int(n.sum()))
-                c = counts[np.searchsorted(word_keys, keys)]
-                first = np.cumsum(n) - n
-                known = np.add.reduceat((c > 0).astype(np.int64), first)
-                base = np.add.reduceat(np.log10((c + 0.1) / whole), first)
                 gram, size = _grams(texts[some], depth)
-                log_p = np.add.reduceat(logs[np.searchsorted(gram_keys, gram)], np.cumsum(size) - size)
-                ids_here = pd.Series(ids[some], dtype="Int64")
-                out.append(
-                    pd.DataFrame(
-                        {"doc_id": ids_here, "held_out": folds[some], "n_tokens": n, "n_known": known, "train_tokens": train_tokens, "base_score": base, "score": log_p / np.log(10.0), "bits_per_byte": -log_p / np.log(2.0) / size}
-                    )
+                names, at = np.unique(gram, return_inverse=True)
+                parts.append((names, at.astype(np.int32), size))
+            del texts, gram, at
+            keys, _ = _distinct([p[0] for p in parts], [np.zeros(len(p[0]), np.int8) for p in parts])
+            logs = by_key(keys, GRAM) / -_UNIT
+            log_p = np.concatenate(
+                [np.add.reduceat(logs[np.searchsorted(keys, names)][at], np.cumsum(size) - size) for names, at, size in parts]
+            )
+            size = np.concatenate([p[2] for p in parts])
+            out.append(
+                pd.DataFrame(
+                    {"doc_id": pd.Series(ids, dtype="Int64"), "held_out": folds, "n_tokens": n, "n_known": known, "train_tokens": train_tokens, "base_score": base, "score": log_p / np.log(10.0), "bits_per_byte": -log_p / np.log(2.0) / size}
                 )
+            )
         return pd.concat(out, ignore_index=True)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInPandas(of_chunk, schema)
+    return chunks.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(of_chunk, schema)
 
 
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
