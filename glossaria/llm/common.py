@@ -17,11 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and every executor can reach.
-
-    It lies in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) in ``/tmp``.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/glossaria-checkpoints"
+    """A new folder that the driver and every executor can reach, below ``spark.checkpoint.dir``, which must be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/glossaria-{uuid.uuid4().hex}"
 
 
@@ -36,6 +35,18 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """As ``materialized``, in buckets by the hash of a column: grouping by that column alone reads the rows without a shuffle.
+
+    The catalog's entry goes at once; the files stay, as those of any external table do.
+    """
+    spark, name = df.sparkSession, f"glossaria_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/table").saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import held_out, materialized, table
+from glossaria.llm.common import bucketed, held_out, materialized, table
 
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 WORD, GRAM = 0, 1
@@ -36,9 +36,13 @@ _SLICE = 1 << 20
 _UNIT = 2.0**32  # code lengths travel in this fraction of a nat
 
 
+def _hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        self[word] = h = _hash(word)
         return h
 
 
@@ -57,7 +61,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             ids, folds, texts = zip(*rows, strict=True)
             whole = pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(folds, pa.bool_()), "text": pa.array(texts, pa.binary())})
             sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_table(whole)
             return pd.DataFrame({"chunk": [first + n], "size": [size], "blob": [sink.getvalue()]})
 
@@ -150,13 +154,12 @@ def _unpack_keys(blob: bytes) -> np.ndarray:
 
 
 def _asked(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """(kind, bucket, chunk, keys, counts): the distinct words and grams of a chunk, dealt over buckets, with their training counts there.
+    """(slot, chunk, keys, counts): the distinct words and grams of a chunk, dealt over buckets, with their training counts there.
 
-    The count is 0 where only held-out texts of the chunk have the key.
+    The count is 0 where only held-out texts of the chunk have the key. ``slot`` is twice the bucket's number and the kind.
     """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
         for frame in frames:
             for chunk, blob in zip(frame["chunk"], frame["blob"], strict=True):
                 _, folds, texts = _opened(blob)
@@ -179,43 +182,41 @@ def _asked(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
                         other.add(END_WORD) if held else words.update({END_WORD: len(mine)})
                 del texts, mine
                 words.update(dict.fromkeys(other - words.keys(), 0))
-                if len(hashes) > 500_000:
-                    hashes.clear()
-                keys = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+                keys = np.fromiter(map(_hash, words), np.int64, len(words))
                 n = np.fromiter(words.values(), np.int64, len(words))
+                del words, other
                 for kind, keys, n in ((WORD, *_distinct([keys], [n])), (GRAM, *_distinct(grams, counts))):
                     order, found, starts = _dealt(keys, kind, buckets)
                     keys, n = keys[order], n[order]
                     lists = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
                     yield pd.DataFrame(
-                        {"kind": kind, "bucket": found, "chunk": chunk, "keys": [_pack_keys(keys[a:b]) for a, b in lists], "counts": [_pack(n[a:b]) for a, b in lists]}
+                        {"slot": 2 * found + kind, "chunk": chunk, "keys": [_pack_keys(keys[a:b]) for a, b in lists], "counts": [_pack(n[a:b]) for a, b in lists]}
                     )
 
-    return chunks.select("chunk", "blob").mapInPandas(batches, "kind int, bucket int, chunk long, keys binary, counts binary")
+    return chunks.select("chunk", "blob").mapInPandas(batches, "slot int, chunk long, keys binary, counts binary")
 
 
 def _summed(asked: DataFrame) -> DataFrame:
-    """(kind, bucket, key, n): each distinct key with its count over all chunks."""
+    """(slot, key, n): each distinct key with its count over all chunks."""
 
-    def of_bucket(name: tuple, lists: pd.DataFrame) -> pd.DataFrame:
+    def of_slot(lists: pd.DataFrame) -> pd.DataFrame:
         keys, n = _distinct([_unpack_keys(x) for x in lists["keys"]], [_unpack(x) for x in lists["counts"]])
-        return pd.DataFrame({"kind": name[0], "bucket": name[1], "key": keys, "n": n})
+        return pd.DataFrame({"slot": lists["slot"].iloc[0], "key": keys, "n": n})
 
-    return asked.groupBy("kind", "bucket").applyInPandas(of_bucket, "kind int, bucket int, key long, n long")
+    return asked.groupBy("slot").applyInPandas(of_slot, "slot int, key long, n long")
 
 
 def _answered(asked: DataFrame, values: DataFrame) -> DataFrame:
-    """(chunk, kind, bucket, answers): for each list of keys the values (kind, bucket, key, value), integers, in its order."""
+    """(chunk, slot, answers): for each list of keys the values (slot, key, value), integers, in its order."""
 
-    def of_bucket(name: tuple, lists: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def of_slot(lists: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         keys, value = known["key"].to_numpy(), known["value"].to_numpy()
         order = np.argsort(keys)
         keys, value = keys[order], value[order]
         found = [_pack(value[np.searchsorted(keys, _unpack_keys(x))]) for x in lists["keys"]]
-        return pd.DataFrame({"chunk": lists["chunk"], "kind": name[0], "bucket": name[1], "answers": found})
+        return pd.DataFrame({"chunk": lists["chunk"], "slot": lists["slot"], "answers": found})
 
-    by = ("kind", "bucket")
-    return asked.drop("counts").groupBy(*by).cogroup(values.groupBy(*by)).applyInPandas(of_bucket, "chunk long, kind int, bucket int, answers binary")
+    return asked.drop("counts").groupBy("slot").cogroup(values.groupBy("slot")).applyInPandas(of_slot, "chunk long, slot int, answers binary")
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -344,7 +345,7 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     return packed.join(tops, "upper").drop("upper").mapInPandas(down, "key long, log_p double")
 
 
-def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 16 << 20) -> DataFrame:
     """Score the rows of ``docs`` (doc_id long, text string, held_out boolean), learning from those with ``held_out`` false.
 
     One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities),
@@ -356,28 +357,30 @@ def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 12 << 20) -> DataF
     if not 1 <= depth <= 6:
         raise ValueError("a context has one to six bytes")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    chunks = materialized(_chunks(rows, chunk_bytes))
+    chunks = bucketed(_chunks(rows, chunk_bytes), "chunk", max(8, 4 * rows.rdd.getNumPartitions()))
     buckets = max(1, -(-2 * (chunks.agg(F.sum("size")).first()[0] or 0) // chunk_bytes))
-    asked = materialized(_asked(chunks, depth, buckets))
+    slots = min(2 * buckets, 10_000)
+    asked = bucketed(_asked(chunks, depth, buckets).repartition(slots, "slot"), "slot", slots)
     summed = materialized(_summed(asked))
-    words, grams = summed.where(F.col("kind") == WORD), summed.where(F.col("kind") == GRAM)
+    is_word = F.col("slot") % 2 == WORD
+    words, grams = summed.where(is_word), summed.where(~is_word)
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.count_if(F.col("n") > 0), F.lit(0))).first()
     train_tokens, vocabulary = int(size[0]), int(size[1])
 
     @F.pandas_udf("int")
-    def in_bucket(keys: pd.Series) -> pd.Series:
-        return pd.Series(_bucket(keys.to_numpy(), GRAM, buckets))
+    def gram_slot(keys: pd.Series) -> pd.Series:
+        return pd.Series(2 * _bucket(keys.to_numpy(), GRAM, buckets) + GRAM)
 
-    logs = gram_scores(grams.select("key", "n"), depth).withColumns({"kind": F.lit(GRAM), "bucket": in_bucket("key")})
-    values = words.select("kind", "bucket", "key", F.col("n").alias("value")).unionByName(
-        logs.select("kind", "bucket", "key", F.round(F.col("log_p") * -_UNIT).cast("long").alias("value"))
+    logs = gram_scores(grams.select("key", "n"), depth)
+    values = words.select("slot", "key", F.col("n").alias("value")).unionByName(
+        logs.select(gram_slot("key").alias("slot"), "key", F.round(F.col("log_p") * -_UNIT).cast("long").alias("value"))
     )
     answers = _answered(asked, values)
     whole = train_tokens + 0.1 * (vocabulary + 1)
 
     def of_chunk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values(["kind", "bucket"])
-        given = [right.loc[right["kind"] == kind, "answers"] for kind in (WORD, GRAM)]
+        right = right.sort_values("slot")
+        given = [right.loc[right["slot"] % 2 == kind, "answers"] for kind in (WORD, GRAM)]
         hashes, out = _Hashes(), []
 
         def by_key(keys: np.ndarray, kind: int) -> np.ndarray:
