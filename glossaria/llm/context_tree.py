@@ -32,7 +32,7 @@ from glossaria.llm.common import bucketed, held_out, materialized, table
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 WORD, GRAM = 0, 1
 END_WORD = b""
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _UNIT = 2.0**32  # code lengths travel in this fraction of a nat
 
 
@@ -90,12 +90,13 @@ def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     pad = bytes([START]) * depth
     data = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    starts = np.cumsum(sizes + depth) - (sizes + depth)
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes) + depth, sizes) + np.arange(int(sizes.sum()))
-    gram = np.zeros(len(at), np.int64)
+    gram = np.zeros(len(data) - depth, np.int64)
     for k in range(depth, -1, -1):
-        gram = gram << 8 | data[at - k]
-    return gram, sizes
+        gram <<= 8
+        gram |= data[depth - k : len(data) - k]
+    predicted = np.ones(len(data), bool)
+    predicted[((np.cumsum(sizes + depth) - (sizes + depth))[:, None] + np.arange(depth)).ravel()] = False
+    return gram[predicted[depth:]], sizes
 
 
 def _slices(texts: list[bytes]) -> Iterator[slice]:
@@ -109,15 +110,14 @@ def _slices(texts: list[bytes]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def _distinct(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct keys of some lists of ascending keys, and the sums of their counts."""
-    if not grams:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    keys, n = np.concatenate(grams), np.concatenate(counts)
-    order = np.argsort(keys, kind="stable")  # merges ascending runs
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(n, first)
+def _added(keys: np.ndarray, n: np.ndarray, more: np.ndarray, of_more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys and their counts, with those of another such list added."""
+    at = np.searchsorted(keys, more)
+    old = np.zeros(len(more), bool)
+    inside = at < len(keys)
+    old[inside] = keys[at[inside]] == more[inside]
+    n[at[old]] += of_more[old]
+    return np.insert(keys, at[~old], more[~old]), np.insert(n, at[~old], of_more[~old])
 
 
 def _bucket(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
@@ -165,19 +165,14 @@ def _asked(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
                 _, folds, texts = _opened(blob)
                 words: Counter[bytes] = Counter()
                 other: set[bytes] = set()
-                grams: list[np.ndarray] = []
-                counts: list[np.ndarray] = []
+                grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
                 for held in (False, True):
                     mine = [t for t, f in zip(texts, folds, strict=True) if f == held]
                     for some in _slices(mine):
                         split = b" ".join(mine[some]).split()
                         other.update(split) if held else words.update(split)
                         keys, n = np.unique(_grams(mine[some], depth)[0], return_counts=True)
-                        grams.append(keys)
-                        counts.append(n * (not held))
-                        if len(grams) == 8:
-                            keys, n = _distinct(grams, counts)
-                            grams, counts = [keys], [n]
+                        grams, counts = _added(grams, counts, keys, n * (not held))
                     if mine:
                         other.add(END_WORD) if held else words.update({END_WORD: len(mine)})
                 del texts, mine
@@ -185,7 +180,8 @@ def _asked(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
                 keys = np.fromiter(map(_hash, words), np.int64, len(words))
                 n = np.fromiter(words.values(), np.int64, len(words))
                 del words, other
-                for kind, keys, n in ((WORD, *_distinct([keys], [n])), (GRAM, *_distinct(grams, counts))):
+                order = np.argsort(keys)
+                for kind, keys, n in ((WORD, keys[order], n[order]), (GRAM, grams, counts)):
                     order, found, starts = _dealt(keys, kind, buckets)
                     keys, n = keys[order], n[order]
                     lists = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
@@ -200,7 +196,9 @@ def _summed(asked: DataFrame) -> DataFrame:
     """(slot, key, n): each distinct key with its count over all chunks."""
 
     def of_slot(lists: pd.DataFrame) -> pd.DataFrame:
-        keys, n = _distinct([_unpack_keys(x) for x in lists["keys"]], [_unpack(x) for x in lists["counts"]])
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for some, counts in zip(lists["keys"], lists["counts"], strict=True):
+            keys, n = _added(keys, n, _unpack_keys(some), _unpack(counts))
         return pd.DataFrame({"slot": lists["slot"].iloc[0], "key": keys, "n": n})
 
     return asked.groupBy("slot").applyInPandas(of_slot, "slot int, key long, n long")
@@ -345,7 +343,7 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     return packed.join(tops, "upper").drop("upper").mapInPandas(down, "key long, log_p double")
 
 
-def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 12 << 20) -> DataFrame:
     """Score the rows of ``docs`` (doc_id long, text string, held_out boolean), learning from those with ``held_out`` false.
 
     One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities),
@@ -405,13 +403,13 @@ def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 16 << 20) -> DataF
             known = np.add.reduceat((c > 0).astype(np.int64), last + 1 - n)
             base = np.add.reduceat(np.log10((c + 0.1) / whole), last + 1 - n)
             del keys, inside, at, c
-            parts = []
+            parts, keys, none = [], np.empty(0, np.int64), np.empty(0, np.int8)
             for some in _slices(texts):
                 gram, size = _grams(texts[some], depth)
                 names, at = np.unique(gram, return_inverse=True)
                 parts.append((names, at.astype(np.int32), size))
+                keys, none = _added(keys, none, names, np.zeros(len(names), np.int8))
             del texts, gram, at
-            keys, _ = _distinct([p[0] for p in parts], [np.zeros(len(p[0]), np.int8) for p in parts])
             logs = by_key(keys, GRAM) / -_UNIT
             log_p = np.concatenate(
                 [np.add.reduceat(logs[np.searchsorted(keys, names)][at], np.cumsum(size) - size) for names, at, size in parts]
