@@ -13,25 +13,34 @@ from glossaria.llm.quality_rules import score
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is clear; the model learns from the documents of the training folds."""
+    """Keep documents whose language is clear; the model learns from the documents of the training folds.
+
+    A null text, or one without letters, has no language and goes. Rows with a null id count as training rows.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"), 5)))
     return identify(docs, model).where(~F.col("rejected")).select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that pass all rules."""
+    """Keep documents that pass all rules; null and empty texts have no words and go."""
     return score(docs).where("kept").select(docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group; rows that repeat an id count as one document."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    nameless = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(nameless)
+    """Keep one document of each group, the first by a number given to every row, so repeated and null ids need no rule of their own.
+
+    Texts without words link with nothing and stay. All columns pass through, whatever their names.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = materialized(docs.withColumn(row, F.monotonically_increasing_id()))
+    kept = near_duplicates(rows, key=row).where("kept").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of 4096 tokens."""
+    """Pack all documents into sequences of 4096 tokens, one row for each piece; a null or empty text is its end token alone."""
     return pack_texts(docs, "word_bpe_49k.json", 2)
 
 

@@ -32,7 +32,7 @@ from glossaria.llm.common import bucketed, held_out, materialized, table
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 WORD, GRAM = 0, 1
 END_WORD = b""
-_SLICE = 1 << 19
+_SLICE = 1 << 20
 _UNIT = 2.0**32  # code lengths travel in this fraction of a nat
 
 

@@ -1,12 +1,14 @@
 """Near-duplicate join on word n-grams by a MinHash LSH forest.
 
-1. Each text becomes the set of its five-word shingles. Texts with equal sets form a class, represented by its least id.
-2. Each class gets one signature for each tree of the forest. Matched prefixes start at the full signature and are shortened until a
-   pair at the threshold shares a prefix in some tree with the target probability. Classes that share a prefix are joined to
-   its least member, a star; components of the stars hold all candidates of one another.
-3. Within a component, shingle sets are intersected exactly, all pairs. Large components are dealt into blocks, and a task
-   takes one pair of blocks; it returns one row for each class with the number of its links, never a row for each pair.
-4. Components of the verified links are the groups.
+1. Each text becomes the set of its five-word shingles. Texts with equal sets form a class, known by a 128-bit fingerprint.
+2. Each class has one label in each tree of the forest: ``depth`` MinHash values of six bits. Labels sorted within a tree are its
+   prefix trie: two classes meet in a node of depth k if they and all labels between them share k values, so the trie is kept
+   as edges between neighbours with the length of their common prefix.
+3. Matched prefixes start at full depth. All pairs of a component of neighbours are verified exactly, and the links found, by their
+   true similarity, tell what share of all links meets at that depth. While it is below the target, the prefix is
+   shortened by one value; then only pairs that the deeper nodes kept apart are verified.
+4. Large components are dealt into blocks, and a task takes one pair of blocks; it returns one row for each class with the
+   number of its links, never a row for each pair. Components of the verified links are the groups.
 """
 
 from __future__ import annotations
@@ -18,21 +20,26 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import materialized, table
 from glossaria.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BITS = 6
+_BINS = 20  # verified links are counted by similarity in so many steps between the threshold and 1
 
 
-def prefix_length(threshold: float, trees: int, depth: int, target: float) -> int:
-    """Shorten the matched prefix from ``depth`` until a pair at the threshold meets in one of the trees with probability ``target``."""
-    for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= target:
-            return k
-    raise ValueError("more trees are needed for this recall")
+def meeting(similarity: np.ndarray | float, k: int, trees: int) -> np.ndarray | float:
+    """The probability that two classes share ``k`` values in one of the trees."""
+    return 1 - (1 - (similarity + (1 - similarity) / 2**_BITS) ** k) ** trees
+
+
+def recall(bins: np.ndarray, threshold: float, k: int, trees: int) -> float:
+    """The share of all links that meets at depth ``k``: a link found stands for 1 / p links, p being its probability of meeting."""
+    lowest = threshold + (1 - threshold) * np.arange(len(bins)) / len(bins)
+    return float(bins.sum() / (bins / meeting(lowest, k, trees)).sum()) if bins.sum() else 1.0
 
 
 class _WordHash(dict):
@@ -64,26 +71,27 @@ class Shingler:
 
 
 class Forest:
-    """One 64-bit key for each tree: the hash of the signature's prefix in it."""
+    """One label for each tree: ``depth`` MinHash values, the first in the highest bits of a long."""
 
-    def __init__(self, trees: int, length: int, seed: int = 1):
+    def __init__(self, trees: int, depth: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.trees, self.length = trees, length
-        self.factors = (rng.integers(0, 2**31, trees * length, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-        self.mix = rng.integers(0, 2**63, (trees, length), np.uint64) | np.uint64(1)
-        self.salt = rng.integers(0, 2**63, trees, np.uint64)
+        self.trees, self.depth = trees, depth
+        self.factors = (rng.integers(0, 2**31, trees * depth, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+        self.turns = rng.integers(0, 2**32, (trees * depth, 1), np.uint32)
+        self.shifts = np.arange(depth - 1, -1, -1, dtype=np.int64) * _BITS
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
+    def labels(self, shingles: np.ndarray) -> np.ndarray:
         x = (shingles >> np.uint64(16)).astype(np.uint32)[None, :]
         least = np.full(len(self.factors), 2**32 - 1, np.uint32)
-        for at in range(0, x.shape[1], 1024):
-            np.minimum(least, (self.factors * x[:, at : at + 1024]).min(axis=1), out=least)
-        wide = (least.reshape(self.trees, self.length).astype(np.uint64) + np.uint64(1)) * self.mix
-        out = wide.sum(axis=1, dtype=np.uint64) + self.salt
-        return ((out ^ (out >> np.uint64(31))) * _ODD).view(np.int64)
+        for at in range(0, x.shape[1], 512):
+            y = x[:, at : at + 512] ^ self.turns
+            y *= self.factors
+            np.minimum(least, y.min(axis=1), out=least)
+        mixed = ((least.astype(np.uint64) * _ODD) >> np.uint64(64 - _BITS)).astype(np.int64)
+        return (mixed.reshape(self.trees, self.depth) << self.shifts).sum(axis=1)
 
 
-def _sketch(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
+def _sketch(rows: DataFrame, n: int, forest: Forest) -> DataFrame:
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
         for frame in frames:
@@ -91,18 +99,35 @@ def _sketch(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
             for text in frame["text"]:
                 s = shingler(text)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                rows.append((len(s), int(digest[0]), int(digest[1]), forest.keys(s) if len(s) else np.empty(0, np.int64)))
-            out = pd.DataFrame({"doc_id": frame["doc_id"]})
-            out["n_shingles"], out["f1"], out["f2"], out["keys"] = zip(*rows) if rows else ([], [], [], [])
+                rows.append((len(s), int(digest[0]), int(digest[1]), forest.labels(s) if len(s) else np.empty(0, np.int64)))
+            out = frame[["row", "doc_id"]].copy()
+            out["n_shingles"], out["f1"], out["f2"], out["labels"] = zip(*rows) if rows else ([], [], [], [])
             yield out
 
-    return docs.mapInPandas(batches, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    return rows.mapInPandas(batches, "row long, doc_id long, n_shingles long, f1 long, f2 long, labels array<long>")
 
 
-def links_within(sets: list[np.ndarray], weights: np.ndarray, threshold: float, half: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """For each set the weight of the others linked to it, and the first set of its component.
+def tries(classes: DataFrame, depth: int, least_depth: int) -> DataFrame:
+    """(hub, node, shared): neighbours in the sorted labels of a tree, with the most values that their labels share in any tree.
 
-    With ``half``, only pairs of one of the first ``half`` sets and one of the others count.
+    Only subtrees below ``least_depth`` values are sorted, each by itself.
+    """
+    labels = classes.select("node", F.posexplode("labels").alias("tree", "label"))
+    labels = labels.withColumn("root", F.shiftright("label", _BITS * (depth - least_depth)))
+    ordered = Window.partitionBy("tree", "root").orderBy("label", "node")
+    near = labels.select(F.lag("node").over(ordered).alias("hub"), "node", F.col("label").bitwiseXOR(F.lag("label").over(ordered)).alias("_x"))
+    differing = F.when(F.col("_x") == 0, 0).otherwise(F.ceil(F.length(F.bin("_x")) / _BITS))
+    near = near.where("hub is not null").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"), (depth - differing).cast("int").alias("shared"))
+    return near.groupBy("hub", "node").agg(F.max("shared").alias("shared"))
+
+
+def links_within(
+    sets: list[np.ndarray], weights: np.ndarray, threshold: float, half: int | None, known: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set the weight of the others linked to it, and the first set of its component; and the links counted by similarity.
+
+    With ``half``, only pairs of one of the first ``half`` sets and one of the others count; with ``known``, only pairs of
+    sets that differ there.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -125,25 +150,39 @@ def links_within(sets: list[np.ndarray], weights: np.ndarray, threshold: float,
     np.fill_diagonal(linked, False)
     if half is not None:
         linked[:half, :half] = linked[half:, half:] = False
+    if known is not None:
+        linked &= known[:, None] != known[None, :]
+    i, j = np.nonzero(np.triu(linked))
+    similar = both[i, j] / (sizes[i] + sizes[j] - both[i, j])
+    bins = np.bincount(np.clip((similar - threshold) / (1 - threshold) * _BINS, 0, _BINS - 1).astype(int) if threshold < 1 else np.zeros(len(i), int), minlength=_BINS)
     label = np.arange(len(sets))
     while True:
         lower = np.minimum(label, np.where(linked, label[None, :], len(sets)).min(axis=1))
         if (lower == label).all():
-            return linked @ weights, label
+            return linked @ weights, label, bins
         label = lower
 
 
-def _verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: (component, p, q, second, doc_id, copies, shingles), the rows of a (component, p, q) next to each other."""
+def _verify(dealt: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links, hub) for each class with links in a pair of blocks, and (null, n, null, bin) for the links by similarity.
+
+    ``dealt`` has component, pair, second, node, known, copies and shingles, the rows of a (component, pair) next to each other.
+    """
 
     def flush(group: list[tuple]) -> Iterator[tuple]:
-        group = sorted(group, key=lambda r: (r[3], r[4]))
+        group = sorted(group, key=lambda r: (r[2], r[3]))
         sets = [np.frombuffer(r[6], np.uint64) for r in group]
-        half = None if group[0][1] == group[0][2] else sum(not r[3] for r in group)
-        weights, label = links_within(sets, np.array([r[5] for r in group], np.int64), threshold, half)
+        n = sum(not r[2] for r in group)
+        weights, label, bins = links_within(
+            sets, np.array([r[5] for r in group], np.int64), threshold, n if n < len(group) else None, np.array([r[4] for r in group], np.int64)
+        )
         for r, w, first in zip(group, weights.tolist(), label.tolist(), strict=True):
             if w:
-                yield r[4], w, group[first][4]
+                yield r[3], w, group[first][3], None
+        yield from ((None, n, None, k) for k, n in enumerate(bins.tolist()) if n)
+
+    def framed(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({k: pd.Series([r[i] for r in out], dtype="Int64") for i, k in enumerate(("node", "n_links", "hub", "bin"))})
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def stream():
@@ -151,14 +190,45 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
                 yield from frame.itertuples(index=False, name=None)
 
         out = []
-        for _, group in groupby(stream(), key=lambda r: r[:3]):
+        for _, group in groupby(stream(), key=lambda r: r[:2]):
             out += flush(list(group))
             if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["node", "n_links", "hub"])
+                yield framed(out)
                 out = []
-        yield pd.DataFrame(out, columns=["node", "n_links", "hub"])
+        yield framed(out)
+
+    return dealt.mapInPandas(batches, "node long, n_links long, hub long, bin int")
 
-    return rows.mapInPandas(batches, "node long, n_links long, hub long")
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """(component, node, known, family, part) of the components that join several known ones.
+
+    A known component of ``block`` classes or more is a family with parts of its own, for its pairs among itself are verified; smaller
+    ones are mixed in family -1, each whole in one part.
+    """
+    sizes = members.groupBy("component", "known").agg(F.count("*").alias("n"))
+    mixed = F.coalesce(F.sum(F.when(F.col("n") < block, F.col("n"))), F.lit(0))
+    wholes = sizes.groupBy("component").agg(mixed.alias("n_mixed"), F.count("*").alias("n_known")).where("n_known > 1")
+    large = F.col("n") >= block
+    placed = members.join(sizes.join(wholes, "component"), ["component", "known"])
+    hashed = F.when(large, F.xxhash64("node")).otherwise(F.xxhash64("known"))
+    parts = F.ceil(F.when(large, F.col("n")).otherwise(F.col("n_mixed")) / block)
+    return placed.select("component", "node", "known", F.when(large, F.col("known")).otherwise(-1).alias("family"), F.pmod(hashed, parts).alias("part"))
+
+
+def _dealt(members: DataFrame, shingled: DataFrame, block: int) -> DataFrame:
+    """The classes of each pair of blocks that may hold links not known yet, next to each other."""
+    placed = materialized(_blocks(members, block).select("component", "node", "known", F.struct("family", "part").alias("block")))
+    blocks = placed.select("component", "block").distinct()
+    other = blocks.withColumnRenamed("block", "other")
+    fresh = (F.col("block") <= F.col("other")) & ((F.col("block.family") != F.col("other.family")) | (F.col("block.family") == -1))
+    pairs = blocks.join(other, "component").where(fresh).withColumn("pair", F.struct("block", "other"))
+    sides = pairs.select("component", "pair", "block", F.lit(False).alias("second")).unionByName(
+        pairs.where("block <> other").select("component", "pair", F.col("other").alias("block"), F.lit(True).alias("second"))
+    )
+    rows = placed.join(shingled, "node").join(sides, ["component", "block"])
+    rows = rows.select("component", F.xxhash64("pair").alias("pair"), "second", "node", "known", "copies", "shingles")
+    return rows.repartition("component", "pair").sortWithinPartitions("component", "pair")
 
 
 def near_duplicates(
@@ -169,61 +239,72 @@ def near_duplicates(
     threshold: float = 0.8,
     trees: int = 32,
     depth: int = 10,
+    least_depth: int = 4,
     target: float = 0.999,
     block: int = 256,
 ) -> DataFrame:
-    """One row for each row of ``docs``: (doc_id, class_id, copy_of, n_links, kept).
+    """One row for each row of ``docs``: (doc_id, class_id, copy_of, n_links, kept, group_key).
 
     Words are split at ASCII white space and compared in lower case. ``copy_of`` is the least id with the same set of shingles,
     ``class_id`` the least id reachable by links of Jaccard similarity ``threshold`` or more, ``n_links`` the number of other
-    documents linked directly, copies included, and ``kept`` says that the row is its group's least id. Null texts and texts
-    without words link with nothing. Rows with a null key link with nothing and have null ids and ``kept`` true; repeated keys
-    count as copies of one another where their texts agree. Other columns play no part.
+    documents linked directly, copies included, and ``kept`` says that the row has its group's least id. Null texts and texts
+    without words link with nothing. Rows with a null key link with nothing and have null ids and ``kept`` true. Rows that repeat
+    a key are documents of their own: classes are told apart by text alone, and ``group_key`` tells apart groups whose
+    least ids agree. Other columns play no part; an empty table gives no rows.
     """
-    length = prefix_length(threshold, trees, depth, target)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sketches = materialized(_sketch(rows, n, Forest(trees, length)))
+    rows = materialized(rows.withColumn("row", F.monotonically_increasing_id()))
+    sketches = materialized(_sketch(rows, n, Forest(trees, depth)))
     usable = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = materialized(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
-
-    keyed = classes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("_last > hub").drop("_last")
-    candidates = components(keyed.join(materialized(shared), "key").select("hub", "node"))
-
-    sizes = materialized(candidates.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    members = candidates.join(sizes, "component").join(classes.select("node", "copies"), "node")
-    members = members.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = rows.where("doc_id is not null").join(members.withColumnRenamed("node", "doc_id"), "doc_id")
-    shingled = _shingled(texts.dropDuplicates(["doc_id", "text"]), n)
-    paired = shingled.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("b", "c").alias("p"), F.greatest("b", "c").alias("q"), (F.col("b") > F.col("c")).alias("second"), "doc_id", "copies", "shingles"
+    classes = usable.groupBy("f1", "f2").agg(
+        F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.min("row").alias("row"), F.first("labels").alias("labels")
     )
-    dealt = paired.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
-    found = materialized(_verify(dealt, threshold))
-
+    classes = materialized(classes.withColumn("node", F.monotonically_increasing_id()))
+    edges = materialized(tries(classes, depth, least_depth))
+
+    met = edges.select(F.col("hub").alias("node")).unionByName(edges.select("node")).distinct()
+    wanted = met.join(classes.select("node", "row", "copies"), "node")
+    shingled = materialized(_shingled(rows.join(wanted, "row"), n))
+    known, found, bins = None, None, np.zeros(_BINS)
+    for k in range(depth, least_depth - 1, -1):
+        members = components(edges.where(F.col("shared") >= k).select("hub", "node"))
+        joined = members.withColumn("known", F.col("node")) if known is None else members.join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
+        more = materialized(_verify(_dealt(joined, shingled, block), threshold))
+        for r in more.where("bin is not null").groupBy("bin").agg(F.sum("n_links").alias("n")).collect():
+            bins[r["bin"]] += r["n"]
+        found = more if found is None else found.unionByName(more)
+        if recall(bins, threshold, k, trees) >= target:
+            break
+        known = members.withColumnRenamed("component", "known")
+
+    found = found.where("node is not null")
     groups = components(found.select("hub", "node"))
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    known = classes.select("f1", "f2", "node", "copies").join(links, "node", "left").join(groups, "node", "left")
-    known = materialized(known.select("f1", "f2", "node", "copies", "n_links", F.coalesce("component", "node").alias("group")))
+    known = classes.select("f1", "f2", "node", "copies", "least_id").join(links, "node", "left").join(groups, "node", "left")
+    known = materialized(known.withColumn("group_key", F.coalesce("component", "node")).drop("component"))
+    least = known.groupBy("group_key").agg(F.min("least_id").alias("class_id"))
+    known = known.join(least, "group_key").select("f1", "f2", "group_key", "class_id", "least_id", "copies", "n_links")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("f1"))
     out = sketches.select("doc_id", own.alias("f1"), "f2").join(known, ["f1", "f2"], "left")
     return out.select(
         "doc_id",
-        F.coalesce("group", "doc_id").alias("class_id"),
-        F.coalesce("node", "doc_id").alias("copy_of"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("least_id", "doc_id").alias("copy_of"),
         (F.coalesce("n_links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
-        F.coalesce(F.col("group") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        "group_key",
     )
 
 
 def _shingled(texts: DataFrame, n: int) -> DataFrame:
+    """(node, copies, shingles) of the representatives."""
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
         for frame in frames:
-            yield frame.assign(shingles=[shingler(t).tobytes() for t in frame["text"]]).drop(columns=["text"])
+            yield frame[["node", "copies"]].assign(shingles=[shingler(t).tobytes() for t in frame["text"]])
 
-    kept = texts.select("component", "blocks", "b", "doc_id", "copies", "text")
-    return kept.mapInPandas(batches, kept.drop("text").schema.add("shingles", "binary"))
+    return texts.select("node", "copies", "text").mapInPandas(batches, "node long, copies long, shingles binary")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from glossaria.llm.components import components
 from glossaria.llm.embedding_dedup import CapFilters, near_vectors
-from glossaria.llm.ngram_join import links_within, near_duplicates, prefix_length
+from glossaria.llm.ngram_join import Forest, Shingler, links_within, meeting, near_duplicates, recall
 
 
 def _groups(nodes, links):
@@ -70,9 +70,33 @@ def test_near_duplicates_nulls_and_empty(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_recall_bound():
-    k = prefix_length(0.8, 32, 10, 0.999)
-    assert 1 - (1 - 0.8**k) ** 32 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 32
+def test_recall_of_a_depth():
+    bins = np.zeros(20)
+    assert recall(bins, 0.8, 10, 32) == 1.0
+    bins[0] = 100  # links at the threshold: the share that meets is their probability of meeting
+    assert abs(recall(bins, 0.8, 10, 32) - meeting(0.8, 10, 32)) < 1e-12
+    bins[19] = 10_000
+    assert recall(bins, 0.8, 10, 32) > 0.999 > recall(bins, 0.8, 10, 8)
+
+
+def test_labels_agree_as_often_as_sets():
+    forest, rng = Forest(32, 10), np.random.default_rng(3)
+    rows = []
+    for _ in range(60):
+        s = rng.integers(0, 2**63, 500).astype(np.uint64)
+        a, b = forest.labels(np.unique(s[:450])), forest.labels(np.unique(s[50:]))
+        rows.append([((a >> 6 * k) & 63) == ((b >> 6 * k) & 63) for k in range(10)])
+    assert abs(np.mean(rows) - meeting(0.8, 1, 1)) < 0.02
+    met = np.mean([np.array(r)[::-1][:6].all(axis=0).any() for r in rows])
+    assert met >= 0.9 and len(Shingler(5)("a b c")) == 1
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x"), (1, b)], "doc_id long, text string")
+    got = near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in got) == [(1, 1, 1, True), (1, 1, 2, True), (1, 1, 2, True), (2, 1, 1, False), (3, 1, 2, False)]
+    assert len({r["group_key"] for r in got}) == 2
 
 
 def test_links_within_halves():

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pandas as pd
+from pyspark.sql import functions as F
 
 
 def test_stages(spark):
@@ -28,3 +29,13 @@ def test_empty_and_nulls(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_repeated_ids_lose_no_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (3, a + " x"), (None, b + " y"), (None, "z " * 9), (5, "")]
+    odd = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], docs.schema).withColumn("_row", F.lit("r"))
+    kept = corpus_pipeline.near_duplicate(spark, odd, "")
+    texts = sorted(r["text"][:1] for r in kept.collect())
+    assert texts == ["", "a", "b", "z"] and kept.columns == odd.columns
