@@ -10,12 +10,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from glossaria.llm.common import table
 from glossaria.llm.tokens import PieceEncoder, blocks, gather
@@ -61,13 +62,26 @@ class MergeTable:
 
     def one(self, word: bytes) -> list[int]:
         """A single word, merge by merge; for the rare words in which a merge makes a pair of lower rank than its own."""
-        ids = [int(self.byte_id[b]) for b in word]
-        while len(ids) > 1:
-            rank, at = min((self.pairs.get(ids[k] << 32 | ids[k + 1], int(_NONE)), k) for k in range(len(ids) - 1))
-            if rank == _NONE:
-                break
-            ids[at : at + 2] = [rank]
-        return ids
+        ids, n = [int(self.byte_id[b]) for b in word], len(word)
+        after, before, none = [*range(1, n), -1], list(range(-1, n - 1)), int(_NONE)
+
+        def rank_at(k: int) -> int:
+            return self.pairs.get(ids[k] << 32 | ids[after[k]], none) if k >= 0 and after[k] >= 0 else none
+
+        waiting = [(r, k) for k in range(n) if (r := rank_at(k)) != none]
+        heapify(waiting)
+        while waiting:
+            r, k = heappop(waiting)
+            if ids[k] < 0 or rank_at(k) != r:  # merged or changed since
+                continue
+            right = after[k]
+            ids[k], ids[right], after[k] = r, -1, after[right]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for p in (before[k], k):
+                if (found := rank_at(p)) != none:
+                    heappush(waiting, (found, p))
+        return [x for x in ids if x >= 0]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and the number of each."""
@@ -117,8 +131,12 @@ class MergeTable:
                         keep.append(k)
                         used = q
                 at, right = at[keep], right[keep]
-            token[at], alive[right], rank[right] = r, False, _NONE
             following = after[right]
+            if len(at) > 1 and (touching := following[:-1] == at[1:]).any():  # between two such merges stands a pair that is gone after both
+                passing = self.pair_rank(np.full(int(touching.sum()), r), token[following[:-1][touching]])
+                if (passing < r).any():
+                    odd.append(word[at[:-1][touching][passing < r]])
+            token[at], alive[right], rank[right] = r, False, _NONE
             after[at] = following
             before[following[following >= 0]] = at[following >= 0]
             left = before[at]
@@ -160,7 +178,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 yield frame.iloc[a:b].assign(**{ids: encoder.batch(texts[a:b])})
 
     kept = docs.drop(ids)
-    return kept.mapInPandas(batches, kept.schema.add(ids, "array<int>"))
+    return kept.mapInPandas(batches, StructType([*kept.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -172,7 +190,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", data: str
             yield frame.assign(**{data: [merges.decode(np.asarray(x, np.int64)) if x is not None else b"" for x in frame[ids]]})
 
     kept = docs.drop(data)
-    return kept.mapInPandas(batches, kept.schema.add(data, "binary"))
+    return kept.mapInPandas(batches, StructType([*kept.schema.fields, StructField(data, BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from glossaria.llm.common import table
-from glossaria.llm.tokens import blocks, library_encoder
+from glossaria.llm.tokens import blocks, library_encoder, vocabulary
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,10 @@ class Limits:
     loss_tokens: int = 4096
     pool: int = 1024
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss_tokens, self.pool) < 1:
+            raise ValueError("every limit is at least 1")
+
 
 @dataclass
 class _Piece:
@@ -46,6 +50,9 @@ class _Piece:
     def loss_tokens(self) -> int:
         return len(self.ids) if self.loss is None else int(np.count_nonzero(self.loss))
 
+    def __len__(self) -> int:
+        return len(self.ids)
+
 
 class Packer:
     """Feed documents with ``add``; each call and ``finish`` yield placed pieces as (piece, sequence number, offset)."""
@@ -117,18 +124,39 @@ class Packer:
             yield from self._fill(self.limits.tokens if left >= self.limits.tokens else 1 << (left.bit_length() - 1))
 
 
-SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+_BEARS: dict[str, np.ndarray] = {}
+
+
+def bears_loss(tokenizer: str, end_id: int) -> np.ndarray:
+    """For each id whether it is a target: those with a letter or digit are, while marks, spaces and the end are context alone."""
+    if tokenizer not in _BEARS:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        out = np.zeros(vocabulary(tokenizer), bool)
+        for token, k in whole.get_vocab(with_added_tokens=True).items():
+            out[k] = any(c.isalnum() for c in token)
+        _BEARS[tokenizer] = out
+    out = _BEARS[tokenizer].copy()
+    out[end_id] = False
+    return out
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_texts(
+    docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", context_tokens: str | None = None
+) -> DataFrame:
     """One row for each placed piece of a document: ``key`` and the columns of ``SCHEMA``.
 
+    Ids that ``bears_loss`` names are targets; of these, the first ``context_tokens`` of a document, if a column of that name is given, are
+    not, as in instruction data the prompt's are not. A null there is none.
     A null or empty text is its end token alone. Null, equal and repeated keys are packed row by row; other columns are
     dropped, so none can clash. An empty table gives no rows.
     """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, packer = library_encoder(tokenizer), Packer(limits)
+        encoder, packer, bears = library_encoder(tokenizer), Packer(limits), bears_loss(tokenizer, end_id)
         first = TaskContext.get().partitionId() << 36
         keys: dict[int, object] = {}
         out: list[tuple] = []
@@ -137,7 +165,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Li
         def note(placed) -> None:
             for piece, sequence, offset in placed:
                 crc = zlib.crc32(piece.ids.astype("<u4").tobytes())
-                out.append((keys[piece.row], piece.start, len(piece.ids), crc, piece.doc_tokens, first + sequence, offset))
+                out.append((keys[piece.row], piece.start, len(piece.ids), crc, piece.doc_tokens, first + sequence, offset, piece.loss_tokens()))
 
         def frame() -> pd.DataFrame:
             names = [key, *(c.split()[0] for c in SCHEMA.split(", "))]
@@ -148,10 +176,14 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Li
 
         for rows in frames:
             texts, ks = rows[text].fillna("").tolist(), rows[key].astype(object).where(rows[key].notna(), None).tolist()
+            given = rows[context_tokens].fillna(0).astype(int).tolist() if context_tokens else [0] * len(ks)
             for a, b in blocks(texts):
-                for k, ids in zip(ks[a:b], encoder.batch(texts[a:b]), strict=True):
+                for k, context, ids in zip(ks[a:b], given[a:b], encoder.batch(texts[a:b]), strict=True):
                     keys[n] = k
-                    note(packer.add(n, np.append(ids, np.int32(end_id))))
+                    ids = np.append(ids, np.int32(end_id))
+                    loss = bears[ids]
+                    loss[: max(0, context)] = False
+                    note(packer.add(n, ids, loss))
                     n += 1
             waiting = {p.row for p in packer.pool}
             keys = {k: v for k, v in keys.items() if k in waiting}
@@ -159,7 +191,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Li
         note(packer.finish())
         yield frame()
 
-    kept = docs.select(key, text)
+    kept = docs.select(key, text, *([context_tokens] if context_tokens else []))
     schema = kept.select(key).schema
     for column in SCHEMA.split(", "):
         schema = schema.add(*column.split())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import materialized, shared_dir, table
-from glossaria.llm.tokens import blocks, library_encoder
+from glossaria.llm.tokens import blocks, library_encoder, vocabulary
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -83,7 +83,7 @@ class Store:
 
 
 def _index_bytes(keys: np.ndarray, sizes: np.ndarray, width: int) -> bytes:
-    """``keys`` ascending, with ``sizes`` tokens each; equal keys are neighbours."""
+    """``keys`` ascending, equal keys neighbours; ``sizes`` are the tokens of their entries and of those without a key after them."""
     distinct, first, copies = np.unique(keys, return_index=True, return_counts=True)
     hashed = PerfectHash.build(distinct)
     slot = hashed.slots(distinct)
@@ -133,16 +133,18 @@ class Shard:
         return np.frombuffer(self.file.read(int(self.arrays["tokens"][entry]) * self.width), f"<u{self.width}")
 
 
-def write(docs: DataFrame, root: str, tokenizer: str, end_id: int, vocabulary: int, rows_per_shard: int = 16_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write all documents in ascending order of key; the rows returned are (key, shard, copy, shard_tokens).
+def write(docs: DataFrame, root: str, tokenizer: str, end_id: int, shard_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write all documents in ascending order of key, null keys last; the rows returned are (key, shard, copy, shard_tokens).
 
-    One row a document says which shard has its key and, for equal keys, which of the shard's copies it is; one row with a
-    null ``copy`` for each shard gives its ids. A null or empty text is the end token alone. Rows with a null key cannot be
-    looked up and are not written. Equal keys may share a shard or stand in neighbouring ones.
+    Shards hold about ``shard_bytes`` of text each. One row a document says which shard has its key and, for equal keys, which of
+    the shard's copies it is; one row with a null ``copy`` for each shard gives its ids. A null or empty text is the end token
+    alone. Rows with a null key are not in the index; their ``copy`` is the number of their entry. Equal keys may share a shard or
+    stand in neighbouring ones. Other columns play no part; an empty table gives one shard without ids.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
-    shards = max(1, -(-rows.select("key").count() // rows_per_shard))
-    width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    width = 2 if max(vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, store, shard = library_encoder(tokenizer), Store(root), TaskContext.get().partitionId()
@@ -157,26 +159,36 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int, vocabulary: i
                         whole = np.append(ids, np.int32(end_id)).astype(f"<u{width}")
                         payload.write(whole.tobytes())
                         sizes.append(len(whole))
-                keys.append(frame["key"].to_numpy(np.int64))
-        keys, sizes = np.concatenate(keys) if keys else np.empty(0, np.int64), np.array(sizes, np.int64)
+                keys += frame["key"].astype("Int64").tolist()
+        nameless = sum(k is pd.NA for k in keys)
+        keys, sizes = np.array(keys[: len(keys) - nameless], np.int64), np.array(sizes, np.int64)
         with store.fs.open_output_stream(store.path(f"{name}.{mark}.idx.tmp")) as index:
             index.write(_index_bytes(keys, sizes, width))
         store.publish(f"{name}.{mark}.bin.tmp", f"{name}.bin")
         store.publish(f"{name}.{mark}.idx.tmp", f"{name}.idx")
+        if nameless:
+            yield pd.DataFrame({"key": pd.Series([None] * nameless, dtype="Int64"), "shard": shard, "copy": np.arange(nameless) + len(keys), "shard_tokens": 0})
         if len(keys):
             starts = np.concatenate(([True], keys[1:] != keys[:-1]))
             copy = np.arange(len(keys)) - np.maximum.accumulate(np.where(starts, np.arange(len(keys)), 0))
             yield pd.DataFrame({"key": keys, "shard": shard, "copy": copy.astype(object), "shard_tokens": 0})
         yield pd.DataFrame({"key": [0], "shard": [shard], "copy": pd.Series([None], dtype=object), "shard_tokens": [int(sizes.sum())]})
 
-    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "key", "h").sortWithinPartitions("key", "h").drop("h")
+    order = (F.col("key").asc_nulls_last(), "h")
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order).drop("h")
     return materialized(dealt.mapInPandas(batches, "key long, shard long, copy long, shard_tokens long"))
 
 
 def read(written: DataFrame, root: str) -> DataFrame:
-    """Look every written key up in the files: (key, start, n_tokens, ids_crc32)."""
-    totals = written.where("copy is null").select("shard", "shard_tokens")
-    before = totals.select("shard", (F.sum("shard_tokens").over(Window.orderBy("shard")) - F.col("shard_tokens")).alias("before"))
+    """Look every written key up in the files: (key, start, n_tokens, ids_crc32). A key that its shard does not hold is an error.
+
+    The ids before a shard are summed in two steps, over the shards of a thousand and over the thousands.
+    """
+    totals = written.where("copy is null").select("shard", "shard_tokens", F.floor(F.col("shard") / 1000).alias("part"))
+    parts = totals.groupBy("part").agg(F.sum("shard_tokens").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
+    within = F.sum("shard_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("shard_tokens")
+    before = totals.withColumn("within_part", within).join(parts, "part").select("shard", (F.col("earlier") + F.col("within_part")).alias("before"))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, shards = Store(root), {}
@@ -185,10 +197,15 @@ def read(written: DataFrame, root: str) -> DataFrame:
                 if k not in shards:
                     shards = {k: Shard(store, f"shard-{k:06d}")}
                 shard = shards[k]
-                entry = shard.find(rows["key"].to_numpy(np.int64)) + rows["copy"].to_numpy(np.int64)
+                named = rows["key"].notna().to_numpy()
+                entry = rows["copy"].to_numpy(np.int64)
+                first = shard.find(rows.loc[named, "key"].to_numpy(np.int64))
+                if (first < 0).any():
+                    raise KeyError(f"shard {k} does not hold {rows.loc[named, 'key'][first < 0].iloc[0]}")
+                entry[named] += first
                 crc = [zlib.crc32(shard.ids(e).astype("<u4").tobytes()) for e in entry.tolist()]
                 yield pd.DataFrame(
-                    {"key": rows["key"].to_numpy(), "shard": k, "within": shard.arrays["start"][entry].astype(np.int64), "n_tokens": shard.arrays["tokens"][entry].astype(np.int64), "ids_crc32": crc}
+                    {"key": rows["key"].astype("Int64").array, "shard": k, "within": shard.arrays["start"][entry].astype(np.int64), "n_tokens": shard.arrays["tokens"][entry].astype(np.int64), "ids_crc32": crc}
                 )
 
     found = written.where("copy is not null").select("key", "shard", "copy")
@@ -198,5 +215,5 @@ def read(written: DataFrame, root: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/tokens"
-    written = write(table(spark, sf_dir, "documents"), root, "byte_bpe_50k.json", 2, 50_257)
+    written = write(table(spark, sf_dir, "documents"), root, "byte_bpe_50k.json", 2)
     return read(written, root).withColumnRenamed("key", "doc_id")

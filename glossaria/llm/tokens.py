@@ -127,6 +127,14 @@ def _byte_letters() -> tuple[list[str], list[int]]:
     return [*map(chr, plain), *(chr(256 + k) for k in range(len(rest)))], plain + rest
 
 
+def vocabulary(name: str) -> int:
+    """How many ids a public tokenizer may give."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(public_tokenizers.path(name)).get_vocab(with_added_tokens=True).values()) + 1
+
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
