@@ -36,7 +36,7 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFra
     """One row for each window of a conversation: (conv_id, window, formatted, loss_spans, n_turns, n_repeated, n_tokens).
 
     ``turns`` has conv_id, turn, role and text; other columns play no part. Null roles and texts are empty. Turns are ordered by
-    turn, then role, then text, null turns first; repeated rows are turns of their own. The first turn is the system turn if
+    turn, then role, then text, null turns first; repeated rows are turns of their own, and rows without a conv_id one conversation. The first turn is the system turn if
     that is its role. A window has at most ``budget`` tokens, of which at most ``history`` repeat earlier turns, unless the system turn
     or a single turn alone takes more; no turn is cut or dropped. ``loss_spans`` are ranges of code points of ``formatted``, end
     exclusive; the first ``n_repeated`` turns stand in an earlier window too. An empty table gives no rows.
@@ -63,10 +63,12 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFra
     wanted = starts.withColumn("bucket", F.explode(F.sequence(low, high)))
     earlier = body.select("conv_id", F.floor(F.col("since") / history).alias("bucket"), "since", "pos", "role", "text", "t")
     near = (F.col("since") < F.col("begin")) & (F.col("since") >= F.col("begin") - history)
-    repeated = wanted.join(earlier, ["conv_id", "bucket"]).where(near).select("conv_id", "window", F.lit(1).alias("kind"), "pos", "role", "text", "t")
+    earlier = earlier.withColumnRenamed("conv_id", "_id")
+    repeated = wanted.join(earlier, F.col("conv_id").eqNullSafe(F.col("_id")) & (wanted["bucket"] == earlier["bucket"]))
+    repeated = repeated.where(near).select("conv_id", "window", F.lit(1).alias("kind"), "pos", "role", "text", "t")
 
     system = rows.where("is_system").select("conv_id", "pos", "role", "text", "t")
-    places = starts.select("conv_id", "window").join(system, "conv_id")
+    places = starts.select(F.col("conv_id").alias("_id"), "window").join(system, F.col("_id").eqNullSafe(F.col("conv_id")))
     leading = system.select("conv_id", F.lit(0).cast("long").alias("window"), F.lit(2).alias("kind"), "pos", "role", "text", "t")
     kept = places.select("conv_id", "window", F.lit(0).alias("kind"), "pos", "role", "text", "t")
 

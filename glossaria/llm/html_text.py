@@ -7,6 +7,8 @@ blocks by line breaks, list items by markers, and table cells by aligned columns
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -51,8 +53,7 @@ _IMPLIED = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
-_DEPTH = 200  # deeper elements become siblings, as in browsers
-_WIDE = 60  # wider cells do not widen their column
+_WIDE = 60  # a wider cell is wrapped at spaces
 
 
 class Node:
@@ -66,15 +67,20 @@ def parse(html: str) -> Node:
     """The tree of a page; text is kept as decoded strings among the children."""
     root = Node("html")
     stack, at, n = [root], 0, len(html)
+    open_tags: Counter[str] = Counter()  # of the stack, so that deep pages are not searched in vain
+
+    def cut(k: int) -> None:
+        open_tags.subtract(x.tag for x in stack[k:])
+        del stack[k:]
 
     def close(tags: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
+        k = len(stack)
+        while any(open_tags[t] > 0 for t in tags):
+            k -= 1
             if stack[k].tag in until:
                 return
             if stack[k].tag in tags:
-                del stack[k:]
-                if not any(x.tag in tags for x in stack[1:]):
-                    return
+                cut(k)
 
     while at < n:
         found = _TOKEN.search(html, at)
@@ -82,7 +88,7 @@ def parse(html: str) -> Node:
         if text:
             text = unescape(text)
             if stack[-1].tag == "head" and text.strip(" \t\n\f\r"):
-                stack.pop()
+                cut(-1)
             stack[-1].children.append(text)
         if not found:
             break
@@ -91,21 +97,24 @@ def parse(html: str) -> Node:
             name = name.lower()
             if name == "br":
                 if stack[-1].tag == "head":
-                    stack.pop()
+                    cut(-1)
                 stack[-1].children.append(Node("br"))
-            elif name == "p" and not any(x.tag == "p" for x in stack):
+            elif name == "p" and open_tags["p"] < 1:
                 stack[-1].children.append(Node("p"))
-            else:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name), 0)
-                if k and not (name not in ("table", "html", "body") and any(x.tag == "table" for x in stack[k + 1 :])):
-                    del stack[k:]
+            elif open_tags[name] > 0:
+                whole = name in ("table", "html", "body")
+                k = len(stack) - 1
+                while stack[k].tag != name and (whole or stack[k].tag != "table"):
+                    k -= 1
+                if stack[k].tag == name:
+                    cut(k)
         elif name := found["start"]:
             if not found["shut"]:
                 break
             name = name.lower()
             if stack[-1].tag == "head" and name not in _HEAD:
-                stack.pop()
-            if name in ("html", "body") and any(x.tag == name for x in stack):
+                cut(-1)
+            if name == "html" or (name == "body" and open_tags[name] > 0):
                 continue
             if name in _IMPLIED:
                 close(*_IMPLIED[name])
@@ -122,8 +131,9 @@ def parse(html: str) -> Node:
                 if name in ("textarea", "title", "xmp"):
                     node.children.append(inside if name == "xmp" else unescape(inside))
                 at = end.end() if end else n
-            elif name not in _VOID and not (raw.endswith("/") and name in ("svg", "math")) and len(stack) < _DEPTH:
+            elif name not in _VOID and not (raw.endswith("/") and name in ("svg", "math")):
                 stack.append(node)
+                open_tags[name] += 1
     return root
 
 
@@ -168,6 +178,20 @@ class _Page:
                 self.space = False
 
 
+def _wrapped(cell: str) -> list[str]:
+    """The lines of a cell, of at most ``_WIDE`` characters unless a word has more."""
+    if len(cell) <= _WIDE:
+        return [cell]
+    lines, words, size = [], [], 0
+    for word in cell.split(" "):
+        if words and size + len(word) > _WIDE:
+            lines.append(" ".join(words))
+            words, size = [], 0
+        words.append(word)
+        size += len(word) + 1
+    return [*lines, " ".join(words)]
+
+
 def _cells(node: Node, rows: list[list[str]]) -> None:
     for child in node.children:
         if isinstance(child, str):
@@ -201,12 +225,17 @@ def _render(node: Node, page: _Page, pre: bool) -> None:
         if tag == "table":
             rows: list[list[str]] = []
             _cells(child, rows)
-            widths = [max((len(r[k]) for r in rows if len(r) > k and len(r) > 1 and len(r[k]) <= _WIDE), default=0) for k in range(max(map(len, rows), default=0))]
-            for row in rows:
-                line = "  ".join(c.ljust(w) for c, w in zip(row, widths, strict=False)).rstrip()
-                if line:
-                    page.lines(line)
-                    page.gap(1)
+            laid = [[_wrapped(c) if len(row) > 1 else [c] for c in row] for row in rows]
+            widths = [0] * max(map(len, laid), default=0)
+            for row in laid:
+                if len(row) > 1:
+                    widths = [max(w, *map(len, c)) for w, c in zip(widths, row, strict=False)] + widths[len(row) :]
+            for row in laid:
+                for k in range(max(map(len, row), default=0)):
+                    line = "  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)).rstrip()
+                    if line:
+                        page.lines(line)
+                        page.gap(1)
         elif tag == "li":
             marker = f"{count}. " if node.tag == "ol" else "- "
             count += 1
@@ -229,8 +258,15 @@ def _rendered(node: Node) -> str:
 
 
 def visible_text(html: str | None) -> str:
-    """All text of a page that a reader would see; empty for null."""
-    return _rendered(parse(html or ""))
+    """All text of a page that a reader would see; empty for null. Elements may be nested as deep as the page is long."""
+    if not html:
+        return ""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 2 * html.count("<") + 1000))
+    try:
+        return _rendered(parse(html))
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

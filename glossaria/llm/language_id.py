@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import held_out, table
@@ -25,55 +25,50 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Raw dictionary content by language; at most ``max_languages * dict_bytes`` bytes."""
+    """Raw dictionary content by language, at most ``dict_bytes`` of ``fit`` each.
+
+    A text is packed in blocks of ``block_bytes``, each against the same dictionary, so the dictionary weighs as much at the end of
+    a long text as at its start.
+    """
 
     content: dict[str, bytes]
-    level: int = 5
-    short_level: int = 12
-    short_bytes: int = 512
-    chunk_bytes: int = 16 << 10
+    level: int = 12
+    block_bytes: int = 16 << 10
     min_margin: float = 0.002
 
 
 def _letters(text):
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
+    """Lower-case letters with their marks, other runs as one space; empty for null and where no letter stands."""
+    return F.when(text.rlike(r"\p{L}"), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))).otherwise("")
 
 
 def fit(
     labelled: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    max_languages: int = 64,
     samples: int = 256,
     dict_bytes: int = 110 << 10,
-    sample_chars: int = 4000,
     **options,
 ) -> LanguageModel:
-    """Learn one dictionary for each of the ``max_languages`` most frequent languages.
+    """Learn one dictionary for each language.
 
-    The sample is bounded: at most ``samples`` texts of a language, each cut to ``sample_chars`` characters, and
-    ``dict_bytes`` bytes of them. It holds the text with the least hash in each of ``samples`` slots, so it depends on
-    the texts alone, and one hot language costs no more than any other (minima are combined before the shuffle).
-    Rows with a null text or language, or a text without letters, teach nothing.
+    The sample is bounded: at most ``samples`` rows of a language, the text with the least hash in each of so many slots, so it
+    depends on the texts alone, and one hot language costs no more than any other (minima are combined before the shuffle).
+    The sampled texts are read whole: cut into pieces of some 400 letters, whose hashes decide which of them make up the
+    ``dict_bytes`` bytes of the dictionary. Rows with a null text or language, or a text without letters, teach nothing.
     """
-    rows = labelled.select(F.col(text).alias("_t"), F.col(lang).alias("_l")).where("_t is not null and _l is not null")
-    top = rows.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(max_languages).collect()
-    rows = rows.where(F.col("_l").isin([r["_l"] for r in top])).withColumn("_h", F.xxhash64("_t"))
-    least = rows.groupBy("_l", F.pmod("_h", F.lit(samples)).alias("_slot")).agg(F.min("_h").alias("_h")).collect()
-    chosen = {r["_h"] for r in least}
-    found = (
-        rows.where(F.col("_h").isin(list(chosen)))
-        .groupBy("_l", "_h")
-        .agg(F.first(_letters(F.substring("_t", 1, sample_chars))).alias("_t"))
-        .collect()
-        if chosen
-        else []
-    )
-    content = {r["_l"]: b"" for r in top}
-    for r in sorted(found, key=lambda r: (r["_l"], r["_h"])):
-        piece = r["_t"].encode() + b" "
-        content[r["_l"]] = (content[r["_l"]] + piece)[:dict_bytes] if r["_t"] else content[r["_l"]]
-    return LanguageModel({k: v for k, v in sorted(content.items()) if v}, **options)
+    rows = labelled.select(F.col(text).alias("_t"), F.col(lang).alias("_l")).where("_t is not null and _l is not null").where(F.col("_t").rlike(r"\p{L}"))
+    rows = rows.withColumn("_h", F.xxhash64("_t"))
+    least = rows.groupBy("_l", F.pmod("_h", F.lit(samples)).alias("_slot")).agg(F.min("_h").alias("_h"))
+    texts = rows.join(least.drop("_slot"), ["_l", "_h"]).groupBy("_l", "_h").agg(F.first("_t").alias("_t"))
+    pieces = texts.select("_l", "_h", F.posexplode(F.regexp_extract_all(_letters(F.col("_t")), F.lit(r"\S.{0,399}(?=\s|$)|\S{1,400}"), F.lit(0))).alias("_p", "_t"))
+    pieces = pieces.withColumn("_o", F.xxhash64("_h", "_p")).withColumn("_n", F.octet_length("_t") + 1)
+    taken = F.sum("_n").over(Window.partitionBy("_l").orderBy("_o", "_p").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumn("_before", F.coalesce(taken, F.lit(0))).where(F.col("_before") < dict_bytes)
+    content: dict[str, bytes] = {}
+    for r in pieces.orderBy("_l", "_before").select("_l", "_t").collect():
+        content[r["_l"]] = (content.get(r["_l"], b"") + r["_t"].encode() + b" ")[:dict_bytes]
+    return LanguageModel(content, **options)
 
 
 def _packers(model: LanguageModel, level: int) -> list[zstandard.ZstdCompressor]:
@@ -86,15 +81,13 @@ def _packers(model: LanguageModel, level: int) -> list[zstandard.ZstdCompressor]
 
 
 def _scorer(model: LanguageModel):
-    """Texts of at most ``short_bytes`` are packed harder, for a byte more or less decides there."""
-    usual, short, names = _packers(model, model.level), _packers(model, model.short_level), list(model.content)
+    packers, names = _packers(model, model.level), list(model.content)
 
     def score(letters: str) -> tuple[str, float, float]:
         data = f" {letters} ".encode()
-        packers = short if len(data) <= model.short_bytes else usual
         sizes = [0] * len(packers)
-        for at in range(0, len(data), model.chunk_bytes):
-            piece = data[at : at + model.chunk_bytes]
+        for at in range(0, len(data), model.block_bytes):
+            piece = data[at : at + model.block_bytes]
             for k, packer in enumerate(packers):
                 sizes[k] += len(packer.compress(piece))
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
@@ -119,15 +112,17 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = _scorer(model) if model.content else None
         for frame in frames:
-            out = [score(t) if score and t else (UNDETERMINED, 0.0, 0.0) for t in frame["_letters"]]
-            frame = frame.drop(columns=["_letters"])
+            out = [score(t) if score and t else (UNDETERMINED, 0.0, 0.0) for t in frame[letters]]
+            frame = frame.drop(columns=[letters])
             frame["lang_pred"], frame["score"], frame["margin"] = zip(*out) if out else ([], [], [])
             yield frame
 
     added = ("lang_pred", "score", "margin", "rejected")
-    kept = docs.drop(*added)
-    out = kept.select("*", F.coalesce(_letters(F.col(text)), F.lit("")).alias("_letters"))
-    schema = kept.schema.add("lang_pred", "string").add("score", "double").add("margin", "double")
+    kept, letters = docs.drop(*added), "_letters"
+    while letters in kept.columns:
+        letters += "_"
+    out = kept.select("*", _letters(F.col(text)).alias(letters))
+    schema = kept.limit(0).schema.add("lang_pred", "string").add("score", "double").add("margin", "double")
     return out.mapInPandas(batches, schema).withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("margin") < model.min_margin))
 
 

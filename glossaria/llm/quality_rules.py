@@ -54,23 +54,20 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in a window of three words that occurs twice or more.
 
-    Window hashes are packed with their positions into longs and sorted, so equal windows become neighbours. The packing
-    drops the low bits of a hash; neighbours count as equal only if their whole 64-bit hashes agree.
+    Hashes of windows are sorted with their positions, so equal windows become neighbours.
     """
 
     def count(w: Column) -> Column:
         n = F.size(w)
-        bits = F.length(F.bin(n.cast("long")))
 
         def of_hashes(h: Column) -> Column:
-            keys = F.array_sort(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-1) - mask(bits)).bitwiseOR(i.cast("long"))))
+            keys = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
 
             def of_sorted(s: Column) -> Column:
-                at = lambda i: s[i].bitwiseAND(mask(bits)).cast("int")
-                same = lambda i, j: h[at(i)] == h[at(j)]
                 last = F.size(s) - 1
+                same = lambda x, i: x["h"] == s[i]["h"]
                 hit = F.filter(
-                    F.transform(s, lambda x, i: F.when(((i > 0) & same(F.greatest(i - 1, F.lit(0)), i)) | ((i < last) & same(i, F.least(i + 1, last))), at(i))),
+                    F.transform(s, lambda x, i: F.when(((i > 0) & same(x, F.greatest(i - 1, F.lit(0)))) | ((i < last) & same(x, F.least(i + 1, last))), x["p"])),
                     lambda x: x.isNotNull(),
                 )
                 return F.size(F.array_distinct(F.flatten(F.transform(hit, lambda p: F.array(p, p + 1, p + 2)))))
@@ -83,10 +80,6 @@ def repeated_words(words: Column) -> Column:
     return let(words, count)
 
 
-def mask(bits: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-
-
 def measures(text: Column) -> Column:
     """A struct of all measures of a text, each a long."""
     whole = F.coalesce(text, F.lit(""))
@@ -126,8 +119,11 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     repeated rows are judged one by one.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words"]
-    out = docs.drop(*names, "base_failed", "kept", "_m").withColumn("_m", measures(F.col(text)))
-    out = out.select("*", "_m.w.*", "_m.x.*", "_m.n_symbols").drop("_m")
+    out, m = docs.drop(*names, "base_failed", "kept"), "_m"
+    while m in out.columns:
+        m += "_"
+    out = out.withColumn(m, measures(F.col(text)))
+    out = out.select("*", f"{m}.w.*", f"{m}.x.*", f"{m}.n_symbols").drop(m)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 

@@ -33,6 +33,14 @@ def test_windows(spark):
     assert chat_format.windows(turns.limit(0)).count() == 0
 
 
+def test_null_ids_are_one_conversation(spark):
+    made = [(k, "user" if k % 2 else "assistant", f"t{k} " * 60) for k in range(12)]
+    turns = spark.createDataFrame([(c, *r) for c in (1, None) for r in made] + [(None, -1, "system", "s"), (1, -1, "system", "s")], "conv_id long, turn long, role string, text string")
+    out = chat_format.windows(turns, budget=200, history=80).collect()
+    shape = lambda c: sorted((r["window"], r["n_turns"], r["n_repeated"], r["formatted"]) for r in out if r["conv_id"] == c)
+    assert shape(1) == shape(None) and any(r["n_repeated"] > 1 for r in out)
+
+
 def test_digests_equal_sql(spark, sf_dir):
     from oracle import assert_same
 
@@ -78,6 +86,21 @@ HTML_QUOTES = [
 ]
 
 
+LONG = "word " * 30
+HTML_DEEP = [
+    ("<div>" * 205 + "<ul><li>a<li>b</ul>", "- a\n- b"),
+    ("<b>" * 20_000 + "<p>x<p>y", "x\n\ny"),
+    ("<table><tr><td>a<td>b<td>c</table>" + "<i>" * 5000 + "z", "a  b  c\n\nz"),
+    (f"<table><tr><td>{LONG}<td>r<tr><td>s<td>t</table>", f"{('word ' * 12).strip().ljust(59)}  r\n{('word ' * 12).strip()}\n{('word ' * 6).strip()}\n{'s'.ljust(59)}  t"),
+    (f"<table><tr><td>{'x' * 70}<td>r<tr><td>s<td>t</table>", f"{'x' * 70}  r\n{'s'.ljust(70)}  t"),
+]
+
+
+@pytest.mark.parametrize("html,text", HTML_DEEP)
+def test_deep_and_wide(html, text):
+    assert visible_text(html) == text
+
+
 @pytest.mark.parametrize("html,text", HTML + HTML_OPEN_HEAD + HTML_QUOTES)
 def test_layout(html, text):
     assert visible_text(html) == text

@@ -15,16 +15,40 @@ def test_language_edges(spark):
     train = spark.createDataFrame([("the cat sat on the mat", "en"), ("le chat est sur la table", "fr"), (None, "en"), ("x", None)], "text string, lang string")
     model = language_id.fit(train)
     assert list(model.content) == ["en", "fr"]
-    rows = [(1, None, "a"), (2, "", "a"), (3, "12 !!", "a"), (4, "the cat " * 60000, "a"), (4, "the cat sat", "a"), (4, "the cat sat", "a"), (None, "le chat est", "b")]
+    rows = [(1, None, "a"), (2, "", "a"), (3, "12 !! \u0301\u0302", "a"), (4, "the cat " * 60000, "a"), (4, "the cat sat", "a"), (4, "the cat sat", "a"), (None, "le chat est", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("margin", F.lit(7))
     out = language_id.identify(docs, model).collect()
     assert [r["lang_pred"] for r in out] == ["und", "und", "und", "en", "en", "en", "fr"]
     assert [r["rejected"] for r in out][:3] == [True] * 3 and all(0 <= r["score"] <= 1 for r in out)
     assert language_id.identify(docs.limit(0), model).count() == 0
+    clash = language_id.identify(docs.withColumn("_letters", F.lit("l")), model)
+    assert clash.columns.count("_letters") == 1 and {r["_letters"] for r in clash.collect()} == {"l"}
     nothing = language_id.fit(train.limit(0))
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_every_language_and_whole_texts_teach(spark):
+    words = {f"l{k:03d}": chr(0x4E00 + k) * 3 for k in range(80)}
+    train = spark.createDataFrame([(f"{'q ' * 3000}{w} {w}", lang) for lang, w in words.items()], "text string, lang string")
+    model = language_id.fit(train)
+    assert set(model.content) == set(words) and all(words[k].encode() in v for k, v in model.content.items())
+
+
+def test_sizes_equal_the_library(spark):
+    import zstandard
+
+    model = language_id.LanguageModel({"en": b"the cat sat on the mat " * 9, "fr": b"le chat est sur la table " * 9})
+    text = "the cat est sur the table " * 1500
+    out = language_id.identify(spark.createDataFrame([(text,)], "text string"), model).first()
+    data, sizes = f" {text.strip()} ".encode(), []
+    for content in model.content.values():
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=model.level)
+        c = zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append(sum(len(c.compress(data[k : k + model.block_bytes])) for k in range(0, len(data), model.block_bytes)))
+    assert out["lang_pred"] == ("en" if sizes[0] <= sizes[1] else "fr") and abs(out["margin"] - abs(sizes[0] - sizes[1]) / max(sizes)) < 1e-12
+
+
 def test_training_ignores_held_out(spark):
     row = spark.range(200).select(held_out(F.col("id"), 5).alias("h"), "id")
     import zlib
@@ -55,3 +79,4 @@ def test_quality_edges(spark):
     by = {r["doc_id"]: r for r in out}
     assert by[5]["n_dup_lines"] == 2 and by[7]["n_symbols"] == 8 and by[10]["kept"]
     assert quality_rules.score(docs.limit(0)).count() == 0
+    assert quality_rules.score(docs.withColumn("_m", F.lit(1))).columns.count("_m") == 1
