@@ -4,6 +4,9 @@ Filter directions form a structured random product code: after a random rotation
 a small random spherical code, and a filter is one codeword from each block. A vector is decoded to the list of all filters whose
 cap holds it, by branch and bound over the blocks, never by a scan of all filters. Vectors of one label that share a filter
 are candidates; the cosine of each candidate pair is then computed in double precision.
+
+The number of filters follows the number of vectors of the largest label, so chance pairs a vector stay as many however large
+the table; the number of independent codes is what the target recall needs, measured on made pairs at the threshold.
 """
 
 from __future__ import annotations
@@ -19,16 +22,12 @@ from glossaria.llm.common import materialized, table
 from glossaria.llm.components import components
 
 
-#: Independent product codes.
-CODES = 9
-
-
 class CapFilters:
     """``code ** blocks`` filters in ``dim`` dimensions; a cap holds a unit vector whose inner product with the direction is ``least`` or
     more, and ``least`` is set so that a random vector lies in ``each`` caps on average, in any dimension.
 
-    In 64 dimensions, a code with its own rotation misses a pair of cosine 0.93 with probability 0.49, one of 0.98 with 0.02; codes
-    miss independently, so ``CODES`` of them miss the former with probability 0.002.
+    In 64 dimensions, a code of 64 ** 3 filters with its own rotation misses a pair of cosine 0.93 with probability 0.46, one of 0.98 with
+    0.02; codes miss independently.
     """
 
     def __init__(self, dim: int, blocks: int = 3, code: int = 64, each: float = 13.5, seed: int = 5, least: float | None = None):
@@ -43,15 +42,15 @@ class CapFilters:
             c = rng.standard_normal((code, b - a))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(self.blocks))
         self.code, self.least = code, -np.inf
-        if least is None:
-            x = rng.standard_normal((40, dim))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            sums = np.zeros((len(x), 1))
-            for a, b, c in zip(self.cuts[:-1], self.cuts[1:], self.codes, strict=True):
-                sums = (sums[:, :, None] + (x[:, a:b] @ c.T)[:, None, :]).reshape(len(x), -1)
-            rank = min(int(each * len(x)), sums.size - 1)
-            least = min(-np.partition(-sums.ravel(), rank)[rank], 0.93)
-        self.least = least
+        self.least = 0.93
+        if least is not None:
+            self.least = least
+            return
+        x, step = rng.standard_normal((400, dim)), 0.02
+        while self.least > -1 and (found := sum(map(len, self.decode(x)))) < each * len(x) or step > 1e-4:
+            if found >= each * len(x):
+                self.least, step = self.least + step, step / 4
+            self.least -= step
 
     def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
         """For each row (not zero) the numbers of all filters that hold it."""
@@ -70,6 +69,23 @@ class CapFilters:
         return out
 
 
+def plan(dim: int, n: int, cosine: float, target: float) -> tuple[dict, int]:
+    """Filters for ``n`` vectors of one label, and how many codes find a pair of that cosine with probability ``target``."""
+    grown = max(1.0, n / 5000) ** (1 / 3)
+    options = {"code": int(64 * grown), "each": 13.5 * grown**0.75}
+    options["least"] = CapFilters(dim, seed=0, **options).least
+    rng = np.random.default_rng([11, dim])
+    y, z = rng.standard_normal((2, 300, dim))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z -= (z * y).sum(axis=1, keepdims=True) * y
+    z = cosine * y + np.sqrt(max(0.0, 1 - cosine**2)) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    met = [
+        bool(np.intersect1d(a, b).size) for caps in (CapFilters(dim, seed=k, **options) for k in range(3)) for a, b in zip(caps.decode(y), caps.decode(z), strict=True)
+    ]
+    missed = min(max(1 - float(np.mean(met)), 0.01), 0.95)
+    return options, int(np.ceil(np.log(1 - target) / np.log(missed))) + 1
+
+
 def _usable(embedding: Column, label: Column) -> Column:
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(label.isNotNull() & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
@@ -80,25 +96,30 @@ def _inner(a: Column, b: Column) -> Column:
 
 
 def near_vectors(
-    vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, codes: int = CODES, **filters
+    vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, target: float = 0.998
 ) -> DataFrame:
     """One row for each row of ``vectors``: (vec_id, n_links, component_id, kept).
 
     Only vectors of equal label and length are compared. Null labels, and vectors that are null, empty, zero or hold null or non-finite
     components, link with nothing and are kept. Equal vectors of a label are compared once and count as links of each
     other. Rows with a null key link with nothing; rows that repeat a key count as copies. Other columns play no part.
+
+    Vectors that share a filter meet in a join by label and filter, whose hot keys adaptive execution splits.
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("e"), F.col(label).alias("label"))
     usable = rows.where(_usable(F.col("e"), F.col("label")) & F.col("vec_id").isNotNull())
     classes = materialized(usable.groupBy("label", "e").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
 
+    largest = classes.groupBy("label", F.size("e").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n")).collect()
+    plans = {r["dim"]: plan(r["dim"], r["n"], least, target) for r in largest}
+
     def decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, list[CapFilters]] = {}
         for frame in frames:
             for dim, part in frame.groupby(frame["e"].map(len), sort=False):
                 if dim not in known:
-                    first = CapFilters(dim, seed=0, **filters)
-                    known[dim] = [first, *(CapFilters(dim, seed=k, least=first.least, **filters) for k in range(1, codes))]
+                    options, codes = plans[dim]
+                    known[dim] = [CapFilters(dim, seed=k, **options) for k in range(codes)]
                 for at in range(0, len(part), 1000):
                     some = part.iloc[at : at + 1000]
                     x = np.stack(some["e"].to_numpy()).astype(np.float64)

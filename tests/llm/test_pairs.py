@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from glossaria.llm.components import components
-from glossaria.llm.embedding_dedup import CapFilters, near_vectors
+from glossaria.llm.embedding_dedup import CapFilters, near_vectors, plan
 from glossaria.llm.ngram_join import Forest, Shingler, links_within, meeting, near_duplicates, recall
 
 
@@ -169,3 +169,13 @@ def test_recall_at_the_threshold(dim):
         caps = CapFilters(dim, seed=k)
         met |= [bool(set(a.tolist()) & set(b.tolist())) for a, b in zip(caps.decode(y), caps.decode(z), strict=True)]
     assert met.mean() >= 0.98
+
+
+@pytest.mark.parametrize("n", [1000, 200_000])
+def test_filters_follow_the_vectors(n):
+    options, codes = plan(64, n, 0.93, 0.998)
+    caps = CapFilters(64, seed=20, **options)
+    x = np.random.default_rng(9).standard_normal((50, 64))
+    held = np.mean([len(a) for a in caps.decode(x)])
+    chance = n * held**2 / caps.code**3 * codes  # pairs that meet by chance, a vector
+    assert 0.5 * options["each"] < held < 2 * options["each"] and codes <= 14 and chance < 120
