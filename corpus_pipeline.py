@@ -35,7 +35,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     while row in docs.columns:
         row += "_"
     rows = materialized(docs.withColumn(row, F.monotonically_increasing_id()))
-    kept = near_duplicates(rows, key=row).where("kept").select(F.col("doc_id").alias(row))
+    kept = near_duplicates(rows, key=row, unique=True).where("kept").select(F.col("doc_id").alias(row))
     return rows.join(kept, row, "left_semi").select(docs.columns)
 
 

@@ -2,11 +2,11 @@
 
 1. Each text becomes the set of its five-word shingles. Texts with equal sets form a class, known by a 128-bit fingerprint.
 2. Each class has one label in each tree of the forest: ``depth`` MinHash values of six bits. Labels sorted within a tree are its
-   prefix trie: two classes meet in a node of depth k if they and all labels between them share k values, so the trie is kept
-   as edges between neighbours with the length of their common prefix.
-3. Matched prefixes start at full depth. All pairs of a component of neighbours are verified exactly, and the links found, by their
-   true similarity, tell what share of all links meets at that depth. While it is below the target, the prefix is
-   shortened by one value; then only pairs that the deeper nodes kept apart are verified.
+   prefix trie: the longer prefix that a label shares with a neighbour is the deepest node in which its class meets another.
+3. Matched prefixes start at full depth. Classes that share a prefix are joined to the least of them, a star; all pairs of a
+   component of stars are verified exactly, and the links found, by their true similarity, tell what share of all links meets
+   at that depth. While it is below the target, the prefix is shortened by one value; then only pairs that the deeper nodes
+   kept apart are verified.
 4. Large components are dealt into blocks, and a task takes one pair of blocks; it returns one row for each class with the
    number of its links, never a row for each pair. Components of the verified links are the groups.
 """
@@ -20,7 +20,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import materialized, table
@@ -108,17 +108,26 @@ def _sketch(rows: DataFrame, n: int, forest: Forest) -> DataFrame:
 
 
 def tries(classes: DataFrame, depth: int, least_depth: int) -> DataFrame:
-    """(hub, node, shared): neighbours in the sorted labels of a tree, with the most values that their labels share in any tree.
+    """(tree, label, node, meets): the leaves that meet another at ``least_depth`` or deeper, and how deep.
 
-    Only subtrees below ``least_depth`` values are sorted, each by itself.
+    Labels are sorted within the subtrees of that depth, each of which is one window.
     """
     labels = classes.select("node", F.posexplode("labels").alias("tree", "label"))
     labels = labels.withColumn("root", F.shiftright("label", _BITS * (depth - least_depth)))
-    ordered = Window.partitionBy("tree", "root").orderBy("label", "node")
-    near = labels.select(F.lag("node").over(ordered).alias("hub"), "node", F.col("label").bitwiseXOR(F.lag("label").over(ordered)).alias("_x"))
-    differing = F.when(F.col("_x") == 0, 0).otherwise(F.ceil(F.length(F.bin("_x")) / _BITS))
-    near = near.where("hub is not null").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"), (depth - differing).cast("int").alias("shared"))
-    return near.groupBy("hub", "node").agg(F.max("shared").alias("shared"))
+    ordered = Window.partitionBy("tree", "root").orderBy("label")
+
+    def shared(other: Column) -> Column:
+        x = F.col("label").bitwiseXOR(other)
+        return F.when(x == 0, depth).otherwise(depth - F.ceil(F.length(F.bin(x)) / _BITS))
+
+    meets = F.greatest(shared(F.lag("label").over(ordered)), shared(F.lead("label").over(ordered))).cast("int")
+    return labels.select("tree", "label", "node", meets.alias("meets")).where("meets is not null")
+
+
+def stars(leaves: DataFrame, depth: int, k: int) -> DataFrame:
+    """(hub, node): each class of a node of depth ``k`` with the least class there."""
+    inside = Window.partitionBy("tree", F.shiftright("label", _BITS * (depth - k)))
+    return leaves.where(F.col("meets") >= k).select(F.min("node").over(inside).alias("hub"), "node").where("hub < node").distinct()
 
 
 def links_within(
@@ -242,6 +251,7 @@ def near_duplicates(
     least_depth: int = 4,
     target: float = 0.999,
     block: int = 256,
+    unique: bool = False,
 ) -> DataFrame:
     """One row for each row of ``docs``: (doc_id, class_id, copy_of, n_links, kept, group_key).
 
@@ -250,24 +260,27 @@ def near_duplicates(
     documents linked directly, copies included, and ``kept`` says that the row has its group's least id. Null texts and texts
     without words link with nothing. Rows with a null key link with nothing and have null ids and ``kept`` true. Rows that repeat
     a key are documents of their own: classes are told apart by text alone, and ``group_key`` tells apart groups whose
-    least ids agree. Other columns play no part; an empty table gives no rows.
+    least ids agree. Other columns play no part; an empty table gives no rows. With ``unique`` the caller vouches for keys that
+    are not null, occur once and stay the same when ``docs`` is read again; otherwise rows are copied with a number of their own.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = materialized(rows.withColumn("row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("row", F.col("doc_id")) if unique else materialized(rows.withColumn("row", F.monotonically_increasing_id()))
     sketches = materialized(_sketch(rows, n, Forest(trees, depth)))
     usable = sketches.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("f1", "f2").agg(
         F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.min("row").alias("row"), F.first("labels").alias("labels")
     )
     classes = materialized(classes.withColumn("node", F.monotonically_increasing_id()))
-    edges = materialized(tries(classes, depth, least_depth))
+    leaves = materialized(tries(classes, depth, least_depth))
 
-    met = edges.select(F.col("hub").alias("node")).unionByName(edges.select("node")).distinct()
-    wanted = met.join(classes.select("node", "row", "copies"), "node")
-    shingled = materialized(_shingled(rows.join(wanted, "row"), n))
-    known, found, bins = None, None, np.zeros(_BINS)
+    known, found, shingled, reach, bins = None, None, None, depth + 1, np.zeros(_BINS)
     for k in range(depth, least_depth - 1, -1):
-        members = components(edges.where(F.col("shared") >= k).select("hub", "node"))
+        if k < reach:  # texts are fetched for the classes that meet at this depth or the two above it
+            met, reach = leaves.groupBy("node").agg(F.max("meets").alias("meets")), max(least_depth, k - 2)
+            fresh = met.where((F.col("meets") >= reach) & (F.col("meets") < k + 1 if shingled is not None else F.lit(True))).select("node")
+            more = materialized(_shingled(rows.join(fresh.join(classes.select("node", "row", "copies"), "node"), "row"), n))
+            shingled = more if shingled is None else shingled.unionByName(more)
+        members = components(stars(leaves, depth, k))
         joined = members.withColumn("known", F.col("node")) if known is None else members.join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
         more = materialized(_verify(_dealt(joined, shingled, block), threshold))
         for r in more.where("bin is not null").groupBy("bin").agg(F.sum("n_links").alias("n")).collect():

@@ -70,6 +70,15 @@ def test_near_duplicates_nulls_and_empty(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth,target", [(10, 0.999), (10, 1.0), (7, 0.5)])
+def test_prefixes_shortened_to_the_end(spark, depth, target):
+    rows = _corpus()[:100]
+    sets = {k: _shingles(t) for k, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8, depth=depth, least_depth=6, target=target).collect()
+    assert all(r["n_links"] == sum(r["doc_id"] in x for x in links) for r in got)
+
+
 def test_recall_of_a_depth():
     bins = np.zeros(20)
     assert recall(bins, 0.8, 10, 32) == 1.0
@@ -178,4 +187,4 @@ def test_filters_follow_the_vectors(n):
     x = np.random.default_rng(9).standard_normal((50, 64))
     held = np.mean([len(a) for a in caps.decode(x)])
     chance = n * held**2 / caps.code**3 * codes  # pairs that meet by chance, a vector
-    assert 0.5 * options["each"] < held < 2 * options["each"] and codes <= 14 and chance < 120
+    assert 0.5 * options["each"] < held < 2 * options["each"] and codes <= 14 and chance < 200
