@@ -17,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and every executor can reach, below ``spark.checkpoint.dir``, which must be set."""
+    """A new folder that the driver and every executor can reach, below ``spark.checkpoint.dir``.
+
+    Only a session on one machine may leave that unset; its folder is then in ``/tmp``.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file:///tmp/glossaria-checkpoints"
     return f"{root.rstrip('/')}/glossaria-{uuid.uuid4().hex}"
 
 
@@ -31,7 +35,7 @@ def materialized(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -60,7 +60,8 @@ def fit(
     rows = labelled.select(F.col(text).alias("_t"), F.col(lang).alias("_l")).where("_t is not null and _l is not null").where(F.col("_t").rlike(r"\p{L}"))
     rows = rows.withColumn("_h", F.xxhash64("_t"))
     least = rows.groupBy("_l", F.pmod("_h", F.lit(samples)).alias("_slot")).agg(F.min("_h").alias("_h"))
-    texts = rows.join(least.drop("_slot"), ["_l", "_h"]).groupBy("_l", "_h").agg(F.first("_t").alias("_t"))
+    texts = rows.join(F.broadcast(least.drop("_slot")), ["_l", "_h"])  # at most ``samples`` rows a language
+    texts = texts.groupBy("_l", "_h").agg(F.first("_t").alias("_t"))
     pieces = texts.select("_l", "_h", F.posexplode(F.regexp_extract_all(_letters(F.col("_t")), F.lit(r"\S.{0,399}(?=\s|$)|\S{1,400}"), F.lit(0))).alias("_p", "_t"))
     pieces = pieces.withColumn("_o", F.xxhash64("_h", "_p")).withColumn("_n", F.octet_length("_t") + 1)
     taken = F.sum("_n").over(Window.partitionBy("_l").orderBy("_o", "_p").rowsBetween(Window.unboundedPreceding, -1))
