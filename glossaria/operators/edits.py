@@ -66,7 +66,7 @@ def plan_set_edges(d: Dictionary, requests: DataFrame) -> DataFrame:
     fresh, added = F.col("_roots").isNull(), ~F.array_contains("_roots", F.col("root"))
     rows = rows.withColumn("new_data", data)
     action = F.when(fresh, "inserted").when(added | ~same_map(F.col("_old"), F.col("new_data")), "updated").otherwise("existing")
-    return rows.select("request_id", "edge_key", "from", "predicate", "to", "root", F.col("new_data").alias("data"), action.alias("action"))
+    return rows.select("request_id", "edge_key", "from", "predicate", "to", "root", F.col("new_data").alias("data"), action.alias("action"), F.lit(False).alias("takes"))
 
 
 def plan_set_links(d: Dictionary, requests: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def plan_delete_edges(d: Dictionary, requests: DataFrame, prune: bool = False, s
     member = F.coalesce(F.array_contains("_roots", F.col("root")), F.lit(False))
     action = F.when(~member, "ignored").when(F.size("_roots") == 1, "deleted").otherwise("updated")
     data = F.when(member, _payload(F.col("_old"), F.col("data")))
-    return found.select("request_id", "edge_key", "from", "predicate", "to", "root", data.alias("data"), action.alias("action"))
+    return found.select("request_id", "edge_key", "from", "predicate", "to", "root", data.alias("data"), action.alias("action"), F.lit(True).alias("takes"))
 
 
 def plan_delete_links(d: Dictionary, requests: DataFrame) -> DataFrame:
@@ -119,29 +119,33 @@ def counters(plan: DataFrame) -> DataFrame:
 
 
 def apply_edges(edges: DataFrame, plan: DataFrame) -> DataFrame:
-    """The edges after a plan of sets or deletes; rows that only exist or are ignored change nothing."""
+    """The edges after a plan of sets, of deletes or of both; rows that only exist or are ignored change nothing.
+
+    ``takes`` says that a row takes its root away, else it adds it; a root both added and taken away is gone. An edge
+    without roots is dropped.
+    """
+    none = F.array().cast("array<string>")
     work = plan.where(F.col("action").isin("inserted", "updated", "deleted"))
-    gone = F.col("action") == "deleted"
     kind = work.groupBy("edge_key", "from", "predicate", "to").agg(
-        F.collect_set(F.when(~gone, F.col("root"))).alias("set_roots"), F.bool_or(gone).alias("gone"), F.max_by("data", "request_id").alias("new_data")
+        F.collect_set(F.when(~F.col("takes"), F.col("root"))).alias("added"),
+        F.collect_set(F.when(F.col("takes"), F.col("root"))).alias("taken"),
+        F.max_by("data", "request_id").alias("new_data"),
     )
-    before = edges.withColumnRenamed("data", "_data")
-    both = before.join(kind, ["edge_key", "from", "predicate", "to"], "full")
-    roots = F.array_sort(F.array_union(F.coalesce("roots", F.array().cast("array<string>")), F.coalesce("set_roots", F.array().cast("array<string>"))))
-    return both.where(~F.coalesce("gone", F.lit(False))).select("edge_key", "from", "predicate", "to", roots.alias("roots"), F.coalesce("new_data", "_data").alias("data"))
+    both = edges.withColumnRenamed("data", "_data").join(kind, ["edge_key", "from", "predicate", "to"], "full")
+    roots = F.array_union(F.coalesce("roots", none), F.coalesce("added", none))
+    out = both.withColumn("roots", F.array_sort(F.array_except(roots, F.coalesce("taken", none)))).where(F.size("roots") > 0)
+    return out.select("edge_key", "from", "predicate", "to", "roots", F.coalesce("new_data", "_data").alias("data"))
 
 
-def apply_edge_deletes(edges: DataFrame, plan: DataFrame) -> DataFrame:
-    """The edges after a plan of deletes: roots taken away, edges without one dropped."""
-    work = plan.where(F.col("action").isin("updated", "deleted"))
-    taken = work.groupBy("edge_key").agg(F.collect_set("root").alias("taken"), F.max_by("data", "request_id").alias("new_data"))
-    out = edges.join(taken, "edge_key", "left").withColumn("roots", F.array_except("roots", F.coalesce("taken", F.array().cast("array<string>"))))
-    return out.where(F.size("roots") > 0).select("edge_key", "from", "predicate", "to", "roots", F.coalesce("new_data", "data").alias("data"))
+#: Plans say themselves whether they take roots away.
+apply_edge_deletes = apply_edges
 
 
 def apply_links(links: DataFrame, plan: DataFrame) -> DataFrame:
-    """The links after a plan."""
+    """The links after a plan; several requests for a link leave one, with the data of the greatest request."""
     kept = links.join(plan.where(F.col("action").isin("updated", "deleted")), "edge_key", "left_anti")
     if "data" not in plan.columns:
         return kept
-    return kept.unionByName(plan.where(F.col("action").isin("inserted", "updated")).select(*links.columns))
+    new = plan.where(F.col("action").isin("inserted", "updated"))
+    new = new.groupBy("edge_key", "from", "predicate", "to").agg(F.max_by("data", "request_id").alias("data"))
+    return kept.unionByName(new.select(*links.columns))

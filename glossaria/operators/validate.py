@@ -7,6 +7,7 @@ gives its code.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from glossaria import model
 from glossaria.functions.columns import change_hash, handle_collection, handle_key, in_range, valid_collection, valid_key
+from glossaria.plans.cut import cut
 from glossaria.plans.dictionary import Dictionary
 
 _STRINGS = ("_type_string", "_type_string_key", "_type_string_handle", "_type_string_enum", "_type_string_date")
@@ -29,8 +31,10 @@ def _rule_columns(v: Column, type_field: str) -> list[Column]:
     return out
 
 
-def descriptor_rules(definitions: DataFrame, levels: int = 4) -> DataFrame:
-    """Rules from (descriptor, definition VARIANT): one row for each section, down to ``levels`` nested ones.
+def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataFrame:
+    """Rules from (descriptor, definition VARIANT): one row for each section, however deep.
+
+    ``levels`` spares the look for deeper sections where the caller knows that there are no more.
 
     ``path`` names the section from the outermost in, ``container`` its kind, null if it has none of them.
     """
@@ -40,7 +44,7 @@ def descriptor_rules(definitions: DataFrame, levels: int = 4) -> DataFrame:
 
     here = definitions.select("descriptor", F.lit("").alias("path"), F.col("definition").alias("v"), F.lit("data").alias("role"))
     out = []
-    for _ in range(levels):
+    while len(out) < levels if levels is not None else not here.isEmpty():
         container = F.coalesce(*[F.when(section(F.col("v"), c).isNotNull(), c) for c in model.CONTAINERS])
         data = here.where("role = 'data'").withColumn("container", container)
         data = data.withColumn("s", F.coalesce(*[section(F.col("v"), c) for c in model.CONTAINERS]))
@@ -54,9 +58,13 @@ def descriptor_rules(definitions: DataFrame, levels: int = 4) -> DataFrame:
         sets = data.where("container = '_set'").select("descriptor", F.concat("path", F.lit("/e")).alias("path"), section(F.col("s"), "_set_scalar").alias("v"), F.lit("_set_scalar").alias("role"))
         dict_key = data.where("container = '_dict'").select("descriptor", F.concat("path", F.lit("/k")).alias("path"), section(F.col("s"), "_dict_key").alias("v"), F.lit("_dict_key").alias("role"))
         dict_value = data.where("container = '_dict'").select("descriptor", F.concat("path", F.lit("/v")).alias("path"), section(F.col("s"), "_dict_value").alias("v"), F.lit("data").alias("role"))
-        here = reduce(DataFrame.unionByName, (array, sets, dict_key, dict_value))
+        here = reduce(DataFrame.unionByName, (array, sets, dict_key, dict_value)).where("v IS NOT NULL")
+        here = cut(here) if levels is None else here  # four branches a level
+    if not out:
+        return descriptor_rules(definitions, 1)
     rules = reduce(DataFrame.unionByName, out)
-    return rules.select("descriptor", "path", "container", "r.*", "tuple_types", "n_fields")
+    rules = rules.select("descriptor", "path", "container", "r.*", "tuple_types", "n_fields")
+    return cut(rules) if levels is None else rules
 
 
 def _bounds(name: str) -> dict[str, Column]:
@@ -167,22 +175,28 @@ def validate(
     resolve_field: str | None = None,
     expect_types: bool = False,
     allow_default: bool = False,
-    levels: int = 4,
+    levels: int | None = None,
 ) -> DataFrame:
     """V1, V2: (row_id, descriptor, code, status, value, resolved, changes) for each row of (row_id, descriptor, value VARIANT).
 
     ``resolved`` is the corrected value as JSON, the given one if nothing changed; corrections cover scalars, arrays and sets of scalars.
-    Unknown descriptors have code 28, containers whose elements lie beyond ``levels`` 53. Of ``_type_object`` values only that they are
-    objects is checked. ``changes``: array of (hash, field, original, resolved), all as text.
+    Unknown descriptors have code 28. Values are followed as deep as the rules go, through the types of tuples as deep as the values go;
+    with ``levels``, containers whose elements lie beyond have code 53. Of ``_type_object`` values only that they are objects is
+    checked here; ``validate_objects`` follows them. ``changes``: array of (hash, field, original, resolved), all as text.
     """
     # which sections and types occur decides what the plan needs; both are small closed sets
     sections = rules.select("path", "container", "type").distinct().collect()
     containers, types = {r["container"] for r in sections}, {r["type"] for r in sections}
-    levels = min(levels, 1 + max((r["path"].count("/") for r in sections), default=0)) if "_tuple" not in containers else levels
+    deepest = 1 + max((r["path"].count("/") for r in sections), default=0)
+    followed = "_tuple" in containers and levels is None  # a tuple's types are descriptors with rules of their own
+    if "_tuple" not in containers:
+        levels = min(levels or deepest, deepest)
     known = rules.select("descriptor").distinct().withColumn("known", F.lit(True))
     here = rows.select("row_id", "descriptor", F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), "value", F.col("descriptor").alias("field"))
     scalars, failures = [], []
-    for level in range(levels):
+    for level in itertools.count():
+        if level == levels or (followed and level >= deepest and here.isEmpty()):
+            break
         joined = here.join(rules, ["descriptor", "path"]).withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
         leaf = joined.where(F.col("container").isin("_scalar", "_set_scalar", "_dict_key"))
         scalars.append(leaf)
@@ -203,13 +217,13 @@ def validate(
         )
         lists = lists.withColumn("code", F.coalesce(wrong, sized, shape, F.lit(0)))
         dicts = joined.where("container = '_dict'").withColumn("code", F.when(~F.col("kind").startswith("OBJECT"), 31).otherwise(0))
-        if level + 1 == levels:
+        if level + 1 == levels and (levels < deepest or "_tuple" in containers):
             beyond = lambda x, n: x.withColumn("code", F.when((F.col("code") == 0) & (n > 0), 53).otherwise(F.col("code")))
             lists, dicts = beyond(lists, F.col("n")), beyond(dicts, F.size(F.expr("try_cast(value AS map<string, variant>)")))
         bare = joined.where("container IS NULL").withColumn("code", F.lit(-1 if expect_types else 0))
         used = [lists] * bool(containers & {"_array", "_set", "_tuple"}) + [dicts] * ("_dict" in containers) + [bare] * (None in containers)
         failures += [x.where("code <> 0").select("row_id", "at", "code") for x in used]
-        if level + 1 < levels:
+        if level + 1 != levels:
             good = lists.where("code = 0").select("row_id", "descriptor", "path", "at", "value", "field", "container", "tuple_types")
             elements = good.select("*", F.posexplode(F.expr("try_cast(value AS array<variant>)")).alias("pos", "element"))
             typed = F.when(F.col("container") == "_tuple", F.element_at("tuple_types", F.least(F.col("pos") + 1, F.size("tuple_types")))).otherwise(F.col("descriptor"))
@@ -219,6 +233,7 @@ def validate(
             keys = pairs.select("row_id", "descriptor", F.concat("path", F.lit("/k")).alias("path"), F.concat("at", F.array(F.lit(0), F.col("pos"))).alias("at"), F.col("e.key").cast("variant").alias("value"), "field")
             values = pairs.select("row_id", "descriptor", F.concat("path", F.lit("/v")).alias("path"), F.concat("at", F.array(F.lit(1), F.col("pos"))).alias("at"), F.col("e.value").alias("value"), "field")
             here = inner if "_dict" not in containers else inner.unionByName(keys).unionByName(values)
+            here = cut(here) if followed and level + 1 >= deepest else here
     leaves = reduce(DataFrame.unionByName, scalars)
     leaves = leaves.withColumn("text", F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string"))).withColumn(
         "number", F.when(_is(F.col("kind"), "BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get("value", "$", "double"))
@@ -303,7 +318,8 @@ def validate_objects(
 
     Properties are named by descriptors. ``structures`` are rules from ``structure_rules``; an object with ``kinds`` must satisfy one of them,
     else its code is 34. ``descriptors``: (term, is_descriptor) of names that are known terms; other names have code 32 with
-    ``expect_terms`` and are passed over without, terms that are no descriptors have code 29.
+    ``expect_terms`` and are passed over without, terms that are no descriptors have code 29. Values whose rule is ``_type_object`` are
+    objects of the rule's kinds, or of any with none or ``_any-object``; they are checked in the same way, however deep they lie.
     """
     is_object = F.coalesce(F.schema_of_variant("object"), F.lit("VOID")).startswith("OBJECT")
     base = objects.withColumn("props", F.when(is_object, F.expr("try_cast(object AS map<string, variant>)")))
@@ -321,6 +337,16 @@ def validate_objects(
     report = report.join(descriptors.withColumnRenamed("term", "descriptor"), "descriptor", "left")
     unknown = F.when(F.col("is_descriptor").isNull(), 32 if expect_terms else 0).when(~F.col("is_descriptor"), 29)
     report = report.withColumn("code", F.when(F.col("code") == 28, F.coalesce(unknown, F.lit(29))).otherwise(F.col("code")))
+    follow = rules.where("path = '' AND container = '_scalar' AND type = '_type_object'")
+    if not follow.isEmpty():
+        kinds = F.when(~F.coalesce(F.array_contains("kinds", "_any-object"), F.lit(False)) & (F.size("kinds") > 0), F.col("kinds"))
+        inside = rows.join(follow.select("descriptor", "kinds"), "descriptor").where(F.schema_of_variant("value").startswith("OBJECT"))
+        nested = cut(inside.select("row_id", F.col("value").alias("object"), kinds.alias("kinds")))
+        if not nested.isEmpty():
+            inner = validate_objects(d, rules, nested, structures, descriptors, expect_terms, **options)
+            report = report.join(inner.select("row_id", F.col("code").alias("_code"), F.col("changes").alias("_changes")), "row_id", "left")
+            report = report.withColumn("code", F.when(F.col("code") == 0, F.coalesce("_code", F.lit(0))).otherwise(F.col("code")))
+            report = report.withColumn("changes", F.concat("changes", F.coalesce("_changes", F.array().cast(report.schema["changes"].dataType)))).drop("_code", "_changes")
     worst = report.groupBy(F.col("row_id.object_id").alias("row_id")).agg(
         F.min(F.when(F.col("code") != 0, F.struct("row_id.pos", "code", "descriptor"))).alias("first"), F.flatten(F.collect_list("changes")).alias("changes")
     )

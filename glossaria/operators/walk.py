@@ -48,7 +48,7 @@ def tree(d: Dictionary, requests: DataFrame, predicates: Iterable[str], many_to_
     ``requests``: (request_id, root). Edges of other predicates of the root are walked through. An edge that closes a circle is
     listed but not walked again.
     """
-    steps = arrows(d, many_to_one)
+    steps = cut(arrows(d, many_to_one))
     nodes = _reached(steps, requests.withColumn("node", F.col("root")), ["root", "node"], levels - 1)
     found = nodes.join(steps, ["root", "node"]).where(F.col("predicate").isin(*predicates))
     return found.groupBy("request_id", F.col("node").alias("parent"), "predicate").agg(F.array_sort(F.collect_set("next")).alias("children"))
@@ -56,7 +56,7 @@ def tree(d: Dictionary, requests: DataFrame, predicates: Iterable[str], many_to_
 
 def property_tree(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> DataFrame:
     """As ``tree`` for properties and bridges, over the edges of all roots."""
-    steps = d.edges.select(F.col("to").alias("node"), F.col("from").alias("next"), "predicate")
+    steps = cut(d.edges.select(F.col("to").alias("node"), F.col("from").alias("next"), "predicate"))
     nodes = _reached(steps, requests.select("request_id", F.col("root").alias("node")), ["node"], levels - 1)
     found = nodes.join(steps, "node").where(F.col("predicate").isin(model.PROPERTY_OF, model.BRIDGE_OF))
     return found.groupBy("request_id", F.col("node").alias("parent"), "predicate").agg(F.array_sort(F.collect_set("next")).alias("children"))
@@ -186,7 +186,7 @@ def linked_keys(d: Dictionary, requests: DataFrame, predicate: str, levels: int
 
     ``requests``: (request_id, key), any number of keys for a request. Links of other predicates are walked through.
     """
-    steps = d.links.select(F.col("from").alias("node"), F.col("to").alias("next"), "predicate")
+    steps = cut(d.links.select(F.col("from").alias("node"), F.col("to").alias("next"), "predicate"))
     starts = requests.select("request_id", F.concat(F.lit("terms/"), "key").alias("node"))
     nodes = _reached(steps, starts, ["node"], levels - 1)
     found = nodes.join(steps.where(F.col("predicate") == predicate), "node")
@@ -206,5 +206,5 @@ def required_metadata(d: Dictionary, requests: DataFrame, levels: int = LEVELS)
 
 def connected(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The requests (request_id, root, parent) whose parent is the root or reaches it along the arrows."""
-    reached = _reached(arrows(d, False), requests.select("request_id", "root", F.col("parent").alias("node")), ["root", "node"], levels)
+    reached = _reached(cut(arrows(d, False)), requests.select("request_id", "root", F.col("parent").alias("node")), ["root", "node"], levels)
     return requests.join(reached.where("node = root").select("request_id").distinct(), "request_id", "left_semi")

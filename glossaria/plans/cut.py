@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is taken.
+    Only a session on one machine may leave that unset; it then takes a temporary folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)

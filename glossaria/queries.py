@@ -677,8 +677,9 @@ SELECT ky.request_id, CASE WHEN count(ep.edge_key) = 0 THEN 'inserted' ELSE 'exi
 """)
 def w5_set_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dictionary(spark, sf_dir)
+    known = [r["root"] for r in _roots(spark).collect()]  # the three roots of the fixture
     roots = d.edge_path.select("root").distinct()
-    pairs = roots.join(roots.withColumnRenamed("root", "bridged"), F.col("root") != F.col("bridged"))
+    pairs = roots.withColumn("bridged", F.explode(F.array(*map(F.lit, known)))).where("root <> bridged")
     asked = pairs.select(F.concat("root", F.lit(">"), "bridged").alias("request_id"), "root", "bridged", F.lit(None).cast("map<string,string>").alias("data"))
     return edits.plan_set_edges(d, edits.children(edits.bridges(asked))).select("request_id", "action")
 
@@ -694,6 +695,10 @@ def w11_not_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MORE_RULES = {
+    "deep": '{"_array": {"_array": {"_array": {"_array": {"_scalar": {"_type": "_type_number"}}}}}}',
+    "flag": '{"_scalar": {"_type": "_type_boolean"}}',
+    "anystruct": '{"_scalar": {"_type": "_type_struct"}}',
+    "box": '{"_scalar": {"_type": "_type_object", "_kind": ["boxed"]}}',
     "anykey": '{"_scalar": {"_type": "_type_string_key", "_kind": ["_any-term"]}}',
     "enumkey": '{"_scalar": {"_type": "_type_string_key", "_kind": ["_any-enum"]}}',
     "handle": '{"_scalar": {"_type": "_type_string_handle"}}',
@@ -706,7 +711,7 @@ _MORE_RULES = {
 }
 
 
-def _more(spark: SparkSession, sf_dir: str, names: list[str], table: str, key: Column, value: Column, levels: int) -> DataFrame:
+def _more(spark: SparkSession, sf_dir: str, names: list[str], table: str, key: Column, value: Column, levels: int | None) -> DataFrame:
     """Codes of the first of ``names``; the others are descriptors that it refers to."""
     definitions = " UNION ALL ".join(f"SELECT '{n}' AS descriptor, parse_json('{_MORE_RULES[n]}') AS definition" for n in names)
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key.alias("row_id"), F.lit(names[0]).alias("descriptor"), value.alias("value"))
@@ -770,3 +775,76 @@ def u10_structure_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("m")
     new = F.when(m == 1, rule('["a"]', '["z"]')).when(m == 2, rule('["a", "b"]', '["z", "y"]')).when(m == 3, rule('["a", "b"]', '["z"]', ', "_selection-descriptors_one": ["c"]')).otherwise(rule('["a", "b", "c"]', "[]"))
     return evolve.structure_violations(validate.structure_rules(old), validate.structure_rules(part.select("structure", F.parse_json(new).alias("definition"))))
+
+
+@query("SELECT p_partkey AS row_id, CASE WHEN p_size % 2 = 0 THEN 10 ELSE 0 END AS code FROM part", dictionary_sql=False)
+def v10_deep_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("p_size") % 2 == 0, '[[[[1, "x"]]]]').otherwise(F.concat(F.lit("[[[["), F.col("p_size").cast("string"), F.lit("]], []]]")))
+    return _more(spark, sf_dir, ["deep"], "part", F.col("p_partkey"), F.parse_json(text), None)
+
+
+@query("SELECT p_partkey AS row_id, CASE WHEN p_size % 3 = 0 THEN 8 ELSE 0 END AS code FROM part", dictionary_sql=False)
+def v18_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 3
+    return _more(spark, sf_dir, ["flag"], "part", F.col("p_partkey"), F.parse_json(F.when(k == 0, F.lit("1")).when(k == 1, "true").otherwise("false")), 1)
+
+
+@query("SELECT p_partkey AS row_id, CASE WHEN p_size % 3 = 2 THEN 0 ELSE 31 END AS code FROM part", dictionary_sql=False)
+def v28_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 3
+    return _more(spark, sf_dir, ["anystruct"], "part", F.col("p_partkey"), F.parse_json(F.when(k == 0, F.lit("1")).when(k == 1, '"{}"').otherwise('{"a": {}}')), 1)
+
+
+@query("""
+SELECT p_partkey AS row_id, CASE p_partkey % 4 WHEN 0 THEN 34 WHEN 1 THEN CASE WHEN p_size > 40 THEN 13 ELSE 0 END WHEN 2 THEN 9 ELSE 31 END AS code,
+       CASE WHEN p_partkey % 4 = 1 AND p_size <= 40 THEN NULL ELSE 'box' END AS property
+FROM part
+""", dictionary_sql=False)
+def v29_nested_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["box", "anysize"]
+    definitions = " UNION ALL ".join(f"SELECT '{n}' AS descriptor, parse_json('{_MORE_RULES[n]}') AS definition" for n in names)
+    boxed = spark.sql("""SELECT 'boxed' AS structure, parse_json('{"_required": {"_selection-descriptors_all": ["anysize"]}}') AS definition""")
+    known = spark.sql("SELECT t AS term, true AS is_descriptor FROM VALUES ('box'), ('anysize') AS v(t)")
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.lit('{"box": {"other": 1}}')).when(k == 1, F.concat(F.lit('{"box": {"anysize": '), F.col("p_size").cast("string"), F.lit("}}")))
+    text = text.when(k == 2, '{"box": {"anysize": "x"}}').otherwise('{"box": 3}')
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.parse_json(text).alias("object"))
+    out = validate.validate_objects(dictionary(spark, sf_dir), validate.descriptor_rules(spark.sql(definitions)), rows, validate.structure_rules(boxed), known)
+    return out.select("row_id", "code", "property")
+
+
+@query("h AS (SELECT DISTINCT root, f FROM ep WHERE p = '_predicate_property-of') SELECT root AS request_id, f AS handle, name AS title FROM h LEFT JOIN tm ON 'terms/' || k = f")
+def f9_property_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _roots(spark).withColumn("predicate", F.lit(model.PROPERTY_OF))
+    return flat.functional_terms(dictionary(spark, sf_dir), asked, language=model.LANGUAGE).select("request_id", "handle", "title")
+
+
+@query("""
+n AS (SELECT DISTINCT name FROM tm),
+m AS (SELECT name, min('terms/' || k) AS matched FROM (SELECT DISTINCT tm.name, tm.k FROM tm JOIN ep ON f = 'terms/' || k AND p = '_predicate_enum-of' AND root = 'terms/catalog') GROUP BY name)
+SELECT n.name AS request_id, n.name AS code, matched FROM n LEFT JOIN m ON n.name = m.name
+""")
+def i6_first_enum_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _names(spark, sf_dir).withColumn("root", F.lit("terms/catalog"))
+    return flat.check_enum_codes(dictionary(spark, sf_dir), asked, first=True)
+
+
+@query("""
+rq AS (SELECT DISTINCT edge_key FROM ep WHERE p IN ('_predicate_enum-of', '_predicate_property-of')),
+al AS (SELECT DISTINCT ep.edge_key, ep.root FROM ep LEFT JOIN rq ON rq.edge_key = ep.edge_key WHERE rq.edge_key IS NULL OR ep.root <> 'terms/geo')
+SELECT edge_key, string_agg(root, ',' ORDER BY root) AS roots FROM al GROUP BY edge_key
+""")
+def w3_apply_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    asked = d.edges.where(F.col("predicate").isin(model.ENUM_OF, model.PROPERTY_OF)).select(
+        F.lit("all").alias("request_id"), F.lit("terms/geo").alias("root"), "edge_key", "from", "predicate", "to", F.lit(None).cast("map<string,string>").alias("data")
+    )
+    return edits.apply_edges(d.edges, edits.plan_delete_edges(d, asked)).select("edge_key", _joined("roots").alias("roots"))
+
+
+@query(f"{_LINK_SQL} SELECT DISTINCT edge_key, child AS from_handle, parent AS to_handle FROM ky UNION SELECT edge_key, f, t FROM lk")
+def w7_apply_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    asked = sql(spark, sf_dir, _LINK_REQUESTS).withColumn("data", F.lit(None).cast("map<string,string>"))
+    twice = asked.unionByName(asked.withColumn("request_id", F.concat("request_id", F.lit(" again"))))
+    return edits.apply_links(d.links, edits.plan_set_links(d, edits.children(twice))).select("edge_key", F.col("from").alias("from_handle"), F.col("to").alias("to_handle"))
