@@ -83,3 +83,9 @@ def merged(old: Column, new: Column) -> Column:
 def same_map(a: Column, b: Column) -> Column:
     order = lambda m: F.array_sort(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))))
     return order(a) == order(b)
+
+
+def is_empty_object(value: Column) -> Column:
+    """Whether a VARIANT is an object without properties; false for all else, null included."""
+    is_object = F.schema_of_variant(value).startswith("OBJECT")
+    return F.coalesce(is_object & (F.size(F.try_variant_get(value, "$", "map<string,variant>")) == 0), F.lit(False))

@@ -90,8 +90,8 @@ def structure_violations(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(F.col("o.structure").alias("structure"), _first(*tests).alias("violation")).where("violation is not null")
 
 
-def diff_terms(old: DataFrame, new: DataFrame, levels: int = 4) -> DataFrame:
-    """(_key, violation): the first violation of each term, code before data before rule."""
+def diff_terms(old: DataFrame, new: DataFrame, levels: int | None = None) -> DataFrame:
+    """(_key, violation): the first violation of each term, code before data before rule; ``levels`` as in ``descriptor_rules``."""
     code = code_violations(old, new).withColumn("at", F.lit(0))
     rules = lambda t: descriptor_rules(t.where("_data is not null").select(F.col("_key").alias("descriptor"), F.col("_data").alias("definition")), levels)
     data = rule_violations(rules(old), rules(new)).select(F.col("descriptor").alias("_key"), "violation", F.lit(1).alias("at"))

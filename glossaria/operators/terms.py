@@ -84,6 +84,11 @@ def selection(
     return reduce(Column.__and__, (F.coalesce(c, F.lit(False)) for c in clauses), F.lit(True))
 
 
+def for_client(documents: DataFrame) -> DataFrame:
+    """Documents without the columns that only a store has use for."""
+    return documents.drop("_id", "_rev", "_oldRev")
+
+
 def search(terms: DataFrame, where: Column, start: int = 0, limit: int = 25) -> DataFrame:
     """A page of the terms that satisfy a selection, by key; select the key or project a language as needed."""
     return terms.where(where).orderBy("_key").offset(start).limit(limit)
@@ -117,7 +122,7 @@ def plain_selection(
 
 
 def merge_updates(leaves: DataFrame, patches: DataFrame) -> DataFrame:
-    """Apply path patches to documents held as maps of leaf paths.
+    """Apply path patches to documents held as maps of leaf paths (``updates.merged_document``: to nested documents).
 
     ``leaves``: (_key, doc map<string,string>); ``patches``: (_key, path, value), a null value removing the path and all below it. The
     result has ``doc``, merged, and ``changed``. Patches to unknown keys have no effect.
@@ -160,3 +165,13 @@ def qualifier_selection(op: str = "AND", **values: list[str]) -> Column:
 def query_descriptors(qualified: DataFrame, where: Column, start: int = 0, limit: int = 25) -> DataFrame:
     """Q2, Q3: a page of descriptors by key."""
     return qualified.where(where).orderBy("key").offset(start).limit(limit)
+
+
+def enum_kinds(rules: DataFrame) -> DataFrame:
+    """Q5: (descriptor, kinds): the enumerations of a descriptor, through its arrays and sets; none where its scalar is no enumeration.
+
+    ``rules`` as from ``descriptor_rules``; a dictionary or tuple has no enumeration of its own.
+    """
+    leaf = rules.where((F.col("type") == "_type_string_enum") & F.col("container").isin("_scalar", "_set_scalar") & F.col("path").rlike("^(/e)*$"))
+    kinds = leaf.select("descriptor", "kinds")
+    return rules.select("descriptor").distinct().join(kinds, "descriptor", "left").select("descriptor", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))

@@ -268,6 +268,23 @@ def validate(
     return out.select("row_id", "descriptor", code.alias("code"), "value", resolved.alias("resolved"), changes.alias("changes"))
 
 
+def validate_zipped(d: Dictionary, rules: DataFrame, rows: DataFrame, **options) -> DataFrame:
+    """V6: (row_id, pos, descriptor, code, value, resolved, changes) for each pair of (row_id, descriptors, values ARRAY<VARIANT>).
+
+    The shorter list is filled with nulls: a value without a descriptor has code 28, a missing value is checked as null.
+    """
+    pairs = rows.select("row_id", F.posexplode(F.arrays_zip("descriptors", "values")).alias("pos", "x"))
+    flat = pairs.select(F.struct("row_id", "pos").alias("row_id"), F.col("x.descriptors").alias("descriptor"), F.col("x.values").alias("value"))
+    return validate(d, rules, flat, **options).select("row_id.row_id", "row_id.pos", "descriptor", "code", "value", "resolved", "changes")
+
+
+def validate_any(d: Dictionary, rules: DataFrame, rows: DataFrame, **options) -> DataFrame:
+    """V5: zipped lists, objects or values, by the columns that ``rows`` has."""
+    if "descriptors" in rows.columns:
+        return validate_zipped(d, rules, rows, **options)
+    return (validate_objects if "object" in rows.columns else validate)(d, rules, rows, **options)
+
+
 def none_type(leaf: DataFrame) -> str:
     return f"array<{leaf.schema['change'].dataType.simpleString()}>"
 

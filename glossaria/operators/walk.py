@@ -62,6 +62,15 @@ def property_tree(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> D
     return found.groupBy("request_id", F.col("node").alias("parent"), "predicate").agg(F.array_sort(F.collect_set("next")).alias("children"))
 
 
+def tree_dictionary(found: DataFrame) -> DataFrame:
+    """A3: (request_id, parent, children MAP<predicate, handles>): a tree as one dictionary entry for each parent.
+
+    The outer level stays rows, so a tree of any size is dealt over tasks.
+    """
+    entry = F.struct("predicate", "children")
+    return found.groupBy("request_id", "parent").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("children"))
+
+
 def paths(
     d: Dictionary,
     requests: DataFrame,
@@ -173,6 +182,8 @@ def match_enumeration(d: Dictionary, requests: DataFrame, levels: int = LEVELS)
 def match_enumeration_code(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Every path from a root to an enumeration element with a code in a field; nothing beyond a match is walked.
 
+    The root itself has no enumeration edge that leads to it, so no path has depth 0 (G20).
+
     ``requests``: (request_id, root, field, code). Records and keys follow from ``node`` (``with_terms``, ``handle_key``).
     """
     asked = code_targets(d, requests)

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria import model
-from glossaria.functions.columns import edge_key, handle_key
-from glossaria.operators import edits, evolve, flat, geo, terms, validate, walk
+from glossaria.functions.columns import edge_key, handle_key, is_empty_object
+from glossaria.operators import edits, evolve, flat, geo, terms, updates, validate, walk
 from glossaria.plans.fixture import ORACLE, dictionary, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -848,3 +848,128 @@ def w7_apply_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = sql(spark, sf_dir, _LINK_REQUESTS).withColumn("data", F.lit(None).cast("map<string,string>"))
     twice = asked.unionByName(asked.withColumn("request_id", F.concat("request_id", F.lit(" again"))))
     return edits.apply_links(d.links, edits.plan_set_links(d, edits.children(twice))).select("edge_key", F.col("from").alias("from_handle"), F.col("to").alias("to_handle"))
+
+
+# Updates of documents, and operators around them
+
+
+_TITLED = "STRUCT<_title: MAP<STRING, STRING>, _definition: MAP<STRING, STRING>, _description: MAP<STRING, STRING>, _examples: MAP<STRING, STRING>, _notes: MAP<STRING, STRING>, _provider: STRING>"
+
+
+def _part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as descriptors of an array of numbers, the least of which is their size, with two remarks."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("m", F.col("p_partkey") % 6)
+    lid = F.col("p_partkey").cast("string")
+    none = F.lit(None).cast("array<string>").alias("_pid")
+    code = F.struct(F.lit("part").alias("_nid"), lid.alias("_lid"), F.concat(F.lit("part_"), lid).alias("_gid"), F.array(lid, "p_brand").alias("_aid"), none, F.col("p_name").alias("_name"))
+    info = F.from_json(F.to_json(F.struct(F.create_map(F.lit(model.LANGUAGE), F.col("p_name")).alias("_title"))), _TITLED)
+    scalar = F.struct(F.lit("_type_number").alias("_type"), F.struct(F.col("p_size").alias("_min-range-inclusive")).alias("_valid-range"))
+    data = F.struct(F.struct(scalar.alias("_scalar")).alias("_array"), F.array(F.lit("a"), F.col("p_type")).alias("_remarks"))
+    return part.select(F.concat(F.lit("part_"), lid).alias("_key"), code.alias("_code"), info.alias("_info"), F.parse_json(F.to_json(data)).alias("_data"), F.lit(None).cast("variant").alias("_rule"), "p_size", "m")
+
+
+def _part_updates(parts: DataFrame) -> DataFrame:
+    """By the key's remainder by six: widen the range, narrow it, retitle in another language, name a missing path, change nothing, ask for an unknown key."""
+    m, size = F.col("m"), F.col("p_size").cast("string")
+    low = lambda by: F.concat(F.lit('{"_data":{"_array":{"_scalar":{"_valid-range":{"_min-range-inclusive":'), (F.col("p_size") + by).cast("string"), F.lit("}}},"), F.lit('"_remarks":["b",null]}}'))
+    body = F.when(m == 0, low(-1)).when(m == 1, low(1)).when(m == 2, '{"_info":{"_title":{"other":"x"}}}').otherwise(low(0))
+    bound = "_data._array._scalar._valid-range._min-range-inclusive"
+    paths = F.when(m == 0, F.array(F.lit(bound), F.lit("_data._remarks[0]"), F.lit("_data._remarks[1]"))).when(m == 1, F.array(F.lit(bound))).when(m == 2, F.array(F.lit("_info._title")))
+    paths = paths.when(m == 3, F.array(F.lit("_data._nothing[0]"))).otherwise(F.array(F.lit(bound)))
+    key = F.when(m == 5, F.concat("_key", F.lit("x"))).otherwise(F.col("_key"))
+    return parts.where(size.isNotNull()).select(key.alias("_key"), F.parse_json(body).alias("updates"), paths.alias("references"))
+
+
+_UPDATED = """
+WITH w AS (SELECT p_partkey % 6 AS m, p_size, p_partkey, CASE WHEN p_partkey % 6 = 5 THEN 'part_' || p_partkey || 'x' ELSE 'part_' || p_partkey END AS key FROM part)
+"""
+
+
+@query(f"""{_UPDATED}
+SELECT key, CASE m WHEN 0 THEN 'updated' WHEN 1 THEN 'refused' WHEN 2 THEN 'invalid' WHEN 3 THEN 'failed' WHEN 4 THEN 'same' ELSE 'unknown' END AS action,
+ CASE m WHEN 1 THEN 'num lower bound raised' WHEN 3 THEN '_data._nothing[0]: no such value in the updates' END AS reason, CASE m WHEN 2 THEN 42 ELSE 0 END AS code,
+ CASE m WHEN 0 THEN p_size - 1 WHEN 4 THEN p_size ELSE -99 END AS low FROM w
+""", dictionary_sql=False)
+def t13_update_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _part_terms(spark, sf_dir)
+    d = dictionary(spark, sf_dir)
+    plan = updates.plan_updates(type(d)(parts.drop("p_size", "m"), d.edges, d.links), _part_updates(parts))
+    low = F.try_variant_get("term._data", "$._array._scalar['_valid-range']['_min-range-inclusive']", "int")
+    return plan.select(F.col("_key").alias("key"), "action", "reason", "code", F.coalesce(low, F.lit(-99)).alias("low"))
+
+
+@query("SELECT p_partkey % 6 AS m, CASE p_partkey % 6 WHEN 0 THEN '[\"b\"]' ELSE '[\"a\",\"' || p_type || '\"]' END AS remarks, count(*) AS n FROM part GROUP BY ALL", dictionary_sql=False)
+def t13_apply_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _part_terms(spark, sf_dir)
+    d = dictionary(spark, sf_dir)
+    old = parts.drop("p_size", "m")
+    new = updates.apply_updates(old, updates.plan_updates(type(d)(old, d.edges, d.links), _part_updates(parts)))
+    rows = new.select((F.col("_code._lid").cast("long") % 6).alias("m"), F.to_json(updates.value_at(F.col("_data"), F.lit("_remarks"))).alias("remarks"))
+    return rows.groupBy("m", "remarks").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'part_' || p_partkey AS key, CASE p_size % 3 WHEN 0 THEN '\"' || p_type || '\"' WHEN 1 THEN '\"_type_number\"' END AS found FROM part", dictionary_sql=False)
+def t15_value_at_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, k = _part_terms(spark, sf_dir), F.col("p_size") % 3
+    path = F.when(k == 0, "_remarks[1]").when(k == 1, "_array._scalar._type").otherwise("_remarks[7]._kind")
+    return parts.select(F.col("_key").alias("key"), F.to_json(updates.value_at(F.col("_data"), path)).alias("found"))
+
+
+@query("SELECT 'part_' || p_partkey AS descriptor, CASE WHEN p_size % 5 < 3 THEN p_type || ',' || p_brand ELSE '' END AS kinds FROM part", dictionary_sql=False)
+def q5_enum_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enumerations bare, in an array of arrays and in an array of sets; strings and the values of dictionaries have none."""
+    form = F.col("p_size") % 5
+    text = (
+        F.when(form == 0, '{"_scalar": {"_type": "_type_string_enum", "_kind": KINDS}}')
+        .when(form == 1, '{"_array": {"_array": {"_scalar": {"_type": "_type_string_enum", "_kind": KINDS}}}}')
+        .when(form == 2, '{"_array": {"_set": {"_set_scalar": {"_set_type": "_type_string_enum", "_kind": KINDS}}}}')
+        .when(form == 3, '{"_scalar": {"_type": "_type_string_key", "_kind": KINDS}}')
+        .otherwise('{"_dict": {"_dict_key": {"_type_key": "_type_string"}, "_dict_value": {"_scalar": {"_type": "_type_string_enum", "_kind": KINDS}}}}')
+    )
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    definition = F.parse_json(F.replace(text, F.lit("KINDS"), F.to_json(F.array("p_type", "p_brand"))))
+    made = validate.descriptor_rules(part.select(F.concat(F.lit("part_"), "p_partkey").alias("descriptor"), definition.alias("definition")))
+    return terms.enum_kinds(made).select("descriptor", _joined("kinds").alias("kinds"))
+
+
+@query("""
+r AS (SELECT DISTINCT root, root AS node, 0 AS depth FROM ep UNION SELECT r.root, ep.f, depth + 1 FROM r JOIN (SELECT DISTINCT t, f FROM ep) ep ON ep.t = r.node WHERE depth < 9),
+e AS (SELECT DISTINCT n.root, ep.t, ep.p, ep.f FROM (SELECT DISTINCT root, node FROM r) n JOIN ep ON ep.t = n.node WHERE ep.p IN ('_predicate_property-of', '_predicate_bridge-of'))
+SELECT root AS request_id, t AS parent, count(DISTINCT p) AS n_predicates, count_if(p = '_predicate_property-of') AS n_properties FROM e GROUP BY root, t
+""")
+def a3_tree_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = walk.tree_dictionary(walk.property_tree(dictionary(spark, sf_dir), _roots(spark)))
+    properties = F.coalesce(F.size(F.try_element_at("children", F.lit(model.PROPERTY_OF))), F.lit(0))
+    return out.select("request_id", "parent", F.size("children").cast("long").alias("n_predicates"), F.greatest(properties, F.lit(0)).cast("long").alias("n_properties"))
+
+
+@query("""
+SELECT 'part_' || p_partkey || CASE WHEN p_size % 7 = 0 THEN ' ' ELSE '' END AS key, CASE WHEN p_size % 7 = 0 THEN 23 WHEN p_size % 7 IN (1, 2) THEN 42 ELSE 0 END AS code FROM part
+""", dictionary_sql=False)
+def v4_default_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 7
+    texts = lambda language, field: F.to_json(F.struct(F.create_map(F.lit(language), F.lit("x")).alias(field)))
+    info = F.when(k == 1, texts("other", "_title")).when(k == 2, texts("other", "_notes")).when(k == 3, "{}").otherwise(texts(model.LANGUAGE, "_definition"))
+    key = F.concat("_key", F.when(k == 0, " ").otherwise(""))
+    parts = _part_terms(spark, sf_dir).select(key.alias("_key"), F.from_json(info, _TITLED).alias("_info"))
+    return updates.term_codes_of(parts).select(F.col("_key").alias("key"), "code")
+
+
+@query("""
+WITH w AS (SELECT c_custkey, unnest([0, 1, 2]) AS pos, c_acctbal, c_nationkey FROM customer)
+SELECT c_custkey AS row_id, pos::INT AS pos, CASE pos WHEN 0 THEN CASE WHEN c_nationkey <= 3 THEN 12 WHEN c_nationkey > 40 THEN 13 ELSE 0 END WHEN 1 THEN 17 ELSE 28 END AS code FROM w
+""", dictionary_sql=False)
+def v6_zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").alias("row_id"),
+        F.array(F.lit("size"), F.lit("brand"), F.lit("nobody")).alias("descriptors"),
+        F.array(F.col("c_nationkey").cast("variant"), F.col("c_name").cast("variant"), F.col("c_name").cast("variant")).alias("values"),
+    )
+    return validate.validate_any(dictionary(spark, sf_dir), rules(spark), rows, levels=2).select("row_id", "pos", "code")
+
+
+@query("SELECT event_type, CASE WHEN user_id % 3 = 0 THEN true ELSE false END AS empty, count(*) AS n FROM events GROUP BY ALL", dictionary_sql=False)
+def w13_empty_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("user_id") % 3
+    value = F.when(k == 0, F.parse_json(F.lit("{}"))).when(k == 1, F.parse_json(F.lit("[]"))).otherwise(F.try_parse_json("props"))
+    return events.select("event_type", is_empty_object(value).alias("empty")).groupBy("event_type", "empty").agg(F.count("*").alias("n"))
