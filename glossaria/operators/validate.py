@@ -168,6 +168,34 @@ def _looked_up(d: Dictionary, rows: DataFrame, resolve_field: str | None, types:
     return rows.withColumn("resolved", F.try_element_at(hits, F.lit(1))).drop("_keys")
 
 
+def _checked(d: Dictionary, leaves: DataFrame, types: set[str | None], resolve_field: str | None, expect_types: bool, allow_default: bool, *keep: str) -> DataFrame:
+    """(row_id, at, code, change, json, container) and the columns to ``keep`` of scalars that are joined with their rules."""
+    leaves = leaves.withColumn("text", F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string"))).withColumn(
+        "number", F.when(_is(F.col("kind"), "BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get("value", "$", "double"))
+    )
+    leaves = _looked_up(d, leaves, resolve_field, types).withColumn("code", scalar_code(expect_types=expect_types, allow_default=allow_default))
+    stamp = F.when((F.col("type") == "_type_number_timestamp") & (F.col("kind") == "STRING"), F.unix_millis(F.try_to_timestamp("text")).cast("string"))
+    enum = F.when(F.col("resolved").isNotNull(), F.to_json(F.struct(F.col("resolved").alias("v"))))
+    enum = F.get_json_object(enum, "$.v")
+    given = F.to_json("value")
+    leaves = leaves.withColumn("after", F.when(F.col("code") == 0, F.coalesce(stamp, enum)))
+    change = F.when(F.col("after").isNotNull(), F.struct(change_hash(F.col("field"), F.col("after")).alias("hash"), "field", F.col("text").alias("original"), F.col("after").alias("resolved")))
+    quoted = F.when(stamp.isNotNull(), F.col("after")).otherwise(F.concat(F.lit('"'), F.col("after"), F.lit('"')))
+    return leaves.select("row_id", "at", "code", change.alias("change"), F.coalesce(quoted, given).alias("json"), "container", *keep)
+
+
+def _plain(d: Dictionary, rules: DataFrame, rows: DataFrame, types: set[str | None], *options) -> DataFrame:
+    """The report of rows whose descriptors are plain scalars or unknown: one join with the rules and a projection, no grouping."""
+    rules = rules.where("path = '' AND container = '_scalar'")
+    joined = rows.select("row_id", "descriptor", "value").join(rules, "descriptor", "left").withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
+    leaves = joined.withColumn("at", F.array().cast("array<int>")).withColumn("field", F.col("descriptor"))
+    checked = _checked(d, leaves, types, *options, "descriptor", "value")
+    code = F.when(F.col("container").isNull(), 28).otherwise(F.col("code"))
+    fine = F.when(code == 0, F.col("json")).otherwise(F.to_json("value"))
+    changes = F.array_compact(F.array(F.when(code == 0, F.col("change"))))
+    return checked.select("row_id", "descriptor", code.alias("code"), "value", fine.alias("resolved"), changes.alias("changes"))
+
+
 def validate(
     d: Dictionary,
     rules: DataFrame,
@@ -176,8 +204,12 @@ def validate(
     expect_types: bool = False,
     allow_default: bool = False,
     levels: int | None = None,
+    within: bool = False,
 ) -> DataFrame:
-    """V1, V2: (row_id, descriptor, code, status, value, resolved, changes) for each row of (row_id, descriptor, value VARIANT).
+    """V1, V2: (row_id, descriptor, code, value, resolved, changes) for each row of (row_id, descriptor, value VARIANT).
+
+    Plain scalars are checked by a projection. The elements of containers are grouped again by ``row_id``, so no two values of
+    containers may share one; ``within`` says that there are only such. ``columns.status_name`` names a code.
 
     ``resolved`` is the corrected value as JSON, the given one if nothing changed; corrections cover scalars, arrays and sets of scalars.
     Unknown descriptors have code 28. Values are followed as deep as the rules go, through the types of tuples as deep as the values go;
@@ -187,6 +219,14 @@ def validate(
     # which sections and types occur decides what the plan needs; both are small closed sets
     sections = rules.select("path", "container", "type").distinct().collect()
     containers, types = {r["container"] for r in sections}, {r["type"] for r in sections}
+    options = (resolve_field, expect_types, allow_default)
+    nested = [r for r in sections if r["path"] or r["container"] != "_scalar"]
+    if not nested:
+        return _plain(d, rules, rows, types, *options)
+    if len(nested) < len(sections) and not within:
+        grouped = rules.where("path = '' AND (container <> '_scalar' OR container IS NULL)").select("descriptor").distinct()
+        plain = _plain(d, rules, rows.join(grouped, "descriptor", "left_anti"), types, *options)
+        return plain.unionByName(validate(d, rules, rows.join(grouped, "descriptor", "left_semi"), *options, levels, within=True))
     deepest = 1 + max((r["path"].count("/") for r in sections), default=0)
     followed = "_tuple" in containers and levels is None  # a tuple's types are descriptors with rules of their own
     if "_tuple" not in containers:
@@ -234,19 +274,7 @@ def validate(
             values = pairs.select("row_id", "descriptor", F.concat("path", F.lit("/v")).alias("path"), F.concat("at", F.array(F.lit(1), F.col("pos"))).alias("at"), F.col("e.value").alias("value"), "field")
             here = inner if "_dict" not in containers else inner.unionByName(keys).unionByName(values)
             here = cut(here) if followed and level + 1 >= deepest else here
-    leaves = reduce(DataFrame.unionByName, scalars)
-    leaves = leaves.withColumn("text", F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string"))).withColumn(
-        "number", F.when(_is(F.col("kind"), "BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get("value", "$", "double"))
-    )
-    leaves = _looked_up(d, leaves, resolve_field, types).withColumn("code", scalar_code(expect_types=expect_types, allow_default=allow_default))
-    stamp = F.when((F.col("type") == "_type_number_timestamp") & (F.col("kind") == "STRING"), F.unix_millis(F.try_to_timestamp("text")).cast("string"))
-    enum = F.when(F.col("resolved").isNotNull(), F.to_json(F.struct(F.col("resolved").alias("v"))))
-    enum = F.get_json_object(enum, "$.v")
-    given = F.to_json("value")
-    leaves = leaves.withColumn("after", F.when(F.col("code") == 0, F.coalesce(stamp, enum)))
-    change = F.when(F.col("after").isNotNull(), F.struct(change_hash(F.col("field"), F.col("after")).alias("hash"), "field", F.col("text").alias("original"), F.col("after").alias("resolved")))
-    quoted = F.when(stamp.isNotNull(), F.col("after")).otherwise(F.concat(F.lit('"'), F.col("after"), F.lit('"')))
-    leaf = leaves.select("row_id", "at", "code", change.alias("change"), F.coalesce(quoted, given).alias("json"), "container")
+    leaf = _checked(d, reduce(DataFrame.unionByName, scalars), types, *options)
     empty = [F.lit(None).cast(leaf.schema["change"].dataType).alias("change"), F.lit(None).cast("string").alias("json"), F.lit("").alias("container")]
     marks = reduce(DataFrame.unionByName, [leaf, *(x.select("row_id", "at", "code", *empty) for x in failures)])
     found = marks.groupBy("row_id").agg(

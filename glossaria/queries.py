@@ -456,7 +456,7 @@ def rules(spark: SparkSession) -> DataFrame:
 
 def _report(spark: SparkSession, sf_dir: str, name: str, table: str, key: Column, value: Column, **options) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key.alias("row_id"), F.lit(name).alias("descriptor"), value.cast("variant").alias("value"))
-    return validate.validate(dictionary(spark, sf_dir), rules(spark), rows, levels=2, **options)
+    return validate.validate(dictionary(spark, sf_dir), rules(spark).where(F.col("descriptor") == name), rows, levels=2, **options)
 
 
 def _line() -> Column:
