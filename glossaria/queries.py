@@ -14,6 +14,7 @@ from glossaria import model
 from glossaria.functions.columns import edge_key, handle_key, is_empty_object
 from glossaria.operators import edits, evolve, flat, geo, terms, updates, validate, walk
 from glossaria.plans.fixture import ORACLE, dictionary, sql
+from glossaria.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -973,3 +974,42 @@ def w13_empty_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("user_id") % 3
     value = F.when(k == 0, F.parse_json(F.lit("{}"))).when(k == 1, F.parse_json(F.lit("[]"))).otherwise(F.try_parse_json("props"))
     return events.select("event_type", is_empty_object(value).alias("empty")).groupBy("event_type", "empty").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH w AS (SELECT c_custkey % 4 AS m, c_custkey AS k FROM customer)
+SELECT CASE m WHEN 0 THEN 'customer_' || k WHEN 3 THEN 'client_' || k || ' b' ELSE 'client_' || k END AS key, CASE m WHEN 0 THEN 'conflict' WHEN 1 THEN 'inserted' ELSE 'invalid' END AS action FROM w
+""", dictionary_sql=False)
+def t1_checked_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers again, then as new terms: sound ones, ones without a text in the default language, and ones with a space in the key."""
+    d, m = dictionary(spark, sf_dir), F.col("c_custkey") % 4
+    lid = F.concat(F.col("c_custkey").cast("string"), F.when(m == 3, " b").otherwise(""))
+    none = F.lit(None).cast("string")
+    code = F.struct(F.when(m == 0, "customer").otherwise("client").alias("_nid"), lid.alias("_lid"), none.alias("_gid"), F.array(lid).alias("_aid"), F.array().cast("array<string>").alias("_pid"), F.col("c_name").alias("_name"))
+    text = F.to_json(F.struct(F.create_map(F.when(m == 2, "other").otherwise(model.LANGUAGE), F.col("c_name")).alias("_title")))
+    empty = F.lit(None).cast("variant")
+    new = spark.read.parquet(f"{sf_dir}/customer.parquet").select(none.alias("_key"), code.alias("_code"), F.from_json(text, _TITLED).alias("_info"), empty.alias("_data"), empty.alias("_rule"))
+    return updates.plan_checked_inserts(d, new).select(F.col("_key").alias("key"), "action")
+
+
+@query("q AS (SELECT 1) SELECT k AS key, CASE WHEN lid LIKE '%3' THEN 'ignored' ELSE 'removed' END AS action FROM (SELECT CASE WHEN lid LIKE '%3' THEN k || 'x' ELSE k END AS k, lid FROM tm)")
+def t4_delete_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = dictionary(spark, sf_dir).terms
+    asked = known.select(F.concat("_key", F.when(F.col("_code._lid").endswith("3"), "x").otherwise("")).alias("_key"))
+    return terms.plan_deletes(known, asked).select(F.col("_key").alias("key"), "action")
+
+
+@query("SELECT 'part_' || p_partkey AS key FROM part WHERE p_type IN ('ECONOMY', 'SMALL') OR list_has_any(string_split(p_name, ' '), ['red', 'bolt']) OR 'size_1' IN (p_type, 'size_' || (p_size % 3))", dictionary_sql=False)
+def q3_any_qualifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qualified = terms.qualifiers(_part_descriptors(spark, sf_dir))
+    return qualified.where(terms.qualifier_selection("OR", _class=["ECONOMY", "SMALL"], _tag=["red", "bolt"], _domain=["size_1"])).select("key")
+
+
+@query("q AS (SELECT 1) SELECT nid, CASE WHEN nid = 'supplier' THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM tm WHERE nid <> 'brand' GROUP BY ALL")
+def s6_replace_and_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers get a new version, brands go; new rows whose key is unknown are not taken."""
+    old = dictionary(spark, sf_dir).terms.select("_key", F.col("_code._nid").alias("nid"), F.lit("old").alias("version"))
+    new = old.where("nid = 'supplier'").withColumn("version", F.lit("new"))
+    unknown = new.withColumn("_key", F.concat("_key", F.lit("x")))
+    kept = tables.remove(tables.replace(old, new.unionByName(unknown), "_key"), old.where("nid = 'brand'").select("_key"), "_key")
+    return kept.where("nid IS NOT NULL").groupBy("nid", "version").agg(F.count("*").alias("n"))
