@@ -871,14 +871,14 @@ def _part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_updates(parts: DataFrame) -> DataFrame:
     """By the key's remainder by six: widen the range, narrow it, retitle in another language, name a missing path, change nothing, ask for an unknown key."""
-    m, size = F.col("m"), F.col("p_size").cast("string")
+    m = F.col("m")
     low = lambda by: F.concat(F.lit('{"_data":{"_array":{"_scalar":{"_valid-range":{"_min-range-inclusive":'), (F.col("p_size") + by).cast("string"), F.lit("}}},"), F.lit('"_remarks":["b",null]}}'))
     body = F.when(m == 0, low(-1)).when(m == 1, low(1)).when(m == 2, '{"_info":{"_title":{"other":"x"}}}').otherwise(low(0))
     bound = "_data._array._scalar._valid-range._min-range-inclusive"
     paths = F.when(m == 0, F.array(F.lit(bound), F.lit("_data._remarks[0]"), F.lit("_data._remarks[1]"))).when(m == 1, F.array(F.lit(bound))).when(m == 2, F.array(F.lit("_info._title")))
     paths = paths.when(m == 3, F.array(F.lit("_data._nothing[0]"))).otherwise(F.array(F.lit(bound)))
     key = F.when(m == 5, F.concat("_key", F.lit("x"))).otherwise(F.col("_key"))
-    return parts.where(size.isNotNull()).select(key.alias("_key"), F.parse_json(body).alias("updates"), paths.alias("references"))
+    return parts.select(key.alias("_key"), F.parse_json(body).alias("updates"), paths.alias("references"))
 
 
 _UPDATED = """
