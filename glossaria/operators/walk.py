@@ -29,6 +29,12 @@ def arrows(d: Dictionary, many_to_one: bool = True) -> DataFrame:
     return d.edge_path.select("root", F.col(node).alias("node"), F.col(next_).alias("next"), "predicate", "edge_key")
 
 
+def _onward(steps: DataFrame, on: list[str]) -> DataFrame:
+    """The steps whose ends have steps themselves. A walk that only asks for the steps at its nodes need not enter dead ends."""
+    ends = steps.select(*(F.col(c).alias("next") if c == "node" else F.col(c) for c in on)).distinct()
+    return cut(steps.join(ends, ["next" if c == "node" else c for c in on], "left_semi").select(*on, "next").distinct())
+
+
 def _reached(steps: DataFrame, starts: DataFrame, on: list[str], levels: int) -> DataFrame:
     """(request_id, *on, depth): distinct nodes within ``levels`` steps, each at its least depth."""
     frontier = starts.select("request_id", *on).distinct().withColumn("depth", F.lit(0))
@@ -49,7 +55,7 @@ def tree(d: Dictionary, requests: DataFrame, predicates: Iterable[str], many_to_
     listed but not walked again.
     """
     steps = cut(arrows(d, many_to_one))
-    nodes = _reached(steps, requests.withColumn("node", F.col("root")), ["root", "node"], levels - 1)
+    nodes = _reached(_onward(steps, ["root", "node"]), requests.withColumn("node", F.col("root")), ["root", "node"], levels - 1)
     found = nodes.join(steps, ["root", "node"]).where(F.col("predicate").isin(*predicates))
     return found.groupBy("request_id", F.col("node").alias("parent"), "predicate").agg(F.array_sort(F.collect_set("next")).alias("children"))
 
@@ -57,7 +63,7 @@ def tree(d: Dictionary, requests: DataFrame, predicates: Iterable[str], many_to_
 def property_tree(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> DataFrame:
     """As ``tree`` for properties and bridges, over the edges of all roots."""
     steps = cut(d.edges.select(F.col("to").alias("node"), F.col("from").alias("next"), "predicate"))
-    nodes = _reached(steps, requests.select("request_id", F.col("root").alias("node")), ["node"], levels - 1)
+    nodes = _reached(_onward(steps, ["node"]), requests.select("request_id", F.col("root").alias("node")), ["node"], levels - 1)
     found = nodes.join(steps, "node").where(F.col("predicate").isin(model.PROPERTY_OF, model.BRIDGE_OF))
     return found.groupBy("request_id", F.col("node").alias("parent"), "predicate").agg(F.array_sort(F.collect_set("next")).alias("children"))
 
@@ -80,14 +86,16 @@ def paths(
     min_level: int = 1,
     max_level: int = LEVELS,
     towards: DataFrame | None = None,
+    steps: DataFrame | None = None,
 ) -> DataFrame:
     """(request_id, depth, vertices, edges, node, predicate, edge_key): walks without repeated vertices.
 
     ``requests``: (request_id, root, start) and any columns that ``emit`` and ``expand`` use; both see ``predicate``, ``node`` (the end
     of the last edge), ``before`` (its other end) and ``edge_key``. A path is returned if ``emit`` holds for its last edge, and goes
-    on if ``expand`` does; the two are separate tests. ``towards``: (request_id, node), the only nodes worth visiting.
+    on if ``expand`` does; the two are separate tests. ``towards``: (request_id, node), the only nodes worth visiting. ``steps``: the
+    arrows, if they are at hand as a table.
     """
-    steps = arrows(d, many_to_one)
+    steps = cut(arrows(d, many_to_one)) if steps is None else steps
     names = requests.columns
     frontier = requests.withColumn("node", F.col("start")).withColumn("vertices", F.array("start")).withColumn("edges", F.array().cast("array<string>"))
     found = None
@@ -121,9 +129,10 @@ def level_paths(d: Dictionary, requests: DataFrame, predicates: Iterable[str], m
     return paths(d, requests.withColumnRenamed("parent", "start"), F.col("predicate").isin(*predicates), None, many_to_one, min_level, max_level)
 
 
-def _towards(d: Dictionary, targets: DataFrame, many_to_one: bool, levels: int) -> DataFrame:
-    """Nodes from which a target can be reached, per request. ``targets``: (request_id, root, node)."""
-    back = _reached(arrows(d, not many_to_one), targets, ["root", "node"], levels)
+def _towards(steps: DataFrame, targets: DataFrame, levels: int) -> DataFrame:
+    """Nodes from which a target can be reached by the steps, per request. ``targets``: (request_id, root, node)."""
+    back = steps.select("root", F.col("next").alias("node"), F.col("node").alias("next"))
+    back = _reached(back, targets, ["root", "node"], levels)
     return back.select("request_id", "node").distinct()
 
 
@@ -131,7 +140,9 @@ def node_paths(d: Dictionary, requests: DataFrame, predicates: Iterable[str], ma
     """Paths from the root to a target. ``requests``: (request_id, root, target)."""
     targets = requests.select("request_id", "root", F.col("target").alias("node"))
     asked = requests.withColumn("start", F.col("root"))
-    return paths(d, asked, F.col("node") == F.col("target"), F.col("predicate").isin(*predicates), many_to_one, 1, max_level, _towards(d, targets, many_to_one, max_level))
+    steps = cut(arrows(d, many_to_one))
+    hit, on = F.col("node") == F.col("target"), F.col("predicate").isin(*predicates)
+    return paths(d, asked, hit, on, many_to_one, 1, max_level, _towards(steps, targets, max_level), steps)
 
 
 def code_targets(d: Dictionary, requests: DataFrame) -> DataFrame:
@@ -173,9 +184,10 @@ def match_enumeration(d: Dictionary, requests: DataFrame, levels: int = LEVELS)
     near = requests.select("request_id", "root", F.col("target").alias("node"))
     enum = F.col("predicate") == model.ENUM_OF
     hit = enum & ((F.col("node") == F.col("target")) | (F.col("before") == F.col("target")))
-    towards = _towards(d, near, True, levels)
-    children = near.join(arrows(d).where(enum), ["root", "node"]).select("request_id", F.col("next").alias("node"))
-    found = paths(d, requests.withColumn("start", F.col("root")), hit, ~hit, True, 1, levels, towards.unionByName(children).distinct())
+    steps = cut(arrows(d))
+    towards = _towards(steps, near, levels)
+    children = near.join(steps.where(enum), ["root", "node"]).select("request_id", F.col("next").alias("node"))
+    found = paths(d, requests.withColumn("start", F.col("root")), hit, ~hit, True, 1, levels, towards.unionByName(children).distinct(), steps)
     return first_by(found, ["request_id"], ["depth", "edge_key"])
 
 
@@ -189,7 +201,8 @@ def match_enumeration_code(d: Dictionary, requests: DataFrame, levels: int = LEV
     asked = code_targets(d, requests)
     hit = (F.col("predicate") == model.ENUM_OF) & (F.col("node") == F.col("target"))
     near = asked.select("request_id", "root", F.col("target").alias("node"))
-    return paths(d, asked.withColumn("start", F.col("root")), hit, ~hit, True, 1, levels, _towards(d, near, True, levels))
+    steps = cut(arrows(d))
+    return paths(d, asked.withColumn("start", F.col("root")), hit, ~hit, True, 1, levels, _towards(steps, near, levels), steps)
 
 
 def linked_keys(d: Dictionary, requests: DataFrame, predicate: str, levels: int = LEVELS) -> DataFrame:
@@ -199,7 +212,7 @@ def linked_keys(d: Dictionary, requests: DataFrame, predicate: str, levels: int
     """
     steps = cut(d.links.select(F.col("from").alias("node"), F.col("to").alias("next"), "predicate"))
     starts = requests.select("request_id", F.concat(F.lit("terms/"), "key").alias("node"))
-    nodes = _reached(steps, starts, ["node"], levels - 1)
+    nodes = _reached(_onward(steps, ["node"]), starts, ["node"], levels - 1)
     found = nodes.join(steps.where(F.col("predicate") == predicate), "node")
     return found.select("request_id", handle_key(F.col("next")).alias("key")).distinct()
 

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``.
+    """The rows, written as a table to the folder that the cluster names in ``spark.checkpoint.dir`` and read back.
 
-    Only a session on one machine may leave that unset; it then takes a temporary folder.
+    The table outlives lost executors, is computed once, and tells Spark its size, so small frontiers are broadcast. Only a session on
+    one machine may leave that folder unset; it then takes a temporary one.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/glossaria-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
