@@ -182,13 +182,15 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int, shard_bytes:
 def read(written: DataFrame, root: str) -> DataFrame:
     """Look every written key up in the files: (key, start, n_tokens, ids_crc32). A key that its shard does not hold is an error.
 
-    The ids before a shard are summed in two steps, over the shards of a thousand and over the thousands.
+    The ids before a shard are summed in two steps, over the shards of a thousand and over the thousands. They are a table of their own,
+    whose size Spark knows, so the join with the documents never broadcasts those.
     """
     totals = written.where("copy is null").select("shard", "shard_tokens", F.floor(F.col("shard") / 1000).alias("part"))
     parts = totals.groupBy("part").agg(F.sum("shard_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
     within = F.sum("shard_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("shard_tokens")
     before = totals.withColumn("within_part", within).join(parts, "part").select("shard", (F.col("earlier") + F.col("within_part")).alias("before"))
+    before = materialized(before)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, shards = Store(root), {}
