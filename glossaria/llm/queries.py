@@ -14,6 +14,7 @@ from glossaria.llm.html_text import op6_html_text
 from glossaria.llm.language_id import op1_language_id
 from glossaria.llm.ngram_join import op8_ngram_join
 from glossaria.llm.packing import op9_packing
+from glossaria.llm.periodic_runs import op12_periodic_runs
 from glossaria.llm.quality_rules import SQL_OP3, op3_quality_rules
 from glossaria.llm.token_files import op7_token_files
 
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
