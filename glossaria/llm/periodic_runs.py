@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,18 +160,18 @@ def find_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 2000):
-                part = frame.iloc[at : at + 2000]
-                n, found, rest = [], [], []
-                for words, own in _searched(part["text"].tolist()):
+    def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in frames:
+            for at in range(0, whole.num_rows, 2000):
+                frame, n, found, rest = whole.slice(at, 2000), [], [], []
+                for words, own in _searched(frame["text"].to_pylist()):
                     n.append(len(words))
                     found.append([{"start": s, "length": k, "period": q} for s, k, q in own])
                     rest.append(" ".join(collapsed(words, own)))
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "n_words": n, "runs": found, "collapsed": rest})
+                kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))
+                yield pa.RecordBatch.from_arrays([frame["key"], pa.array(n, pa.int64()), pa.array(found, kind), pa.array(rest, pa.string())], ["key", "n_words", "runs", "collapsed"])
 
-    out = rows.mapInPandas(search, f"key {kind}, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
+    out = rows.mapInArrow(search, f"key {kind}, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
     return out.withColumnRenamed("key", key)
 
 
