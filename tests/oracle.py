@@ -4,15 +4,17 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def _plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if isinstance(v, float):
-        return float(f"{v:.9g}") if math.isfinite(v) else str(v)
+        v = float(f"{v:.9g}") if math.isfinite(v) else str(v)
+        return int(v) if isinstance(v, float) and v.is_integer() else v
     return v if isinstance(v, (int, str, bool)) else str(v)
 
 
