@@ -15,6 +15,7 @@ from glossaria.llm.language_id import op1_language_id
 from glossaria.llm.ngram_join import op8_ngram_join
 from glossaria.llm.packing import op9_packing
 from glossaria.llm.periodic_runs import op12_periodic_runs
+from glossaria.llm.prefix_trie import SQL_OP11, op11_prefix_trie
 from glossaria.llm.quality_rules import SQL_OP3, op3_quality_rules
 from glossaria.llm.substring_dedup import SQL_OP13, op13_substring_dedup
 from glossaria.llm.token_files import op7_token_files
@@ -32,10 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_substring_dedup": op13_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": SQL_OP2, "op3_quality_rules": SQL_OP3, "op13_substring_dedup": SQL_OP13}
+    return {"op2_chat_format": SQL_OP2, "op3_quality_rules": SQL_OP3, "op11_prefix_trie": SQL_OP11, "op13_substring_dedup": SQL_OP13}

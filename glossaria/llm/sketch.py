@@ -30,7 +30,7 @@ def may_repeat(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(frames: Iterator[pd.DataFrame], stride: int) -> Iterator[pd.DataFrame]:
     def flush(waiting: list[np.ndarray]) -> pd.DataFrame:
         found, n = np.unique(slots(np.concatenate(waiting)), return_counts=True)
         block = found >> BLOCK_BITS
@@ -41,7 +41,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     waiting, held = [], 0
     for frame in frames:
         for packed in frame["keys"]:
-            waiting.append(np.frombuffer(packed, "<u8"))
+            waiting.append(np.frombuffer(packed, "<u8")[::stride])
             held += len(waiting[-1])
             if held > _FLUSH:
                 yield flush(waiting)
@@ -69,13 +69,13 @@ def _reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield packed(block, counts)
 
 
-def sketch(keys: DataFrame) -> np.ndarray:
-    """The bits of a sketch of all keys, from rows with a binary column ``keys`` of packed little-endian uint64.
+def sketch(keys: DataFrame, stride: int = 1) -> np.ndarray:
+    """The bits of a sketch of all keys, from rows with a binary column ``keys`` of packed little-endian uint64, of which each ``stride``-th counts.
 
     Tasks count what they read and pass on the counters that they touched; each block of counters is summed in one task, row after row. What
     comes to the driver is the sketch itself. Null packs are not allowed, empty ones and an empty table are.
     """
-    parts = keys.select("keys").mapInPandas(_counted, "block int, once binary, more binary")
+    parts = keys.select("keys").mapInPandas(lambda frames: _counted(frames, stride), "block int, once binary, more binary")
     blocks = parts.repartition("block").sortWithinPartitions("block").mapInPandas(_reduced, "block int, bits binary")
     bits = np.zeros((ROWS << BITS) >> 3, np.uint8)
     for row in blocks.collect():
