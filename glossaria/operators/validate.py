@@ -1,8 +1,10 @@
 """Bulk validation of values and objects against rules stored as data.
 
 Input rows hold a ``VARIANT``; rules come from the dictionary as one row for each descriptor and section. All values are checked by one
-set of expressions; containers are exploded one nesting level at a time and the first failing check of a record, in element order,
-gives its code.
+set of expressions. Plain scalars need one join and a projection. Everything else goes through one worklist whose rows are values or
+objects, each with the path of steps that leads to it: containers yield their elements, objects their properties, and values that are
+objects yield objects, until no row is left. The first failing check of a record, in the order of paths, gives its code; corrected
+records are folded up again from the deepest paths (``fold``).
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataF
 
     ``levels`` spares the look for deeper sections where the caller knows that there are no more.
 
-    ``path`` names the section from the outermost in, ``container`` its kind, null if it has none of them.
+    ``path`` names the section from the outermost in, ``container`` its kind, null if it has none of them. ``fault`` is the code of a malformed
+    tuple or dictionary section, ``value_fault`` that of a dictionary's value section, which is met after the keys.
     """
 
     def section(v: Column, name: str) -> Column:
@@ -53,7 +56,15 @@ def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataF
         plain, keyed, setted = _rule_columns(F.col("s"), "_type"), _rule_columns(F.col("s"), "_type_key"), _rule_columns(F.col("s"), "_set_type")
         kind = F.when(F.col("role") == "_dict_key", F.struct(*keyed)).when(F.col("role") == "_set_scalar", F.struct(*setted)).otherwise(F.struct(*plain))
         tuple_types = F.try_variant_get("s", "$._tuple_types", "array<string>").alias("tuple_types")
-        out.append(rows.select("descriptor", "path", "container", kind.alias("r"), tuple_types, F.size(F.map_keys(F.coalesce(F.try_variant_get("v", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))).alias("n_fields")))
+        has = lambda name: section(F.col("s"), name).isNotNull()
+        shape = lambda name: F.coalesce(F.schema_of_variant(section(F.col("s"), name)), F.lit("VOID"))
+        key_part, value_part, inside = shape("_dict_key"), shape("_dict_value"), F.col("container")
+        no_list = (inside == "_tuple") & has("_tuple_types") & ~shape("_tuple_types").startswith("ARRAY")
+        no_limits = (inside == "_tuple") & has("_elements") & ~shape("_elements").startswith("OBJECT")
+        no_key = F.when(~has("_dict_key"), -4).when(~key_part.startswith("OBJECT"), -6).when((key_part != "OBJECT<>") & ~has("_dict_key._type_key"), -6)
+        no_value = F.when(~has("_dict_value"), -5).when(~value_part.startswith("OBJECT"), -7)
+        faults = [F.when(no_list, 47).when(no_limits, 52).when(inside == "_dict", no_key).alias("fault"), F.when(inside == "_dict", no_value).alias("value_fault")]
+        out.append(rows.select("descriptor", "path", "container", kind.alias("r"), tuple_types, *faults, F.size(F.map_keys(F.coalesce(F.try_variant_get("v", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))).alias("n_fields")))
         array = data.where("container = '_array'").select("descriptor", F.concat("path", F.lit("/e")).alias("path"), F.col("s").alias("v"), F.lit("data").alias("role"))
         sets = data.where("container = '_set'").select("descriptor", F.concat("path", F.lit("/e")).alias("path"), section(F.col("s"), "_set_scalar").alias("v"), F.lit("_set_scalar").alias("role"))
         dict_key = data.where("container = '_dict'").select("descriptor", F.concat("path", F.lit("/k")).alias("path"), section(F.col("s"), "_dict_key").alias("v"), F.lit("_dict_key").alias("role"))
@@ -63,7 +74,7 @@ def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataF
     if not out:
         return descriptor_rules(definitions, 1)
     rules = reduce(DataFrame.unionByName, out)
-    rules = rules.select("descriptor", "path", "container", "r.*", "tuple_types", "n_fields")
+    rules = rules.select("descriptor", "path", "container", "r.*", "tuple_types", "fault", "value_fault", "n_fields")
     return cut(rules) if levels is None else rules
 
 
@@ -75,9 +86,11 @@ def _is(kind: Column, *names: str) -> Column:
     return reduce(Column.__or__, (kind.startswith(n) for n in names))
 
 
-def scalar_code(language_terms: bool = False, expect_types: bool = False, allow_default: bool = False) -> Column:
+def scalar_code(types: set[str | None], expect_types: bool = False, allow_default: bool = False) -> Column:
     """The status code of a scalar, over the columns of the rules, ``value``, ``kind``, ``text``, ``number`` and the
-    looked-up ``term_found``, ``is_descriptor``, ``is_structure``, ``roots``, ``document_found`` and ``resolved``."""
+    looked-up ``term_found``, ``is_descriptor``, ``is_structure``, ``roots``, ``document_found`` and ``resolved``.
+
+    ``types`` are those that the rules have; no other type is built into the expression."""
     kind, text, number = F.col("kind"), F.col("text"), F.col("number")
     is_number = _is(kind, "BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
     ranged = in_range(number, _bounds("num"))
@@ -133,8 +146,8 @@ def scalar_code(language_terms: bool = False, expect_types: bool = False, allow_
         "_type_object_geojson": geojson,
     }
     code = F.when(kind.startswith("ARRAY") & (F.col("container") == "_scalar"), 6).when(F.col("type").isNull(), F.lit(-2 if expect_types else 0))
-    for name, value in by_type.items():
-        code = code.when(F.col("type") == name, value)
+    for name in types & set(by_type):
+        code = code.when(F.col("type") == name, by_type[name])
     return code.otherwise(15)
 
 
@@ -169,33 +182,233 @@ def _looked_up(d: Dictionary, rows: DataFrame, resolve_field: str | None, types:
 
 
 def _checked(d: Dictionary, leaves: DataFrame, types: set[str | None], resolve_field: str | None, expect_types: bool, allow_default: bool, *keep: str) -> DataFrame:
-    """(row_id, at, code, change, json, container) and the columns to ``keep`` of scalars that are joined with their rules."""
+    """``keep`` and (code, change, json) of scalars that are joined with their rules."""
     leaves = leaves.withColumn("text", F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string"))).withColumn(
         "number", F.when(_is(F.col("kind"), "BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get("value", "$", "double"))
     )
-    leaves = _looked_up(d, leaves, resolve_field, types).withColumn("code", scalar_code(expect_types=expect_types, allow_default=allow_default))
-    stamp = F.when((F.col("type") == "_type_number_timestamp") & (F.col("kind") == "STRING"), F.unix_millis(F.try_to_timestamp("text")).cast("string"))
-    enum = F.when(F.col("resolved").isNotNull(), F.to_json(F.struct(F.col("resolved").alias("v"))))
-    enum = F.get_json_object(enum, "$.v")
-    given = F.to_json("value")
-    leaves = leaves.withColumn("after", F.when(F.col("code") == 0, F.coalesce(stamp, enum)))
+    leaves = _looked_up(d, leaves, resolve_field, types).withColumn("code", scalar_code(types, expect_types, allow_default))
+    after, given = F.lit(None).cast("string"), F.to_json("value")
+    if "_type_number_timestamp" in types:
+        after = F.when((F.col("type") == "_type_number_timestamp") & (F.col("kind") == "STRING"), F.unix_millis(F.try_to_timestamp("text")).cast("string"))
+    if resolve_field is not None and "_type_string_enum" in types:
+        after = F.coalesce(after, F.col("resolved"))
+    leaves = leaves.withColumn("after", F.when(F.col("code") == 0, after))
     change = F.when(F.col("after").isNotNull(), F.struct(change_hash(F.col("field"), F.col("after")).alias("hash"), "field", F.col("text").alias("original"), F.col("after").alias("resolved")))
-    quoted = F.when(stamp.isNotNull(), F.col("after")).otherwise(F.concat(F.lit('"'), F.col("after"), F.lit('"')))
-    return leaves.select("row_id", "at", "code", change.alias("change"), F.coalesce(quoted, given).alias("json"), "container", *keep)
+    written = F.when(F.col("type") == "_type_number_timestamp", F.col("after")).otherwise(F.to_json(F.col("after").cast("variant")))
+    return leaves.select(*keep, "code", change.cast(_CHANGE).alias("change"), F.coalesce(written, given).alias("json"))
+
+
+_CHANGE = "struct<hash:string,field:string,original:string,resolved:string>"
+_ITEM = ("row_id", "at", "link", "origin", "descriptor", "path", "value", "field", "top", "nest", "kinds")
+_NODE = ("row_id", "at", "link", "label", "shape", "field", "json")
+_MARK = ("row_id", "at", "code", "top", "change")
 
 
 def _plain(d: Dictionary, rules: DataFrame, rows: DataFrame, types: set[str | None], *options) -> DataFrame:
     """The report of rows whose descriptors are plain scalars or unknown: one join with the rules and a projection, no grouping."""
     rules = rules.where("path = '' AND container = '_scalar'")
     joined = rows.select("row_id", "descriptor", "value").join(rules, "descriptor", "left").withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
-    leaves = joined.withColumn("at", F.array().cast("array<int>")).withColumn("field", F.col("descriptor"))
-    checked = _checked(d, leaves, types, *options, "descriptor", "value")
+    checked = _checked(d, joined.withColumn("field", F.col("descriptor")), types, *options, "row_id", "container", "descriptor", "value")
     code = F.when(F.col("container").isNull(), 28).otherwise(F.col("code"))
     fine = F.when(code == 0, F.col("json")).otherwise(F.to_json("value"))
     changes = F.array_compact(F.array(F.when(code == 0, F.col("change"))))
     return checked.select("row_id", "descriptor", code.alias("code"), "value", fine.alias("resolved"), changes.alias("changes"))
 
 
+def _structures(d: Dictionary, structures: DataFrame | None) -> DataFrame:
+    """Rules of structures: those given, else those of the dictionary's terms."""
+    if structures is not None:
+        return structures
+    return structure_rules(d.terms.where("_rule IS NOT NULL").select(F.col("_key").alias("structure"), F.col("_rule").alias("definition")))
+
+
+def _opened(objects: DataFrame, structures: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Marks of objects that no kind's rule admits, and the properties of the others as values."""
+    is_object = F.coalesce(F.schema_of_variant("value"), F.lit("VOID")).startswith("OBJECT")
+    here = objects.withColumn("props", F.when(is_object, F.expr("try_cast(value AS map<string, variant>)")))
+    code = F.when(F.col("props").isNull(), 31)
+    if structures is not None:
+        tried = here.where("props IS NOT NULL AND kinds IS NOT NULL").select("row_id", "at", F.map_keys("props").alias("keys"), F.explode("kinds").alias("structure"))
+        passed = tried.join(structures, "structure").where(structure_holds(F.col("keys"))).select("row_id", "at", F.lit(True).alias("ok")).distinct()
+        here = here.join(passed, ["row_id", "at"], "left")
+        code = code.when(F.col("kinds").isNotNull() & F.col("ok").isNull(), 34)
+    here = here.withColumn("code", F.coalesce(code, F.lit(0)))
+    props = here.where("code = 0").select("row_id", "at", "top", F.posexplode(F.map_entries("props")).alias("pos", "e"))
+    name = F.col("e.key")
+    inner = _items(props, at=F.concat("at", F.array("pos")), link=F.lit("e"), origin=F.lit("property"), descriptor=name, value=F.col("e.value"), field=name, top=F.coalesce("top", name))
+    return here, inner
+
+
+def _items(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows of the worklist: what is not given is the same as above for ``row_id``, else nothing."""
+    kinds = {"nest": "int", "kinds": "array<string>", "path": "string", "top": "string", "field": "string", "descriptor": "string"}
+    nothing = {"path": F.lit(""), "nest": F.lit(0)} | {c: F.lit(None).cast(kinds[c]) for c in ("kinds", "top", "field", "descriptor")}
+    return rows.select("row_id", *[columns.get(c, nothing.get(c, F.lit(None))).alias(c) for c in _ITEM[1:]])
+
+
+def _walk(d: Dictionary, rules: DataFrame, here: DataFrame, structures, descriptors, expect_terms: bool, types, containers, deepest: int, levels: int | None, options: tuple, nodes: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The marks of all values and objects that ``here`` leads to, and their nodes, if asked for.
+
+    Marks are (row_id, at, code, top, change), nodes (row_id, at, link, label, shape, field, json): what stands where and how it was corrected.
+    Without tuples and object types the rules bound the depth and the rounds are one plan; else each round's rows are a written table.
+    """
+    resolve_field, expect_types, allow_default = options
+    open_ended = bool(containers & {"_tuple"} or types & {"_type_object"})
+    marks, found = [], []
+    for level in itertools.count():
+        here = cut(here) if open_ended else here
+        if here.isEmpty() if open_ended else level > deepest:
+            break
+        values, objects = here.where("origin <> 'object'").drop("kinds"), here.where("origin = 'object'")
+        joined = values.join(rules.withColumn("ruled", F.lit(True)), ["descriptor", "path"], "left").withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
+        joined = joined.join(descriptors.select(F.col("term").alias("descriptor"), F.col("is_descriptor").alias("_known")), "descriptor", "left")
+        # what has no rule
+        missing = (
+            F.when(F.col("origin") == "top", 28)
+            .when(F.col("origin") == "property", F.when(F.col("_known").isNull(), 32 if expect_terms else 0).otherwise(29))
+            .when(F.col("origin") == "tuple", F.when(F.col("_known").isNull(), 30).when(~F.col("_known"), 5).otherwise(28))
+            .otherwise(0)
+        )
+        bare = F.when((F.col("container").isNull()) & (F.col("n_fields") > 0), F.lit(-1 if expect_types else 0))
+        is_leaf = F.col("container").isin("_scalar", "_set_scalar", "_dict_key")
+        leaf = _checked(d, joined.where(F.coalesce(is_leaf, F.lit(False))), types, *options, "row_id", "at", "link", "field", "top", "type", "kind", "kinds", "value")
+        marks.append(leaf.select(*_MARK))
+        other = joined.where(~F.coalesce(is_leaf, F.lit(False)))
+        n = F.when(F.col("kind").startswith("ARRAY"), F.size(F.expr("try_cast(value AS array<variant>)")))
+        many, low, high = F.size("tuple_types"), F.col("min_items"), F.col("max_items")
+        listed = F.when(F.col("n").isNull(), 35).when(F.col("n") < low, 36).when(F.col("n") > high, 37)
+        tupled = F.when(F.col("n").isNull(), 44).when(F.col("fault") == 47, 47).when(F.col("tuple_types").isNull(), 48).when(F.col("fault") == 52, 52)
+        tupled = tupled.when(low > many, 50).when(F.col("n") < low, 45).when(high > many, 51).when(F.col("n") > high, 46).when(low.isNull() & high.isNull() & (F.col("n") != many), 49)
+        keyed = F.when(~F.col("kind").startswith("OBJECT"), 31).otherwise(F.col("fault"))
+        by_container = {"_array": listed, "_set": listed, "_tuple": tupled, "_dict": keyed}
+        code = F.when(F.col("ruled").isNull(), missing)
+        for name in containers & set(by_container):
+            code = code.when(F.col("container") == name, by_container[name])
+        other = other.withColumn("n", n).withColumn("code", F.coalesce(code.otherwise(bare), F.lit(0)))
+        if levels is not None:
+            size = F.coalesce("n", F.size(F.expr("try_cast(value AS map<string, variant>)")))
+            beyond = F.col("container").isin(*by_container) & (F.col("code") == 0) & (F.col("nest") + 1 >= levels) & (size > 0)
+            other = other.withColumn("code", F.when(beyond, 53).otherwise(F.col("code")))
+        marks.append(other.where("code <> 0").select("row_id", "at", "code", "top", F.lit(None).cast(_CHANGE).alias("change")))
+        inner = []
+        if containers & {"_array", "_set", "_tuple"}:
+            elements = other.where("code = 0 AND container IN ('_array', '_set', '_tuple')").select("*", F.posexplode(F.expr("try_cast(value AS array<variant>)")).alias("pos", "element"))
+            is_tuple = F.col("container") == "_tuple"
+            typed = F.when(is_tuple, F.try_element_at("tuple_types", F.col("pos") + 1)).otherwise(F.col("descriptor"))
+            path = F.when(is_tuple, F.lit("")).otherwise(F.concat("path", F.lit("/e")))
+            origin = F.when(is_tuple, F.lit("tuple")).otherwise(F.lit("section"))
+            at = F.concat("at", F.array("pos"))
+            inner.append(_items(elements, at=at, link=F.lit("e"), origin=origin, descriptor=typed, path=path, value=F.col("element"), field=F.col("field"), top=F.col("top"), nest=F.col("nest") + 1))
+        if "_tuple" in containers:
+            # all types of a tuple are looked at, also those beyond its elements; a missing one stops it before its first element
+            asked = other.where("code = 0 AND container = '_tuple'").select("row_id", "at", "top", F.explode(F.array_distinct("tuple_types")).alias("descriptor"))
+            ruled = rules.where("path = ''").select("descriptor")
+            asked = asked.join(ruled, "descriptor", "left_anti")
+            asked = asked.join(descriptors.select(F.col("term").alias("descriptor"), "is_descriptor"), "descriptor", "left")
+            fault = F.when(F.col("is_descriptor").isNull(), 30).when(~F.col("is_descriptor"), 5).otherwise(28)
+            marks.append(asked.select("row_id", "at", fault.alias("code"), "top", F.lit(None).cast(_CHANGE).alias("change")))
+        if "_dict" in containers:
+            dicts = other.where("code = 0 AND container = '_dict'")
+            late = dicts.where("value_fault IS NOT NULL").select("row_id", F.concat("at", F.array(F.lit(1))).alias("at"), F.col("value_fault").alias("code"), "top", F.lit(None).cast(_CHANGE).alias("change"))
+            marks.append(late)
+            pairs = dicts.select("*", F.posexplode(F.map_entries(F.expr("try_cast(value AS map<string, variant>)"))).alias("pos", "e"))
+            same = {"descriptor": F.col("descriptor"), "field": F.col("field"), "top": F.col("top"), "nest": F.col("nest") + 1, "origin": F.lit("section")}
+            step = lambda k: F.concat("at", F.array(F.lit(k), F.col("pos")))
+            inner.append(_items(pairs, at=step(0), link=F.lit("k"), path=F.concat("path", F.lit("/k")), value=F.col("e.key").cast("variant"), **same))
+            inner.append(_items(pairs, at=step(1), link=F.lit("v"), path=F.concat("path", F.lit("/v")), value=F.col("e.value"), **same))
+        as_object = F.lit(False)
+        if "_type_object" in types:
+            as_object = (F.col("type") == "_type_object") & F.col("kind").startswith("OBJECT")
+            any_kind = F.coalesce(F.array_contains("kinds", "_any-object"), F.lit(False)) | (F.size(F.coalesce("kinds", F.array().cast("array<string>"))) == 0)
+            inner.append(_items(leaf.where(as_object), at=F.col("at"), link=F.col("link"), origin=F.lit("object"), value=F.col("value"), field=F.col("field"), top=F.col("top"), kinds=F.when(~any_kind, F.col("kinds"))))
+        if open_ended or level == 0:
+            seen, props = _opened(objects, structures)
+            marks.append(seen.where("code <> 0").select("row_id", "at", "code", "top", F.lit(None).cast(_CHANGE).alias("change")))
+            inner.append(props)
+            if nodes:
+                found.append(seen.select("row_id", "at", "link", F.col("field").alias("label"), F.when(F.col("code") == 0, "o").alias("shape"), "field", F.to_json("value").alias("json")))
+        if nodes:
+            found.append(leaf.where(~F.coalesce(as_object, F.lit(False))).select("row_id", "at", "link", F.col("field").alias("label"), F.lit(None).cast("string").alias("shape"), "field", "json"))
+            shape = F.when(F.col("code") == 0, F.when(F.col("container") == "_dict", "d").when(F.col("container") == "_set", "s").when(F.col("container").isin("_array", "_tuple"), "l"))
+            found.append(other.select("row_id", "at", "link", F.col("field").alias("label"), shape.alias("shape"), "field", F.to_json("value").alias("json")))
+        if not inner:
+            break
+        here = reduce(DataFrame.unionByName, inner)
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union(marks), union(found) if nodes else None
+
+
+def fold(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row_id, json) of whole records, and (row_id, at, change) of sets that lost repeats, from the nodes of ``_walk``.
+
+    Containers are put together again from the deepest paths up: elements in order, sets without repeats, properties by name, dictionaries
+    under their corrected keys (the later of two that became equal stays). A round groups the nodes of one depth by their parents.
+    """
+    nodes = cut(nodes.withColumn("depth", F.size("at")))
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    none = nodes.sparkSession.createDataFrame([], f"row_id {nodes.schema['row_id'].dataType.simpleString()}, at array<int>, change {_CHANGE}")
+    if deepest is None:
+        return nodes.select("row_id", "json"), none
+    done, dropped = {}, []
+    children = F.array_sort(F.collect_list(F.struct(F.element_at("at", -1).alias("pos"), "label", "json")))
+    for depth in range(deepest, -1, -1):
+        here = nodes.where(F.col("depth") == depth)
+        parent = lambda down: F.slice("at", 1, F.lit(depth)).alias("at")
+        out = here
+        if depth + 1 in done:
+            steps = done[depth + 1].where("link = 'e'")
+            out = out.join(steps.groupBy("row_id", parent(1)).agg(children.alias("below")), ["row_id", "at"], "left")
+        else:
+            out = out.withColumn("below", F.array().cast("array<struct<pos:int,label:string,json:string>>"))
+        if depth + 2 in done:
+            pairs = done[depth + 2].where("link IN ('k', 'v')").groupBy("row_id", parent(2), F.element_at("at", -1).alias("pos"))
+            pairs = pairs.agg(F.max(F.when(F.col("link") == "k", F.col("json"))).alias("key"), F.max(F.when(F.col("link") == "v", F.col("json"))).alias("json"))
+            kept = pairs.groupBy("row_id", "at", "key").agg(F.max_by("json", "pos").alias("json"))
+            entries = kept.groupBy("row_id", "at").agg(F.array_sort(F.collect_list(F.concat("key", F.lit(":"), "json"))).alias("entries"))
+            out = out.join(entries, ["row_id", "at"], "left")
+        else:
+            out = out.withColumn("entries", F.array().cast("array<string>"))
+        parts = F.coalesce(F.transform("below", lambda c: c["json"]), F.array().cast("array<string>"))
+        named = F.transform("below", lambda c: F.concat(F.to_json(c["label"].cast("variant")), F.lit(":"), c["json"]))
+        listed = lambda x: F.concat(F.lit("["), F.array_join(x, ","), F.lit("]"))
+        braced = lambda x: F.concat(F.lit("{"), F.coalesce(F.array_join(x, ","), F.lit("")), F.lit("}"))
+        shape = F.col("shape")
+        single = F.array_distinct(parts)
+        whole = F.when(shape == "l", listed(parts)).when(shape == "s", listed(single)).when(shape == "o", braced(named)).when(shape == "d", braced(F.col("entries"))).otherwise(F.col("json"))
+        lost = F.when((shape == "s") & (F.size(single) < F.size(parts)), F.struct(change_hash(F.col("field"), whole).alias("hash"), "field", F.col("json").alias("original"), whole.alias("resolved")).cast(_CHANGE))
+        out = cut(out.select("row_id", "at", "link", "label", whole.alias("json"), lost.alias("change")))
+        done[depth] = out
+        dropped.append(out.where("change IS NOT NULL").select("row_id", "at", "change"))
+    return done[0].select("row_id", "json"), reduce(DataFrame.unionByName, dropped)
+
+
+def _nested(d: Dictionary, rules: DataFrame, here: DataFrame, structures, descriptors, expect_terms: bool, levels: int | None, options: tuple) -> DataFrame:
+    """(row_id, first STRUCT<at, code, top>, changes, json): the verdict on each row of the worklist ``here``; ``json`` where it was corrected."""
+    sections = rules.select("path", "container", "type").distinct().collect()
+    containers, types = {r["container"] for r in sections}, {r["type"] for r in sections}
+    deepest = 1 + max((r["path"].count("/") for r in sections), default=0)
+    corrects = "_set" in containers or "_type_number_timestamp" in types or (options[0] is not None and "_type_string_enum" in types)
+    marks, nodes = _walk(d, rules, here, structures, descriptors, expect_terms, types, containers, deepest, levels, options, corrects)
+    marks = cut(marks) if corrects else marks
+    first = F.min(F.when(F.col("code") != 0, F.struct("at", "code", "top")))
+    if not corrects:
+        none = F.array().cast(f"array<{_CHANGE}>")
+        return marks.groupBy("row_id").agg(first.alias("first")).select("row_id", "first", none.alias("changes"), F.lit(None).cast("string").alias("json"))
+    changed = marks.where("change IS NOT NULL").select("row_id")
+    if "_set" in containers:
+        changed = changed.unionByName(nodes.where("shape = 's'").select("row_id"))
+    failed = marks.where("code <> 0").select("row_id").distinct()
+    touched = changed.distinct().join(failed, "row_id", "left_anti")
+    whole, dropped = fold(nodes.join(touched, "row_id", "left_semi"))
+    verdicts = marks.unionByName(dropped.select("row_id", "at", F.lit(0).alias("code"), F.lit(None).cast("string").alias("top"), "change"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("change").isNotNull(), F.struct("at", "change"))))
+    found = verdicts.groupBy("row_id").agg(first.alias("first"), ordered.alias("changed"))
+    # a record's corrections end with its first error
+    before = F.filter("changed", lambda c: F.col("first").isNull() | (c["at"] < F.col("first.at")))
+    out = found.select("row_id", "first", F.transform(before, lambda c: c["change"]).alias("changes"))
+    return out.join(whole, "row_id", "left")
+
+
 def validate(
     d: Dictionary,
     rules: DataFrame,
@@ -204,96 +417,39 @@ def validate(
     expect_types: bool = False,
     allow_default: bool = False,
     levels: int | None = None,
-    within: bool = False,
+    structures: DataFrame | None = None,
+    descriptors: DataFrame | None = None,
+    expect_terms: bool = True,
 ) -> DataFrame:
     """V1, V2: (row_id, descriptor, code, value, resolved, changes) for each row of (row_id, descriptor, value VARIANT).
 
-    Plain scalars are checked by a projection. The elements of containers are grouped again by ``row_id``, so no two values of
-    containers may share one; ``within`` says that there are only such. ``columns.status_name`` names a code.
+    Plain scalars are checked by a projection. Other values are followed as deep as they go, through containers, through the types of tuples and
+    through objects of ``_type_object`` rules, whose kinds ``structures`` (by default the dictionary's) describe; see ``validate_objects`` for
+    their properties. What lies inside is grouped again by ``row_id``, so no two such rows may share one. ``columns.status_name`` names a code.
 
-    ``resolved`` is the corrected value as JSON, the given one if nothing changed; corrections cover scalars, arrays and sets of scalars.
-    Unknown descriptors have code 28. Values are followed as deep as the rules go, through the types of tuples as deep as the values go;
-    with ``levels``, containers whose elements lie beyond have code 53. Of ``_type_object`` values only that they are objects is
-    checked here; ``validate_objects`` follows them. ``changes``: array of (hash, field, original, resolved), all as text.
+    ``resolved`` is the corrected value as JSON, the given one if nothing changed or the code is not 0. Unknown descriptors have code 28. A type of
+    a tuple that is no term has code 30, one that is no descriptor 5, one without a rule 28. With ``levels``, containers whose
+    elements lie beyond have code 53. ``changes``: array of (hash, field, original, resolved), all as text, in order, up to the first error.
     """
+    options = (resolve_field, expect_types, allow_default)
     # which sections and types occur decides what the plan needs; both are small closed sets
     sections = rules.select("path", "container", "type").distinct().collect()
-    containers, types = {r["container"] for r in sections}, {r["type"] for r in sections}
-    options = (resolve_field, expect_types, allow_default)
-    nested = [r for r in sections if r["path"] or r["container"] != "_scalar"]
+    nested = [r for r in sections if r["path"] or r["container"] != "_scalar" or r["type"] == "_type_object"]
+    types = {r["type"] for r in sections}
     if not nested:
         return _plain(d, rules, rows, types, *options)
-    if len(nested) < len(sections) and not within:
-        grouped = rules.where("path = '' AND (container <> '_scalar' OR container IS NULL)").select("descriptor").distinct()
-        plain = _plain(d, rules, rows.join(grouped, "descriptor", "left_anti"), types, *options)
-        return plain.unionByName(validate(d, rules, rows.join(grouped, "descriptor", "left_semi"), *options, levels, within=True))
-    deepest = 1 + max((r["path"].count("/") for r in sections), default=0)
-    followed = "_tuple" in containers and levels is None  # a tuple's types are descriptors with rules of their own
-    if "_tuple" not in containers:
-        levels = min(levels or deepest, deepest)
-    known = rules.select("descriptor").distinct().withColumn("known", F.lit(True))
-    here = rows.select("row_id", "descriptor", F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), "value", F.col("descriptor").alias("field"))
-    scalars, failures = [], []
-    for level in itertools.count():
-        if level == levels or (followed and level >= deepest and here.isEmpty()):
-            break
-        joined = here.join(rules, ["descriptor", "path"]).withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
-        leaf = joined.where(F.col("container").isin("_scalar", "_set_scalar", "_dict_key"))
-        scalars.append(leaf)
-        n = F.size(F.expr("try_cast(value AS array<variant>)"))
-        lists = joined.where(F.col("container").isin("_array", "_set", "_tuple")).withColumn("n", F.when(F.col("kind").startswith("ARRAY"), n))
-        wrong = F.when(F.col("n").isNull(), F.when(F.col("container") == "_tuple", 44).otherwise(35))
-        sized = F.when(F.col("container") != "_tuple", F.when(F.col("n") < F.col("min_items"), 36).when(F.col("n") > F.col("max_items"), 37))
-        many = F.size("tuple_types")
-        low, high = F.col("min_items"), F.col("max_items")
-        shape = F.when(
-            F.col("container") == "_tuple",
-            F.when(F.col("tuple_types").isNull(), 48)
-            .when(low > many, 50)
-            .when(F.col("n") < low, 45)
-            .when(high > many, 51)
-            .when(F.col("n") > high, 46)
-            .when(low.isNull() & high.isNull() & (F.col("n") != many), 49),
-        )
-        lists = lists.withColumn("code", F.coalesce(wrong, sized, shape, F.lit(0)))
-        dicts = joined.where("container = '_dict'").withColumn("code", F.when(~F.col("kind").startswith("OBJECT"), 31).otherwise(0))
-        if level + 1 == levels:
-            beyond = lambda x, n: x.withColumn("code", F.when((F.col("code") == 0) & (n > 0), 53).otherwise(F.col("code")))
-            lists, dicts = beyond(lists, F.col("n")), beyond(dicts, F.size(F.expr("try_cast(value AS map<string, variant>)")))
-        bare = joined.where("container IS NULL").withColumn("code", F.lit(-1 if expect_types else 0))
-        used = [lists] * bool(containers & {"_array", "_set", "_tuple"}) + [dicts] * ("_dict" in containers) + [bare] * (None in containers)
-        failures += [x.where("code <> 0").select("row_id", "at", "code") for x in used]
-        if level + 1 != levels:
-            good = lists.where("code = 0").select("row_id", "descriptor", "path", "at", "value", "field", "container", "tuple_types")
-            elements = good.select("*", F.posexplode(F.expr("try_cast(value AS array<variant>)")).alias("pos", "element"))
-            typed = F.when(F.col("container") == "_tuple", F.element_at("tuple_types", F.least(F.col("pos") + 1, F.size("tuple_types")))).otherwise(F.col("descriptor"))
-            path = F.when(F.col("container") == "_tuple", F.lit("")).otherwise(F.concat("path", F.lit("/e")))
-            inner = elements.select("row_id", typed.alias("descriptor"), path.alias("path"), F.concat("at", F.array("pos")).alias("at"), F.col("element").alias("value"), "field")
-            pairs = dicts.where("code = 0").select("row_id", "descriptor", "path", "at", "field", F.posexplode(F.map_entries(F.expr("try_cast(value AS map<string, variant>)"))).alias("pos", "e"))
-            keys = pairs.select("row_id", "descriptor", F.concat("path", F.lit("/k")).alias("path"), F.concat("at", F.array(F.lit(0), F.col("pos"))).alias("at"), F.col("e.key").cast("variant").alias("value"), "field")
-            values = pairs.select("row_id", "descriptor", F.concat("path", F.lit("/v")).alias("path"), F.concat("at", F.array(F.lit(1), F.col("pos"))).alias("at"), F.col("e.value").alias("value"), "field")
-            here = inner if "_dict" not in containers else inner.unionByName(keys).unionByName(values)
-            here = cut(here) if followed and level + 1 >= deepest else here
-    leaf = _checked(d, reduce(DataFrame.unionByName, scalars), types, *options)
-    empty = [F.lit(None).cast(leaf.schema["change"].dataType).alias("change"), F.lit(None).cast("string").alias("json"), F.lit("").alias("container")]
-    marks = reduce(DataFrame.unionByName, [leaf, *(x.select("row_id", "at", "code", *empty) for x in failures)])
-    found = marks.groupBy("row_id").agg(
-        F.min(F.when(F.col("code") != 0, F.struct("at", "code"))).alias("first"),
-        F.array_sort(F.collect_list(F.when(F.col("change").isNotNull(), F.struct("at", "change")))).alias("changed"),
-        F.array_sort(F.collect_list(F.struct("at", "json", "container"))).alias("parts"),
-    )
-    out = rows.join(known, "descriptor", "left").join(found, "row_id", "left")
-    code = F.when(F.col("known").isNull(), 28).otherwise(F.coalesce("first.code", F.lit(0)))
-    flat = F.forall("parts", lambda p: F.size(p["at"]) == 1)
-    items = F.transform("parts", lambda p: p["json"])
-    items = F.when(F.exists("parts", lambda p: p["container"] == "_set_scalar"), F.array_distinct(items)).otherwise(items)
-    rebuilt = F.when(F.size("parts") == 0, None).when(F.size(F.element_at("parts", 1)["at"]) == 0, F.element_at("parts", 1)["json"]).when(flat, F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
-    given = F.to_json("value")
-    resolved = F.when((F.coalesce(F.size("parts"), F.lit(0)) > 0) & (code == 0), F.coalesce(rebuilt, given)).otherwise(given)
-    dropped = F.when((code == 0) & flat & (F.size("parts") > F.size(items)), F.array(F.struct(change_hash(F.col("descriptor"), resolved).alias("hash"), F.col("descriptor").alias("field"), given.alias("original"), resolved.alias("resolved"))))
-    none = F.array().cast(f"array<{leaf.schema['change'].dataType.simpleString()}>")
-    changes = F.concat(F.coalesce(F.transform("changed", lambda c: c["change"]), none), F.coalesce(dropped.cast(none_type(leaf)), none))
-    return out.select("row_id", "descriptor", code.alias("code"), "value", resolved.alias("resolved"), changes.alias("changes"))
+    deep = rules.where("path = '' AND (container <> '_scalar' OR container IS NULL OR type = '_type_object')").select("descriptor").distinct()
+    inside = rows.join(deep, "descriptor", "left_semi").select("row_id", "descriptor", "value")
+    here = _items(inside, at=F.array().cast("array<int>"), link=F.lit("e"), origin=F.lit("top"), descriptor=F.col("descriptor"), value=F.col("value"), field=F.col("descriptor"))
+    if descriptors is None:
+        descriptors = d.terms.select(F.col("_key").alias("term"), F.col("_data").isNotNull().alias("is_descriptor"))
+    found = _nested(d, rules, here, _structures(d, structures), descriptors, expect_terms, levels, options)
+    out = inside.join(found, "row_id", "left")
+    code, given = F.coalesce("first.code", F.lit(0)), F.to_json("value")
+    resolved = F.when(code == 0, F.coalesce("json", given)).otherwise(given)
+    none = F.array().cast(f"array<{_CHANGE}>")
+    report = out.select("row_id", "descriptor", code.alias("code"), "value", resolved.alias("resolved"), F.coalesce("changes", none).alias("changes"))
+    return report.unionByName(_plain(d, rules, rows.join(deep, "descriptor", "left_anti"), types, *options))
 
 
 def validate_zipped(d: Dictionary, rules: DataFrame, rows: DataFrame, **options) -> DataFrame:
@@ -313,10 +469,6 @@ def validate_any(d: Dictionary, rules: DataFrame, rows: DataFrame, **options) ->
     return (validate_objects if "object" in rows.columns else validate)(d, rules, rows, **options)
 
 
-def none_type(leaf: DataFrame) -> str:
-    return f"array<{leaf.schema['change'].dataType.simpleString()}>"
-
-
 def summary(report: DataFrame, *keys: str) -> DataFrame:
     """Counters of valid rows, warnings and errors, and the worst status: -1 error, 1 change, 0 fine."""
     error, changed = F.col("code") != 0, (F.col("code") == 0) & (F.size("changes") > 0)
@@ -357,47 +509,31 @@ def validate_objects(
     structures: DataFrame | None = None,
     descriptors: DataFrame | None = None,
     expect_terms: bool = True,
-    **options,
+    resolve_field: str | None = None,
+    expect_types: bool = False,
+    allow_default: bool = False,
+    levels: int | None = None,
 ) -> DataFrame:
-    """(row_id, code, property, changes) for each row of (row_id, object VARIANT[, kinds]).
-
-    Properties are named by descriptors. ``structures`` are rules from ``structure_rules``; an object with ``kinds`` must satisfy one of them,
-    else its code is 34. ``descriptors``: (term, is_descriptor) of names that are known terms; other names have code 32 with
-    ``expect_terms`` and are passed over without, terms that are no descriptors have code 29. Values whose rule is ``_type_object`` are
-    objects of the rule's kinds, or of any with none or ``_any-object``; they are checked in the same way, however deep they lie.
+    """(row_id, code, property, resolved, changes) for each row of (row_id, object VARIANT[, kinds]).
+
+    Properties are named by descriptors. ``structures`` are rules from ``structure_rules``, by default those of the dictionary's terms; an object
+    with ``kinds`` must satisfy one of them, else its code is 34. ``descriptors``: (term, is_descriptor) of names that are known terms; other
+    names have code 32 with ``expect_terms`` and are passed over without, terms that are no descriptors have code 29. Values whose
+    rule is ``_type_object`` are objects of the rule's kinds, or of any with none or ``_any-object``; they are checked in the same way, wherever
+    and however deep they lie. ``property`` is the property of the record itself in which the first error lies. ``resolved`` is the corrected
+    object as JSON, with the properties by name; the given one if nothing changed or the code is not 0.
     """
-    is_object = F.coalesce(F.schema_of_variant("object"), F.lit("VOID")).startswith("OBJECT")
-    base = objects.withColumn("props", F.when(is_object, F.expr("try_cast(object AS map<string, variant>)")))
-    code = F.when(F.col("props").isNull(), 31)
-    base = base.withColumn("own", code)
-    if structures is not None and "kinds" in objects.columns:
-        tried = base.where("props IS NOT NULL AND kinds IS NOT NULL").select("row_id", F.map_keys("props").alias("keys"), F.explode("kinds").alias("structure"))
-        passed = tried.join(structures, "structure").withColumn("ok", structure_holds(F.col("keys"))).groupBy("row_id").agg(F.bool_or("ok").alias("ok"))
-        base = base.join(passed, "row_id", "left").withColumn("own", F.coalesce("own", F.when(F.col("kinds").isNotNull() & ~F.coalesce("ok", F.lit(False)), 34)))
-    props = base.where("own IS NULL").select(F.col("row_id").alias("object_id"), F.posexplode(F.map_entries("props")).alias("pos", "e"))
-    rows = props.select("object_id", "pos", F.struct("object_id", "pos").alias("row_id"), F.col("e.key").alias("descriptor"), F.col("e.value").alias("value"))
-    report = validate(d, rules, rows, **options)
+    kinds = F.col("kinds") if "kinds" in objects.columns else F.lit(None).cast("array<string>")
+    here = _items(objects, at=F.array().cast("array<int>"), link=F.lit("e"), origin=F.lit("object"), value=F.col("object"), kinds=kinds)
     if descriptors is None:
         descriptors = d.terms.select(F.col("_key").alias("term"), F.col("_data").isNotNull().alias("is_descriptor"))
-    report = report.join(descriptors.withColumnRenamed("term", "descriptor"), "descriptor", "left")
-    unknown = F.when(F.col("is_descriptor").isNull(), 32 if expect_terms else 0).when(~F.col("is_descriptor"), 29)
-    report = report.withColumn("code", F.when(F.col("code") == 28, F.coalesce(unknown, F.lit(29))).otherwise(F.col("code")))
-    follow = rules.where("path = '' AND container = '_scalar' AND type = '_type_object'")
-    if not follow.isEmpty():
-        kinds = F.when(~F.coalesce(F.array_contains("kinds", "_any-object"), F.lit(False)) & (F.size("kinds") > 0), F.col("kinds"))
-        inside = rows.join(follow.select("descriptor", "kinds"), "descriptor").where(F.schema_of_variant("value").startswith("OBJECT"))
-        nested = cut(inside.select("row_id", F.col("value").alias("object"), kinds.alias("kinds")))
-        if not nested.isEmpty():
-            inner = validate_objects(d, rules, nested, structures, descriptors, expect_terms, **options)
-            report = report.join(inner.select("row_id", F.col("code").alias("_code"), F.col("changes").alias("_changes")), "row_id", "left")
-            report = report.withColumn("code", F.when(F.col("code") == 0, F.coalesce("_code", F.lit(0))).otherwise(F.col("code")))
-            report = report.withColumn("changes", F.concat("changes", F.coalesce("_changes", F.array().cast(report.schema["changes"].dataType)))).drop("_code", "_changes")
-    worst = report.groupBy(F.col("row_id.object_id").alias("row_id")).agg(
-        F.min(F.when(F.col("code") != 0, F.struct("row_id.pos", "code", "descriptor"))).alias("first"), F.flatten(F.collect_list("changes")).alias("changes")
-    )
-    out = base.select("row_id", "own").join(worst, "row_id", "left")
-    none = F.array().cast(report.schema["changes"].dataType)
-    return out.select("row_id", F.coalesce("own", "first.code", F.lit(0)).alias("code"), F.col("first.descriptor").alias("property"), F.coalesce("changes", none).alias("changes"))
+    wanted = _structures(d, structures) if "kinds" in objects.columns or structures is not None or not rules.where("type = '_type_object'").isEmpty() else None
+    found = _nested(d, rules, here, wanted, descriptors, expect_terms, levels, (resolve_field, expect_types, allow_default))
+    out = objects.select("row_id", "object").join(found, "row_id", "left")
+    code, given = F.coalesce("first.code", F.lit(0)), F.to_json("object")
+    resolved = F.when(code == 0, F.coalesce("json", given)).otherwise(given)
+    none = F.array().cast(f"array<{_CHANGE}>")
+    return out.select("row_id", code.alias("code"), F.col("first.top").alias("property"), resolved.alias("resolved"), F.coalesce("changes", none).alias("changes"))
 
 
 def edge_keys(edges: DataFrame) -> DataFrame:
