@@ -193,12 +193,25 @@ def _asked(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
 
 
 def _summed(asked: DataFrame) -> DataFrame:
-    """(slot, key, n): each distinct key with its count over all chunks."""
+    """(slot, key, n): each distinct key with its count over all chunks.
+
+    Lists wait until they hold as many keys as the sum so far, then all are sorted and added up at once: the work follows the keys, times the
+    logarithm of their number, however many lists there are.
+    """
 
     def of_slot(lists: pd.DataFrame) -> pd.DataFrame:
+        waiting, held, least = [], 0, 1 << 16
         keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
-        for some, counts in zip(lists["keys"], lists["counts"], strict=True):
-            keys, n = _added(keys, n, _unpack_keys(some), _unpack(counts))
+        for k, (some, counts) in enumerate(zip(lists["keys"], lists["counts"], strict=True)):
+            waiting.append((_unpack_keys(some), _unpack(counts)))
+            held += len(waiting[-1][0])
+            if held >= max(least, len(keys)) or k + 1 == len(lists):
+                keys, n = (np.concatenate([own, *(w[j] for w in waiting)]) for j, own in enumerate((keys, n)))
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.empty(0, np.int64)
+                keys, n = keys[starts], np.add.reduceat(n, starts) if len(starts) else n
+                waiting, held = [], 0
         return pd.DataFrame({"slot": lists["slot"].iloc[0], "key": keys, "n": n})
 
     return asked.groupBy("slot").applyInPandas(of_slot, "slot int, key long, n long")
@@ -357,7 +370,7 @@ def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 12 << 20) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     chunks = bucketed(_chunks(rows, chunk_bytes), "chunk", max(8, 4 * rows.rdd.getNumPartitions()))
     buckets = max(1, -(-2 * (chunks.agg(F.sum("size")).first()[0] or 0) // chunk_bytes))
-    slots = min(2 * buckets, 10_000)
+    slots = min(2 * buckets, int(rows.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     asked = bucketed(_asked(chunks, depth, buckets).repartition(slots, "slot"), "slot", slots)
     summed = materialized(_summed(asked))
     is_word = F.col("slot") % 2 == WORD
