@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from glossaria.llm import language_id, quality_rules
@@ -27,6 +29,41 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_texts_of_two_languages_and_of_none_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"), 5)))
+    by: dict[str, list[str]] = {}
+    for r in docs.where("text IS NOT NULL AND lang IS NOT NULL AND n_chars > 300").select("lang", "text").collect():
+        by.setdefault(r["lang"], []).append(r["text"])
+    rng = random.Random(3)
+    mixed, noise = [], []
+    for _ in range(200):
+        a, b = (rng.choice(by[k]) for k in rng.sample(sorted(by), 2))
+        n = min(len(a), len(b))
+        mixed.append(f"{a[:n]} {b[:n]}")
+        noise.append(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(10, 400))))
+
+    def rejected(texts):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string")
+        return language_id.identify(rows, model).where("rejected").count() / len(texts)
+
+    assert rejected(mixed) > 0.5 and rejected(noise) > 0.8
+    own = language_id.identify(docs.where("text IS NOT NULL AND lang IS NOT NULL"), model)
+    assert own.where("rejected").count() < 0.02 * own.count()
+
+
+def test_ties_go_to_the_first_language_and_are_rejected(spark):
+    model = language_id.LanguageModel({"a": b"the cat sat " * 9, "b": b"the cat sat " * 9})
+    out = language_id.identify(spark.createDataFrame([("the cat",)], "text string"), model).first()
+    assert (out["lang_pred"], out["margin"], out["rejected"]) == ("a", 0.0, True)
+
+
+def test_large_ids_beside_nulls(spark):
+    model = language_id.LanguageModel({"a": b"the cat sat ", "b": b"le chat "})
+    rows = spark.createDataFrame([(2**60 + 1, "the cat"), (None, "le chat")], "doc_id long, text string")
+    assert {r["doc_id"] for r in language_id.identify(rows, model).collect()} == {2**60 + 1, None}
+
+
 def test_every_language_and_whole_texts_teach(spark):
     words = {f"l{k:03d}": chr(0x4E00 + k) * 3 for k in range(80)}
     train = spark.createDataFrame([(f"{'q ' * 3000}{w} {w}", lang) for lang, w in words.items()], "text string, lang string")
@@ -45,8 +82,12 @@ def test_sizes_equal_the_library(spark):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=model.level)
         c = zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-        sizes.append(sum(len(c.compress(data[k : k + model.block_bytes])) for k in range(0, len(data), model.block_bytes)))
-    assert out["lang_pred"] == ("en" if sizes[0] <= sizes[1] else "fr") and abs(out["margin"] - abs(sizes[0] - sizes[1]) / max(sizes)) < 1e-12
+        parts = -(-len(data) // model.block_bytes)
+        cuts = [len(data) * k // parts for k in range(parts + 1)]
+        sizes.append([len(c.compress(data[a:b])) for a, b in zip(cuts, cuts[1:])])
+    best = int(sum(sizes[1]) < sum(sizes[0]))
+    margins = [(y - x) / y for x, y in zip(sizes[best], sizes[1 - best])]
+    assert len(margins) > 1 and out["lang_pred"] == ["en", "fr"][best] and abs(out["margin"] - min(margins)) < 1e-12
 
 
 def test_training_ignores_held_out(spark):
