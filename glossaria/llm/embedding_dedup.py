@@ -102,13 +102,15 @@ def near_vectors(
 
     Only vectors of equal label and length are compared. Null labels, and vectors that are null, empty, zero or hold null or non-finite
     components, link with nothing and are kept. Equal vectors of a label are compared once and count as links of each
-    other. Rows with a null key link with nothing; rows that repeat a key count as copies. Other columns play no part.
+    other. Rows with a null key link with nothing. Rows that repeat a key are vectors of their own, linked only by what they hold; the least
+    key of a component names it. Other columns play no part.
 
     Vectors that share a filter meet in a join by label and filter, whose hot keys adaptive execution splits.
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("e"), F.col(label).alias("label"))
     usable = rows.where(_usable(F.col("e"), F.col("label")) & F.col("vec_id").isNotNull())
-    classes = materialized(usable.groupBy("label", "e").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    classes = usable.groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = materialized(classes.withColumn("node", F.monotonically_increasing_id()))
 
     largest = classes.groupBy("label", F.size("e").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     plans = {r["dim"]: plan(r["dim"], r["n"], least, target) for r in largest}
@@ -143,8 +145,11 @@ def near_vectors(
     both = linked.select("node", F.col("other_copies").alias("n")).unionByName(linked.select(F.col("other").alias("node"), F.col("copies").alias("n")))
     links = both.groupBy("node").agg(F.sum("n").alias("n"))
     groups = components(linked.select(F.col("node").alias("hub"), F.col("other").alias("node")))
-    known = classes.join(links, "node", "left").join(groups, "node", "left")
-    known = materialized(known.select("label", "e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("c")))
+    # classes are known by numbers, as several may share an id; a component is named by the least id of its classes
+    whole = materialized(groups.join(classes.select("node", "least"), "node"))
+    named = whole.groupBy("component").agg(F.min("least").alias("c"))
+    known = classes.join(links, "node", "left").join(whole.select("node", "component"), "node", "left").join(named, "component", "left")
+    known = materialized(known.select("label", "e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("c", "least").alias("c")))
     good = usable.join(known, ["label", "e"]).select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     rest = rows.where(~_usable(F.col("e"), F.col("label")) | F.col("vec_id").isNull())
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

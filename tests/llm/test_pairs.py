@@ -152,6 +152,14 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_stay_apart(spark):
+    a, b = [1.0] + [0.0] * 15, [0.0, 1.0] + [0.0] * 14
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a), 0), (3, near(b), 0), (1, a, 1), (9, a, 2), (9, a, 2)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (9, 1, 9), (9, 1, 9)]
+
+
 def test_decoding_lists_every_cap():
     caps = CapFilters(15, blocks=3, code=6, each=5)
     x = np.random.default_rng(7).standard_normal((30, 15))
