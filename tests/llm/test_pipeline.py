@@ -39,3 +39,14 @@ def test_repeated_ids_lose_no_text(spark):
     kept = corpus_pipeline.near_duplicate(spark, odd, "")
     texts = sorted(r["text"][:1] for r in kept.collect())
     assert texts == ["", "a", "b", "z"] and kept.columns == odd.columns
+
+
+def test_extra_columns_pass_through(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    odd = {c: -5 for c in ("n_words", "kept", "margin", "rejected", "_row", "lang_pred")} | {"score": "own"}
+    for c, v in odd.items():
+        docs = docs.withColumn(c, F.lit(v))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        assert {tuple(r) for r in out.select(*odd).distinct().collect()} <= {tuple(odd.values())}, name
