@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm.common import held_out, materialized
@@ -12,18 +12,30 @@ from glossaria.llm.packing import pack_texts
 from glossaria.llm.quality_rules import score
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The rows under names that no operator adds, but for ``text``, and what gives the columns their own names again."""
+    names = [c if c == "text" else f"column_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is clear; the model learns from the documents of the training folds.
 
-    A null text, or one without letters, has no language and goes. Rows with a null id count as training rows.
+    A null text, or one without letters, has no language and goes. Rows with a null id count as training rows, repeated rows are judged each
+    on its own, and all columns pass through unchanged, whatever their names.
     """
     model = fit(docs.where(~held_out(F.col("doc_id"), 5)))
-    return identify(docs, model).where(~F.col("rejected")).select(docs.columns)
+    rows, own = _apart(docs)
+    return identify(rows, model).where(~F.col("rejected")).select(own)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that pass all rules; null and empty texts have no words and go."""
-    return score(docs).where("kept").select(docs.columns)
+    """Keep documents that pass all rules; null and empty texts have no words and go.
+
+    Repeated rows are judged each on its own, and all columns pass through unchanged, whatever their names.
+    """
+    rows, own = _apart(docs)
+    return score(rows).where("kept").select(own)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
