@@ -47,7 +47,7 @@ def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataF
 
     here = definitions.select("descriptor", F.lit("").alias("path"), F.col("definition").alias("v"), F.lit("data").alias("role"))
     out = []
-    while len(out) < levels if levels is not None else not here.isEmpty():
+    while not out or len(out) != levels and not here.isEmpty():
         container = F.coalesce(*[F.when(section(F.col("v"), c).isNotNull(), c) for c in model.CONTAINERS])
         data = here.where("role = 'data'").withColumn("container", container)
         data = data.withColumn("s", F.coalesce(*[section(F.col("v"), c) for c in model.CONTAINERS]))
@@ -69,13 +69,10 @@ def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataF
         sets = data.where("container = '_set'").select("descriptor", F.concat("path", F.lit("/e")).alias("path"), section(F.col("s"), "_set_scalar").alias("v"), F.lit("_set_scalar").alias("role"))
         dict_key = data.where("container = '_dict'").select("descriptor", F.concat("path", F.lit("/k")).alias("path"), section(F.col("s"), "_dict_key").alias("v"), F.lit("_dict_key").alias("role"))
         dict_value = data.where("container = '_dict'").select("descriptor", F.concat("path", F.lit("/v")).alias("path"), section(F.col("s"), "_dict_value").alias("v"), F.lit("data").alias("role"))
-        here = reduce(DataFrame.unionByName, (array, sets, dict_key, dict_value)).where("v IS NOT NULL")
-        here = cut(here) if levels is None else here  # four branches a level
-    if not out:
-        return descriptor_rules(definitions, 1)
+        here = cut(reduce(DataFrame.unionByName, (array, sets, dict_key, dict_value)).where("v IS NOT NULL"))  # four branches a level
     rules = reduce(DataFrame.unionByName, out)
     rules = rules.select("descriptor", "path", "container", "r.*", "tuple_types", "fault", "value_fault", "n_fields")
-    return cut(rules) if levels is None else rules
+    return cut(rules)
 
 
 def _bounds(name: str) -> dict[str, Column]:
@@ -200,7 +197,6 @@ def _checked(d: Dictionary, leaves: DataFrame, types: set[str | None], resolve_f
 
 _CHANGE = "struct<hash:string,field:string,original:string,resolved:string>"
 _ITEM = ("row_id", "at", "link", "origin", "descriptor", "path", "value", "field", "top", "nest", "kinds")
-_NODE = ("row_id", "at", "link", "label", "shape", "field", "json")
 _MARK = ("row_id", "at", "code", "top", "change")
 
 
@@ -222,8 +218,8 @@ def _structures(d: Dictionary, structures: DataFrame | None) -> DataFrame:
     return structure_rules(d.terms.where("_rule IS NOT NULL").select(F.col("_key").alias("structure"), F.col("_rule").alias("definition")))
 
 
-def _opened(objects: DataFrame, structures: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Marks of objects that no kind's rule admits, and the properties of the others as values."""
+def _opened(objects: DataFrame, structures: DataFrame | None) -> DataFrame:
+    """Objects with their ``props`` and the ``code`` of those that are none, or that no kind's rule admits."""
     is_object = F.coalesce(F.schema_of_variant("value"), F.lit("VOID")).startswith("OBJECT")
     here = objects.withColumn("props", F.when(is_object, F.expr("try_cast(value AS map<string, variant>)")))
     code = F.when(F.col("props").isNull(), 31)
@@ -232,11 +228,7 @@ def _opened(objects: DataFrame, structures: DataFrame | None) -> tuple[DataFrame
         passed = tried.join(structures, "structure").where(structure_holds(F.col("keys"))).select("row_id", "at", F.lit(True).alias("ok")).distinct()
         here = here.join(passed, ["row_id", "at"], "left")
         code = code.when(F.col("kinds").isNotNull() & F.col("ok").isNull(), 34)
-    here = here.withColumn("code", F.coalesce(code, F.lit(0)))
-    props = here.where("code = 0").select("row_id", "at", "top", F.posexplode(F.map_entries("props")).alias("pos", "e"))
-    name = F.col("e.key")
-    inner = _items(props, at=F.concat("at", F.array("pos")), link=F.lit("e"), origin=F.lit("property"), descriptor=name, value=F.col("e.value"), field=name, top=F.coalesce("top", name))
-    return here, inner
+    return here.withColumn("code", F.coalesce(code, F.lit(0)))
 
 
 def _items(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -246,94 +238,116 @@ def _items(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("row_id", *[columns.get(c, nothing.get(c, F.lit(None))).alias(c) for c in _ITEM[1:]])
 
 
-def _walk(d: Dictionary, rules: DataFrame, here: DataFrame, structures, descriptors, expect_terms: bool, types, containers, deepest: int, levels: int | None, options: tuple, nodes: bool) -> tuple[DataFrame, DataFrame | None]:
+def _values(d: Dictionary, rules: DataFrame, here: DataFrame, descriptors, expect_terms: bool, types, containers, levels: int | None, options: tuple) -> DataFrame:
+    """Values of the worklist with their rules, ``code``, ``change`` and corrected ``json``; ``shape`` is that of a container to follow."""
+    expect_types = options[1]
+    joined = here.drop("kinds").join(rules.withColumn("ruled", F.lit(True)), ["descriptor", "path"], "left")
+    joined = joined.join(descriptors.select(F.col("term").alias("descriptor"), F.col("is_descriptor").alias("_known")), "descriptor", "left")
+    joined = joined.withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
+    more = ("tuple_types", "fault", "value_fault", "container", "type", "kind", "kinds", "ruled", "_known", "n_fields", "min_items", "max_items")
+    out = _checked(d, joined, types, *options, *_ITEM[:-1], *more)
+    missing = (
+        F.when(F.col("origin") == "top", 28)
+        .when(F.col("origin") == "property", F.when(F.col("_known").isNull(), 32 if expect_terms else 0).otherwise(29))
+        .when(F.col("origin") == "tuple", F.when(F.col("_known").isNull(), 30).when(~F.col("_known"), 5).otherwise(28))
+        .otherwise(0)
+    )
+    n, many, low, high = F.col("n"), F.size("tuple_types"), F.col("min_items"), F.col("max_items")
+    listed = F.when(n.isNull(), 35).when(n < low, 36).when(n > high, 37)
+    tupled = F.when(n.isNull(), 44).when(F.col("fault") == 47, 47).when(F.col("tuple_types").isNull(), 48).when(F.col("fault") == 52, 52)
+    tupled = tupled.when(low > many, 50).when(n < low, 45).when(high > many, 51).when(n > high, 46).when(low.isNull() & high.isNull() & (n != many), 49)
+    keyed = F.when(~F.col("kind").startswith("OBJECT"), 31).otherwise(F.col("fault"))
+    by_container = {"_array": listed, "_set": listed, "_tuple": tupled, "_dict": keyed}
+    code = F.when(F.col("ruled").isNull(), missing).when(F.col("container").isNull(), F.when(F.col("n_fields") > 0, F.lit(-1 if expect_types else 0)).otherwise(0))
+    for name in sorted(containers & set(by_container), key=str):
+        code = code.when(F.col("container") == name, F.coalesce(by_container[name], F.lit(0)))
+    if containers & {"_array", "_set", "_tuple"}:
+        out = out.withColumn("n", F.when(F.col("kind").startswith("ARRAY"), F.size(F.expr("try_cast(value AS array<variant>)"))))
+    else:
+        out = out.withColumn("n", F.lit(None).cast("int"))
+    out = out.withColumn("code", code.otherwise(F.col("code")))
+    follows = F.coalesce(F.col("container").isin(*by_container), F.lit(False)) & (F.col("code") == 0)
+    if levels is not None:
+        size = F.coalesce("n", F.size(F.expr("try_cast(value AS map<string, variant>)")))
+        out = out.withColumn("code", F.when(follows & (F.col("nest") + 1 >= levels) & (size > 0), 53).otherwise(F.col("code")))
+        follows = follows & (F.col("code") == 0)
+    shape = F.when(F.col("container") == "_dict", "d").when(F.col("container") == "_set", "s").otherwise("l")
+    # what is no scalar of a rule has no corrections of its own
+    plain = F.coalesce(F.col("container").isin("_scalar", "_set_scalar", "_dict_key"), F.lit(False)) & (F.col("code") == 0)
+    out = out.withColumns({"shape": F.when(follows, shape), "change": F.when(plain, F.col("change")), "json": F.when(plain, F.col("json")).otherwise(F.to_json("value"))})
+    return out.drop("fault", "ruled", "_known", "n_fields", "min_items", "max_items", "n")
+
+
+def _inside(rules: DataFrame, checked: DataFrame, descriptors, types, containers) -> tuple[list[DataFrame], list[DataFrame]]:
+    """What the values of one round lead to, and marks that lie between a container and its elements."""
+    inner, marks = [], []
+    none = F.lit(None).cast(_CHANGE).alias("change")
+    if containers & {"_array", "_set", "_tuple"}:
+        elements = checked.where("shape IN ('l', 's')").select("*", F.posexplode(F.expr("try_cast(value AS array<variant>)")).alias("pos", "element"))
+        is_tuple = F.col("container") == "_tuple"
+        typed = F.when(is_tuple, F.try_element_at("tuple_types", F.col("pos") + 1)).otherwise(F.col("descriptor"))
+        path = F.when(is_tuple, F.lit("")).otherwise(F.concat("path", F.lit("/e")))
+        origin = F.when(is_tuple, F.lit("tuple")).otherwise(F.lit("section"))
+        at = F.concat("at", F.array("pos"))
+        inner.append(_items(elements, at=at, link=F.lit("e"), origin=origin, descriptor=typed, path=path, value=F.col("element"), field=F.col("field"), top=F.col("top"), nest=F.col("nest") + 1))
+    if "_tuple" in containers:
+        # all types of a tuple must be descriptors, also those beyond its elements; a missing one comes before the first element
+        asked = checked.where("shape = 'l' AND container = '_tuple'").select("row_id", "at", "top", F.explode(F.array_distinct("tuple_types")).alias("descriptor"))
+        asked = asked.join(rules.where("path = ''").select("descriptor"), "descriptor", "left_anti")
+        asked = asked.join(descriptors.select(F.col("term").alias("descriptor"), "is_descriptor"), "descriptor", "left")
+        fault = F.when(F.col("is_descriptor").isNull(), 30).when(~F.col("is_descriptor"), 5).otherwise(28)
+        marks.append(asked.select("row_id", "at", fault.alias("code"), "top", none))
+    if "_dict" in containers:
+        dicts = checked.where("shape = 'd'")
+        marks.append(dicts.where("value_fault IS NOT NULL").select("row_id", F.concat("at", F.array(F.lit(1))).alias("at"), F.col("value_fault").alias("code"), "top", none))
+        pairs = dicts.select("*", F.posexplode(F.map_entries(F.expr("try_cast(value AS map<string, variant>)"))).alias("pos", "e"))
+        same = {"descriptor": F.col("descriptor"), "field": F.col("field"), "top": F.col("top"), "nest": F.col("nest") + 1, "origin": F.lit("section")}
+        step = lambda k: F.concat("at", F.array(F.lit(k), F.col("pos")))
+        inner.append(_items(pairs, at=step(0), link=F.lit("k"), path=F.concat("path", F.lit("/k")), value=F.col("e.key").cast("variant"), **same))
+        inner.append(_items(pairs, at=step(1), link=F.lit("v"), path=F.concat("path", F.lit("/v")), value=F.col("e.value"), **same))
+    return inner, marks
+
+
+def _walk(d: Dictionary, rules: DataFrame, starts: str, here: DataFrame, structures, descriptors, expect_terms: bool, types, containers, deepest: int, levels: int | None, options: tuple, nodes: bool) -> tuple[DataFrame, DataFrame | None]:
     """The marks of all values and objects that ``here`` leads to, and their nodes, if asked for.
 
     Marks are (row_id, at, code, top, change), nodes (row_id, at, link, label, shape, field, json): what stands where and how it was corrected.
-    Without tuples and object types the rules bound the depth and the rounds are one plan; else each round's rows are a written table.
+    A round opens objects, then checks values, those of the objects among them. What leads further is written once a round. Without tuples and
+    object types the rules say how many rounds there are; else the driver asks after each whether anything was left.
     """
-    resolve_field, expect_types, allow_default = options
-    open_ended = bool(containers & {"_tuple"} or types & {"_type_object"})
+    open_ended = bool(containers & {"_tuple"} or "_type_object" in types)
+    further = open_ended or bool(containers - {"_scalar", None})
     marks, found = [], []
+    label = F.col("field").alias("label")
+    objects, values = (here, None) if starts == "objects" else (None, here)
     for level in itertools.count():
-        here = cut(here) if open_ended else here
-        if here.isEmpty() if open_ended else level > deepest:
-            break
-        values, objects = here.where("origin <> 'object'").drop("kinds"), here.where("origin = 'object'")
-        joined = values.join(rules.withColumn("ruled", F.lit(True)), ["descriptor", "path"], "left").withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
-        joined = joined.join(descriptors.select(F.col("term").alias("descriptor"), F.col("is_descriptor").alias("_known")), "descriptor", "left")
-        # what has no rule
-        missing = (
-            F.when(F.col("origin") == "top", 28)
-            .when(F.col("origin") == "property", F.when(F.col("_known").isNull(), 32 if expect_terms else 0).otherwise(29))
-            .when(F.col("origin") == "tuple", F.when(F.col("_known").isNull(), 30).when(~F.col("_known"), 5).otherwise(28))
-            .otherwise(0)
-        )
-        bare = F.when((F.col("container").isNull()) & (F.col("n_fields") > 0), F.lit(-1 if expect_types else 0))
-        is_leaf = F.col("container").isin("_scalar", "_set_scalar", "_dict_key")
-        leaf = _checked(d, joined.where(F.coalesce(is_leaf, F.lit(False))), types, *options, "row_id", "at", "link", "field", "top", "type", "kind", "kinds", "value")
-        marks.append(leaf.select(*_MARK))
-        other = joined.where(~F.coalesce(is_leaf, F.lit(False)))
-        n = F.when(F.col("kind").startswith("ARRAY"), F.size(F.expr("try_cast(value AS array<variant>)")))
-        many, low, high = F.size("tuple_types"), F.col("min_items"), F.col("max_items")
-        listed = F.when(F.col("n").isNull(), 35).when(F.col("n") < low, 36).when(F.col("n") > high, 37)
-        tupled = F.when(F.col("n").isNull(), 44).when(F.col("fault") == 47, 47).when(F.col("tuple_types").isNull(), 48).when(F.col("fault") == 52, 52)
-        tupled = tupled.when(low > many, 50).when(F.col("n") < low, 45).when(high > many, 51).when(F.col("n") > high, 46).when(low.isNull() & high.isNull() & (F.col("n") != many), 49)
-        keyed = F.when(~F.col("kind").startswith("OBJECT"), 31).otherwise(F.col("fault"))
-        by_container = {"_array": listed, "_set": listed, "_tuple": tupled, "_dict": keyed}
-        code = F.when(F.col("ruled").isNull(), missing)
-        for name in containers & set(by_container):
-            code = code.when(F.col("container") == name, by_container[name])
-        other = other.withColumn("n", n).withColumn("code", F.coalesce(code.otherwise(bare), F.lit(0)))
-        if levels is not None:
-            size = F.coalesce("n", F.size(F.expr("try_cast(value AS map<string, variant>)")))
-            beyond = F.col("container").isin(*by_container) & (F.col("code") == 0) & (F.col("nest") + 1 >= levels) & (size > 0)
-            other = other.withColumn("code", F.when(beyond, 53).otherwise(F.col("code")))
-        marks.append(other.where("code <> 0").select("row_id", "at", "code", "top", F.lit(None).cast(_CHANGE).alias("change")))
-        inner = []
-        if containers & {"_array", "_set", "_tuple"}:
-            elements = other.where("code = 0 AND container IN ('_array', '_set', '_tuple')").select("*", F.posexplode(F.expr("try_cast(value AS array<variant>)")).alias("pos", "element"))
-            is_tuple = F.col("container") == "_tuple"
-            typed = F.when(is_tuple, F.try_element_at("tuple_types", F.col("pos") + 1)).otherwise(F.col("descriptor"))
-            path = F.when(is_tuple, F.lit("")).otherwise(F.concat("path", F.lit("/e")))
-            origin = F.when(is_tuple, F.lit("tuple")).otherwise(F.lit("section"))
-            at = F.concat("at", F.array("pos"))
-            inner.append(_items(elements, at=at, link=F.lit("e"), origin=origin, descriptor=typed, path=path, value=F.col("element"), field=F.col("field"), top=F.col("top"), nest=F.col("nest") + 1))
-        if "_tuple" in containers:
-            # all types of a tuple are looked at, also those beyond its elements; a missing one stops it before its first element
-            asked = other.where("code = 0 AND container = '_tuple'").select("row_id", "at", "top", F.explode(F.array_distinct("tuple_types")).alias("descriptor"))
-            ruled = rules.where("path = ''").select("descriptor")
-            asked = asked.join(ruled, "descriptor", "left_anti")
-            asked = asked.join(descriptors.select(F.col("term").alias("descriptor"), "is_descriptor"), "descriptor", "left")
-            fault = F.when(F.col("is_descriptor").isNull(), 30).when(~F.col("is_descriptor"), 5).otherwise(28)
-            marks.append(asked.select("row_id", "at", fault.alias("code"), "top", F.lit(None).cast(_CHANGE).alias("change")))
-        if "_dict" in containers:
-            dicts = other.where("code = 0 AND container = '_dict'")
-            late = dicts.where("value_fault IS NOT NULL").select("row_id", F.concat("at", F.array(F.lit(1))).alias("at"), F.col("value_fault").alias("code"), "top", F.lit(None).cast(_CHANGE).alias("change"))
-            marks.append(late)
-            pairs = dicts.select("*", F.posexplode(F.map_entries(F.expr("try_cast(value AS map<string, variant>)"))).alias("pos", "e"))
-            same = {"descriptor": F.col("descriptor"), "field": F.col("field"), "top": F.col("top"), "nest": F.col("nest") + 1, "origin": F.lit("section")}
-            step = lambda k: F.concat("at", F.array(F.lit(k), F.col("pos")))
-            inner.append(_items(pairs, at=step(0), link=F.lit("k"), path=F.concat("path", F.lit("/k")), value=F.col("e.key").cast("variant"), **same))
-            inner.append(_items(pairs, at=step(1), link=F.lit("v"), path=F.concat("path", F.lit("/v")), value=F.col("e.value"), **same))
-        as_object = F.lit(False)
-        if "_type_object" in types:
-            as_object = (F.col("type") == "_type_object") & F.col("kind").startswith("OBJECT")
-            any_kind = F.coalesce(F.array_contains("kinds", "_any-object"), F.lit(False)) | (F.size(F.coalesce("kinds", F.array().cast("array<string>"))) == 0)
-            inner.append(_items(leaf.where(as_object), at=F.col("at"), link=F.col("link"), origin=F.lit("object"), value=F.col("value"), field=F.col("field"), top=F.col("top"), kinds=F.when(~any_kind, F.col("kinds"))))
-        if open_ended or level == 0:
-            seen, props = _opened(objects, structures)
+        if objects is not None:
+            seen = _opened(objects, structures)
+            seen = cut(seen) if nodes else seen
             marks.append(seen.where("code <> 0").select("row_id", "at", "code", "top", F.lit(None).cast(_CHANGE).alias("change")))
-            inner.append(props)
+            props = seen.where("code = 0").select("row_id", "at", "top", F.posexplode(F.map_entries("props")).alias("pos", "e"))
+            name = F.col("e.key")
+            inner = _items(props, at=F.concat("at", F.array("pos")), link=F.lit("e"), origin=F.lit("property"), descriptor=name, value=F.col("e.value"), field=name, top=F.coalesce("top", name))
+            values = inner if values is None else values.unionByName(inner)
             if nodes:
-                found.append(seen.select("row_id", "at", "link", F.col("field").alias("label"), F.when(F.col("code") == 0, "o").alias("shape"), "field", F.to_json("value").alias("json")))
+                found.append(seen.select("row_id", "at", "link", label, F.when(F.col("code") == 0, "o").alias("shape"), "field", F.to_json("value").alias("json")))
+        checked = _values(d, rules, values, descriptors, expect_terms, types, containers, levels, options)
+        checked = cut(checked) if further else checked
+        if open_ended and checked.isEmpty():
+            break
+        marks.append(checked.where("code <> 0 OR change IS NOT NULL").select(*_MARK))
+        as_object = (F.col("type") == "_type_object") & F.col("kind").startswith("OBJECT") & (F.col("code") == 0)
         if nodes:
-            found.append(leaf.where(~F.coalesce(as_object, F.lit(False))).select("row_id", "at", "link", F.col("field").alias("label"), F.lit(None).cast("string").alias("shape"), "field", "json"))
-            shape = F.when(F.col("code") == 0, F.when(F.col("container") == "_dict", "d").when(F.col("container") == "_set", "s").when(F.col("container").isin("_array", "_tuple"), "l"))
-            found.append(other.select("row_id", "at", "link", F.col("field").alias("label"), shape.alias("shape"), "field", F.to_json("value").alias("json")))
-        if not inner:
+            found.append(checked.where(~F.coalesce(as_object, F.lit(False))).select("row_id", "at", "link", label, "shape", "field", "json"))
+        if not further or not open_ended and level + 1 >= deepest:
             break
-        here = reduce(DataFrame.unionByName, inner)
+        inner, between = _inside(rules, checked, descriptors, types, containers)
+        marks += between
+        values = reduce(DataFrame.unionByName, inner) if inner else None
+        objects = None
+        if "_type_object" in types:
+            any_kind = F.coalesce(F.array_contains("kinds", "_any-object"), F.lit(False)) | (F.size(F.coalesce("kinds", F.array().cast("array<string>"))) == 0)
+            objects = _items(checked.where(as_object), at=F.col("at"), link=F.col("link"), origin=F.lit("object"), value=F.col("value"), field=F.col("field"), top=F.col("top"), kinds=F.when(~any_kind, F.col("kinds")))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     return union(marks), union(found) if nodes else None
 
@@ -382,13 +396,18 @@ def fold(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done[0].select("row_id", "json"), reduce(DataFrame.unionByName, dropped)
 
 
-def _nested(d: Dictionary, rules: DataFrame, here: DataFrame, structures, descriptors, expect_terms: bool, levels: int | None, options: tuple) -> DataFrame:
-    """(row_id, first STRUCT<at, code, top>, changes, json): the verdict on each row of the worklist ``here``; ``json`` where it was corrected."""
+def _nested(d: Dictionary, rules: DataFrame, starts: str, here: DataFrame, structures, descriptors, expect_terms: bool, levels: int | None, options: tuple) -> DataFrame:
+    """(row_id, first STRUCT<at, code, top>, changes, json): the verdict on each row of the worklist ``here``; ``json`` where it was corrected.
+
+    ``here`` starts with ``values`` or ``objects``. Rules, structures and names of descriptors are joined in every round: they are written once.
+    """
+    rules, descriptors = cut(rules), cut(descriptors)
+    structures = structures if structures is None else cut(structures)
     sections = rules.select("path", "container", "type").distinct().collect()
     containers, types = {r["container"] for r in sections}, {r["type"] for r in sections}
     deepest = 1 + max((r["path"].count("/") for r in sections), default=0)
     corrects = "_set" in containers or "_type_number_timestamp" in types or (options[0] is not None and "_type_string_enum" in types)
-    marks, nodes = _walk(d, rules, here, structures, descriptors, expect_terms, types, containers, deepest, levels, options, corrects)
+    marks, nodes = _walk(d, rules, starts, here, structures, descriptors, expect_terms, types, containers, deepest, levels, options, corrects)
     marks = cut(marks) if corrects else marks
     first = F.min(F.when(F.col("code") != 0, F.struct("at", "code", "top")))
     if not corrects:
@@ -443,7 +462,7 @@ def validate(
     here = _items(inside, at=F.array().cast("array<int>"), link=F.lit("e"), origin=F.lit("top"), descriptor=F.col("descriptor"), value=F.col("value"), field=F.col("descriptor"))
     if descriptors is None:
         descriptors = d.terms.select(F.col("_key").alias("term"), F.col("_data").isNotNull().alias("is_descriptor"))
-    found = _nested(d, rules, here, _structures(d, structures), descriptors, expect_terms, levels, options)
+    found = _nested(d, rules, "values", here, _structures(d, structures), descriptors, expect_terms, levels, options)
     out = inside.join(found, "row_id", "left")
     code, given = F.coalesce("first.code", F.lit(0)), F.to_json("value")
     resolved = F.when(code == 0, F.coalesce("json", given)).otherwise(given)
@@ -528,7 +547,7 @@ def validate_objects(
     if descriptors is None:
         descriptors = d.terms.select(F.col("_key").alias("term"), F.col("_data").isNotNull().alias("is_descriptor"))
     wanted = _structures(d, structures) if "kinds" in objects.columns or structures is not None or not rules.where("type = '_type_object'").isEmpty() else None
-    found = _nested(d, rules, here, wanted, descriptors, expect_terms, levels, (resolve_field, expect_types, allow_default))
+    found = _nested(d, rules, "objects", here, wanted, descriptors, expect_terms, levels, (resolve_field, expect_types, allow_default))
     out = objects.select("row_id", "object").join(found, "row_id", "left")
     code, given = F.coalesce("first.code", F.lit(0)), F.to_json("object")
     resolved = F.when(code == 0, F.coalesce("json", given)).otherwise(given)
