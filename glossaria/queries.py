@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossaria import model
 from glossaria.functions.columns import edge_key, handle_key, is_empty_object
-from glossaria.operators import edits, evolve, flat, geo, terms, updates, validate, walk
+from glossaria.operators import definitions, edits, evolve, flat, geo, terms, updates, validate, walk
 from glossaria.plans.fixture import ORACLE, dictionary, sql
 from glossaria.sources import tables
 
@@ -1013,3 +1013,133 @@ def s6_replace_and_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     unknown = new.withColumn("_key", F.concat("_key", F.lit("x")))
     kept = tables.remove(tables.replace(old, new.unionByName(unknown), "_key"), old.where("nid = 'brand'").select("_key"), "_key")
     return kept.where("nid IS NOT NULL").groupBy("nid", "version").agg(F.count("*").alias("n"))
+
+
+# Nested values, corrected documents, faults of definitions
+
+
+_NESTED_RULES = {
+    **{n: _MORE_RULES[n] for n in ("anysize", "anytext", "box", "pair", "flag")},
+    "crates": '{"_array": {"_dict": {"_dict_key": {"_type_key": "_type_string"}, "_dict_value": {"_scalar": {"_type": "_type_object", "_kind": ["boxed"]}}}}}',
+    "made": '{"_scalar": {"_type": "_type_number_timestamp"}}',
+    "origin": '{"_scalar": {"_type": "_type_string_enum", "_kind": ["geo"]}}',
+    "byplace": '{"_dict": {"_dict_key": {"_type_key": "_type_string_enum", "_kind": ["geo"]}, "_dict_value": {"_array": {"_scalar": {"_type": "_type_number_timestamp"}}}}}',
+    "bag": '{"_array": {"_set": {"_set_scalar": {"_set_type": "_type_string_enum", "_kind": ["geo"]}}}}',
+    "trip": '{"_tuple": {"_tuple_types": ["made", "byplace"]}}',
+}
+_BOXED = """SELECT 'boxed' AS structure, parse_json('{"_required": {"_selection-descriptors_all": ["anysize"]}}') AS definition"""
+
+
+def _definitions(spark: SparkSession, named: dict[str, str]) -> DataFrame:
+    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS descriptor, parse_json('{v}') AS definition" for n, v in named.items()))
+
+
+def _nested_options(spark: SparkSession) -> dict[str, DataFrame]:
+    """Structures, and names that are terms: all descriptors of ``_NESTED_RULES``, and ``plain``, which is none."""
+    known = spark.createDataFrame([*((n, True) for n in _NESTED_RULES), ("plain", False)], "term string, is_descriptor boolean")
+    return {"structures": validate.structure_rules(spark.sql(_BOXED)), "descriptors": known}
+
+
+def _nested_values(spark: SparkSession, sf_dir: str, name: str, text: Column, **options) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.lit(name).alias("descriptor"), F.parse_json(text).alias("value"))
+    rules_ = validate.descriptor_rules(_definitions(spark, _NESTED_RULES))
+    return validate.validate(dictionary(spark, sf_dir), rules_, rows, **_nested_options(spark), **options)
+
+
+@query("""
+SELECT p_partkey AS row_id, CASE p_partkey % 8 WHEN 0 THEN 34 WHEN 1 THEN CASE WHEN p_size > 40 THEN 13 ELSE 32 END WHEN 2 THEN CASE WHEN p_size > 40 THEN 13 ELSE 29 END
+ WHEN 5 THEN 31 WHEN 6 THEN 34 WHEN 7 THEN 31 ELSE CASE WHEN p_size > 40 THEN 13 ELSE 0 END END AS code FROM part
+""", dictionary_sql=False)
+def v29_objects_in_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    wrap = lambda a, b: F.concat(F.lit(a), size, F.lit(b))
+    text = F.when(k == 0, F.lit('[{"a": {"other": 1}}]')).when(k == 1, wrap('[{"a": {"anysize": ', ', "what": 1}}]')).when(k == 2, wrap('[{"a": {"anysize": ', ', "plain": 1}}]'))
+    text = text.when(k == 3, wrap('[{}, {"b": {"anysize": ', "}}]")).when(k == 4, wrap('[{"a": {"anysize": 1, "box": {"anysize": 2, "box": {"anysize": ', "}}}}]")).when(k == 5, '[{"a": 3}]')
+    text = text.when(k == 6, '[{"a": {"anysize": 1, "box": {"anysize": 2, "box": {"box": 3}}}}]').otherwise('[{"a": {"anysize": 1}}, 5]')
+    return _nested_values(spark, sf_dir, "crates", text).select("row_id", "code")
+
+
+@query("SELECT p_partkey AS row_id, CASE p_partkey % 4 WHEN 0 THEN 34 WHEN 1 THEN CASE WHEN p_size > 40 THEN 13 ELSE 0 END WHEN 2 THEN 31 ELSE CASE WHEN p_size > 40 THEN 13 ELSE 32 END END AS code FROM part", dictionary_sql=False)
+def v1_object_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.lit('{"other": 1}')).when(k == 1, F.concat(F.lit('{"anysize": '), size, F.lit("}"))).when(k == 2, "3").otherwise(F.concat(F.lit('{"anysize": '), size, F.lit(', "zzz": 1}')))
+    return _nested_values(spark, sf_dir, "box", text).select("row_id", "code")
+
+
+_TUPLES = {
+    "t0": '{"_tuple": {"_tuple_types": ["anysize", "missing"]}}',
+    "t1": '{"_tuple": {"_tuple_types": ["anysize", "plain"]}}',
+    "t2": '{"_tuple": {}}',
+    "t3": '{"_tuple": {"_tuple_types": "anysize"}}',
+    "t4": '{"_tuple": {"_tuple_types": ["anysize"], "_elements": 3}}',
+    "t5": '{"_tuple": {"_tuple_types": ["anysize"], "_elements": {"_min-items": 2}}}',
+    "t6": '{"_tuple": {"_tuple_types": ["anysize"], "_elements": {"_max-items": 2}}}',
+    "t7": '{"_tuple": {"_tuple_types": ["anysize", "pair"]}}',
+}
+
+
+@query("""
+SELECT p_partkey AS row_id, CASE p_partkey % 8 WHEN 0 THEN 30 WHEN 1 THEN 5 WHEN 2 THEN 48 WHEN 3 THEN 47 WHEN 4 THEN 52 WHEN 5 THEN 50 WHEN 6 THEN 51
+ ELSE CASE WHEN p_size > 40 THEN 13 ELSE 16 END END AS code FROM part
+""", dictionary_sql=False)
+def v14_tuple_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("["), size, F.lit(", [1, 2]]"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.concat(F.lit("t"), (F.col("p_partkey") % 8).cast("string")).alias("descriptor"), F.parse_json(text).alias("value"))
+    rules_ = validate.descriptor_rules(_definitions(spark, _NESTED_RULES | _TUPLES))
+    return validate.validate(dictionary(spark, sf_dir), rules_, rows, **_nested_options(spark)).select("row_id", "code")
+
+
+_BAD = [
+    ("{}", None, None), ('{"x": 1}', "", -1), ('{"_scalar": {}}', None, None), ('{"_scalar": {"_unit": "m"}}', "_scalar", -2), ('{"_scalar": {"_type": "_type_blob"}}', "_scalar", 15),
+    ('{"_scalar": {"_type": 5}}', "_scalar", 15), ('{"_scalar": 5}', "", -2), ('{"_array": {"_elements": {"_min-items": 1}}}', "_array", -1), ('{"_array": {"_elements": 3, "_scalar": {}}}', "_array", 52),
+    ('{"_array": {"_array": {"_array": {"_scalar": {"_type": "no"}}}}}', "_array._array._array._scalar", 15), ('{"_set": {}}', "_set", -3), ('{"_set": {"_set_scalar": []}}', "_set", -3),
+    ('{"_set": {"_set_scalar": {"_set_type": "_type_object"}}}', "_set._set_scalar", 15), ('{"_set": {"_set_scalar": {"_kind": []}}}', "_set._set_scalar", -2), ('{"_tuple": {}}', "_tuple", 48),
+    ('{"_tuple": {"_tuple_types": "a"}}', "_tuple", 47), ('{"_tuple": {"_tuple_types": ["anysize"], "_elements": []}}', "_tuple", 52), ('{"_tuple": {"_tuple_types": ["anysize"], "_elements": {"_min-items": 2}}}', "_tuple", 50),
+    ('{"_tuple": {"_tuple_types": ["anysize"], "_elements": {"_max-items": 2}}}', "_tuple", 51), ('{"_tuple": {"_tuple_types": ["anysize", "nobody"]}}', "_tuple", 30), ('{"_tuple": {"_tuple_types": ["plain"]}}', "_tuple", 5),
+    ('{"_dict": {"_dict_value": {}}}', "_dict", -4), ('{"_dict": {"_dict_key": 1, "_dict_value": {}}}', "_dict", -6), ('{"_dict": {"_dict_key": {"_regexp": "a"}, "_dict_value": {}}}', "_dict._dict_key", -6),
+    ('{"_dict": {"_dict_key": {}}}', "_dict", -5), ('{"_dict": {"_dict_key": {}, "_dict_value": []}}', "_dict", -7), ('{"_dict": {"_dict_key": {"_type_key": "_type_number"}, "_dict_value": {}}}', "_dict._dict_key", 15),
+    ('{"_dict": {"_dict_key": {}, "_dict_value": {"_dict": {"_dict_key": {}, "_dict_value": {"_set": {"_set_scalar": {"_unit": 1}}}}}}}', "_dict._dict_value._dict._dict_value._set._set_scalar", -2), ("[1]", "", -1),
+]
+
+
+@query(f"""
+WITH bad(k, path, code, status) AS (VALUES {", ".join(f"({k}, '{path}', {code}, '{model.STATUS[code]}')" for k, (_, path, code) in enumerate(_BAD) if code is not None)})
+SELECT 'part_' || p_partkey AS descriptor, path, code, status FROM part JOIN bad ON p_partkey % {len(_BAD)} = k
+""", dictionary_sql=False)
+def v41_bad_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % len(_BAD)
+    text = F.element_at(F.array(*[F.lit(t) for t, *_ in _BAD]), (k + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part_"), "p_partkey").alias("descriptor"), F.parse_json(text).alias("definition"))
+    return definitions.first_fault(definitions.definition_faults(rows, _nested_options(spark)["descriptors"]))
+
+
+@query("""
+SELECT p_partkey AS row_id, CASE WHEN p_partkey % 3 = 2 THEN 30 ELSE 0 END AS code,
+ CASE p_partkey % 3 WHEN 0 THEN '{"nation_' || p_size % 20 || '":[0,1000]}' WHEN 1 THEN '{"nation_' || p_size % 20 || '":[' || p_size || ']}'
+   ELSE '{"' || p_size % 20 || '":["1970-01-01T00:00:01Z"],"x":[]}' END AS resolved,
+ CASE p_partkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 1 END AS n_changes
+FROM part
+""", dictionary_sql=False)
+def v16_renamed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, lid, size = F.col("p_partkey") % 3, (F.col("p_size") % 20).cast("string"), F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(F.lit('{"'), lid, F.lit('": ["1970-01-01T00:00:00Z", "1970-01-01T00:00:01Z"]}')))
+    text = text.when(k == 1, F.concat(F.lit('{"'), lid, F.lit('": ['), size, F.lit("]}"))).otherwise(F.concat(F.lit('{"'), lid, F.lit('": ["1970-01-01T00:00:01Z"], "x": []}')))
+    out = _nested_values(spark, sf_dir, "byplace", text, resolve_field="_lid")
+    return out.select("row_id", "code", "resolved", F.size("changes").alias("n_changes"))
+
+
+@query("""
+SELECT p_partkey AS row_id, CASE WHEN p_size > 40 THEN 13 ELSE 0 END AS code, CASE WHEN p_size > 40 THEN 'anysize' END AS property,
+ CASE WHEN p_size > 40 THEN '{"anysize":' || p_size || ',"bag":[["1","nation_1"],[]],"box":{"anysize":1,"made":"1970-01-01T00:00:02Z"},"trip":["1970-01-01T00:00:01Z",{"2":[7]}]}'
+  ELSE '{"anysize":' || p_size || ',"bag":[["nation_1"],[]],"box":{"anysize":1,"made":2000},"trip":[1000,{"nation_2":[7]}]}' END AS resolved,
+ CASE WHEN p_size > 40 THEN '' ELSE 'bag ["nation_1"];bag nation_1;made 2000;trip 1000;trip nation_2' END AS changed
+FROM part
+""", dictionary_sql=False)
+def v3_corrected_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('{"anysize": '), F.col("p_size").cast("string"), F.lit(', "bag": [["1", "nation_1"], []], "box": {"anysize": 1, "made": "1970-01-01T00:00:02Z"}, "trip": ["1970-01-01T00:00:01Z", {"2": [7]}]}'))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.parse_json(text).alias("object"))
+    rules_ = validate.descriptor_rules(_definitions(spark, _NESTED_RULES))
+    out = validate.validate_objects(dictionary(spark, sf_dir), rules_, rows, **_nested_options(spark), resolve_field="_lid")
+    changed = F.array_join(F.array_sort(F.transform("changes", lambda c: F.concat_ws(" ", c["field"], c["resolved"]))), ";")
+    return out.select("row_id", "code", "property", "resolved", changed.alias("changed"))
