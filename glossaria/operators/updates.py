@@ -5,9 +5,11 @@ from __future__ import annotations
 import copy
 import json
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria import model
@@ -105,34 +107,79 @@ def plan_checked_inserts(d: Dictionary, new: DataFrame, rules: DataFrame | None
     return plan_inserts(d.terms, new, reports)
 
 
+def _versions(requests: DataFrame, strict: bool) -> DataFrame:
+    """(_key, position, _before, _after, _error) of each request, given that all earlier ones of its term succeed.
+
+    ``requests`` are (_key, position, _doc, _new, references). A task streams through the requests of a term in order and holds one document, so
+    a term with very many requests costs no memory.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, doc = None, None
+        for frame in frames:
+            out = []
+            for k, position, start, new, paths in zip(frame["_key"], frame["position"], frame["_doc"], frame["_new"], frame["references"]):
+                if k != key:
+                    key, doc = k, start
+                after, error = (None, None) if doc is None or new is None or paths is None else _merge(doc, new, list(paths), strict)
+                out.append((k, position, doc, after, error))
+                doc = after if after is not None else doc
+            yield pd.DataFrame(out, columns=["_key", "position", "_before", "_after", "_error"], dtype=object)
+
+    dealt = requests.select("_key", "position", "_doc", "_new", "references").repartition("_key").sortWithinPartitions("_key", "position")
+    return dealt.mapInPandas(fold, "_key string, position long, _before string, _after string, _error string")
+
+
 def plan_updates(
     d: Dictionary, requests: DataFrame, rules: DataFrame | None = None, structures: DataFrame | None = None, strict: bool = False, language: str = model.LANGUAGE, **options
 ) -> DataFrame:
-    """(_key, action, reason, code, term) for each of (_key, updates VARIANT, references ARRAY<STRING>), one request for a key.
+    """(_key, position, action, reason, code, term) for each of (_key, updates VARIANT, references ARRAY<STRING>[, position LONG]).
+
+    Requests for one term are taken in the order of ``position``, then of their updates and paths as text; ``position`` in the result counts them from
+    1. Each is merged into the version that the requests before it left, and is checked against that version: a refused, invalid or failed request
+    changes nothing and those behind it go on from the version before. Null keys are unknown terms.
 
     Actions: ``unknown`` (no such term), ``failed`` (the merge, ``reason`` says where), ``refused`` (the new version does more than relax the old
     one, ``reason`` names the violation), ``invalid`` (``code``), ``same`` and ``updated``; ``term`` is the new version of the last two.
     With ``rules`` the whole new document is also validated as an object. Sections that terms do not have are dropped.
+
+    All versions of a term are made as if every request were accepted, and are checked at once, request by request; the first that is
+    turned down settles those before it, and the rest go on in another round. So the rounds follow the refusals of one term, not its requests.
     """
     columns = ["_key", "_code", "_info", "_data", "_rule"]
-    old = requests.select("_key", F.to_json("updates").alias("_new"), "references").join(d.terms.select(*columns), "_key", "left")
-    before = F.when(F.coalesce(F.col("_code").isNotNull() | F.col("_info").isNotNull() | F.col("_data").isNotNull() | F.col("_rule").isNotNull(), F.lit(False)), F.to_json(F.struct(*columns)))
-    rows = old.withColumn("_before", before).withColumn("_m", merged_document(F.col("_before"), F.col("_new"), F.col("references"), strict))
-    # read by four branches below: the merge runs once
-    rows = cut(rows.select("_key", "_before", F.col("_m.error").alias("_error"), F.col("_m.doc").alias("_after")))
-    fine = rows.where("_after IS NOT NULL")
-    version = lambda side: fine.select("_key", F.from_json(side, model.TERMS).alias("t")).select("_key", *(F.col(f"t.{c}").alias(c) for c in columns[1:]))
+    order = [F.col("position")] if "position" in requests.columns else []
+    asked = requests.select("_key", *order, F.to_json("updates").alias("_new"), "references")
+    asked = asked.withColumn("position", F.row_number().over(Window.partitionBy("_key").orderBy(*order, "_new", F.to_json("references"))).cast("long"))
+    old = d.terms.select(*columns).withColumn("_doc", F.to_json(F.struct(*columns))).select("_key", "_doc")
+    pending, settled = cut(asked.join(old, "_key", "left")), []
+    while not settled or not pending.isEmpty():
+        rows = cut(_versions(pending, strict))
+        judged = cut(_judged(d, rows, columns, rules, structures, language, options))
+        stops = judged.where("action IN ('refused', 'invalid')").groupBy("_key").agg(F.min("position").alias("_stop"))
+        judged = judged.join(stops, "_key", "left")
+        settled.append(judged.where("_stop IS NULL OR position <= _stop").drop("_stop"))
+        left = rows.join(stops.withColumnRenamed("_stop", "position"), ["_key", "position"]).select("_key", F.col("position").alias("_stop"), F.col("_before").alias("_doc"))
+        pending = cut(pending.drop("_doc").join(left, "_key").where("position > _stop").drop("_stop"))
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _judged(d: Dictionary, rows: DataFrame, columns: list[str], rules, structures, language: str, options: dict) -> DataFrame:
+    """The verdict on each version (_key, position, _before, _after, _error)."""
+    name = F.concat_ws("/", "_key", F.col("position").cast("string"))  # a key holds no slash
+    fine = rows.where("_after IS NOT NULL").withColumn("_id", name)
+    version = lambda side: fine.select("_id", F.from_json(side, model.TERMS).alias("t")).select(F.col("_id").alias("_key"), *(F.col(f"t.{c}").alias(c) for c in columns[1:]))
     new = version("_after")
-    moved = fine.select("_key", (F.get_json_object("_after", "$._key") != F.col("_key")).alias("_moved"))
-    violations = diff_terms(version("_before"), new)
-    codes = term_codes_of(new, language).where("code <> 0").withColumnRenamed("code", "_own")
-    out = rows.join(violations, "_key", "left").join(codes, "_key", "left").join(moved, "_key", "left")
+    violations = diff_terms(version("_before"), new).withColumnRenamed("_key", "_id")
+    moved = fine.select("_id", (F.get_json_object("_after", "$._key") != F.col("_key")).alias("_moved"))
+    info = F.from_json("_after", model.TERMS)["_info"]
+    own = F.when(~F.coalesce(valid_key(F.col("_key")), F.lit(False)), 23).when(~F.coalesce(has_language(info, language), F.lit(True)), 42)
+    out = rows.withColumn("_id", name).join(violations, "_id", "left").join(moved, "_id", "left").withColumn("_own", F.when(F.col("_after").isNotNull(), own))
     if rules is not None:
-        report = validate_objects(d, rules, fine.select(F.col("_key").alias("row_id"), F.parse_json("_after").alias("object")), structures, **options)
-        out = out.join(report.where("code <> 0").select(F.col("row_id").alias("_key"), F.col("code").alias("_found")), "_key", "left")
+        report = validate_objects(d, rules, fine.select(F.col("_id").alias("row_id"), F.parse_json("_after").alias("object")), structures, **options)
+        out = out.join(report.where("code <> 0").select(F.col("row_id").alias("_id"), F.col("code").alias("_found")), "_id", "left")
         out = out.withColumn("_own", F.coalesce("_own", "_found")).drop("_found")
-    out = out.join(new.select("_key", F.struct(*columns).alias("term")), "_key", "left")
-    changed = ~F.to_json(F.from_json("_before", model.TERMS)).eqNullSafe(F.to_json(F.from_json("_after", model.TERMS)))
+    term = F.from_json("_after", model.TERMS)
+    changed = ~F.to_json(F.from_json("_before", model.TERMS)).eqNullSafe(F.to_json(term))
     reason = F.coalesce("_error", F.when(F.col("_moved"), "key changed"), "violation")
     action = (
         F.when(F.col("_before").isNull(), "unknown")
@@ -142,11 +189,12 @@ def plan_updates(
         .when(changed, "updated")
         .otherwise("same")
     )
-    kept = F.when(action.isin("same", "updated"), F.col("term"))
-    return out.select("_key", action.alias("action"), reason.alias("reason"), F.coalesce("_own", F.lit(0)).alias("code"), kept.alias("term"))
+    kept = F.when(action.isin("same", "updated"), F.struct(F.col("_key"), *(term[c].alias(c) for c in columns[1:])))
+    return out.select("_key", "position", action.alias("action"), reason.alias("reason"), F.coalesce("_own", F.lit(0)).alias("code"), kept.alias("term"))
 
 
 def apply_updates(terms: DataFrame, plan: DataFrame) -> DataFrame:
-    """The terms with the updated ones replaced; the rest of the plan changes nothing."""
-    new = plan.where("action = 'updated'").select("term.*")
+    """The terms with the updated ones replaced by their last version; the rest of the plan changes nothing."""
+    last = plan.where("action = 'updated'").groupBy("_key").agg(F.max_by("term", "position").alias("term"))
+    new = last.select("term.*")
     return terms.join(new, "_key", "left_anti").select(*new.columns).unionByName(new)

@@ -1143,3 +1143,31 @@ def v3_corrected_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = validate.validate_objects(dictionary(spark, sf_dir), rules_, rows, **_nested_options(spark), resolve_field="_lid")
     changed = F.array_join(F.array_sort(F.transform("changes", lambda c: F.concat_ws(" ", c["field"], c["resolved"]))), ";")
     return out.select("row_id", "code", "property", "resolved", changed.alias("changed"))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, p_size, unnest([1, 2, 3, 4, 5, 6]) AS position FROM part)
+SELECT 'part_' || p_partkey AS key, position, CASE position WHEN 1 THEN 'updated' WHEN 2 THEN 'refused' WHEN 3 THEN 'updated' WHEN 4 THEN 'same' WHEN 5 THEN 'refused' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'invalid' ELSE 'updated' END END AS action,
+ CASE position WHEN 1 THEN p_size - 3 WHEN 3 THEN p_size - 5 WHEN 4 THEN p_size - 5 WHEN 6 THEN CASE WHEN p_partkey % 2 = 0 THEN -99 ELSE p_size - 5 END ELSE -99 END AS low,
+ CASE WHEN p_partkey % 2 = 0 THEN 'p' ELSE 'x' END AS final_title, p_size - 5 AS final_low
+FROM w
+""", dictionary_sql=False)
+def t13_repeated_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six requests for each part: lower the bound by 3, raise it by 1 against that, lower it by 5, the same again, by 4, and another title, in a language that half may use."""
+    parts = _part_terms(spark, sf_dir)
+    d = dictionary(spark, sf_dir)
+    old = parts.drop("p_size", "m")
+    bound = "_data._array._scalar._valid-range._min-range-inclusive"
+    low = lambda by: F.concat(F.lit('{"_data":{"_array":{"_scalar":{"_valid-range":{"_min-range-inclusive":'), (F.col("p_size") - by).cast("string"), F.lit("}}}}}"))
+    odd = F.col("_code._lid").cast("long") % 2 == 1
+    title = F.when(odd, F.lit(f'{{"_info":{{"_title":{{"{model.LANGUAGE}":"x"}}}}}}')).otherwise(F.lit('{"_info":{"_title":{"other":"y"}}}'))
+    bodies = F.array(low(3), low(2), low(5), low(5), low(4), title)
+    asked = parts.select("_key", F.posexplode(bodies).alias("position", "body"))
+    paths = F.when(F.col("position") == 5, F.array(F.lit("_info._title"))).otherwise(F.array(F.lit(bound)))
+    asked = asked.select("_key", F.parse_json("body").alias("updates"), paths.alias("references"), F.col("position").cast("long").alias("position"))
+    base = type(d)(old, d.edges, d.links)
+    plan = updates.plan_updates(base, asked)
+    low_of = lambda data: F.try_variant_get(data, "$._array._scalar['_valid-range']['_min-range-inclusive']", "int")
+    final = updates.apply_updates(old, plan).select(F.col("_key").alias("key"), F.element_at("_info._title", model.LANGUAGE).alias("title"), low_of(F.col("_data")).alias("final_low"))
+    out = plan.select(F.col("_key").alias("key"), "position", "action", F.coalesce(low_of(F.col("term._data")), F.lit(-99)).alias("low"))
+    return out.join(final, "key").withColumn("final_title", F.when(F.col("title") == "x", "x").otherwise("p")).drop("title")

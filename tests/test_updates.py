@@ -35,3 +35,25 @@ def test_null_documents_and_empty_tables(spark):
     merge = updates.merged_document(F.col("d"), F.col("n"), F.col("p")).alias("m")
     assert row.select(merge).first().m.asDict() == {"doc": None, "error": None}
     assert row.limit(0).select(merge).collect() == []
+
+
+def test_requests_for_one_term_follow_each_other(spark, sf_dir):
+    from glossaria.queries import _part_terms
+    from glossaria.plans.fixture import dictionary
+
+    terms = _part_terms(spark, sf_dir).drop("p_size", "m")
+    d = dictionary(spark, sf_dir)
+    body = '{"_data": {"_remarks": ["%s"]}}'
+    rows = [("part_1", body % k, ["_data._remarks[0]"], k) for k in (3, 1, 2, 2)] + [("part_2", body % "z", ["_data._nothing"], 1), ("part_2", body % "z", ["_data._remarks[0]"], 1)]
+    rows += [("nobody", body % 1, ["_data"], 1), (None, body % 1, ["_data"], 1)]
+    asked = spark.createDataFrame(rows, "_key string, text string, references array<string>, position long").withColumn("updates", F.parse_json("text")).drop("text")
+    plan = updates.plan_updates(type(d)(terms, d.edges, d.links), asked)
+    first = F.try_variant_get("term._data", "$._remarks[0]", "string")
+    got = sorted((r["_key"] or "", r["position"], r["action"], r["v"]) for r in plan.withColumn("v", first).collect())
+    assert got == [
+        ("", 1, "unknown", None), ("nobody", 1, "unknown", None), ("part_1", 1, "updated", "1"), ("part_1", 2, "updated", "2"), ("part_1", 3, "same", "2"), ("part_1", 4, "updated", "3"),
+        ("part_2", 1, "failed", None), ("part_2", 2, "updated", "z"),
+    ]
+    after = updates.apply_updates(terms, plan)
+    assert after.count() == terms.count() == after.select("_key").distinct().count()
+    assert {r["_key"]: r["v"] for r in after.select("_key", F.try_variant_get("_data", "$._remarks[0]", "string").alias("v")).where("v <> 'a'").collect()} == {"part_1": "3", "part_2": "z"}
