@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossaria.plans.cut import cut
+
 EARTH_M = 6_371_000.0
 
 
@@ -21,18 +26,120 @@ def cells_of_points(points: DataFrame, cells: DataFrame, size: float) -> DataFra
     return points.withColumn("_i", at(F.col("lon"))).withColumn("_j", at(F.col("lat"))).join(keyed, ["_i", "_j"]).drop("_i", "_j")
 
 
-def within_distance(points: DataFrame, cells: DataFrame, low: float, high: float, reach: float) -> DataFrame:
+def within_distance(points: DataFrame, cells: DataFrame, low: float, high: float) -> DataFrame:
     """Points (point_id, lon, lat) with cells (cell_id, clon, clat) whose centre is ``low`` to ``high`` metres away, and the distance.
 
-    ``reach`` is ``high`` in degrees at the latitudes in question, rounded up; each point looks at the squares of that side around it.
+    Centres are dealt over bands of latitude as high as ``high``, and each band over squares as wide as a circle of that radius can be there: wider
+    towards the poles, and one for a whole band that such a circle can enclose with its pole. A point looks at the squares next to its own in
+    three bands, across 180 degrees too.
     """
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    p = points.withColumn("_i", F.explode(F.transform(near, lambda d: d + F.floor(F.col("lon") / reach)))).withColumn("_j", F.explode(F.transform(near, lambda d: d + F.floor(F.col("lat") / reach))))
-    c = cells.withColumn("_i", F.floor(F.col("clon") / reach)).withColumn("_j", F.floor(F.col("clat") / reach))
+    angle = min(high / EARTH_M * 1.000001, math.pi)
+    band = math.degrees(angle)
+
+    def row(lat: Column) -> Column:
+        return F.floor((lat + 90.0) / band)
+
+    def squares(j: Column) -> Column:
+        """How many squares a band has."""
+        farthest = F.radians(F.greatest(F.abs(j * band - 90.0), F.abs((j + 1) * band - 90.0)))
+        wide = F.asin(F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(farthest))
+        return F.when(farthest + angle >= math.pi / 2, F.lit(1)).otherwise(F.greatest(F.floor(2 * math.pi / wide), F.lit(1))).cast("long")
+
+    def column(lon: Column, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n), n - 1)
+
+    c = cells.withColumn("_j", row(F.col("clat"))).withColumn("_n", squares(F.col("_j")))
+    c = c.withColumn("_i", column(F.col("clon"), F.col("_n"))).drop("_n")
+    p = points.withColumn("_j", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: row(F.col("lat")) + k))).withColumn("_n", squares(F.col("_j")))
+    i = column(F.col("lon"), F.col("_n"))
+    p = p.withColumn("_i", F.explode(F.array_distinct(F.array(F.pmod(i - 1, F.col("_n")), i, F.pmod(i + 1, F.col("_n")))))).drop("_n")
     both = p.join(c, ["_i", "_j"]).drop("_i", "_j")
     return both.withColumn("distance", haversine(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"))).where(F.col("distance").between(low, high))
 
 
+def cells_in_polygons(polygons: DataFrame, size: float) -> DataFrame:
+    """(polygon_id, i, j) of all cells of side ``size`` that a polygon meets, borders and touching corners included.
+
+    ``polygons``: (polygon_id, rings ARRAY<ARRAY<STRUCT<lon, lat>>>), rings closed; a point lies inside if a ray from it crosses the rings an
+    odd number of times, so holes are rings like others. Each edge is dealt over the rows of the grid that it meets and yields the cells that it runs
+    through. In each row, the crossings with the middle line bound what lies inside; only rows of edges meet there, never polygons and cells.
+    """
+    ring = polygons.select("polygon_id", F.explode("rings").alias("r")).where("size(r) > 1")
+    edge = ring.select("polygon_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("r") - 1), lambda k: F.struct(F.element_at("r", k).alias("a"), F.element_at("r", k + 1).alias("b")))).alias("e"))
+    x1, y1, x2, y2 = (F.col(f"e.{p}.{c}") / size for p in "ab" for c in ("lon", "lat"))
+    edge = edge.select("polygon_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edge.withColumn("j", F.explode(F.sequence(F.ceil(low) - 1, F.floor(high))))
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), None).otherwise(F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    begin = F.coalesce(at(F.greatest(low, F.col("j").cast("double"))), F.col("x1"))
+    end = F.coalesce(at(F.least(high, F.col("j") + 1.0)), F.col("x2"))
+    border = rows.select("polygon_id", F.explode(F.sequence(F.ceil(F.least(begin, end)) - 1, F.floor(F.greatest(begin, end)))).alias("i"), "j")
+
+    middle = F.col("j") + 0.5
+    crossed = rows.where((F.least("y1", "y2") <= middle) & (middle < F.greatest("y1", "y2"))).select("polygon_id", "j", at(middle).alias("x"))
+    ordered = Window.partitionBy("polygon_id", "j").orderBy("x")
+    spans = crossed.withColumn("n", F.row_number().over(ordered)).withColumn("until", F.lead("x").over(ordered)).where("n % 2 = 1")
+    inside = spans.withColumn("_a", F.ceil(F.col("x") - 0.5)).withColumn("_b", F.floor(F.col("until") - 0.5)).where("_a <= _b")
+    inside = inside.select("polygon_id", F.explode(F.sequence("_a", "_b")).alias("i"), "j")
+    return border.unionByName(inside).distinct()
+
+
+def search_shapes(shapes: DataFrame, searches: DataFrame, ranges: tuple[str, ...] = ()) -> DataFrame:
+    """(search_id, shape_id) of the shapes that each search finds.
+
+    ``shapes``: (shape_id, west, south, east, north, datasets ARRAY<STRING>, and a number for each of ``ranges``). ``searches``: (search_id, west, south, east,
+    north, datasets, and ``<name>_min`` and ``<name>_max`` for each range); null datasets and bounds ask for nothing. Boxes may touch.
+
+    A box lies in at most four cells of the level whose cells are as large as it. Of two boxes that meet, the smaller lies in an ancestor of the
+    larger's cells or the other way round, so two equi-joins find all pairs, however different their sizes.
+    """
+    deepest = 24
+
+    def covered(df: DataFrame, own: bool) -> DataFrame:
+        """The cells of a box at its own level, or at all levels above."""
+        side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+        level = F.least(F.greatest(F.floor(F.log2(360.0 / F.greatest(side, F.lit(1e-9)))), F.lit(0)), F.lit(deepest)).cast("int")
+        df = df.withColumn("_own", level)
+        df = df.withColumn("_l", F.col("_own")) if own else df.where("_own > 0").withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_own") - 1)))
+        cell = lambda c, shift: F.floor((F.col(c) + shift) / 360.0 * F.pow(F.lit(2.0), F.col("_l")))
+        df = df.withColumn("_i", F.explode(F.sequence(cell("west", 180.0), cell("east", 180.0))))
+        return df.withColumn("_j", F.explode(F.sequence(cell("south", 90.0), cell("north", 90.0)))).drop("_own")
+
+    box = ("west", "south", "east", "north")
+    asked = searches.select(*[F.col(c).alias(f"q_{c}") if c not in ("search_id", *box) else F.col(c) for c in searches.columns])
+    found = []
+    for wide in (True, False):
+        s, q = covered(shapes, wide), covered(asked, not wide)
+        q = q.select(*[F.col(c).alias(f"q_{c}") if c in box else F.col(c) for c in q.columns])
+        found.append(s.join(q, ["_l", "_i", "_j"]))
+    # boxes of one level meet at their own
+    s = covered(shapes, True)
+    q = covered(asked, True)
+    found.append(s.join(q.select(*[F.col(c).alias(f"q_{c}") if c in box else F.col(c) for c in q.columns]), ["_l", "_i", "_j"]))
+    tests = [boxes_overlap({c: F.col(c) for c in box}, {c: F.col(f"q_{c}") for c in box})]
+    tests.append(F.col("q_datasets").isNull() | F.coalesce(F.arrays_overlap("datasets", "q_datasets"), F.lit(False)))
+    for name in ranges:
+        tests.append(F.coalesce(F.col(name) >= F.col(f"q_{name}_min"), F.col(f"q_{name}_min").isNull()) & F.coalesce(F.col(name) <= F.col(f"q_{name}_max"), F.col(f"q_{name}_max").isNull()))
+    pairs = [x.where(reduce(Column.__and__, tests)).select("search_id", "shape_id") for x in found]
+    return reduce(DataFrame.unionByName, pairs).distinct()
+
+
+def query_datasets(values: DataFrame, forms: DataFrame) -> DataFrame:
+    """(form_id, dataset_id) of the data sets that each form finds.
+
+    ``values``: (dataset_id, field, value), one row for each value of a data set. ``forms``: (form_id, op, field, mode, wanted ARRAY<STRING>), a row for
+    each condition: ``any`` or ``all`` of the wanted values; a form's conditions are joined by ``op``, ``AND`` or ``OR``. All forms are one join: hits are
+    counted and compared with how many were wanted. A condition that wants nothing holds for none.
+    """
+    numbered = forms.select("form_id", "op", "field", "mode", "wanted").withColumn("clause", F.monotonically_increasing_id())
+    numbered = cut(numbered.withColumn("wanted", F.array_distinct("wanted")))
+    asked = numbered.select("form_id", "clause", "field", "mode", F.size("wanted").alias("n_wanted"), F.explode("wanted").alias("value"))
+    hits = values.select("dataset_id", "field", "value").distinct().join(asked, ["field", "value"])
+    held = hits.groupBy("form_id", "clause", "mode", "n_wanted", "dataset_id").agg(F.count("*").alias("n")).where("mode = 'any' OR n = n_wanted")
+    total = numbered.groupBy("form_id").agg(F.first("op").alias("op"), F.count("*").alias("n_clauses"))
+    return held.groupBy("form_id", "dataset_id").agg(F.count("*").alias("n")).join(total, "form_id").where("op = 'OR' OR n = n_clauses").select("form_id", "dataset_id")
+
+
 def statistics(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Minimum, average, maximum, standard deviation and variance of numeric properties."""
     named = {"min": F.min, "avg": F.avg, "max": F.max, "std": F.stddev_pop, "var": F.var_pop}
@@ -54,9 +161,40 @@ def boxes_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["west"] <= b["east"]) & (b["west"] <= a["east"]) & (a["south"] <= b["north"]) & (b["south"] <= a["north"])
 
 
-def geometry_hash(geometry: Column) -> Column:
-    """md5 of the canonical JSON of a geometry struct."""
-    return F.md5(F.to_json(geometry))
+def canonical_ring(ring: Column) -> Column:
+    """The points of a closed ring, an array of (lon, lat), from the least on, in the direction that comes first, without the closing point."""
+    point = lambda p: F.struct((p["lon"] + 0.0).alias("lon"), (p["lat"] + 0.0).alias("lat"))
+    open_ = lambda r: F.when((F.size(r) > 1) & (r[0] == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+
+    def turned(r: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(r)), lambda k: F.element_at(r, k) == F.array_min(r))
+        return F.array_min(F.transform(starts, lambda k: F.concat(F.slice(r, k, F.size(r)), F.slice(r, 1, k - 1))))
+
+    clean = open_(F.transform(ring, point))
+    return F.when(F.size(clean) > 0, F.least(turned(clean), turned(F.reverse(clean))))
+
+
+def canonical_text(rings: Column) -> Column:
+    """A polygon as text: its outer ring, then its holes in order; points as ``lon lat``, with commas, rings in brackets."""
+    written = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string"))), ","), F.lit(")"))
+    canonical = F.transform(rings, canonical_ring)
+    ordered = F.concat(F.slice(canonical, 1, 1), F.array_sort(F.slice(canonical, 2, F.greatest(F.size(canonical), F.lit(1)))))
+    return F.array_join(F.transform(ordered, written), "")
+
+
+def polygon_hash(rings: Column) -> Column:
+    """One hash for all ways to write a polygon: rings may begin anywhere, run either way, be closed or not, and holes come in any order."""
+    return F.md5(canonical_text(rings))
+
+
+def multipolygon_hash(polygons: Column) -> Column:
+    """As ``polygon_hash``, for polygons in any order."""
+    return F.md5(F.array_join(F.array_sort(F.transform(polygons, canonical_text)), ";"))
+
+
+def point_hash(lon: Column, lat: Column) -> Column:
+    """The hash of a point."""
+    return F.md5(F.concat_ws(" ", (lon + 0.0).cast("string"), (lat + 0.0).cast("string")))
 
 
 def span_of(date: Column, span: str) -> Column:
@@ -75,8 +213,3 @@ def measurement_series(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Measurements (date, term, value) merged to one map for each date."""
     by_date = rows.groupBy(*keys, "date", "term").agg(F.max("value").alias("value"))
     return by_date.groupBy(*keys, "date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "value")))).alias("properties"))
-
-
-def has_all(values: Column, wanted: list[str]) -> Column:
-    """Whether an array holds all of the wanted values."""
-    return F.size(F.array_except(F.array(*map(F.lit, wanted)), values)) == 0

@@ -10,6 +10,7 @@ Requests have ``request_id`` and ``root``. ``many_to_one`` walks against the arr
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,6 +157,36 @@ def code_paths(d: Dictionary, requests: DataFrame, predicates: Iterable[str], ma
     return node_paths(d, code_targets(d, requests), predicates, many_to_one, max_level)
 
 
+def first_edges(d: Dictionary, starts: DataFrame, functional: str, sections: Iterable[str], many_to_one: bool, levels: int) -> DataFrame:
+    """(request_id, root, target, matched, depth): the end of the first functional edge on a walk on from each target, by depth, then edge key.
+
+    A round takes one step from the nodes reached last; a request whose round met a functional edge leaves the frontier, so later rounds carry
+    only those without a match. Nodes are kept, not paths: an edge to a node that the request has not met closes no circle. A request whose match lies
+    in a round with an edge to a node met before (a circle, or two ways to one node) is answered by whole paths instead.
+    """
+    key = ["request_id", "root", "target"]
+    steps = cut(arrows(d, many_to_one).where(F.col("predicate").isin(functional, *sections)))
+    frontier = seen = cut(starts.select(*key, F.col("target").alias("node")).distinct())
+    found, doubtful = [], []
+    for depth in range(1, levels + 1):
+        ahead = frontier.join(steps, ["root", "node"]).select(*key, F.col("next").alias("node"), "predicate", "edge_key")
+        ahead = cut(ahead.join(seen.withColumn("met", F.lit(True)), [*key, "node"], "left"))
+        hits = ahead.where(F.col("predicate") == functional).groupBy(*key).agg(F.min_by("node", "edge_key").alias("matched"), F.bool_or(F.col("met").isNotNull()).alias("doubt"))
+        hits = cut(hits)
+        found.append(hits.where("NOT doubt").select(*key, "matched", F.lit(depth).alias("depth")))
+        doubtful.append(hits.where("doubt").select(*key))
+        frontier = cut(ahead.where("met IS NULL").join(hits, key, "left_anti").select(*key, "node").distinct())
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    rest = reduce(DataFrame.unionByName, doubtful)
+    if not rest.isEmpty():
+        walked = paths(d, rest.withColumn("start", F.col("target")), F.col("predicate") == functional, F.col("predicate").isin(functional, *sections), many_to_one, 1, levels)
+        first = first_by(walked, ["request_id", "root", F.element_at("vertices", 1)], ["depth", "edge_key"])
+        found.append(first.select("request_id", "root", F.element_at("vertices", 1).alias("target"), F.col("node").alias("matched"), "depth"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def match_nodes(d: Dictionary, requests: DataFrame, functional: str, sections: Iterable[str] = (), many_to_one: bool = True, levels: int = LEVELS) -> DataFrame:
     """(request_id, target, matched, depth): the preferred node of a target in a root's graph.
 
@@ -165,10 +196,8 @@ def match_nodes(d: Dictionary, requests: DataFrame, functional: str, sections: I
     own = d.edge_path.where(F.col("predicate") == functional).select("root", F.col("from" if many_to_one else "to").alias("target")).distinct()
     direct = requests.join(own, ["root", "target"], "left_semi")
     rest = requests.join(own, ["root", "target"], "left_anti")
-    walked = paths(d, rest.withColumn("start", F.col("target")), F.col("predicate") == functional, F.col("predicate").isin(functional, *sections), many_to_one, 1, levels)
-    first = first_by(walked, ["request_id", F.element_at("vertices", 1)], ["depth", "edge_key"])
     at_once = direct.select("request_id", "target", F.col("target").alias("matched"), F.lit(0).alias("depth"))
-    return at_once.unionByName(first.select("request_id", F.element_at("vertices", 1).alias("target"), F.col("node").alias("matched"), "depth"))
+    return at_once.unionByName(first_edges(d, rest, functional, tuple(sections), many_to_one, levels).select("request_id", "target", "matched", "depth"))
 
 
 def match_codes(d: Dictionary, requests: DataFrame, functional: str, sections: Iterable[str] = (), many_to_one: bool = True, levels: int = LEVELS) -> DataFrame:

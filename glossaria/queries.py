@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossaria import model
 from glossaria.functions.columns import edge_key, handle_key, is_empty_object
-from glossaria.operators import definitions, edits, evolve, flat, geo, terms, updates, validate, walk
+from glossaria.operators import definitions, edits, evolve, flat, geo, search, terms, updates, validate, walk
 from glossaria.plans.fixture import ORACLE, dictionary, sql
 from glossaria.sources import tables
 
@@ -595,7 +595,7 @@ SELECT c_custkey, count(*) AS n, round(min(distance), 3) AS nearest FROM d WHERE
 def x2_within_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     cells = suppliers.select((F.col("s_suppkey") % 36 + 0.5).alias("clon"), (F.col("s_suppkey") % 18 + 0.5).alias("clat")).distinct()
-    near = geo.within_distance(_points(spark, sf_dir), cells, 1000.0, 100_000.0, 1.0)
+    near = geo.within_distance(_points(spark, sf_dir), cells, 1000.0, 100_000.0)
     return near.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.min("distance"), 3).alias("nearest"))
 
 
@@ -1171,3 +1171,168 @@ def t13_repeated_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     final = updates.apply_updates(old, plan).select(F.col("_key").alias("key"), F.element_at("_info._title", model.LANGUAGE).alias("title"), low_of(F.col("_data")).alias("final_low"))
     out = plan.select(F.col("_key").alias("key"), "position", "action", F.coalesce(low_of(F.col("term._data")), F.lit(-99)).alias("low"))
     return out.join(final, "key").withColumn("final_title", F.when(F.col("title") == "x", "x").otherwise("p")).drop("title")
+
+
+# Search through postings, pages, first matches
+
+
+@query(r"""
+tok AS (SELECT DISTINCT k, unnest(regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+')) AS t FROM tm),
+forms AS (SELECT 'name ' || p_name AS form, p_name AS words FROM (SELECT DISTINCT p_name FROM part) UNION ALL SELECT 'customer ' || c_custkey, c_name FROM customer),
+wanted AS (SELECT DISTINCT form, unnest(regexp_split_to_array(lower(words), '[^\p{L}\p{N}]+')) AS t FROM forms),
+n AS (SELECT form, count(*) AS n FROM wanted GROUP BY form),
+every AS (SELECT form, k FROM wanted JOIN tok USING (t) JOIN n USING (form) GROUP BY form, k, n.n HAVING count(*) = n.n),
+heads AS (SELECT DISTINCT left(p_name, 3) AS a FROM part),
+begun AS (SELECT DISTINCT 'starts ' || a AS form, k FROM heads JOIN tok ON t LIKE a || '%'),
+ended AS (SELECT DISTINCT 'ends ' || right(p_name, 2) AS form, k FROM part JOIN tok ON t LIKE '%' || right(p_name, 2) WHERE k LIKE 'part%' OR k LIKE 'brand%'),
+both_ AS (SELECT 'both ' || p_name AS form, k FROM (SELECT DISTINCT p_name FROM part) AS x JOIN every ON every.form = 'name ' || p_name JOIN tok USING (k) WHERE t LIKE '%' || right(p_name, 1) GROUP BY ALL)
+SELECT form, count(*) AS n, min(k) AS least FROM (FROM every UNION ALL FROM begun UNION ALL FROM ended UNION ALL FROM both_) GROUP BY form
+""")
+def s2_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms: all words of each part's name and of each customer's, words by their first letters, by their last ones, and two conditions at once."""
+    d = dictionary(spark, sf_dir)
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct()
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    form = lambda df, kind, name, mode, word: df.select(F.concat(F.lit(f"{kind} "), name).alias("form_id"), F.lit("_title").alias("field"), F.lit(mode).alias("mode"), F.array(word).alias("words"))
+    end = lambda n: F.right(F.col("p_name"), F.lit(n))
+    forms = form(names, "name", "p_name", "all", F.col("p_name")).unionByName(form(customers, "customer", "c_custkey", "all", F.col("c_name")))
+    forms = forms.unionByName(form(names, "starts", F.left("p_name", F.lit(3)), "any", F.concat(F.left("p_name", F.lit(3)), F.lit("%"))).distinct())
+    forms = forms.unionByName(form(names, "ends", end(2), "any", F.concat(F.lit("%"), end(2))).distinct())
+    forms = forms.unionByName(form(names, "both", "p_name", "all", F.col("p_name"))).unionByName(form(names, "both", "p_name", "any", F.concat(F.lit("%"), end(1))))
+    found = search.search_tokens(search.postings(d), forms)
+    found = found.where(~F.col("form_id").startswith("ends ") | F.col("key").startswith("part") | F.col("key").startswith("brand"))
+    return found.groupBy(F.col("form_id").alias("form")).agg(F.count("*").alias("n"), F.min("key").alias("least"))
+
+
+@query("""
+WITH r AS (SELECT event_id, user_id, row_number() OVER (ORDER BY user_id NULLS FIRST, event_id) - 1 AS rank, count(*) OVER () AS total FROM events)
+SELECT rank // 25 AS page, rank, event_id FROM r WHERE rank // 25 IN (0, total // 60, total // 25 - 1)
+""", dictionary_sql=False)
+def a9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of 25 events by user, one in the middle and the last whole one."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id")
+    pages = search.paged(events, ["user_id", "event_id"], 25)
+    total = sum(n for *_, n in pages.first)
+    parts = [pages.page(k).select(F.lit(k).cast("long").alias("page"), "rank", "event_id") for k in sorted({0, total // 60, total // 25 - 1})]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""
+w AS (
+  SELECT r.root, 'terms/' || k AS target, 'terms/' || k AS node, ['terms/' || k] AS seen, 0 AS depth, CAST(NULL AS VARCHAR) AS p, CAST(NULL AS VARCHAR) AS edge_key FROM tm, (SELECT DISTINCT root FROM ep WHERE root <> 'terms/catalog') AS r
+  UNION ALL
+  SELECT w.root, target, ep.f, list_append(seen, ep.f), depth + 1, ep.p, ep.edge_key FROM w JOIN ep ON ep.root = w.root AND ep.t = w.node
+  WHERE depth < 10 AND ep.p IN ('_predicate_enum-of', '_predicate_section-of', '_predicate_bridge-of') AND NOT list_contains(seen, ep.f)
+),
+own AS (SELECT DISTINCT root, f AS target FROM ep WHERE p = '_predicate_enum-of'),
+best AS (SELECT *, row_number() OVER (PARTITION BY root, target ORDER BY depth, edge_key) AS n FROM w WHERE p = '_predicate_enum-of')
+SELECT own.root || ' ' || own.target AS request_id, own.target AS matched, 0 AS depth FROM own JOIN tm ON own.target = 'terms/' || k WHERE own.root <> 'terms/catalog'
+UNION ALL SELECT best.root || ' ' || best.target, node, depth FROM best LEFT JOIN own ON own.root = best.root AND own.target = best.target WHERE n = 1 AND own.target IS NULL
+""")
+def g8_through_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preferred node of every term in two graphs, walking on through sections and bridges."""
+    d = dictionary(spark, sf_dir)
+    roots = _roots(spark).where("root <> 'terms/catalog'").select("root").withColumn("one", F.lit(1))
+    asked = d.terms.select(F.concat(F.lit("terms/"), "_key").alias("target"), F.lit(1).alias("one")).join(roots, "one")
+    asked = asked.select(F.concat_ws(" ", "root", "target").alias("request_id"), "root", "target")
+    return walk.match_nodes(d, asked, model.ENUM_OF, (model.SECTION_OF, model.BRIDGE_OF)).select("request_id", "matched", "depth")
+
+
+# Distances, polygons, shapes and data sets
+
+
+@query("""
+WITH p AS (SELECT c_custkey, (c_custkey * 37) % 3600 / 10.0 - 180 AS lon, (c_custkey * 91) % 1801 / 10.0 - 90 AS lat FROM customer),
+c AS (SELECT s_suppkey, (s_suppkey * 53) % 361 - 180.0 AS clon, 90.0 - (s_suppkey * 7) % 181 AS clat FROM supplier),
+d AS (SELECT c_custkey, s_suppkey, 2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2), 1.0))) AS distance FROM p, c)
+SELECT c_custkey, count(*) AS n, round(min(distance), 2) AS nearest, sum(s_suppkey)::BIGINT AS ids FROM d WHERE distance BETWEEN 1000 AND 1500000 GROUP BY c_custkey
+""", dictionary_sql=False)
+def x2_high_latitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and centres over the whole globe, both poles and 180 degrees included."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ((k * 37) % 3600 / 10.0 - 180).alias("lon"), ((k * 91) % 1801 / 10.0 - 90).alias("lat"))
+    cells = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", ((s * 53) % 361 - 180.0).alias("clon"), (90.0 - (s * 7) % 181).alias("clat"))
+    near = geo.within_distance(points, cells, 1000.0, 1_500_000.0)
+    return near.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.min("distance"), 2).alias("nearest"), F.sum("s_suppkey").alias("ids"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, (c_custkey * 37) % 200 / 4.0 AS x, (c_custkey * 91) % 120 / 4.0 AS y FROM customer),
+corner(n, dx, dy) AS (VALUES (0, 4.0, 0.0), (1, 0.0, 4.0), (2, -4.0, 0.0), (3, 0.0, -4.0), (4, 4.0, 0.0)),
+e AS (SELECT k, x, y, x + a.dx * s AS x1, y + a.dy * s AS y1, x + b.dx * s AS x2, y + b.dy * s AS y2 FROM c, corner AS a JOIN corner AS b ON b.n = a.n + 1, (VALUES (1.0), (0.5)) AS z(s) WHERE s = 1.0 OR k % 2 = 0),
+g AS (SELECT i, j FROM range(-5, 56) AS a(i), range(-5, 36) AS b(j)),
+t AS (SELECT e.k, i, j,
+   greatest(0.0, CASE WHEN x2 = x1 THEN CASE WHEN x1 BETWEEN i AND i + 1 THEN 0 ELSE 9 END ELSE least((i - x1) / (x2 - x1), (i + 1 - x1) / (x2 - x1)) END,
+            CASE WHEN y2 = y1 THEN CASE WHEN y1 BETWEEN j AND j + 1 THEN 0 ELSE 9 END ELSE least((j - y1) / (y2 - y1), (j + 1 - y1) / (y2 - y1)) END) AS t0,
+   least(1.0, CASE WHEN x2 = x1 THEN 1 ELSE greatest((i - x1) / (x2 - x1), (i + 1 - x1) / (x2 - x1)) END, CASE WHEN y2 = y1 THEN 1 ELSE greatest((j - y1) / (y2 - y1), (j + 1 - y1) / (y2 - y1)) END) AS t1,
+   CASE WHEN (y1 > j + 0.5) <> (y2 > j + 0.5) AND i + 0.5 < (x2 - x1) * (j + 0.5 - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END AS crosses
+  FROM e JOIN g ON i BETWEEN x - 9 AND x + 9 AND j BETWEEN y - 9 AND y + 9),
+m AS (SELECT k, i, j FROM t GROUP BY k, i, j HAVING bool_or(t0 <= t1) OR sum(crosses) % 2 = 1)
+SELECT k AS c_custkey, count(*) AS n, sum(i * 1000 + j)::BIGINT AS cells FROM m GROUP BY k
+""", dictionary_sql=False)
+def x3_cells_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diamonds around points, half of them with a hole; some share edges with others and run along corners of cells."""
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ((k * 37) % 200 / 4.0).alias("x"), ((k * 91) % 120 / 4.0).alias("y"))
+    ring = lambda s: F.array(*[F.struct((F.col("x") + dx * s).alias("lon"), (F.col("y") + dy * s).alias("lat")) for dx, dy in ((4.0, 0.0), (0.0, 4.0), (-4.0, 0.0), (0.0, -4.0), (4.0, 0.0))])
+    polygons = c.select(F.col("c_custkey").alias("polygon_id"), F.when(k % 2 == 0, F.array(ring(1.0), ring(0.5))).otherwise(F.array(ring(1.0))).alias("rings"))
+    met = geo.cells_in_polygons(polygons, 1.0)
+    return met.groupBy(F.col("polygon_id").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum(F.col("i") * 1000 + F.col("j")).alias("cells"))
+
+
+@query("""
+SELECT c_nationkey AS shape, md5('(' || c_nationkey || '.0 0.0,' || c_nationkey || '.0 9.0,40.0 9.0,40.0 0.0)(30.0 1.0,30.0 2.0,31.0 1.0)(32.0 1.0,32.0 2.0,33.0 1.0)') AS hash, count(*) AS n FROM customer GROUP BY ALL
+""", dictionary_sql=False)
+def x4_geometry_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles with two holes, begun at any corner, in either direction, closed or open, holes in either order: one hash for each nation."""
+    west, turn = F.col("c_nationkey").cast("double"), F.col("c_custkey") % 4
+    point = lambda x, y: F.struct((x if isinstance(x, Column) else F.lit(x)).alias("lon"), F.lit(y).alias("lat"))
+    outer = F.array(point(west, 0.0), point(west, 9.0), point(40.0, 9.0), point(40.0, 0.0))
+    turned = F.concat(F.slice(outer, (turn + 1).cast("int"), F.lit(4)), F.slice(outer, F.lit(1), turn.cast("int")))
+    turned = F.when(F.col("c_custkey") % 3 == 0, F.reverse(turned)).otherwise(turned)
+    closed = F.when(F.col("c_custkey") % 5 > 0, F.concat(turned, F.slice(turned, 1, 1))).otherwise(turned)
+    hole = lambda x: F.array(point(x + 1, 1.0), point(x, 1.0), point(x, 2.0), point(x + 1, 1.0))
+    holes = F.when(F.col("c_custkey") % 2 == 0, F.array(hole(30.0), hole(32.0))).otherwise(F.array(hole(32.0), hole(30.0)))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("shape"), geo.polygon_hash(F.concat(F.array(closed), holes)).alias("hash"))
+    return rows.groupBy("shape", "hash").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey AS id, (p_partkey * 37) % 340 - 170.0 AS w, (p_partkey * 91) % 160 - 80.0 AS s, CASE p_partkey % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 0.5 WHEN 2 THEN 4.0 ELSE 9.5 END AS side, p_size AS area, p_type AS ds FROM part),
+q AS (SELECT c_custkey AS id, (c_custkey * 53) % 330 - 165.0 AS w, (c_custkey * 29) % 150 - 75.0 AS s, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 7.0 ELSE 14.0 END AS side, c_nationkey AS n FROM customer)
+SELECT q.id AS search_id, count(*) AS n, sum(s.id)::BIGINT AS ids FROM q JOIN s ON s.w <= q.w + q.side AND q.w <= s.w + s.side AND s.s <= q.s + q.side AND q.s <= s.s + s.side
+ AND (q.n % 2 = 0 OR s.ds IN ('SMALL', 'ECONOMY')) AND (q.n % 3 = 0 OR s.area >= q.n) AND (q.n % 5 = 0 OR s.area <= q.n + 20) GROUP BY q.id
+""", dictionary_sql=False)
+def x6_shape_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes from a hundredth of a degree to ten, searched by boxes, data sets and ranges of area."""
+    k, c, n = F.col("p_partkey"), F.col("c_custkey"), F.col("c_nationkey")
+    west, south, side = (k * 37) % 340 - 170.0, (k * 91) % 160 - 80.0, F.when(k % 4 == 0, 0.01).when(k % 4 == 1, 0.5).when(k % 4 == 2, 4.0).otherwise(9.5)
+    box = lambda w, s, d: (w.alias("west"), s.alias("south"), (w + d).alias("east"), (s + d).alias("north"))
+    shapes = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("shape_id"), *box(west, south, side), F.array("p_type").alias("datasets"), F.col("p_size").alias("area"))
+    side = F.when(c % 3 == 0, 1.0).when(c % 3 == 1, 7.0).otherwise(14.0)
+    lists = F.when(n % 2 == 1, F.array(F.lit("SMALL"), F.lit("ECONOMY"))).alias("datasets")
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        c.alias("search_id"), *box((c * 53) % 330 - 165.0, (c * 29) % 150 - 75.0, side), lists, F.when(n % 3 > 0, n).alias("area_min"), F.when(n % 5 > 0, n + 20).alias("area_max")
+    )
+    return geo.search_shapes(shapes, asked, ("area",)).groupBy("search_id").agg(F.count("*").alias("n"), F.sum("shape_id").alias("ids"))
+
+
+@query("""
+WITH v AS (SELECT p_partkey AS id, 'word' AS field, unnest(string_split(p_name, ' ')) AS value FROM part UNION ALL SELECT p_partkey, 'brand', p_brand FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part),
+f AS (SELECT DISTINCT p_name, p_brand FROM part),
+every AS (SELECT DISTINCT p_name, p_brand, a.id FROM f JOIN v AS a ON a.field = 'word' AND a.value = split_part(p_name, ' ', 1) JOIN v AS b ON b.id = a.id AND b.field = 'word' AND b.value = split_part(p_name, ' ', 2)),
+brand AS (SELECT p_name, p_brand, id FROM f JOIN v ON field = 'brand' AND value IN (p_brand, 'Brand#1'))
+SELECT 'and ' || p_name || p_brand AS form_id, count(*) AS n, sum(id)::BIGINT AS ids FROM every JOIN brand USING (p_name, p_brand, id) GROUP BY 1
+UNION ALL SELECT 'or ' || p_name || p_brand, count(*), sum(id)::BIGINT FROM (FROM every UNION FROM brand) GROUP BY 1
+""", dictionary_sql=False)
+def x13_dataset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as data sets: both words of a name, and one of two brands, joined by AND and by OR, for each name and brand that occurs."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    value = lambda field, v: F.struct(F.lit(field).alias("field"), v.alias("value"))
+    words = part.select(F.col("p_partkey").alias("dataset_id"), F.lit("word").alias("field"), F.explode(F.split("p_name", " ")).alias("value"))
+    values = words.unionByName(part.select(F.col("p_partkey").alias("dataset_id"), F.explode(F.array(value("brand", F.col("p_brand")), value("type", F.col("p_type")))).alias("x")).select("dataset_id", "x.*"))
+    named = part.select("p_name", "p_brand").distinct().withColumn("op", F.explode(F.array(F.lit("AND"), F.lit("OR"))))
+    named = named.withColumn("form_id", F.concat(F.lower("op"), F.lit(" "), "p_name", "p_brand"))
+    clause = lambda field, mode, wanted: named.select("form_id", "op", F.lit(field).alias("field"), F.lit(mode).alias("mode"), wanted.alias("wanted"))
+    forms = clause("word", "all", F.split("p_name", " ")).unionByName(clause("brand", "any", F.array(F.col("p_brand"), F.lit("Brand#1"))))
+    return geo.query_datasets(values, forms).groupBy("form_id").agg(F.count("*").alias("n"), F.sum("dataset_id").alias("ids"))
