@@ -23,18 +23,20 @@ _NAME = r"[^\s/>][^\s/>=]*+"
 _VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+"
 _ATTRS = rf"(?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE}))?+)*+"
 _TOKEN = re.compile(
-    rf"<!--(?:.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*+){_ATTRS}(?:>|\Z)|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?P<shut>>|\Z)",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*+){_ATTRS}(?:>|\Z)|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?P<shut>>|\Z)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+_HIDING = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
+_INTEGER = re.compile(r"\s*([+-]?\d{1,10})(?!\d)")
 
 # Element classes of the HTML standard (fixed values).
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select option".split())
 _HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
-_SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr".split())
+_SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre plaintext table figure fieldset hr".split())
 _BLOCKS = _SPACED | frozenset(
     "html body address article aside caption center dd details dialog div dt figcaption footer form header legend li main nav section summary tbody td tfoot th thead tr".split()
 )
@@ -54,13 +56,23 @@ _IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 _WIDE = 60  # a wider cell is wrapped at spaces
+_KEPT = ("start", "value", "reversed", "colspan", "rowspan", "open")
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "start", "children")
+    """An element. ``hidden`` takes it and all inside away; ``visible`` is what it says of itself and what is inside, null if it says nothing."""
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.hidden, self.start, self.children = tag, hidden, start, []
+    __slots__ = ("tag", "hidden", "visible", "attrs", "children")
+
+    def __init__(self, tag: str, hidden: bool = False, visible: bool | None = None, attrs: dict[str, str] | None = None):
+        self.tag, self.hidden, self.visible, self.attrs, self.children = tag, hidden, visible, attrs or {}, []
+
+    def number(self, name: str, default: int | None, least: int = -(2**31), most: int = 2**31 - 1) -> int | None:
+        """An integer attribute as browsers read it; one beyond 32 bits counts as none, others are brought into the range."""
+        found = _INTEGER.match(self.attrs.get(name, ""))
+        if not found or not -(2**31) <= int(found[1]) < 2**31:
+            return default
+        return min(max(int(found[1]), least), most)
 
 
 def parse(html: str) -> Node:
@@ -122,9 +134,14 @@ def parse(html: str) -> Node:
                 close({"p"}, {"table", "td", "th", "button", "object", "caption"})
             raw = found["attrs"]
             attrs = {a.lower(): (v[1:-1] if v[:1] in ("'", '"') else v) for a, v in _ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
-            hidden = "hidden" in attrs or (name == "input" and attrs.get("type") == "hidden") or bool("style" in attrs and _HIDING.search(attrs["style"]))
-            node = Node(name, hidden, int(attrs["start"]) if attrs.get("start", "").isdecimal() and len(attrs["start"]) < 10 else 1)
+            style = attrs.get("style", "")
+            hidden = "hidden" in attrs or (name == "input" and attrs.get("type") == "hidden") or (name == "dialog" and "open" not in attrs) or bool(_HIDING.search(style))
+            said = _VISIBILITY.search(style)
+            node = Node(name, hidden, said[1].lower() == "visible" if said else None, {k: v for k, v in attrs.items() if k in _KEPT})
             stack[-1].children.append(node)
+            if name == "plaintext":
+                node.children.append(html[at:])
+                break
             if name in _RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
                 inside = html[at : end.start() if end else n]
@@ -192,68 +209,150 @@ def _wrapped(cell: str) -> list[str]:
     return [*lines, " ".join(words)]
 
 
-def _cells(node: Node, rows: list[list[str]]) -> None:
+Cell = tuple[list[str], int, int]  # lines, columns and rows that it spans
+
+
+def _cell(node: Node, visible: bool) -> list[str]:
+    """A cell's lines; those of preformatted text and lists stay as they are."""
+    lines = [line for line in _rendered(node, visible).split("\n") if line.strip()]
+    formatted = node.tag in ("pre", "textarea", "xmp") or _formatted(node)
+    return lines if formatted else _wrapped(" ".join(" ".join(lines).split()))
+
+
+def _formatted(node: Node) -> bool:
+    waiting = [node]
+    while waiting:
+        for child in waiting.pop().children:
+            if not isinstance(child, str):
+                if child.tag in ("pre", "ul", "ol", "textarea", "xmp"):
+                    return True
+                waiting.append(child)
+    return False
+
+
+def _rows(node: Node, rows: list[list[Cell]], visible: bool) -> None:
+    """The rows of a table; what stands outside of cells is a row of its own."""
+
+    def alone(child: Node | str) -> None:
+        text = " ".join((child if isinstance(child, str) else _rendered(child, visible)).split())
+        if text and (visible or not isinstance(child, str)):
+            rows.append([([text], 1, 1)])
+
     for child in node.children:
         if isinstance(child, str):
-            if child.strip():
-                rows.append([" ".join(child.split())])
-        elif child.hidden or child.tag in _UNSEEN:
+            alone(child)
+            continue
+        if child.hidden or child.tag in _UNSEEN:
             continue
-        elif child.tag == "tr":
-            rows.append([" ".join(_rendered(x).split()) for x in child.children if not isinstance(x, str) and not x.hidden and x.tag in ("td", "th")])
-            rows += [[" ".join((x if isinstance(x, str) else _rendered(x)).split())] for x in child.children if (x.strip() if isinstance(x, str) else not x.hidden and x.tag not in ("td", "th"))]
+        seen = visible if child.visible is None else child.visible
+        if child.tag == "tr":
+            row: list[Cell] = []
+            outside = []
+            for x in child.children:
+                if not isinstance(x, str) and x.tag in ("td", "th"):
+                    if not x.hidden:
+                        row.append((_cell(x, seen if x.visible is None else x.visible), x.number("colspan", 1, 1, 1000), x.number("rowspan", 1, 1, 65534)))
+                elif isinstance(x, str) or not x.hidden:
+                    outside.append(x)
+            rows.append(row)
+            for x in outside:
+                alone(x)
         elif child.tag in ("tbody", "thead", "tfoot"):
-            _cells(child, rows)
-        elif text := " ".join(_rendered(child).split()):
-            rows.append([text])
-
-
-def _render(node: Node, page: _Page, pre: bool) -> None:
-    count = node.start
+            _rows(child, rows, seen)
+        else:
+            alone(child)
+
+
+def _laid(rows: list[list[Cell]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of (first column, columns, lines): cells move right of those that reach down from rows above."""
+    out, taken = [], {}  # column: how many more rows it is taken
+    for row in rows:
+        column, placed, down = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
+        for lines, wide, high in row:
+            while taken.get(column, 0) > 0:
+                column += 1
+            placed.append((column, wide, lines))
+            if high > 1:
+                down |= dict.fromkeys(range(column, column + wide), high - 1)
+            column += wide
+        out.append(placed)
+        taken = down
+    return out
+
+
+def _table(node: Node, page: _Page, visible: bool) -> None:
+    rows: list[list[Cell]] = []
+    _rows(node, rows, visible)
+    laid = _laid(rows)
+    width: dict[int, int] = {}
+    aligned = [row for row in laid if len(row) > 1 or row and row[0][0] > 0]
+    for row in aligned:
+        for column, wide, lines in row:
+            if wide == 1:
+                width[column] = max(width.get(column, 0), *map(len, lines or [""]))
+    for row in aligned:
+        for column, wide, lines in row:
+            known = sum(width.get(column + k, 0) + 2 for k in range(wide)) - 2
+            if wide > 1 and (missing := max(map(len, lines or [""])) - known) > 0:
+                width[column + wide - 1] = width.get(column + wide - 1, 0) + missing
+    ends, begin = sorted(width), {}
+    total = 0
+    for c in range(ends[-1] + 2 if ends else 0):
+        begin[c] = total
+        total += width.get(c, 0) + 2
+    for row in laid:
+        shared = len(row) > 1 or row and row[0][0] > 0
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for column, _, lines in row:
+                if k < len(lines):
+                    line = line.ljust(begin.get(column, 0) if shared else 0) + lines[k]
+            if line.strip():
+                page.lines(line.rstrip())
+                page.gap(1)
+
+
+def _render(node: Node, page: _Page, pre: bool, visible: bool = True) -> None:
+    items = sum(not isinstance(c, str) and c.tag == "li" for c in node.children) if "reversed" in node.attrs else 1
+    count, step = node.number("start", items), -1 if "reversed" in node.attrs else 1
+    closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
+        if closed and (isinstance(child, str) or child.tag != "summary"):
+            continue
         if isinstance(child, str):
-            page.lines(child) if pre else page.text(child)
+            if visible:
+                page.lines(child) if pre else page.text(child)
             continue
         tag = child.tag
         if child.hidden or tag in _UNSEEN:
             continue
+        seen = visible if child.visible is None else child.visible
         if tag == "br":
             page.breaks, page.space = page.breaks + 1, False
             continue
         gap = 2 if tag in _SPACED and not (tag in ("ul", "ol", "dl") and page.indent) else 1 if tag in _BLOCKS else 0
         page.gap(gap) if gap else None
         if tag == "table":
-            rows: list[list[str]] = []
-            _cells(child, rows)
-            laid = [[_wrapped(c) if len(row) > 1 else [c] for c in row] for row in rows]
-            widths = [0] * max(map(len, laid), default=0)
-            for row in laid:
-                if len(row) > 1:
-                    widths = [max(w, *map(len, c)) for w, c in zip(widths, row, strict=False)] + widths[len(row) :]
-            for row in laid:
-                for k in range(max(map(len, row), default=0)):
-                    line = "  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)).rstrip()
-                    if line:
-                        page.lines(line)
-                        page.gap(1)
+            _table(child, page, seen)
         elif tag == "li":
+            count = child.number("value", count) if node.tag == "ol" else count
             marker = f"{count}. " if node.tag == "ol" else "- "
-            count += 1
+            count += step
             before, page.indent, page.marker = page.indent, page.indent + " " * len(marker), marker
-            _render(child, page, pre)
+            _render(child, page, pre, seen)
             page.indent, page.marker = before, ""
         elif tag in ("blockquote", "dd"):
             before, page.indent = page.indent, page.indent + "  "
-            _render(child, page, pre)
+            _render(child, page, pre, seen)
             page.indent = before
         else:
-            _render(child, page, pre or tag in ("pre", "textarea", "xmp"))
+            _render(child, page, pre or tag in ("pre", "textarea", "xmp", "plaintext"), seen)
         page.gap(gap) if gap else None
 
 
-def _rendered(node: Node) -> str:
+def _rendered(node: Node, visible: bool = True) -> str:
     page = _Page()
-    _render(node, page, node.tag == "pre")
+    _render(node, page, node.tag == "pre", visible)
     return "".join(page.out)
 
 

@@ -209,3 +209,27 @@ def test_scores_without_rows_or_training(spark):
     assert context_tree.score(docs.limit(0)).count() == 0
     out = context_tree.score(docs).collect()
     assert all(abs(r["score"] - 3 * math.log10(1 / 256)) < 1e-9 and r["n_known"] == 0 for r in out)
+
+
+HTML_MORE = [
+    ("<!-->shown", "shown"),
+    ("<!--->shown", "shown"),
+    ("<!-- a --!>shown<!-- b -->", "shown"),
+    ('<div style="visibility:hidden">a<p style="visibility: visible">b</p>c</div>', "b"),
+    ('<div style="display:none">a<p style="visibility: visible">b</p></div>c', "c"),
+    ("<details>x<summary>s</summary>y<p>z</details>t", "s\nt"),
+    ("<details open><summary>s</summary>y</details>", "s\ny"),
+    ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("a<plaintext>b <p>c", "a\n\nb <p>c"),
+    ("<ol start=-1><li>a<li>b<li value=9>c<li>d</ol>", "-1. a\n0. b\n9. c\n10. d"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol start=99999999999><li>a</ol>", "1. a"),
+    ("<table><tr><td colspan=2>head<td>z<tr><td>a<td>b<td>c</table>", "head  z\na  b  c"),
+    ("<table><tr><td rowspan=2>one<td>b<tr><td>d<tr><td>e<td>f</table>", "one  b\n     d\ne    f"),
+    ("<table><tr><td>x<td><pre>a  b\n  c</pre><tr><td>y<td><ul><li>p<li>q</ul></table>", "x  a  b\n     c\ny  - p\n   - q"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), HTML_MORE)
+def test_more_layout(html, text):
+    assert visible_text(html) == text
