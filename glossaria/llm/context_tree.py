@@ -14,6 +14,7 @@ table of all words or grams is ever broadcast or collected, and no task's share
 
 from __future__ import annotations
 
+import ctypes
 import io
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +37,19 @@ _SLICE = 1 << 20
 _UNIT = 2.0**32  # code lengths travel in this fraction of a nat
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def _release() -> None:
+    """Give memory that a chunk or a bucket took back to the machine, of which the executor's JVM has the rest."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
@@ -180,6 +194,7 @@ def _asked(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
                 keys = np.fromiter(map(_hash, words), np.int64, len(words))
                 n = np.fromiter(words.values(), np.int64, len(words))
                 del words, other
+                _release()
                 order = np.argsort(keys)
                 for kind, keys, n in ((WORD, keys[order], n[order]), (GRAM, grams, counts)):
                     order, found, starts = _dealt(keys, kind, buckets)
@@ -188,6 +203,8 @@ def _asked(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
                     yield pd.DataFrame(
                         {"slot": 2 * found + kind, "chunk": chunk, "keys": [_pack_keys(keys[a:b]) for a, b in lists], "counts": [_pack(n[a:b]) for a, b in lists]}
                     )
+                del grams, counts, order, keys, n
+                _release()
 
     return chunks.select("chunk", "blob").mapInPandas(batches, "slot int, chunk long, keys binary, counts binary")
 
@@ -212,6 +229,7 @@ def _summed(asked: DataFrame) -> DataFrame:
                 starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.empty(0, np.int64)
                 keys, n = keys[starts], np.add.reduceat(n, starts) if len(starts) else n
                 waiting, held = [], 0
+        _release()
         return pd.DataFrame({"slot": lists["slot"].iloc[0], "key": keys, "n": n})
 
     return asked.groupBy("slot").applyInPandas(of_slot, "slot int, key long, n long")
@@ -225,6 +243,8 @@ def _answered(asked: DataFrame, values: DataFrame) -> DataFrame:
         order = np.argsort(keys)
         keys, value = keys[order], value[order]
         found = [_pack(value[np.searchsorted(keys, _unpack_keys(x))]) for x in lists["keys"]]
+        del keys, value, order
+        _release()
         return pd.DataFrame({"chunk": lists["chunk"], "slot": lists["slot"], "answers": found})
 
     return asked.drop("counts").groupBy("slot").cogroup(values.groupBy("slot")).applyInPandas(of_slot, "chunk long, slot int, answers binary")
@@ -428,6 +448,8 @@ def score(docs: DataFrame, depth: int = 6, chunk_bytes: int = 12 << 20) -> DataF
                 [np.add.reduceat(logs[np.searchsorted(keys, names)][at], np.cumsum(size) - size) for names, at, size in parts]
             )
             size = np.concatenate([p[2] for p in parts])
+            del parts, keys, none, logs, names
+            _release()
             out.append(
                 pd.DataFrame(
                     {"doc_id": pd.Series(ids, dtype="Int64"), "held_out": folds, "n_tokens": n, "n_known": known, "train_tokens": train_tokens, "base_score": base, "score": log_p / np.log(10.0), "bits_per_byte": -log_p / np.log(2.0) / size}
