@@ -133,6 +133,39 @@ class Shard:
         return np.frombuffer(self.file.read(int(self.arrays["tokens"][entry]) * self.width), f"<u{self.width}")
 
 
+def publish_manifest(written: DataFrame, root: str) -> None:
+    """Write the range of keys of each shard beside the shards, one row for each, so that ``Tokens`` needs nothing but the folder."""
+    named = written.where("copy IS NOT NULL AND key IS NOT NULL")
+    ranges = named.groupBy("shard").agg(F.min("key").alias("least"), F.max("key").alias("greatest"))
+    ranges.coalesce(1).sortWithinPartitions("shard").write.mode("overwrite").parquet(f"{root}/manifest")
+
+
+class Tokens:
+    """Keyed access to a folder of shards: the manifest says which shard may hold a key, its index where."""
+
+    def __init__(self, root: str):
+        from pyarrow import dataset
+
+        self.store, self.open = Store(root), {}
+        ranges = dataset.dataset(self.store.path("manifest"), filesystem=self.store.fs, format="parquet").to_table().sort_by("shard")
+        self.shards, self.least, self.greatest = (ranges[c].to_numpy() for c in ("shard", "least", "greatest"))
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of all documents of a key, none for an unknown one (but for a false fingerprint, one in four thousand million)."""
+        out, k = [], int(np.searchsorted(self.greatest, key))
+        while k < len(self.shards) and self.least[k] <= key:
+            name = int(self.shards[k])
+            if name not in self.open:
+                self.open = {name: Shard(self.store, f"shard-{name:06d}")}
+            shard = self.open[name]
+            entry = int(shard.find(np.array([key], np.int64))[0])
+            if entry >= 0:
+                copies = int(shard.arrays["copies"][shard.hash.slots(np.array([key], np.int64))[0]])
+                out += [shard.ids(e) for e in range(entry, entry + copies)]
+            k += 1
+        return out
+
+
 def write(docs: DataFrame, root: str, tokenizer: str, end_id: int, shard_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all documents in ascending order of key, null keys last; the rows returned are (key, shard, copy, shard_tokens).
 

@@ -95,6 +95,12 @@ def test_token_files(spark):
     for r in rows:
         assert r["start"] == at
         at += r["n_tokens"]
+    token_files.publish_manifest(written, root)
+    folder = token_files.Tokens(root)
+    for key in {k for k, _ in ROWS if k is not None}:
+        due = sorted(whole.encode(t or "", add_special_tokens=False).ids + [2] for k, t in ROWS if k == key)
+        assert sorted(ids.tolist() for ids in folder.get(key)) == due
+    assert folder.get(77) == folder.get(-(2**62)) == folder.get(2**62) == []
     empty = token_files.write(docs.limit(0), root + "0", "byte_bpe_50k.json", 2)
     assert token_files.read(empty, root + "0").count() == 0
     unknown = written.withColumn("key", F.when(F.col("key") == 5, 77).otherwise(F.col("key")))
