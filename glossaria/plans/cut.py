@@ -5,19 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written as a table to the folder that the cluster names in ``spark.checkpoint.dir`` and read back.
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``.
 
-    The table outlives lost executors, is computed once, and tells Spark its size, so small frontiers are broadcast. Only a session on
-    one machine may leave that folder unset; it then takes a temporary one.
+    Only a session on one machine may leave that unset; it then takes a temporary folder.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/glossaria-{uuid.uuid4().hex}"
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/glossaria-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written as a table to a ``scratch`` folder and read back.
+
+    The table outlives lost executors, is computed once, and tells Spark its size, so small frontiers are broadcast.
+    """
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria import model
+from glossaria.functions import columns
 from glossaria.functions.columns import edge_key, handle_key, is_empty_object
 from glossaria.operators import definitions, edits, evolve, flat, geo, search, terms, updates, validate, walk
+from glossaria.plans.cut import scratch
 from glossaria.plans.fixture import ORACLE, dictionary, sql
 from glossaria.sources import tables
 
@@ -1336,3 +1338,185 @@ def x13_dataset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     clause = lambda field, mode, wanted: named.select("form_id", "op", F.lit(field).alias("field"), F.lit(mode).alias("mode"), wanted.alias("wanted"))
     forms = clause("word", "all", F.split("p_name", " ")).unionByName(clause("brand", "any", F.array(F.col("p_brand"), F.lit("Brand#1"))))
     return geo.query_datasets(values, forms).groupBy("form_id").agg(F.count("*").alias("n"), F.sum("dataset_id").alias("ids"))
+
+
+# Rows of their own for forms of the operators above
+
+
+@query("h AS (SELECT DISTINCT root, f FROM ep WHERE p = '_predicate_enum-of') SELECT root AS request_id, k AS key, nid FROM h JOIN tm ON 'terms/' || k = f")
+def f6_enumeration_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _roots(spark).withColumn("predicate", F.lit(model.ENUM_OF))
+    out = flat.functional_terms(dictionary(spark, sf_dir), asked)
+    return out.select("request_id", F.col("term._key").alias("key"), F.col("term._code._nid").alias("nid"))
+
+
+@query(f"""{_PATHS},
+h AS (SELECT tm.k, r.node, row_number() OVER (PARTITION BY tm.k ORDER BY depth, md5(concat_ws('/', node, p, split_part(path, '>', -2)))) AS n FROM tm JOIN r ON r.root = 'terms/geo' AND p = '_predicate_enum-of'
+      AND (r.node = 'terms/' || tm.k OR split_part(path, '>', -2) = 'terms/' || tm.k))
+SELECT h.k AS request_id, split_part(node, '/', 2) AS key, e.name AS title FROM h JOIN tm AS e ON 'terms/' || e.k = node WHERE n = 1
+""")
+def g10_matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record and key of the first element that a term leads to."""
+    d = dictionary(spark, sf_dir)
+    asked = d.terms.select(F.col("_key").alias("request_id"), F.lit("terms/geo").alias("root"), F.concat(F.lit("terms/"), "_key").alias("target"))
+    found = flat.with_terms(d, walk.match_enumeration(d, asked).select("request_id", F.col("node").alias("handle")))
+    return found.select("request_id", handle_key(F.col("handle")).alias("key"), F.col("term._code._name").alias("title"))
+
+
+@query("q AS (SELECT 1) SELECT DISTINCT name AS request_id, k AS key, lid FROM tm JOIN ep ON ep.f = 'terms/' || k AND root = 'terms/catalog' AND p = '_predicate_enum-of'")
+def g13_elements_by_official_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and records by an official code."""
+    d = dictionary(spark, sf_dir)
+    asked = _names(spark, sf_dir).withColumn("root", F.lit("terms/catalog"))
+    found = flat.with_terms(d, walk.match_enumeration_code(d, asked).select("request_id", F.col("node").alias("handle")).distinct())
+    return found.select("request_id", F.col("term._key").alias("key"), F.col("term._code._lid").alias("lid"))
+
+
+@query(f"{_PATHS} SELECT DISTINCT k AS request_id, depth, path FROM r JOIN tm ON 'terms/' || k = node WHERE root = 'terms/geo' AND p = '_predicate_enum-of'")
+def g20_paths_by_global_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths by a scalar code field."""
+    d = dictionary(spark, sf_dir)
+    asked = d.terms.select(F.col("_key").alias("request_id"), F.lit("terms/geo").alias("root"), F.lit("_gid").alias("field"), F.col("_code._gid").alias("code"))
+    return walk.match_enumeration_code(d, asked).select("request_id", "depth", F.array_join("vertices", ">").alias("path"))
+
+
+@query("SELECT 'part_' || p_partkey AS key, p_partkey % 3 > 0 AS found FROM part UNION ALL SELECT 'no_' || p_partkey, false FROM part", dictionary_sql=False)
+def i10_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup of descriptors alone (I10, I11): a term without a data section counts as missing."""
+    d, parts = dictionary(spark, sf_dir), _part_terms(spark, sf_dir)
+    some = parts.withColumn("_data", F.when(F.col("_code._lid").cast("long") % 3 > 0, F.col("_data"))).drop("p_size", "m")
+    keys = some.select(F.col("_key").alias("key")).unionByName(some.select(F.concat(F.lit("no_"), "_code._lid").alias("key")))
+    return flat.lookup(type(d)(some, d.edges, d.links), keys, descriptors=True).select("key", "found")
+
+
+@query("""
+c AS (SELECT f, p, t, count(*) AS n, bool_or(root = 'terms/geo') AS hit FROM ep WHERE p = '_predicate_section-of' GROUP BY ALL),
+k AS (SELECT md5(concat_ws('/', f, p, t)) AS edge_key, n, hit FROM c)
+SELECT edge_key, CASE WHEN NOT hit THEN 'ignored' WHEN n = 1 THEN 'deleted' ELSE 'updated' END AS action FROM k
+""")
+def w4_delete_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    sections = d.edges.where(F.col("predicate") == model.SECTION_OF)
+    asked = sections.select(F.col("from").alias("request_id"), F.lit("terms/geo").alias("root"), F.col("to").alias("parent"), F.col("from").alias("child"), F.lit(None).cast("map<string,string>").alias("data"))
+    return edits.plan_delete_edges(d, edits.children(edits.containers(asked))).select("edge_key", "action")
+
+
+@query("""
+b AS (SELECT DISTINCT root AS a, r2 AS b FROM (SELECT DISTINCT root FROM ep) AS x, (SELECT DISTINCT root AS r2 FROM ep) AS y WHERE root <> r2)
+SELECT b.a || ' ' || b.b AS request_id, CASE WHEN ep.f IS NULL THEN 'ignored' ELSE 'deleted' END AS action
+FROM b LEFT JOIN ep ON ep.root = b.a AND ep.t = b.a AND ep.f = b.b AND ep.p = '_predicate_bridge-of'
+""")
+def w6_delete_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ordered pair of roots as a bridge to delete; the pairs follow from a join on a constant of the few roots."""
+    d = dictionary(spark, sf_dir)
+    roots = _roots(spark).select("root").withColumn("one", F.lit(1))
+    pairs = roots.join(roots.withColumnRenamed("root", "bridged"), "one").where("root <> bridged").drop("one")
+    asked = pairs.select(F.concat_ws(" ", "root", "bridged").alias("request_id"), "root", "bridged", F.lit(None).cast("map<string,string>").alias("data"))
+    return edits.plan_delete_edges(d, edits.children(edits.bridges(asked))).select("request_id", "action")
+
+
+@query("""
+rq AS (SELECT DISTINCT l_returnflag AS request_id, 'terms/part_' || l_partkey AS a, 'terms/ship_' || l_suppkey AS b FROM lineitem), h AS (SELECT request_id, a AS handle FROM rq UNION SELECT request_id, b FROM rq)
+SELECT request_id, handle FROM h LEFT JOIN tm ON 'terms/' || k = handle WHERE k IS NULL
+""")
+def w10_link_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    asked = lines.select(F.col("l_returnflag").alias("request_id"), F.concat(F.lit("terms/part_"), "l_partkey").alias("parent"), F.concat(F.lit("terms/ship_"), "l_suppkey").alias("child")).distinct()
+    return edits.orphans(dictionary(spark, sf_dir), asked)
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a.b=1,a.c=9,d=' || event_type WHEN 1 THEN 'a=x,d=' || event_type WHEN 2 THEN 'd=' || event_type ELSE 'a.b=1,a.c=2,d=' || event_type END AS merged, event_id % 4 <> 3 AS changed FROM events
+""", dictionary_sql=False)
+def w12_merged_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data of edges as leaf maps: replace a leaf, replace an object by a value, remove an object, change nothing."""
+    events, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 4
+    entry = lambda *pairs: F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in pairs for x in pair])
+    old = entry(("a.b", "1"), ("a.c", "2"), ("d", F.col("event_type")))
+    new = F.when(k == 0, entry(("a.c", "9"))).when(k == 1, entry(("a", "x"))).when(k == 2, entry(("a", F.lit(None).cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    merged_ = columns.merged(old, new)
+    text = F.array_join(F.array_sort(F.transform(F.map_entries(merged_), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return events.select("event_id", text.alias("merged"), (~columns.same_map(old, merged_)).alias("changed"))
+
+
+@query("SELECT p_partkey AS row_id, CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 27 WHEN 2 THEN 19 WHEN 3 THEN 30 ELSE 21 END AS code FROM part", dictionary_sql=False)
+def v25_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    value = F.when(k == 0, F.lit("nation_1")).when(k == 1, F.concat(F.lit("part_"), "p_partkey")).when(k == 2, "geo").when(k == 3, F.concat(F.lit("no_"), "p_partkey")).otherwise(";")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.lit("origin").alias("descriptor"), value.cast("variant").alias("value"))
+    return validate.validate(dictionary(spark, sf_dir), validate.descriptor_rules(_definitions(spark, {"origin": _NESTED_RULES["origin"]})), rows).select("row_id", "code")
+
+
+@query("SELECT p_partkey AS row_id, CASE WHEN p_name <= 'blue gear' THEN 12 WHEN p_name > 'red pipe' THEN 13 ELSE 0 END AS code FROM part", dictionary_sql=False)
+def v36_string_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = '{"_scalar": {"_type": "_type_string", "_valid-range_string": {"_min-range-exclusive_string": "blue gear", "_max-range-inclusive_string": "red pipe"}}}'
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.lit("n").alias("descriptor"), F.col("p_name").cast("variant").alias("value"))
+    return validate.validate(dictionary(spark, sf_dir), validate.descriptor_rules(_definitions(spark, {"n": rule})), rows).select("row_id", "code")
+
+
+@query("""
+WITH w AS (SELECT p_partkey, unnest(['one', 'one_none', 'any', 'one_none_of', 'all', 'banned']) AS selector, p_partkey % 4 AS n FROM part)
+SELECT p_partkey AS row_id, selector, CASE WHEN CASE selector WHEN 'one' THEN n = 1 WHEN 'one_none' THEN n <= 1 WHEN 'any' THEN n >= 1 WHEN 'one_none_of' THEN n < 2 WHEN 'all' THEN n = 3 ELSE n = 0 END THEN 0 ELSE 34 END AS code FROM w
+""", dictionary_sql=False)
+def v31_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each selector of the required rule, and the banned list, against objects with none to three of its members."""
+    names = {"anysize": _MORE_RULES["anysize"], "anytext": _MORE_RULES["anytext"], "flag": _MORE_RULES["flag"]}
+    members = '["anysize", "anytext", "flag"]'
+    rule = {k: f'{{"_required": {{"{s}": {f"[{members}]" if k == "one_none_of" else members}}}}}' for k, s in model.SELECTORS.items()} | {"banned": f'{{"_banned": {members}}}'}
+    structures = validate.structure_rules(spark.sql(" UNION ALL ".join(f"SELECT '{k}' AS structure, parse_json('{v}') AS definition" for k, v in rule.items())))
+    n = F.col("p_partkey") % 4
+    text = F.when(n == 0, "{}").when(n == 1, '{"anysize": 1}').when(n == 2, '{"anysize": 1, "anytext": "a"}').otherwise('{"anysize": 1, "anytext": "a", "flag": true}')
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.parse_json(text).alias("object"), F.explode(F.array(*map(F.lit, rule))).alias("selector"))
+    rows = rows.select(F.struct("p_partkey", "selector").alias("row_id"), "object", F.array("selector").alias("kinds"))
+    out = validate.validate_objects(dictionary(spark, sf_dir), validate.descriptor_rules(_definitions(spark, names)), rows, structures)
+    return out.select(F.col("row_id.p_partkey").alias("row_id"), "row_id.selector", "code")
+
+
+@query("""
+SELECT 'part_' || p_partkey AS key, CASE p_partkey % 6 WHEN 0 THEN 'type changed' WHEN 1 THEN 'num lower bound raised' WHEN 2 THEN 'type changed' WHEN 3 THEN 'minimum elements raised' END AS violation FROM part WHERE p_partkey % 6 < 4
+""", dictionary_sql=False)
+def u7_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets, keys of dictionaries and limits of elements (U5, U7, U8, U13): the first four forms restrict, the last two relax."""
+    part, k, size = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey") % 6, F.col("p_size").cast("string")
+
+    def version(type_: Column, low: Column, key: Column, least: Column) -> DataFrame:
+        sets = F.concat(F.lit('{"_set": {"_set_scalar": {"_set_type": "'), type_, F.lit('", "_valid-range": {"_min-range-inclusive": '), low.cast("string"), F.lit("}}}}"))
+        dicts = F.concat(F.lit('{"_dict": {"_dict_key": {"_type_key": "'), key, F.lit('"}, "_dict_value": {"_array": {"_scalar": {"_type": "_type_number"}, "_elements": {"_min-items": '), least.cast("string"), F.lit("}}}}}"))
+        return part.select(F.concat(F.lit("part_"), "p_partkey").alias("descriptor"), F.parse_json(F.when(k.isin(0, 1, 4), sets).otherwise(dicts)).alias("definition"))
+
+    number, text, least = F.lit("_type_number"), F.lit("_type_string"), F.col("p_size") + 2
+    old = version(number, F.col("p_size"), text, least)
+    new = version(F.when(k == 0, "_type_string").otherwise(number), F.col("p_size") + F.when(k == 1, 1).when(k == 4, -1).otherwise(0), F.when(k == 2, "_type_string_key").otherwise(text), least + F.when(k == 3, 1).when(k == 5, -1).otherwise(0))
+    return evolve.rule_violations(validate.descriptor_rules(old), validate.descriptor_rules(new)).select(F.col("descriptor").alias("key"), "violation")
+
+
+@query("q AS (SELECT 1) SELECT count(*)::BIGINT AS n_terms, (SELECT count(*) FROM (SELECT DISTINCT edge_key FROM ep))::BIGINT AS n_edges, (SELECT count(*) FROM lk)::BIGINT AS n_links, md5(string_agg(k || name, ',' ORDER BY k)) AS terms FROM tm")
+def s1_saved_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary, saved and read back."""
+    folder = scratch(spark)
+    tables.save(dictionary(spark, sf_dir), folder)
+    d = tables.read(spark, folder)
+    named = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_key", "_code._name"))), lambda x: F.concat(x["_key"], x["_name"])), ","))
+    one = d.terms.agg(F.count("*").alias("n_terms"), named.alias("terms")).withColumn("one", F.lit(1))
+    for name, rows in (("n_edges", d.edges), ("n_links", d.links)):
+        one = one.join(rows.agg(F.count("*").alias(name)).withColumn("one", F.lit(1)), "one")
+    return one.drop("one")
+
+
+@query("SELECT user_id % 50 AS shape, strftime(ts, '%Y%m') AS span, count(*) AS n, min(ts)::DATE::VARCHAR AS first_date, max(ts)::DATE::VARCHAR AS last_date, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS terms FROM events GROUP BY 1, 2", dictionary_sql=False)
+def x9_summary_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select((F.col("user_id") % 50).alias("shape"), geo.span_of(F.col("ts"), "month").alias("span"), F.to_date("ts").cast("string").alias("date"), F.col("event_type").alias("term"), F.lit("events").alias("dataset"))
+    return geo.measurement_summary(rows, ["shape", "span"]).select("shape", "span", "n", "first_date", "last_date", _joined("terms").alias("terms"))
+
+
+@query("""
+WITH d AS (SELECT strftime(ts, '%Y') AS span, ts::DATE::VARCHAR AS date, event_type, max(event_id) AS v FROM events GROUP BY ALL)
+SELECT span, date, string_agg(event_type || '=' || v, ',' ORDER BY event_type) AS properties FROM d GROUP BY span, date
+""", dictionary_sql=False)
+def x10_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of a date merged to one row."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(geo.span_of(F.col("ts"), "year").alias("span"), F.to_date("ts").cast("string").alias("date"), F.col("event_type").alias("term"), F.col("event_id").alias("value"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return geo.measurement_series(rows, ["span"]).select("span", "date", text.alias("properties"))
