@@ -417,8 +417,11 @@ def _nested(d: Dictionary, rules: DataFrame, starts: str, here: DataFrame, struc
     if "_set" in containers:
         changed = changed.unionByName(nodes.where("shape = 's'").select("row_id"))
     failed = marks.where("code <> 0").select("row_id").distinct()
-    touched = changed.distinct().join(failed, "row_id", "left_anti")
-    whole, dropped = fold(nodes.join(touched, "row_id", "left_semi"))
+    touched = cut(changed.distinct().join(failed, "row_id", "left_anti"))
+    if touched.isEmpty():
+        whole, dropped = touched.select("row_id", F.lit(None).cast("string").alias("json")), marks.where("false")
+    else:
+        whole, dropped = fold(nodes.join(touched, "row_id", "left_semi"))
     verdicts = marks.unionByName(dropped.select("row_id", "at", F.lit(0).alias("code"), F.lit(None).cast("string").alias("top"), "change"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("change").isNotNull(), F.struct("at", "change"))))
     found = verdicts.groupBy("row_id").agg(first.alias("first"), ordered.alias("changed"))
