@@ -2,7 +2,8 @@
 
 1. Each text becomes the set of its five-word shingles. Texts with equal sets form a class, known by a 128-bit fingerprint.
 2. Each class has one label in each tree of the forest: ``depth`` MinHash values of six bits. Labels sorted within a tree are its
-   prefix trie: the longer prefix that a label shares with a neighbour is the deepest node in which its class meets another.
+   prefix trie: the longer prefix that a label shares with a neighbour is the deepest node in which its class meets another. Sorting
+   goes a few values at a time over distinct prefixes, so it stays bounded where a third of all classes has one label.
 3. Matched prefixes start at full depth. Classes that share a prefix are joined to the least of them, a star; all pairs of a
    component of stars are verified exactly, and the links found, by their true similarity, tell what share of all links meets
    at that depth. While it is below the target, the prefix is shortened by one value; then only pairs that the deeper nodes
@@ -13,6 +14,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import groupby
@@ -107,27 +109,35 @@ def _sketch(rows: DataFrame, n: int, forest: Forest) -> DataFrame:
     return rows.mapInPandas(batches, "row long, doc_id long, n_shingles long, f1 long, f2 long, labels array<long>")
 
 
-def tries(classes: DataFrame, depth: int, least_depth: int) -> DataFrame:
+def tries(classes: DataFrame, depth: int, least_depth: int, step: int = 3) -> DataFrame:
     """(tree, label, node, meets): the leaves that meet another at ``least_depth`` or deeper, and how deep.
 
-    Labels are sorted within the subtrees of that depth, each of which is one window.
+    The tries are sorted ``step`` values at a time, from the leaves up: distinct prefixes within the subtree that they share without those
+    values, which holds at most ``64 ** step`` of them, so no window grows with the data however often a label occurs.
     """
-    labels = classes.select("node", F.posexplode("labels").alias("tree", "label"))
-    labels = labels.withColumn("root", F.shiftright("label", _BITS * (depth - least_depth)))
-    ordered = Window.partitionBy("tree", "root").orderBy("label")
+    leaves = classes.select("node", F.posexplode("labels").alias("tree", "label"))
+    counted = leaves.groupBy("tree", F.col("label").alias("prefix")).agg(F.when(F.count("*") > 1, depth).alias("meets"))
+    nodes = found = materialized(counted)
+    for high in range(depth, least_depth, -step):
+        low = max(least_depth, high - step)
+        ordered = Window.partitionBy("tree", F.shiftright("prefix", _BITS * (high - low))).orderBy("prefix")
 
-    def shared(other: Column) -> Column:
-        x = F.col("label").bitwiseXOR(other)
-        return F.when(x == 0, depth).otherwise(depth - F.ceil(F.length(F.bin(x)) / _BITS))
+        def shared(other: Column, high: int = high) -> Column:
+            return high - F.ceil(F.length(F.bin(F.col("prefix").bitwiseXOR(other))) / _BITS)
 
-    meets = F.greatest(shared(F.lag("label").over(ordered)), shared(F.lead("label").over(ordered))).cast("int")
-    return labels.select("tree", "label", "node", meets.alias("meets")).where("meets is not null")
+        near = F.greatest(shared(F.lag("prefix").over(ordered)), shared(F.lead("prefix").over(ordered))).cast("int")
+        near = nodes.select("tree", F.col("prefix").alias("node_prefix"), near.alias("near")).where("near is not null")
+        up = found.withColumn("node_prefix", F.shiftright("prefix", _BITS * (depth - high))).join(near, ["tree", "node_prefix"], "left")
+        found = materialized(up.select("tree", "prefix", F.coalesce("meets", "near").alias("meets")))
+        nodes = nodes.select("tree", F.shiftright("prefix", _BITS * (high - low)).alias("prefix")).distinct()
+    return leaves.join(found.where("meets is not null").withColumnRenamed("prefix", "label"), ["tree", "label"]).select("tree", "label", "node", "meets")
 
 
 def stars(leaves: DataFrame, depth: int, k: int) -> DataFrame:
     """(hub, node): each class of a node of depth ``k`` with the least class there."""
-    inside = Window.partitionBy("tree", F.shiftright("label", _BITS * (depth - k)))
-    return leaves.where(F.col("meets") >= k).select(F.min("node").over(inside).alias("hub"), "node").where("hub < node").distinct()
+    inside = leaves.where(F.col("meets") >= k).select("tree", F.shiftright("label", _BITS * (depth - k)).alias("prefix"), "node")
+    hubs = inside.groupBy("tree", "prefix").agg(F.min("node").alias("hub"))
+    return inside.join(hubs, ["tree", "prefix"]).where("hub < node").select("hub", "node").distinct()
 
 
 def links_within(
@@ -276,8 +286,8 @@ def near_duplicates(
     known, found, shingled, reach, bins = None, None, None, depth + 1, np.zeros(_BINS)
     for k in range(depth, least_depth - 1, -1):
         if k < reach:  # texts are fetched for the classes that meet at this depth or the two above it
-            met, reach = leaves.groupBy("node").agg(F.max("meets").alias("meets")), max(least_depth, k - 2)
-            fresh = met.where((F.col("meets") >= reach) & (F.col("meets") < k + 1 if shingled is not None else F.lit(True))).select("node")
+            deepest, reach = leaves.groupBy("node").agg(F.max("meets").alias("meets")), max(least_depth, k - 2)
+            fresh = deepest.where((F.col("meets") >= reach) & (F.col("meets") < k + 1 if shingled is not None else F.lit(True))).select("node")
             more = materialized(_shingled(rows.join(fresh.join(classes.select("node", "row", "copies"), "node"), "row"), n))
             shingled = more if shingled is None else shingled.unionByName(more)
         members = components(stars(leaves, depth, k))
@@ -286,9 +296,12 @@ def near_duplicates(
         for r in more.where("bin is not null").groupBy("bin").agg(F.sum("n_links").alias("n")).collect():
             bins[r["bin"]] += r["n"]
         found = more if found is None else found.unionByName(more)
-        if recall(bins, threshold, k, trees) >= target:
+        met = recall(bins, threshold, k, trees) if bins.sum() else meeting(threshold, k, trees)  # without a link found, that of the hardest to meet
+        if met >= target:
             break
         known = members.withColumnRenamed("component", "known")
+    else:
+        warnings.warn(f"prefixes of {least_depth} values meet {met:.4f} of the links, not {target}", stacklevel=2)
 
     found = found.where("node is not null")
     groups = components(found.select("hub", "node"))

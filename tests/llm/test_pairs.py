@@ -6,7 +6,7 @@ import pytest
 
 from glossaria.llm.components import components
 from glossaria.llm.embedding_dedup import CapFilters, near_vectors, plan
-from glossaria.llm.ngram_join import Forest, Shingler, links_within, meeting, near_duplicates, recall
+from glossaria.llm.ngram_join import Forest, Shingler, links_within, meeting, near_duplicates, recall, stars, tries
 
 
 def _groups(nodes, links):
@@ -88,6 +88,35 @@ def test_recall_of_a_depth():
     assert recall(bins, 0.8, 10, 32) > 0.999 > recall(bins, 0.8, 10, 8)
 
 
+@pytest.mark.parametrize("least_depth,step", [(4, 3), (5, 2), (9, 3), (10, 3)])
+def test_tries_with_a_label_that_most_classes_share(spark, least_depth, step):
+    rng = np.random.default_rng(7)
+    values = rng.integers(0, 3, (90, 2, 10))
+    values[:50, 0] = values[0, 0]  # a hot leaf of the first tree
+    labels = (values.astype(np.int64) << (np.arange(9, -1, -1) * 6)).sum(axis=2)
+    classes = spark.createDataFrame([(k, x) for k, x in enumerate(labels.tolist())], "node long, labels array<long>")
+    leaves = tries(classes, 10, least_depth, step)
+
+    def common(a, b):
+        return next((k for k in range(10) if a[k] != b[k]), 10)
+
+    best = {(t, i): max(common(values[i, t], values[j, t]) for j in range(90) if j != i) for t in (0, 1) for i in range(90)}
+    assert {(r["tree"], r["node"]): r["meets"] for r in leaves.collect()} == {k: v for k, v in best.items() if v >= least_depth}
+    for k in range(least_depth, 11):
+        nodes = {}
+        for t, i in itertools.product((0, 1), range(90)):
+            nodes.setdefault((t, *values[i, t, :k]), []).append(i)
+        assert {(r["hub"], r["node"]) for r in stars(leaves, 10, k).collect()} == {(x[0], y) for x in nodes.values() for y in x[1:]}
+
+
+def test_a_lone_link_at_the_threshold(spark):
+    # 90 of 100 shingles on either side, 80 in common: 80 / 100; without a link found the prefix goes on shortening until such a link meets
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words[:94])), (2, " ".join(words[10:104])), (3, " ".join(words[200:300]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def test_labels_agree_as_often_as_sets():
     forest, rng = Forest(32, 10), np.random.default_rng(3)
     rows = []
