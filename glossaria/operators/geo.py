@@ -20,7 +20,7 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 
 
 def cells_of_points(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
-    """Points (lon, lat) with the cell (cell_id, west, south) of side ``size`` that holds them; the west and south sides belong to it."""
+    """Points (lon, lat) with the cell (cell_id, west, south) of side ``size`` that holds them; the west and south sides belong to it."""
     at = lambda x: F.floor(F.round(x / size, 9))
     keyed = cells.withColumn("_i", at(F.col("west"))).withColumn("_j", at(F.col("south")))
     return points.withColumn("_i", at(F.col("lon"))).withColumn("_j", at(F.col("lat"))).join(keyed, ["_i", "_j"]).drop("_i", "_j")
@@ -124,6 +124,44 @@ def search_shapes(shapes: DataFrame, searches: DataFrame, ranges: tuple[str, ...
     return reduce(DataFrame.unionByName, pairs).distinct()
 
 
+def shapes_of_points(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(point_id, shape_id) of every shape that holds each point.
+
+    ``points``: (point_id, lon, lat). ``shapes``: (shape_id, rings), closed rings of (lon, lat): the outer one, then holes; null or empty ones hold
+    nothing. The box of a shape is covered by at most nine cells of a grid about as wide as the box, one grid for each power of two; a point
+    looks at its own cell in every grid in use, at most 25 of them. Candidates are settled by counting crossings over all rings.
+    """
+    ends = lambda f, c: f(F.transform(F.col("rings")[0], lambda p: p[c]))
+    boxed = shapes.where(F.size("rings") > 0).select(
+        "shape_id", "rings", ends(F.array_min, "lon").alias("west"), ends(F.array_max, "lon").alias("east"), ends(F.array_min, "lat").alias("south"), ends(F.array_max, "lat").alias("north")
+    )
+    side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(1e-9))
+    boxed = cut(boxed.where("west is not null").withColumn("_l", F.least(F.greatest(F.floor(F.log2(360.0 / side)), F.lit(0)), F.lit(24)).cast("int")))
+    grids = [r[0] for r in boxed.select("_l").distinct().collect()]
+    cell = lambda x, shift: F.floor((x + shift) / 360.0 * F.pow(F.lit(2.0), F.col("_l")))
+    cells = boxed.withColumn("_i", F.explode(F.sequence(cell(F.col("west"), 180.0), cell(F.col("east"), 180.0))))
+    cells = cells.withColumn("_j", F.explode(F.sequence(cell(F.col("south"), 90.0), cell(F.col("north"), 90.0))))
+    lon, lat = F.col("lon"), F.col("lat")
+    asked = points.select("point_id", "lon", "lat", F.explode(F.array(*map(F.lit, grids)).cast("array<int>")).alias("_l"))
+    asked = asked.withColumns({"_i": cell(lon, 180.0), "_j": cell(lat, 90.0)})
+    near = asked.join(cells, ["_l", "_i", "_j"]).where(lon.between(F.col("west"), F.col("east")) & lat.between(F.col("south"), F.col("north")))
+    return near.where(F.aggregate("rings", F.lit(False), lambda odd, ring: odd != inside_ring(lon, lat, ring))).select("point_id", "shape_id")
+
+
+def units_of_shapes(units: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked``, with a column ``shape`` (a hash), with the units (unit_id, shapes ARRAY<STRING>) that list it."""
+    return asked.join(units.select("unit_id", F.explode(F.array_distinct("shapes")).alias("shape")), "shape")
+
+
+def summary_at_points(points: DataFrame, cells: DataFrame, size: float, rows: DataFrame) -> DataFrame:
+    """X11: ``measurement_summary`` of the cell that holds each point (point_id, lon, lat); ``rows`` are measurements with their cell_id.
+
+    Cells are summed up before points meet them, so points of one cell share its summary.
+    """
+    found = cells_of_points(points.select("point_id", "lon", "lat"), cells.select("cell_id", "west", "south"), size)
+    return found.select("point_id", "cell_id").join(measurement_summary(rows, ["cell_id"]), "cell_id")
+
+
 def query_datasets(values: DataFrame, forms: DataFrame) -> DataFrame:
     """(form_id, dataset_id) of the data sets that each form finds.
 

@@ -49,16 +49,25 @@ def _reached(steps: DataFrame, starts: DataFrame, on: list[str], levels: int) ->
     return seen
 
 
-def tree(d: Dictionary, requests: DataFrame, predicates: Iterable[str], many_to_one: bool = True, levels: int = LEVELS) -> DataFrame:
-    """(request_id, parent, predicate, children) of all edges within ``levels`` of the root that have an allowed predicate.
+def tree_rows(d: Dictionary, requests: DataFrame, predicates: Iterable[str], many_to_one: bool = True, levels: int = LEVELS) -> DataFrame:
+    """As ``tree``, one row for each child: (request_id, parent, predicate, child, depth), the depth that of the child below its parent.
 
-    ``requests``: (request_id, root). Edges of other predicates of the root are walked through. An edge that closes a circle is
-    listed but not walked again.
+    A parent of any number of children stays dealt over tasks; ordered by depth, the rows are the tree breadth first.
     """
     steps = cut(arrows(d, many_to_one))
     nodes = _reached(_onward(steps, ["root", "node"]), requests.withColumn("node", F.col("root")), ["root", "node"], levels - 1)
     found = nodes.join(steps, ["root", "node"]).where(F.col("predicate").isin(*predicates))
-    return found.groupBy("request_id", F.col("node").alias("parent"), "predicate").agg(F.array_sort(F.collect_set("next")).alias("children"))
+    return found.select("request_id", F.col("node").alias("parent"), "predicate", F.col("next").alias("child"), (F.col("depth") + 1).alias("depth"))
+
+
+def tree(d: Dictionary, requests: DataFrame, predicates: Iterable[str], many_to_one: bool = True, levels: int = LEVELS) -> DataFrame:
+    """(request_id, parent, predicate, children) of all edges within ``levels`` of the root that have an allowed predicate.
+
+    ``requests``: (request_id, root). Edges of other predicates of the root are walked through. An edge that closes a circle is
+    listed but not walked again. All children of a parent are one row; ``tree_rows`` gives them a row each.
+    """
+    found = tree_rows(d, requests, predicates, many_to_one, levels)
+    return found.groupBy("request_id", "parent", "predicate").agg(F.array_sort(F.collect_set("child")).alias("children"))
 
 
 def property_tree(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> DataFrame:

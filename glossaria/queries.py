@@ -1520,3 +1520,229 @@ def x10_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.select(geo.span_of(F.col("ts"), "year").alias("span"), F.to_date("ts").cast("string").alias("date"), F.col("event_type").alias("term"), F.col("event_id").alias("value"))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return geo.measurement_series(rows, ["span"]).select("span", "date", text.alias("properties"))
+
+
+@query("""
+r AS (SELECT DISTINCT root, root AS node, 0 AS depth FROM ep UNION SELECT r.root, ep.f, depth + 1 FROM r JOIN ep ON ep.root = r.root AND ep.t = r.node WHERE depth < 9),
+n AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node)
+SELECT n.root AS request_id, t AS parent, p AS predicate, f AS child, depth + 1 AS depth FROM n JOIN ep ON ep.root = n.root AND ep.t = n.node
+WHERE p IN ('_predicate_enum-of', '_predicate_section-of', '_predicate_bridge-of')
+""")
+def g3_enumeration_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of each root as rows, a child each, with its depth."""
+    return walk.tree_rows(dictionary(spark, sf_dir), _roots(spark), (model.ENUM_OF, model.SECTION_OF, model.BRIDGE_OF)).select("request_id", "parent", "predicate", "child", "depth")
+
+
+@query(f"""{_PATHS},
+h AS (SELECT tm.k, r.node, row_number() OVER (PARTITION BY tm.k ORDER BY depth, md5(concat_ws('/', node, p, split_part(path, '>', -2)))) AS n FROM tm JOIN r ON r.root = 'terms/supply' AND p = '_predicate_enum-of'
+      AND (r.node = 'terms/' || tm.k OR split_part(path, '>', -2) = 'terms/' || tm.k))
+SELECT k AS request_id, split_part(node, '/', 2) AS key FROM h WHERE n = 1
+""")
+def g11_matched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dictionary(spark, sf_dir)
+    asked = d.terms.select(F.col("_key").alias("request_id"), F.lit("terms/supply").alias("root"), F.concat(F.lit("terms/"), "_key").alias("target"))
+    return walk.match_enumeration(d, asked).select("request_id", handle_key(F.col("node")).alias("key"))
+
+
+@query("""
+c AS (SELECT k, unnest(['_lid', '_gid', '_name', '_aid', '_aid']) AS field, unnest([lid, k, name, lid, name]) AS code FROM tm),
+h AS (SELECT DISTINCT field, code, root, k FROM c JOIN ep ON f = 'terms/' || k AND p = '_predicate_enum-of')
+SELECT field, code, root, h.k AS key, nid, name AS title FROM h JOIN tm ON tm.k = h.k
+""")
+def g19_elements_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of all roots by every code of every term in four fields at once: keys and records."""
+    d = dictionary(spark, sf_dir)
+    codes = d.term_codes.where(F.col("field").isin("_lid", "_gid", "_name", "_aid")).select("field", "code").distinct()
+    asked = codes.withColumn("root", F.explode(F.array(*map(F.lit, ("terms/geo", "terms/supply", "terms/catalog"))))).select(F.struct("field", "code", "root").alias("request_id"), "root", "field", "code")
+    found = flat.with_terms(d, walk.match_enumeration_code(d, asked).select("request_id", F.col("node").alias("handle")).distinct())
+    return found.select("request_id.field", "request_id.code", "request_id.root", F.col("term._key").alias("key"), F.col("term._code._nid").alias("nid"), F.col("term._code._name").alias("title"))
+
+
+@query("q AS (SELECT 1) SELECT DISTINCT name AS request_id, k AS key, nid, lid FROM tm JOIN ep ON f = 'terms/' || k AND p = '_predicate_enum-of' AND root = 'terms/geo'")
+def i7_enumeration_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of an enumeration with a code, each key with its record."""
+    asked = _names(spark, sf_dir).withColumn("root", F.lit("terms/geo"))
+    return flat.enum_terms_by_code(dictionary(spark, sf_dir), asked).select("request_id", "key", F.col("_code._nid").alias("nid"), F.col("_code._lid").alias("lid"))
+
+
+@query("SELECT 'part_' || p_partkey AS key, true AS found, p_partkey % 3 > 0 AS is_descriptor FROM part UNION ALL SELECT 'no_' || p_partkey, false, false FROM part", dictionary_sql=False)
+def i11_term_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of a list of terms, descriptors or not, known or not."""
+    d, parts = dictionary(spark, sf_dir), _part_terms(spark, sf_dir)
+    some = parts.withColumn("_data", F.when(F.col("_code._lid").cast("long") % 3 > 0, F.col("_data"))).drop("p_size", "m")
+    keys = some.select(F.col("_key").alias("key")).unionByName(some.select(F.concat(F.lit("no_"), "_code._lid").alias("key")))
+    return flat.lookup(type(d)(some, d.edges, d.links), keys).select("key", "found", F.col("_data").isNotNull().alias("is_descriptor"))
+
+
+@query("""
+w AS (SELECT k, unnest(['iso_639_3_eng', 'iso_639_3_ita', '@']) AS language FROM tm)
+SELECT w.k AS key, language, CASE WHEN language = 'iso_639_3_eng' THEN name END AS title, language = '@' AS whole FROM w JOIN tm ON tm.k = w.k
+""")
+def t6_term_in_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each term in a language that it has, in one that it lacks, and with all its languages."""
+    d = dictionary(spark, sf_dir)
+    keys, out = d.terms.select("_key"), []
+    for language in (model.LANGUAGE, "iso_639_3_ita", "@"):
+        got = terms.get_terms(d.terms, keys, language)
+        text = F.col("title_text") if "title_text" in got.columns else F.lit(None).cast("string")
+        out.append(got.select(F.col("_key").alias("key"), F.lit(language).alias("language"), text.alias("title"), F.lit("title_text" not in got.columns).alias("whole")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("q AS (SELECT 1) SELECT k AS key FROM tm WHERE nid = 'supplier' AND lid LIKE '%7' ORDER BY k LIMIT 20 OFFSET 2")
+def t9_search_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = terms.search(dictionary(spark, sf_dir).terms, terms.selection(_nid="supplier", _lid="%7"), start=2, limit=20)
+    return found.select(F.col("_key").alias("key"))
+
+
+@query("q AS (SELECT 1) SELECT k AS key, '_key,_code,_info,_data,_rule' AS fields FROM tm")
+def t17_for_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms as a store holds them, without what only the store needs."""
+    stored = dictionary(spark, sf_dir).terms.withColumns({"_id": F.concat(F.lit("terms/"), "_key"), "_rev": F.md5("_key"), "_oldRev": F.lit(None).cast("string")})
+    shown = terms.for_client(stored)
+    return shown.select(F.col("_key").alias("key"), F.lit(",".join(shown.columns)).alias("fields"))
+
+
+@query("SELECT p_brand AS brand, count(*) FILTER (p_partkey % 7 > 0) AS n, sum(p_size) FILTER (p_partkey % 7 > 0) AS size, count(*) FILTER (p_partkey % 7 = 0) AS n_malformed FROM part GROUP BY 1", dictionary_sql=False)
+def s3_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as JSON lines, every seventh cut short, read back with the malformed lines beside the others."""
+    folder, part = scratch(spark), spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = F.to_json(F.struct("p_partkey", "p_brand", "p_size"))
+    part.select(F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("#"), "p_brand")).otherwise(line).alias("value")).write.text(folder)
+    rows = tables.read_lines(spark, folder, "p_partkey LONG, p_brand STRING, p_size LONG")
+    brand = F.coalesce("p_brand", F.substring("_corrupt", 2, 100))
+    return rows.groupBy(brand.alias("brand")).agg(F.count("p_partkey").alias("n"), F.sum("p_size").alias("size"), F.count("_corrupt").alias("n_malformed"))
+
+
+@query("""
+k AS (SELECT md5(concat_ws('/', 'terms/customer_' || c_custkey, '_predicate_property-of', 'terms/region_' || n_regionkey)) AS edge_key FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT edge_key, true AS is_new FROM k UNION SELECT edge_key, false FROM ep
+""")
+def s5_bulk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges and, added at once, one from each customer to its region; a key that is taken would raise."""
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    ends = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    ends = ends.select(F.concat(F.lit("terms/customer_"), "c_custkey").alias("f"), F.concat(F.lit("terms/region_"), "n_regionkey").alias("t"))
+    new = ends.select(edge_key(F.col("f"), F.lit(model.PROPERTY_OF), F.col("t")).alias("edge_key"), F.lit(True).alias("is_new"))
+    return tables.insert(dictionary(spark, sf_dir).edges.select("edge_key", F.lit(False).alias("is_new")), new, "edge_key")
+
+
+@query(f"{_SETS} SELECT request_id, edge_key, action FROM pl WHERE action IN ('inserted', 'updated')")
+def s8_rows_to_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dry run says would be written; the plan itself writes nothing."""
+    plan = edits.plan_set_edges(dictionary(spark, sf_dir), edits.children(_set_requests(spark, sf_dir)))
+    return tables.inserted_rows(plan).select("request_id", "edge_key", "action")
+
+
+@query("""
+SELECT 'part_' || p_partkey AS key, CASE p_partkey % 6 WHEN 0 THEN 'rule section added' WHEN 1 THEN 'data section removed' WHEN 2 THEN 'identifier changed' WHEN 3 THEN 'local identifier missing from official ones' END AS violation
+FROM part WHERE p_partkey % 6 < 4
+UNION ALL SELECT 'part_' || p_partkey || 'x', 'term added' FROM part WHERE p_partkey % 6 = 4 UNION ALL SELECT 'part_' || p_partkey, 'term removed' FROM part WHERE p_partkey % 6 = 4
+""", dictionary_sql=False)
+def u9_sections_of_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and sections of whole terms (U2, U3, U9); the last sixth stays as it is."""
+    old = _part_terms(spark, sf_dir).drop("p_size", "m").withColumn("_rule", F.lit(None).cast("variant"))
+    k = F.col("_code._lid").cast("long") % 6
+    new = old.withColumns({
+        "_rule": F.when(k == 0, F.parse_json(F.lit('{"_required": {"_selection-descriptors_one": ["a"]}}'))),
+        "_data": F.when(k != 1, F.col("_data")),
+        "_key": F.when(k == 4, F.concat("_key", F.lit("x"))).otherwise(F.col("_key")),
+        "_code": F.col("_code").withField("_gid", F.when(k == 2, F.concat("_code._gid", F.lit("y"))).otherwise(F.col("_code._gid"))).withField("_aid", F.when(k == 3, F.array(F.lit("other"))).otherwise(F.col("_code._aid"))),
+    })
+    return evolve.code_violations(old, new).select(F.col("_key").alias("key"), "violation")
+
+
+@query("""
+SELECT 'part_' || p_partkey AS key, CASE p_partkey % 8 WHEN 0 THEN 'minimum elements raised' WHEN 1 THEN 'maximum elements lowered' WHEN 2 THEN 'element limit added' WHEN 3 THEN 'nesting changed' WHEN 4 THEN 'type changed' END AS violation
+FROM part WHERE p_partkey % 8 < 5
+""", dictionary_sql=False)
+def u13_element_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of elements, containers and their scalars (U4-U6, U13): five forms restrict, three relax or stay."""
+    part, m, size = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey") % 8, F.col("p_size")
+
+    def version(least: Column, most: Column, inner: Column, kind: Column) -> DataFrame:
+        limits = F.concat(F.lit('"_elements": {'), F.concat_ws(", ", F.concat(F.lit('"_min-items": '), least.cast("string")), F.concat(F.lit('"_max-items": '), most.cast("string"))), F.lit("}"))
+        text = F.concat(F.lit('{"_array": {"'), inner, F.lit('": {"'), F.when(inner == "_set", F.lit('_set_scalar": {"_set_type": "')).otherwise(F.lit('_type": "')), kind, F.when(inner == "_set", F.lit('"}}, ')).otherwise(F.lit('"}, ')), limits, F.lit("}}"))
+        return part.select(F.concat(F.lit("part_"), "p_partkey").alias("descriptor"), F.parse_json(text).alias("definition"))
+
+    scalar, number = F.lit("_scalar"), F.lit("_type_number")
+    old = version(size + 1, F.when(m != 2, size + 9), scalar, number)
+    least = F.when(m == 0, size + 2).when(m == 5, size).when(m != 6, size + 1)
+    most = F.when(m == 1, size + 8).when(m == 6, size + 20).otherwise(size + 9)
+    new = version(least, most, F.when(m == 3, "_set").otherwise(scalar), F.when(m == 4, "_type_string").otherwise(number))
+    return evolve.rule_violations(validate.descriptor_rules(old), validate.descriptor_rules(new)).select(F.col("descriptor").alias("key"), "violation")
+
+
+# Units and shapes
+
+
+def _unit_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle with a square hole for each supplier, of sides from a fiftieth of a degree to 30 degrees, anywhere on the globe."""
+    s = F.col("s_suppkey")
+    side = F.element_at(F.array(*map(F.lit, (0.02, 0.3, 2.0, 7.0, 30.0))), (s % 5 + 1).cast("int"))
+    west, south = (s * 7919) % 32000 / 100.0 - 170.0, (s * 104729) % 14000 / 100.0 - 80.0
+    at = lambda x, y: F.struct((F.col("west") + F.col("side") * x).alias("lon"), (F.col("south") + F.col("side") * y).alias("lat"))
+    ring = lambda a, b: F.array(at(a, a), at(b, a), at(b, b), at(a, b), at(a, a))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(s.alias("unit_id"), side.alias("side"), west.alias("west"), south.alias("south"))
+    return rows.select("unit_id", F.array(ring(0.0, 1.0), ring(0.25, 0.75)).alias("rings"))
+
+
+_UNITS = """
+u AS (SELECT s_suppkey AS unit_id, [0.02, 0.3, 2.0, 7.0, 30.0][(s_suppkey % 5 + 1)::INT]::DOUBLE AS side, (s_suppkey * 7919) % 32000 / 100.0 - 170.0 AS west, (s_suppkey * 104729) % 14000 / 100.0 - 80.0 AS south FROM supplier),
+p AS (SELECT c_custkey, (c_custkey * 6151) % 32000 / 100.0 - 170.0037 AS lon, (c_custkey * 3571) % 14000 / 100.0 - 80.0037 AS lat FROM customer)
+"""
+
+
+def _unit_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(c.alias("point_id"), ((c * 6151) % 32000 / 100.0 - 170.0037).alias("lon"), ((c * 3571) % 14000 / 100.0 - 80.0037).alias("lat"))
+
+
+@query(f"""WITH {_UNITS}
+SELECT c_custkey AS point_id, unit_id FROM p JOIN u ON lon > west AND lon < west + side AND lat > south AND lat < south + side
+WHERE NOT (lon > west + side * 0.25 AND lon < west + side * 0.75 AND lat > south + side * 0.25 AND lat < south + side * 0.75)
+""", dictionary_sql=False)
+def x7_shapes_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shape that holds each point (X5, X7): shapes of very different sizes, with holes."""
+    shapes = _unit_shapes(spark, sf_dir).select(F.col("unit_id").alias("shape_id"), "rings")
+    return geo.shapes_of_points(_unit_points(spark, sf_dir), shapes).select("point_id", F.col("shape_id").alias("unit_id"))
+
+
+@query(f"""WITH {_UNITS}
+SELECT a.unit_id AS asked, string_agg(b.unit_id::VARCHAR, ',' ORDER BY b.unit_id) AS units FROM u AS a JOIN u AS b ON a.side = b.side AND a.west = b.west AND a.south = b.south GROUP BY 1
+""", dictionary_sql=False)
+def x5_units_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by the hash of a shape that they list (X5): each shape is asked for as another file would write it."""
+    shapes = _unit_shapes(spark, sf_dir)
+    units = shapes.select("unit_id", F.array(geo.polygon_hash(F.col("rings"))).alias("shapes"))
+    asked = shapes.select(F.col("unit_id").alias("asked"), geo.polygon_hash(F.transform("rings", F.reverse)).alias("shape"))
+    found = geo.units_of_shapes(units, asked)
+    return found.groupBy("asked").agg(_joined(F.transform(F.array_sort(F.collect_list("unit_id")), lambda x: x.cast("string"))).alias("units"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey, floor((c_custkey * 37) % 3600 / 100.0) AS i, floor((c_custkey * 91) % 1800 / 100.0) AS j FROM customer),
+e AS (SELECT user_id % 36 AS i, user_id % 18 AS j, ts::DATE::VARCHAR AS date, event_type FROM events)
+SELECT c_custkey AS point_id, count(*) AS n, min(date) AS first_date, max(date) AS last_date, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS terms FROM p JOIN e USING (i, j) GROUP BY 1
+""", dictionary_sql=False)
+def x11_summary_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measurements of the cell that holds each point (X11): cells are summed up once, whatever number of points lie in them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, j = F.col("user_id") % 36, F.col("user_id") % 18
+    rows = events.select(F.concat_ws("_", i, j).alias("cell_id"), i.alias("i"), j.alias("j"), F.to_date("ts").cast("string").alias("date"), F.col("event_type").alias("term"), F.lit("events").alias("dataset"))
+    cells = rows.select("cell_id", F.col("i").cast("double").alias("west"), F.col("j").cast("double").alias("south")).distinct()
+    found = geo.summary_at_points(_points(spark, sf_dir).withColumnRenamed("c_custkey", "point_id"), cells, 1.0, rows)
+    return found.select("point_id", "n", "first_date", "last_date", _joined("terms").alias("terms"))
+
+
+@query("""
+WITH d AS (SELECT user_id % 7 AS cell, 10 * (1 + user_id % 3) AS radius, ts::DATE::VARCHAR AS date, event_type, max(event_id) AS v FROM events GROUP BY ALL)
+SELECT cell, radius, date, string_agg(event_type || '=' || v, ',' ORDER BY event_type) AS properties FROM d GROUP BY cell, radius, date
+""", dictionary_sql=False)
+def x12_series_by_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of a cell by resolution and date, the properties of a date merged."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    radius = 10 * (1 + F.col("user_id") % 3)
+    rows = events.select((F.col("user_id") % 7).alias("cell"), radius.alias("radius"), F.to_date("ts").cast("string").alias("date"), F.col("event_type").alias("term"), F.col("event_id").alias("value"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return geo.measurement_series(rows, ["cell", "radius"]).select("cell", "radius", "date", text.alias("properties"))
