@@ -146,13 +146,32 @@ def _towards(steps: DataFrame, targets: DataFrame, levels: int) -> DataFrame:
     return back.select("request_id", "node").distinct()
 
 
+def _paths_to(d: Dictionary, targets: DataFrame, expand: Column | None, many_to_one: bool, levels: int, last: str | None = None) -> DataFrame:
+    """(root, target, depth, vertices, ...): ``paths`` from each root to its targets (root, target); with ``last``, only those whose last edge has this predicate.
+
+    Whoever asks, the ways from a root to a node are the same, so each is walked once, however many requests or targets share it.
+    """
+    steps = cut(arrows(d, many_to_one))
+    near = targets.select("root", F.col("target").alias("node")).distinct()
+    if last is not None:
+        near = near.join(steps.where(F.col("predicate") == last).select("root", F.col("next").alias("node")), ["root", "node"], "left_semi")
+    near = cut(near)
+    asked = near.select(F.col("root").alias("request_id"), "root", F.col("root").alias("start")).distinct()
+    towards = _towards(steps, near.select(F.col("root").alias("request_id"), "root", "node"), levels)
+    emit = F.lit(True) if last is None else F.col("predicate") == last
+    found = paths(d, asked, emit, expand, many_to_one, 1, levels, towards, steps).withColumnRenamed("request_id", "root")
+    return found.join(near, ["root", "node"], "left_semi").withColumn("target", F.col("node"))
+
+
+def _answers(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """The paths (root, target, ...) for each request (request_id, root, target)."""
+    out = requests.select("request_id", "root", "target").join(found, ["root", "target"])
+    return out.select("request_id", "depth", "vertices", "edges", "before", "node", "predicate", "edge_key")
+
+
 def node_paths(d: Dictionary, requests: DataFrame, predicates: Iterable[str], many_to_one: bool = True, max_level: int = LEVELS) -> DataFrame:
     """Paths from the root to a target. ``requests``: (request_id, root, target)."""
-    targets = requests.select("request_id", "root", F.col("target").alias("node"))
-    asked = requests.withColumn("start", F.col("root"))
-    steps = cut(arrows(d, many_to_one))
-    hit, on = F.col("node") == F.col("target"), F.col("predicate").isin(*predicates)
-    return paths(d, asked, hit, on, many_to_one, 1, max_level, _towards(steps, targets, max_level), steps)
+    return _answers(requests, _paths_to(d, requests, F.col("predicate").isin(*predicates), many_to_one, max_level))
 
 
 def code_targets(d: Dictionary, requests: DataFrame) -> DataFrame:
