@@ -249,17 +249,20 @@ def match_enumeration(d: Dictionary, requests: DataFrame, levels: int = LEVELS)
 
 
 def match_enumeration_code(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Every path from a root to an enumeration element with a code in a field; nothing beyond a match is walked.
+    """Every path from a root to an enumeration element with a code in a field.
 
     The root itself has no enumeration edge that leads to it, so no path has depth 0 (G20).
 
-    ``requests``: (request_id, root, field, code). Records and keys follow from ``node`` (``with_terms``, ``handle_key``).
+    ``requests``: (request_id, root, field, code). Records and keys follow from ``node`` (``with_terms``, ``handle_key``). Only codes of elements
+    meet the requests.
     """
-    asked = code_targets(d, requests)
-    hit = (F.col("predicate") == model.ENUM_OF) & (F.col("node") == F.col("target"))
-    near = asked.select("request_id", "root", F.col("target").alias("node"))
-    steps = cut(arrows(d))
-    return paths(d, asked.withColumn("start", F.col("root")), hit, ~hit, True, 1, levels, _towards(steps, near, levels), steps)
+    elements = d.edge_path.where(F.col("predicate") == model.ENUM_OF).select("root", F.col("from").alias("target")).distinct()
+    elements = cut(elements.join(requests.select("root").distinct(), "root", "left_semi"))
+    named = d.terms.join(elements.select(handle_key(F.col("target")).alias("_key")), "_key", "left_semi")
+    codes = Dictionary(named, d.edges).term_codes.withColumn("target", F.concat(F.lit("terms/"), "key"))
+    asked = codes.join(elements, "target").join(requests, ["root", "field", "code"])
+    asked = cut(asked.select("request_id", "root", "target").distinct())
+    return _answers(asked, _paths_to(d, asked, None, True, levels, model.ENUM_OF))
 
 
 def linked_keys(d: Dictionary, requests: DataFrame, predicate: str, levels: int = LEVELS) -> DataFrame:

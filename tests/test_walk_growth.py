@@ -37,3 +37,12 @@ def test_paths_to_targets_of_one_code(spark, written):
     got = walk.code_paths(_bush(spark), asked, [model.ENUM_OF, model.SECTION_OF]).collect()
     assert sorted(r["vertices"] for r in got) == sorted(["terms/root", f"terms/s{k % 4}", f"terms/e{k}"] for k in range(N))
     assert max(written) <= 2 * N
+
+
+def test_elements_of_one_code(spark, written):
+    asked = [("q", "terms/root", "_aid", "same"), ("q", "terms/root", "_name", "same"), ("none", "terms/root", "_lid", "x"), ("e3", "terms/root", "_lid", "3"), ("else", "terms/other", "_lid", "3")]
+    asked = spark.createDataFrame(asked, "request_id string, root string, field string, code string")
+    got = walk.match_enumeration_code(_bush(spark), asked).collect()
+    due = [("q", f"terms/e{k}") for k in range(N)] + [("e3", "terms/e3")]
+    assert sorted((r["request_id"], r["node"]) for r in got) == sorted(due)
+    assert all(r["depth"] == 2 and len(r["edges"]) == 2 for r in got) and max(written) <= 2 * N
