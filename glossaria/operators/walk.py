@@ -236,16 +236,21 @@ def match_codes(d: Dictionary, requests: DataFrame, functional: str, sections: I
 def match_enumeration(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The first path from a root to an enumeration edge that has the target at an end.
 
-    ``requests``: (request_id, root, target). The result has ``vertices`` and ``edges`` (the path), ``node`` (its end) and ``depth``.
+    ``requests``: (request_id, root, target). The result has ``vertices`` and ``edges`` (the path), ``node`` (its end) and ``depth``. Paths
+    are walked once for each root and offered to both ends of their last edge; of paths with one last edge, the least vertices win.
     """
-    near = requests.select("request_id", "root", F.col("target").alias("node"))
-    enum = F.col("predicate") == model.ENUM_OF
-    hit = enum & ((F.col("node") == F.col("target")) | (F.col("before") == F.col("target")))
     steps = cut(arrows(d))
-    towards = _towards(steps, near, levels)
-    children = near.join(steps.where(enum), ["root", "node"]).select("request_id", F.col("next").alias("node"))
-    found = paths(d, requests.withColumn("start", F.col("root")), hit, ~hit, True, 1, levels, towards.unionByName(children).distinct(), steps)
-    return first_by(found, ["request_id"], ["depth", "edge_key"])
+    enum = steps.where(F.col("predicate") == model.ENUM_OF)
+    ends = enum.select("root", F.explode(F.array("node", "next")).alias("node")).distinct()
+    near = cut(requests.select("root", F.col("target").alias("node")).distinct().join(ends, ["root", "node"], "left_semi")).withColumn("request_id", F.col("root"))
+    children = near.join(enum, ["root", "node"]).select("request_id", F.col("next").alias("node"))
+    towards = cut(_towards(steps, near, levels).unionByName(children).distinct())
+    starts = near.select("request_id", "root", F.col("root").alias("start")).distinct()
+    found = paths(d, starts, F.col("predicate") == model.ENUM_OF, None, True, 1, levels, towards, steps).withColumnRenamed("request_id", "root")
+    met = found.withColumn("target", F.explode(F.array("node", "before"))).join(near.select("root", F.col("node").alias("target")), ["root", "target"], "left_semi")
+    order = F.struct("depth", "edge_key", "vertices")
+    first = met.groupBy("root", "target").agg(F.min_by(F.struct("depth", "vertices", "edges", "before", "node", "predicate", "edge_key"), order).alias("x")).select("root", "target", "x.*")
+    return first_by(_answers(requests, first), ["request_id"], ["depth", "edge_key", "vertices"])
 
 
 def match_enumeration_code(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> DataFrame:

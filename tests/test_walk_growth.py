@@ -46,3 +46,22 @@ def test_elements_of_one_code(spark, written):
     due = [("q", f"terms/e{k}") for k in range(N)] + [("e3", "terms/e3")]
     assert sorted((r["request_id"], r["node"]) for r in got) == sorted(due)
     assert all(r["depth"] == 2 and len(r["edges"]) == 2 for r in got) and max(written) <= 2 * N
+
+
+def test_first_enumeration_edges_of_many_targets(spark, written):
+    asked = [(f"q{k}", "terms/root", f"terms/e{k}") for k in range(N)] + [(f"s{k}", "terms/root", f"terms/s{k}") for k in range(4)] + [("none", "terms/root", "terms/x")]
+    asked = spark.createDataFrame(asked, "request_id string, root string, target string")
+    got = {r["request_id"]: r["vertices"] for r in walk.match_enumeration(_bush(spark), asked).collect()}
+    assert len(got) == N + 4 and got["q7"] == ["terms/root", "terms/s3", "terms/e7"]
+    least = {s: min((f"k{4 + k}", k) for k in range(N) if k % 4 == s)[1] for s in range(4)}
+    assert all(got[f"s{s}"] == ["terms/root", f"terms/s{s}", f"terms/e{k}"] for s, k in least.items())
+    assert max(written) <= 2 * N
+
+
+def test_least_vertices_of_paths_with_one_last_edge(spark):
+    steps = [("b", "root"), ("a", "root"), ("c", "a"), ("c", "b")]
+    rows = [(f"k{n}", ["terms/root"], f"terms/{f}", model.SECTION_OF, f"terms/{t}") for n, (f, t) in enumerate(steps)] + [("z", ["terms/root"], "terms/d", model.ENUM_OF, "terms/c")]
+    edges = spark.createDataFrame(rows, "edge_key string, roots array<string>, from string, predicate string, to string")
+    asked = spark.createDataFrame([("q", "terms/root", "terms/d")], "request_id string, root string, target string")
+    got = walk.match_enumeration(Dictionary(None, edges), asked).collect()
+    assert [r["vertices"] for r in got] == [["terms/root", "terms/a", "terms/c", "terms/d"]]
