@@ -14,7 +14,7 @@ from glossaria import model
 from glossaria.functions import columns
 from glossaria.functions.columns import edge_key, handle_key, is_empty_object
 from glossaria.operators import definitions, edits, evolve, flat, geo, search, terms, updates, validate, walk
-from glossaria.plans.cut import scratch
+from glossaria.plans.cut import dealt, scratch
 from glossaria.plans.fixture import ORACLE, dictionary, sql
 from glossaria.sources import tables
 
@@ -1295,7 +1295,7 @@ def x4_geometry_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = F.when(F.col("c_custkey") % 5 > 0, F.concat(turned, F.slice(turned, 1, 1))).otherwise(turned)
     hole = lambda x: F.array(point(x + 1, 1.0), point(x, 1.0), point(x, 2.0), point(x + 1, 1.0))
     holes = F.when(F.col("c_custkey") % 2 == 0, F.array(hole(30.0), hole(32.0))).otherwise(F.array(hole(32.0), hole(30.0)))
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("shape"), geo.polygon_hash(F.concat(F.array(closed), holes)).alias("hash"))
+    rows = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet")).select(F.col("c_nationkey").alias("shape"), geo.polygon_hash(F.concat(F.array(closed), holes)).alias("hash"))
     return rows.groupBy("shape", "hash").agg(F.count("*").alias("n"))
 
 
