@@ -242,7 +242,9 @@ def _values(d: Dictionary, rules: DataFrame, here: DataFrame, descriptors, expec
     """Values of the worklist with their rules, ``code``, ``change`` and corrected ``json``; ``shape`` is that of a container to follow."""
     expect_types = options[1]
     joined = here.drop("kinds").join(rules.withColumn("ruled", F.lit(True)), ["descriptor", "path"], "left")
-    joined = joined.join(descriptors.select(F.col("term").alias("descriptor"), F.col("is_descriptor").alias("_known")), "descriptor", "left")
+    # few names stand in many rows: these meet a table of the names that occur, never all terms, which would gather a name's rows in one task
+    known = here.select("descriptor").distinct().join(descriptors.select(F.col("term").alias("descriptor"), F.col("is_descriptor").alias("_known")), "descriptor")
+    joined = joined.join(cut(known), "descriptor", "left")
     joined = joined.withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
     more = ("tuple_types", "fault", "value_fault", "container", "type", "kind", "kinds", "ruled", "_known", "n_fields", "min_items", "max_items")
     out = _checked(d, joined, types, *options, *_ITEM[:-1], *more)
