@@ -30,5 +30,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def dealt(df: DataFrame, *by: str) -> DataFrame:
-    """The rows dealt over four tasks a core. A small file is read by one task, whatever its rows lead to."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+    """The rows dealt over four tasks a core, or the session's shuffle partitions if those are more. A small file is read by one task, whatever its rows lead to."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
