@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from glossaria import model
 from glossaria.functions.columns import handle_key
 from glossaria.operators.flat import first_by, terms_by_code, with_terms
-from glossaria.plans.cut import cut
+from glossaria.plans.cut import cut, dealt
 from glossaria.plans.dictionary import Dictionary
 
 LEVELS = 10
@@ -270,22 +270,37 @@ def match_enumeration_code(d: Dictionary, requests: DataFrame, levels: int = LEV
     return _answers(asked, _paths_to(d, asked, None, True, levels, model.ENUM_OF))
 
 
-def linked_keys(d: Dictionary, requests: DataFrame, predicate: str, levels: int = LEVELS) -> DataFrame:
-    """(request_id, key) linked to a request's keys by 1 to ``levels`` links, the last of which has the predicate.
+def _linked(d: Dictionary, requests: DataFrame, predicate: str, levels: int, pack: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The distinct (request_id, end) of ``linked_keys``, dealt by request, and (end, key), which numbers the keys.
 
-    ``requests``: (request_id, key), any number of keys for a request. Links of other predicates are walked through.
+    Many requests pass a node, and each takes all its ends: these travel as numbers, about ``pack`` of them in a row.
     """
     steps = cut(d.links.select(F.col("from").alias("node"), F.col("to").alias("next"), "predicate"))
     starts = requests.select("request_id", F.concat(F.lit("terms/"), "key").alias("node"))
     nodes = _reached(_onward(steps, ["node"]), starts, ["node"], levels - 1)
-    found = nodes.join(steps.where(F.col("predicate") == predicate), "node")
-    return found.select("request_id", handle_key(F.col("next")).alias("key")).distinct()
+    last = steps.where(F.col("predicate") == predicate).select("node", handle_key(F.col("next")).alias("key"))
+    keys = cut(last.select("key").distinct().withColumn("end", F.monotonically_increasing_id()))
+    ends = last.join(keys, "key").select("node", "end").distinct()
+    packs = ends.join(ends.groupBy("node").agg(F.ceil(F.count("*") / pack).alias("parts")), "node")
+    packs = packs.groupBy("node", F.pmod(F.xxhash64("end"), "parts").alias("part")).agg(F.collect_list("end").alias("ends"))
+    found = dealt(nodes.join(cut(packs), "node").select("request_id", "ends"), "request_id")
+    return found.select("request_id", F.explode("ends").alias("end")).distinct(), keys
+
+
+def linked_keys(d: Dictionary, requests: DataFrame, predicate: str, levels: int = LEVELS) -> DataFrame:
+    """(request_id, key) linked to a request's keys by 1 to ``levels`` links, the last of which has the predicate.
+
+    ``requests``: (request_id, key), any number of keys for a request. Links of other predicates are walked through.
+    """
+    pairs, keys = _linked(d, requests, predicate, levels)
+    return pairs.join(keys, "end").select("request_id", "key")
 
 
 def linked_terms(d: Dictionary, requests: DataFrame, predicate: str, levels: int = LEVELS) -> DataFrame:
-    """The terms of ``linked_keys``."""
-    keys = linked_keys(d, requests, predicate, levels)
-    return with_terms(d, keys.select("request_id", "key", F.concat(F.lit("terms/"), "key").alias("handle")))
+    """The terms of ``linked_keys``. Each key meets its term once, not once for each request."""
+    pairs, keys = _linked(d, requests, predicate, levels)
+    known = with_terms(d, keys.withColumn("handle", F.concat(F.lit("terms/"), "key")))
+    return pairs.join(cut(known), "end").select("request_id", "key", "handle", "term")
 
 
 def required_metadata(d: Dictionary, requests: DataFrame, levels: int = LEVELS) -> DataFrame:

@@ -65,3 +65,17 @@ def test_least_vertices_of_paths_with_one_last_edge(spark):
     asked = spark.createDataFrame([("q", "terms/root", "terms/d")], "request_id string, root string, target string")
     got = walk.match_enumeration(Dictionary(None, edges), asked).collect()
     assert [r["vertices"] for r in got] == [["terms/root", "terms/a", "terms/c", "terms/d"]]
+
+
+def test_terms_of_links_that_many_requests_share(spark, monkeypatch):
+    tables, plain = [], walk.cut
+    monkeypatch.setattr(walk, "cut", lambda df: (lambda out: (tables.append(out), out)[1])(plain(df)))
+    hub = [(f"terms/q{k}", "up", "terms/hub") for k in range(N)] + [("terms/hub", "has", f"terms/e{k}") for k in range(N)] + [("terms/q0", "has", "terms/nobody")]
+    links = spark.createDataFrame(hub, "from string, predicate string, to string")
+    terms = spark.createDataFrame([(f"e{k}", f"name {k}") for k in range(N)], "_key string, name string")
+    asked = spark.createDataFrame([(f"q{k}", f"q{k}") for k in range(N)], "request_id string, key string")
+    got = walk.linked_terms(Dictionary(terms, None, links), asked, "has").select("request_id", "key", "term._key").collect()
+    due = {(f"q{q}", f"e{k}", f"e{k}") for q in range(N) for k in range(N)} | {("q0", "nobody", None)}
+    assert len(got) == len(due) and {tuple(r) for r in got} == due
+    assert [t.count() for t in tables if "term" in t.columns] == [N + 1]  # each term once, not once a request
+    assert max(t.count() for t in tables) <= 3 * N
