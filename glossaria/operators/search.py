@@ -7,8 +7,9 @@ postings, and no text of a term is read again.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria import model
@@ -40,34 +41,38 @@ def search_tokens(posted: DataFrame, forms: DataFrame) -> DataFrame:
     ``forms``: (form_id, field, mode, words ARRAY<STRING>); rows of one form must all hold. ``mode``: ``any`` or ``all`` of the words' tokens. A word with
     ``%`` or ``_`` (escaped by a backslash) is a pattern for whole tokens. A row without words finds nothing.
 
-    Of the words that must all occur, the one with the fewest postings gives the candidates, and only these are looked up under the others.
+    Clauses that forms share are answered once. Of the words that must all occur, the one with the fewest postings gives the candidates, and only these are looked up under the others.
     """
-    clauses = cut(forms.select("form_id", "field", "mode", "words").withColumn("clause", F.monotonically_increasing_id()))
-    words = clauses.select("form_id", "clause", "field", "mode", F.posexplode("words").alias("pos", "word")).withColumn("word", F.lower("word"))
+    clauses = cut(forms.select("field", "mode", "words").distinct().withColumn("clause", F.monotonically_increasing_id()))
+    same = reduce(Column.__and__, (F.col(f"f.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("field", "mode", "words")))
+    held = cut(forms.alias("f").join(clauses.alias("c"), same).select("form_id", "clause").distinct())
+    words = clauses.select("clause", "field", "mode", F.posexplode("words").alias("pos", "word")).withColumn("word", F.lower("word"))
     is_pattern = F.col("word").rlike("[%_]")
     plain = words.where(~is_pattern).withColumn("token", F.explode(tokens(F.col("word")))).withColumn("unit", F.concat_ws(":", "pos", "token"))
     vocabulary = cut(posted.select("token").distinct())
     broad = _expanded(words.where(is_pattern), vocabulary).withColumn("unit", F.col("pos").cast("string"))
-    columns = ["form_id", "clause", "field", "mode", "unit", "token"]
+    columns = ["clause", "field", "mode", "unit", "token"]
     units = cut(plain.select(*columns).unionByName(broad.select(*columns)).distinct())
     asked = plain.select("clause", "unit").unionByName(words.where(is_pattern).select("clause", F.col("pos").cast("string").alias("unit"))).distinct()
     wanted = asked.groupBy("clause").agg(F.count("*").alias("n_units"))
 
-    any_of = units.where("mode = 'any'").join(posted, ["field", "token"]).select("form_id", "clause", "key").distinct()
+    any_of = units.where("mode = 'any'").join(posted, ["field", "token"]).select("clause", "key").distinct()
 
     every = units.where("mode = 'all'")
     sizes = every.select("field", "token").distinct().join(posted, ["field", "token"]).groupBy("field", "token").agg(F.count("*").alias("n"))
     weighed = every.join(sizes, ["field", "token"], "left").groupBy("clause", "unit").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     rarest = weighed.groupBy("clause").agg(F.min(F.struct("n", "unit")).alias("r")).select("clause", F.col("r.unit").alias("unit"))
-    first = every.join(rarest, ["clause", "unit"]).join(posted, ["field", "token"]).select("form_id", "clause", "field", "key").distinct()
+    first = every.join(rarest, ["clause", "unit"]).join(posted, ["field", "token"]).select("clause", "field", "key").distinct()
     first = cut(first)
     others = every.join(rarest, ["clause", "unit"], "left_anti").select("clause", "unit", "token")
     met = first.join(others, "clause").join(posted, ["field", "token", "key"]).select("clause", "key", "unit").distinct().groupBy("clause", "key").agg(F.count("*").alias("n"))
     whole = first.join(met, ["clause", "key"], "left").join(wanted, "clause").where("coalesce(n, 0) + 1 = n_units")
 
-    hits = any_of.unionByName(whole.select("form_id", "clause", "key")).groupBy("form_id", "key").agg(F.count("*").alias("n"))
-    total = clauses.groupBy("form_id").agg(F.count("*").alias("n"))
-    return hits.join(total, ["form_id", "n"]).select("form_id", "key")
+    hits = cut(any_of.unionByName(whole.select("clause", "key")))
+    held = held.join(held.groupBy("form_id").agg(F.count("*").alias("n_clauses")), "form_id")
+    found = held.join(hits, "clause")
+    several = found.where("n_clauses > 1").groupBy("form_id", "key", "n_clauses").agg(F.count("*").alias("n")).where("n = n_clauses")
+    return found.where("n_clauses = 1").select("form_id", "key").unionByName(several.select("form_id", "key"))
 
 
 @dataclass(frozen=True)
