@@ -23,9 +23,10 @@ from glossaria.plans.dictionary import Dictionary
 _STRINGS = ("_type_string", "_type_string_key", "_type_string_handle", "_type_string_enum", "_type_string_date")
 
 
-def _rule_columns(v: Column, type_field: str) -> list[Column]:
+def _rule_columns(v: Column, role: Column) -> list[Column]:
     get = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
-    out = [get(type_field, "string").alias("type"), get("_kind", "array<string>").alias("kinds"), get("_regexp", "string").alias("regexp")]
+    type_ = F.when(role == "_dict_key", get("_type_key", "string")).when(role == "_set_scalar", get("_set_type", "string")).otherwise(get("_type", "string"))
+    out = [type_.alias("type"), get("_kind", "array<string>").alias("kinds"), get("_regexp", "string").alias("regexp")]
     for name, (section, suffix) in model.RANGES.items():
         kind = "double" if name == "num" else "string"
         out += [F.try_variant_get(v, f"$['{section}']['{field}{suffix}']", kind).alias(f"{name}_{b}") for b, field in model.BOUNDS.items()]
@@ -49,12 +50,9 @@ def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataF
     out = []
     while not out or len(out) != levels and not here.isEmpty():
         container = F.coalesce(*[F.when(section(F.col("v"), c).isNotNull(), c) for c in model.CONTAINERS])
-        data = here.where("role = 'data'").withColumn("container", container)
-        data = data.withColumn("s", F.coalesce(*[section(F.col("v"), c) for c in model.CONTAINERS]))
-        scalars = here.where("role <> 'data'").withColumn("container", F.col("role")).withColumn("s", F.col("v"))
-        rows = data.unionByName(scalars)
-        plain, keyed, setted = _rule_columns(F.col("s"), "_type"), _rule_columns(F.col("s"), "_type_key"), _rule_columns(F.col("s"), "_set_type")
-        kind = F.when(F.col("role") == "_dict_key", F.struct(*keyed)).when(F.col("role") == "_set_scalar", F.struct(*setted)).otherwise(F.struct(*plain))
+        is_data = F.col("role") == "data"
+        rows = here.withColumn("container", F.when(is_data, container).otherwise(F.col("role")))
+        rows = rows.withColumn("s", F.when(is_data, F.coalesce(*[section(F.col("v"), c) for c in model.CONTAINERS])).otherwise(F.col("v")))
         tuple_types = F.try_variant_get("s", "$._tuple_types", "array<string>").alias("tuple_types")
         has = lambda name: section(F.col("s"), name).isNotNull()
         shape = lambda name: F.coalesce(F.schema_of_variant(section(F.col("s"), name)), F.lit("VOID"))
@@ -64,15 +62,16 @@ def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataF
         no_key = F.when(~has("_dict_key"), -4).when(~key_part.startswith("OBJECT"), -6).when((key_part != "OBJECT<>") & ~has("_dict_key._type_key"), -6)
         no_value = F.when(~has("_dict_value"), -5).when(~value_part.startswith("OBJECT"), -7)
         faults = [F.when(no_list, 47).when(no_limits, 52).when(inside == "_dict", no_key).alias("fault"), F.when(inside == "_dict", no_value).alias("value_fault")]
-        out.append(rows.select("descriptor", "path", "container", kind.alias("r"), tuple_types, *faults, F.size(F.map_keys(F.coalesce(F.try_variant_get("v", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))).alias("n_fields")))
-        array = data.where("container = '_array'").select("descriptor", F.concat("path", F.lit("/e")).alias("path"), F.col("s").alias("v"), F.lit("data").alias("role"))
-        sets = data.where("container = '_set'").select("descriptor", F.concat("path", F.lit("/e")).alias("path"), section(F.col("s"), "_set_scalar").alias("v"), F.lit("_set_scalar").alias("role"))
-        dict_key = data.where("container = '_dict'").select("descriptor", F.concat("path", F.lit("/k")).alias("path"), section(F.col("s"), "_dict_key").alias("v"), F.lit("_dict_key").alias("role"))
-        dict_value = data.where("container = '_dict'").select("descriptor", F.concat("path", F.lit("/v")).alias("path"), section(F.col("s"), "_dict_value").alias("v"), F.lit("data").alias("role"))
-        here = cut(reduce(DataFrame.unionByName, (array, sets, dict_key, dict_value)).where("v IS NOT NULL"))  # four branches a level
-    rules = reduce(DataFrame.unionByName, out)
-    rules = rules.select("descriptor", "path", "container", "r.*", "tuple_types", "fault", "value_fault", "n_fields")
-    return cut(rules)
+        n_fields = F.size(F.map_keys(F.coalesce(F.try_variant_get("v", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))).alias("n_fields")
+        # a level's rules and the sections below it are written in one pass
+        below = lambda step, v, role: F.struct(F.concat("path", F.lit(step)).alias("path"), v.alias("v"), F.lit(role).alias("role"))
+        key = lambda name: section(F.col("s"), name)
+        inner = F.when(is_data & (inside == "_array"), F.array(below("/e", F.col("s"), "data"))).when(is_data & (inside == "_set"), F.array(below("/e", key("_set_scalar"), "_set_scalar")))
+        inner = inner.when(is_data & (inside == "_dict"), F.array(below("/k", key("_dict_key"), "_dict_key"), below("/v", key("_dict_value"), "data")))
+        level = cut(rows.select("descriptor", "path", "container", *_rule_columns(F.col("s"), F.col("role")), tuple_types, *faults, n_fields, inner.alias("inner")))
+        out.append(level.drop("inner"))
+        here = level.select("descriptor", F.explode("inner").alias("x")).select("descriptor", "x.*").where("v IS NOT NULL")
+    return reduce(DataFrame.unionByName, out)
 
 
 def _bounds(name: str) -> dict[str, Column]:

@@ -1477,7 +1477,7 @@ SELECT 'part_' || p_partkey AS key, CASE p_partkey % 6 WHEN 0 THEN 'type changed
 """, dictionary_sql=False)
 def u7_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets, keys of dictionaries and limits of elements (U5, U7, U8, U13): the first four forms restrict, the last two relax."""
-    part, k, size = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    part, k, size = dealt(spark.read.parquet(f"{sf_dir}/part.parquet")), F.col("p_partkey") % 6, F.col("p_size").cast("string")
 
     def version(type_: Column, low: Column, key: Column, least: Column) -> DataFrame:
         sets = F.concat(F.lit('{"_set": {"_set_scalar": {"_set_type": "'), type_, F.lit('", "_valid-range": {"_min-range-inclusive": '), low.cast("string"), F.lit("}}}}"))
@@ -1658,7 +1658,7 @@ FROM part WHERE p_partkey % 8 < 5
 """, dictionary_sql=False)
 def u13_element_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Limits of elements, containers and their scalars (U4-U6, U13): five forms restrict, three relax or stay."""
-    part, m, size = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey") % 8, F.col("p_size")
+    part, m, size = dealt(spark.read.parquet(f"{sf_dir}/part.parquet")), F.col("p_partkey") % 8, F.col("p_size")
 
     def version(least: Column, most: Column, inner: Column, kind: Column) -> DataFrame:
         limits = F.concat(F.lit('"_elements": {'), F.concat_ws(", ", F.concat(F.lit('"_min-items": '), least.cast("string")), F.concat(F.lit('"_max-items": '), most.cast("string"))), F.lit("}"))

@@ -12,3 +12,13 @@ def test_names_in_many_rows_meet_only_the_terms_that_occur(spark, monkeypatch):
     got = validate.validate_objects(None, rules, rows, descriptors=terms, levels=1, expect_terms=True).select("row_id", "code").collect()
     assert len(got) == 60 and {r["code"] for r in got} == {29}
     assert [df.count() for df in written] == [2]
+
+
+def test_rules_are_written_once_a_level(spark, monkeypatch):
+    tables, plain = [], validate.cut
+    monkeypatch.setattr(validate, "cut", lambda df: (lambda out: (tables.append(out), out)[1])(plain(df)))
+    deep = '{"_dict": {"_dict_key": {"_type_key": "_type_string"}, "_dict_value": {"_array": {"_set": {"_set_scalar": {"_set_type": "_type_number"}}}}}}'
+    rules = validate.descriptor_rules(spark.sql(f"SELECT 'd' AS descriptor, parse_json('{deep}') AS definition"))
+    got = {(r["path"], r["container"], r["type"]) for r in rules.collect()}
+    assert got == {("", "_dict", None), ("/k", "_dict_key", "_type_string"), ("/v", "_array", None), ("/v/e", "_set", None), ("/v/e/e", "_set_scalar", "_type_number")}
+    assert sum(t.count() for t in tables) == len(got)
