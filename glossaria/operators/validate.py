@@ -10,6 +10,7 @@ records are folded up again from the deepest paths (``fold``).
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from glossaria import model
 from glossaria.functions.columns import change_hash, handle_collection, handle_key, in_range, valid_collection, valid_key
-from glossaria.plans.cut import cut
+from glossaria.plans.cut import cut, dealt
 from glossaria.plans.dictionary import Dictionary
 
 _STRINGS = ("_type_string", "_type_string_key", "_type_string_handle", "_type_string_enum", "_type_string_date")
@@ -147,42 +148,76 @@ def scalar_code(types: set[str | None], expect_types: bool = False, allow_defaul
     return code.otherwise(15)
 
 
-def _looked_up(d: Dictionary, rows: DataFrame, resolve_field: str | None, types: set[str | None]) -> DataFrame:
-    """Add what the dictionary knows of each text that a rule takes for a reference; ``types`` are those that occur."""
-    none = F.lit(None)
+@dataclass(frozen=True)
+class _References:
+    """What the dictionary knows of terms (``_ref``), handles (``_doc``) and codes (``_code``); none where no rule asks."""
+
+    flags: DataFrame | None
+    documents: DataFrame | None
+    codes: DataFrame | None
+
+    def written(self) -> _References:
+        """The same as tables, for rounds that each ask anew."""
+        return replace(self, **{k: t if t is None else cut(t) for k, t in vars(self).items()})
+
+
+def _references(d: Dictionary, resolve_field: str | None, types: set[str | None]) -> _References:
+    """``types`` are those that occur in the rules."""
+    flags = documents = by_code = None
     if types & {"_type_string_key", "_type_string_enum"}:
-        refers = F.when(F.col("type").isin("_type_string_key", "_type_string_enum"), F.col("text"))
         flags = d.term_flags.select(F.col("term").alias("_ref"), F.lit(True).alias("term_found"), "is_descriptor", "is_structure", "roots")
-        rows = rows.withColumn("_ref", refers).join(flags, "_ref", "left").drop("_ref")
-    else:
-        rows = rows.withColumns({c: none.cast("boolean") for c in ("term_found", "is_descriptor", "is_structure")}).withColumn("roots", none.cast("array<string>"))
     if "_type_string_handle" in types:
         documents = d.terms.select(F.concat(F.lit("terms/"), "_key").alias("_doc"), F.lit(True).alias("document_found"))
-        rows = rows.withColumn("_doc", F.when(F.col("type") == "_type_string_handle", F.col("text"))).join(documents, "_doc", "left").drop("_doc")
+    if resolve_field is not None and "_type_string_enum" in types:
+        # For each code and enumeration the element, if it is the only one
+        members = d.enum_members.select(F.col("term").alias("key"), "root")
+        codes = d.term_codes.where(F.col("field") == resolve_field).select("code", "key").distinct()
+        single = codes.join(members, "key").groupBy("code", "root").agg(F.count("*").alias("n"), F.first("key").alias("key")).where("n = 1")
+        by_code = single.groupBy(F.col("code").alias("_code")).agg(F.map_from_entries(F.collect_list(F.struct("root", "key"))).alias("_keys"))
+    return _References(flags, documents, by_code)
+
+
+def _met(rows: DataFrame, known: DataFrame, name: str, asked: Column) -> DataFrame:
+    """``rows`` with what ``known`` has under the text ``asked``.
+
+    A few texts may stand in very many rows, and most rows may ask nothing: rows meet a table of the texts that occur, and those
+    without one are spread, so that neither gathers in one task.
+    """
+    rows = rows.withColumn(name, asked)
+    named = lambda text: F.concat(F.lit("="), text)
+    found = rows.select(name).where(F.col(name).isNotNull()).distinct().join(known, name).withColumn(name, named(F.col(name)))
+    apart = F.pmod(F.xxhash64("row_id"), F.lit(1 << 20)).cast("string")  # no text that is asked, for those begin with a sign
+    return rows.withColumn(name, F.coalesce(named(F.col(name)), apart)).join(found, name, "left").drop(name)
+
+
+def _looked_up(known: _References, rows: DataFrame) -> DataFrame:
+    """Add what the dictionary knows of each text that a rule takes for a reference."""
+    none = F.lit(None)
+    if known.flags is not None:
+        rows = _met(rows, known.flags, "_ref", F.when(F.col("type").isin("_type_string_key", "_type_string_enum"), F.col("text")))
+    else:
+        rows = rows.withColumns({c: none.cast("boolean") for c in ("term_found", "is_descriptor", "is_structure")}).withColumn("roots", none.cast("array<string>"))
+    if known.documents is not None:
+        rows = _met(rows, known.documents, "_doc", F.when(F.col("type") == "_type_string_handle", F.col("text")))
     else:
         rows = rows.withColumn("document_found", none.cast("boolean"))
     false = F.lit(False)
     rows = rows.withColumns({c: F.coalesce(c, false) for c in ("term_found", "is_descriptor", "is_structure", "document_found")})
     rows = rows.withColumn("roots", F.coalesce("roots", F.array().cast("array<string>")))
-    if resolve_field is None or "_type_string_enum" not in types:
+    if known.codes is None:
         return rows.withColumn("resolved", F.lit(None).cast("string"))
-    # For each code and enumeration the element, if it is the only one; then the first kind that has one
-    members = d.enum_members.select(F.col("term").alias("key"), "root")
-    codes = d.term_codes.where(F.col("field") == resolve_field).select("code", "key").distinct()
-    single = codes.join(members, "key").groupBy("code", "root").agg(F.count("*").alias("n"), F.first("key").alias("key")).where("n = 1")
-    by_code = single.groupBy(F.col("code").alias("_code")).agg(F.map_from_entries(F.collect_list(F.struct("root", "key"))).alias("_keys"))
-    wanted = F.when((F.col("type") == "_type_string_enum") & ~F.col("term_found"), F.col("text"))
-    rows = rows.withColumn("_code", wanted).join(by_code, "_code", "left").drop("_code")
+    # The first kind that has an element of this code
+    rows = _met(rows, known.codes, "_code", F.when((F.col("type") == "_type_string_enum") & ~F.col("term_found"), F.col("text")))
     hits = F.filter(F.transform("kinds", lambda k: F.try_element_at("_keys", k)), lambda x: x.isNotNull())
     return rows.withColumn("resolved", F.try_element_at(hits, F.lit(1))).drop("_keys")
 
 
-def _checked(d: Dictionary, leaves: DataFrame, types: set[str | None], resolve_field: str | None, expect_types: bool, allow_default: bool, *keep: str) -> DataFrame:
+def _checked(known: _References, leaves: DataFrame, types: set[str | None], resolve_field: str | None, expect_types: bool, allow_default: bool, *keep: str) -> DataFrame:
     """``keep`` and (code, change, json) of scalars that are joined with their rules."""
     leaves = leaves.withColumn("text", F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string"))).withColumn(
         "number", F.when(_is(F.col("kind"), "BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get("value", "$", "double"))
     )
-    leaves = _looked_up(d, leaves, resolve_field, types).withColumn("code", scalar_code(types, expect_types, allow_default))
+    leaves = _looked_up(known, leaves).withColumn("code", scalar_code(types, expect_types, allow_default))
     after, given = F.lit(None).cast("string"), F.to_json("value")
     if "_type_number_timestamp" in types:
         after = F.when((F.col("type") == "_type_number_timestamp") & (F.col("kind") == "STRING"), F.unix_millis(F.try_to_timestamp("text")).cast("string"))
@@ -203,7 +238,7 @@ def _plain(d: Dictionary, rules: DataFrame, rows: DataFrame, types: set[str | No
     """The report of rows whose descriptors are plain scalars or unknown: one join with the rules and a projection, no grouping."""
     rules = rules.where("path = '' AND container = '_scalar'")
     joined = rows.select("row_id", "descriptor", "value").join(rules, "descriptor", "left").withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
-    checked = _checked(d, joined.withColumn("field", F.col("descriptor")), types, *options, "row_id", "container", "descriptor", "value")
+    checked = _checked(_references(d, options[0], types), joined.withColumn("field", F.col("descriptor")), types, *options, "row_id", "container", "descriptor", "value")
     code = F.when(F.col("container").isNull(), 28).otherwise(F.col("code"))
     fine = F.when(code == 0, F.col("json")).otherwise(F.to_json("value"))
     changes = F.array_compact(F.array(F.when(code == 0, F.col("change"))))
@@ -237,16 +272,16 @@ def _items(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("row_id", *[columns.get(c, nothing.get(c, F.lit(None))).alias(c) for c in _ITEM[1:]])
 
 
-def _values(d: Dictionary, rules: DataFrame, here: DataFrame, descriptors, expect_terms: bool, types, containers, levels: int | None, options: tuple) -> DataFrame:
+def _values(known: _References, rules: DataFrame, here: DataFrame, descriptors, expect_terms: bool, types, containers, levels: int | None, options: tuple) -> DataFrame:
     """Values of the worklist with their rules, ``code``, ``change`` and corrected ``json``; ``shape`` is that of a container to follow."""
     expect_types = options[1]
     joined = here.drop("kinds").join(rules.withColumn("ruled", F.lit(True)), ["descriptor", "path"], "left")
     # few names stand in many rows: these meet a table of the names that occur, never all terms, which would gather a name's rows in one task
-    known = here.select("descriptor").distinct().join(descriptors.select(F.col("term").alias("descriptor"), F.col("is_descriptor").alias("_known")), "descriptor")
-    joined = joined.join(cut(known), "descriptor", "left")
+    named = here.select("descriptor").distinct().join(descriptors.select(F.col("term").alias("descriptor"), F.col("is_descriptor").alias("_known")), "descriptor")
+    joined = joined.join(cut(named), "descriptor", "left")
     joined = joined.withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
     more = ("tuple_types", "fault", "value_fault", "container", "type", "kind", "kinds", "ruled", "_known", "n_fields", "min_items", "max_items")
-    out = _checked(d, joined, types, *options, *_ITEM[:-1], *more)
+    out = _checked(known, joined, types, *options, *_ITEM[:-1], *more)
     missing = (
         F.when(F.col("origin") == "top", 28)
         .when(F.col("origin") == "property", F.when(F.col("_known").isNull(), 32 if expect_terms else 0).otherwise(29))
@@ -309,7 +344,7 @@ def _inside(rules: DataFrame, checked: DataFrame, descriptors, types, containers
     return inner, marks
 
 
-def _walk(d: Dictionary, rules: DataFrame, starts: str, here: DataFrame, structures, descriptors, expect_terms: bool, types, containers, deepest: int, levels: int | None, options: tuple, nodes: bool) -> tuple[DataFrame, DataFrame | None]:
+def _walk(known: _References, rules: DataFrame, starts: str, here: DataFrame, structures, descriptors, expect_terms: bool, types, containers, deepest: int, levels: int | None, options: tuple, nodes: bool) -> tuple[DataFrame, DataFrame | None]:
     """The marks of all values and objects that ``here`` leads to, and their nodes, if asked for.
 
     Marks are (row_id, at, code, top, change), nodes (row_id, at, link, label, shape, field, json): what stands where and how it was corrected.
@@ -324,7 +359,7 @@ def _walk(d: Dictionary, rules: DataFrame, starts: str, here: DataFrame, structu
     for level in itertools.count():
         if objects is not None:
             seen = _opened(objects, structures)
-            seen = cut(seen) if nodes else seen
+            seen = cut(dealt(seen, "row_id")) if nodes else seen
             marks.append(seen.where("code <> 0").select("row_id", "at", "code", "top", F.lit(None).cast(_CHANGE).alias("change")))
             props = seen.where("code = 0").select("row_id", "at", "top", F.posexplode(F.map_entries("props")).alias("pos", "e"))
             name = F.col("e.key")
@@ -332,7 +367,10 @@ def _walk(d: Dictionary, rules: DataFrame, starts: str, here: DataFrame, structu
             values = inner if values is None else values.unionByName(inner)
             if nodes:
                 found.append(seen.select("row_id", "at", "link", label, F.when(F.col("code") == 0, "o").alias("shape"), "field", F.to_json("value").alias("json")))
-        checked = _values(d, rules, values, descriptors, expect_terms, types, containers, levels, options)
+        if level or starts == "objects":
+            # small tables are read and shuffled by a task or two, whatever a row costs; names and references are looked for in them, too
+            values = cut(dealt(values, "row_id"))
+        checked = _values(known, rules, values, descriptors, expect_terms, types, containers, levels, options)
         checked = cut(checked) if further else checked
         if open_ended and checked.isEmpty():
             break
@@ -383,6 +421,7 @@ def fold(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = out.join(entries, ["row_id", "at"], "left")
         else:
             out = out.withColumn("entries", F.array().cast("array<string>"))
+        out = dealt(out, "row_id", "at")
         parts = F.coalesce(F.transform("below", lambda c: c["json"]), F.array().cast("array<string>"))
         named = F.transform("below", lambda c: F.concat(F.to_json(c["label"].cast("variant")), F.lit(":"), c["json"]))
         listed = lambda x: F.concat(F.lit("["), F.array_join(x, ","), F.lit("]"))
@@ -408,7 +447,8 @@ def _nested(d: Dictionary, rules: DataFrame, starts: str, here: DataFrame, struc
     containers, types = {r["container"] for r in sections}, {r["type"] for r in sections}
     deepest = 1 + max((r["path"].count("/") for r in sections), default=0)
     corrects = "_set" in containers or "_type_number_timestamp" in types or (options[0] is not None and "_type_string_enum" in types)
-    marks, nodes = _walk(d, rules, starts, here, structures, descriptors, expect_terms, types, containers, deepest, levels, options, corrects)
+    known = _references(d, options[0], types).written()
+    marks, nodes = _walk(known, rules, starts, here, structures, descriptors, expect_terms, types, containers, deepest, levels, options, corrects)
     marks = cut(marks) if corrects else marks
     first = F.min(F.when(F.col("code") != 0, F.struct("at", "code", "top")))
     if not corrects:
@@ -462,7 +502,7 @@ def validate(
     if not nested:
         return _plain(d, rules, rows, types, *options)
     deep = rules.where("path = '' AND (container <> '_scalar' OR container IS NULL OR type = '_type_object')").select("descriptor").distinct()
-    inside = rows.join(deep, "descriptor", "left_semi").select("row_id", "descriptor", "value")
+    inside = cut(dealt(rows.join(deep, "descriptor", "left_semi").select("row_id", "descriptor", "value"), "row_id"))
     here = _items(inside, at=F.array().cast("array<int>"), link=F.lit("e"), origin=F.lit("top"), descriptor=F.col("descriptor"), value=F.col("value"), field=F.col("descriptor"))
     if descriptors is None:
         descriptors = d.terms.select(F.col("_key").alias("term"), F.col("_data").isNotNull().alias("is_descriptor"))
@@ -546,6 +586,7 @@ def validate_objects(
     and however deep they lie. ``property`` is the property of the record itself in which the first error lies. ``resolved`` is the corrected
     object as JSON, with the properties by name; the given one if nothing changed or the code is not 0.
     """
+    objects = cut(dealt(objects, "row_id"))
     kinds = F.col("kinds") if "kinds" in objects.columns else F.lit(None).cast("array<string>")
     here = _items(objects, at=F.array().cast("array<int>"), link=F.lit("e"), origin=F.lit("object"), value=F.col("object"), kinds=kinds)
     if descriptors is None:
