@@ -225,3 +225,20 @@ def test_filters_follow_the_vectors(n):
     held = np.mean([len(a) for a in caps.decode(x)])
     chance = n * held**2 / caps.code**3 * codes  # pairs that meet by chance, a vector
     assert 0.5 * options["each"] < held < 2 * options["each"] and codes <= 14 and chance < 200
+
+
+def test_nodes_of_many_hubs_keep_one_edge_each(spark, monkeypatch):
+    from glossaria.llm import components as module
+
+    sizes, plain = [], module.materialized
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "materialized", counted)
+    edges = [(h, n) for n in range(100, 400) for h in range(20)] + [(1000, 1001), (1002, 1001), (2001, 2000)]
+    got = {(r["node"], r["component"]) for r in module.components(spark.createDataFrame(edges, "hub long, node long")).collect()}
+    assert got == {(n, 0) for n in [*range(20), *range(100, 400)]} | {(n, 1000) for n in (1000, 1001, 1002)} | {(2000, 2000), (2001, 2000)}
+    assert max(sizes) <= 325
