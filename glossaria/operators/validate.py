@@ -35,6 +35,19 @@ def _rule_columns(v: Column, role: Column) -> list[Column]:
     return out
 
 
+def _part(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def container_of(v: Column, role: Column) -> Column:
+    """The kind of the section that ``v`` holds, null if it has none."""
+    return F.when(role == "data", F.coalesce(*[F.when(_part(v, c).isNotNull(), c) for c in model.CONTAINERS])).otherwise(role)
+
+
+def section_of(v: Column, role: Column) -> Column:
+    return F.when(role == "data", F.coalesce(*[_part(v, c) for c in model.CONTAINERS])).otherwise(v)
+
+
 def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataFrame:
     """Rules from (descriptor, definition VARIANT): one row for each section, however deep.
 
@@ -44,19 +57,14 @@ def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataF
     tuple or dictionary section, ``value_fault`` that of a dictionary's value section, which is met after the keys.
     """
 
-    def section(v: Column, name: str) -> Column:
-        return F.try_variant_get(v, f"$.{name}", "variant")
-
     here = definitions.select("descriptor", F.lit("").alias("path"), F.col("definition").alias("v"), F.lit("data").alias("role"))
     out = []
     while not out or len(out) != levels and not here.isEmpty():
-        container = F.coalesce(*[F.when(section(F.col("v"), c).isNotNull(), c) for c in model.CONTAINERS])
         is_data = F.col("role") == "data"
-        rows = here.withColumn("container", F.when(is_data, container).otherwise(F.col("role")))
-        rows = rows.withColumn("s", F.when(is_data, F.coalesce(*[section(F.col("v"), c) for c in model.CONTAINERS])).otherwise(F.col("v")))
+        rows = here.withColumn("container", container_of(F.col("v"), F.col("role"))).withColumn("s", section_of(F.col("v"), F.col("role")))
         tuple_types = F.try_variant_get("s", "$._tuple_types", "array<string>").alias("tuple_types")
-        has = lambda name: section(F.col("s"), name).isNotNull()
-        shape = lambda name: F.coalesce(F.schema_of_variant(section(F.col("s"), name)), F.lit("VOID"))
+        has = lambda name: _part(F.col("s"), name).isNotNull()
+        shape = lambda name: F.coalesce(F.schema_of_variant(_part(F.col("s"), name)), F.lit("VOID"))
         key_part, value_part, inside = shape("_dict_key"), shape("_dict_value"), F.col("container")
         no_list = (inside == "_tuple") & has("_tuple_types") & ~shape("_tuple_types").startswith("ARRAY")
         no_limits = (inside == "_tuple") & has("_elements") & ~shape("_elements").startswith("OBJECT")
@@ -66,7 +74,7 @@ def descriptor_rules(definitions: DataFrame, levels: int | None = None) -> DataF
         n_fields = F.size(F.map_keys(F.coalesce(F.try_variant_get("v", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))).alias("n_fields")
         # a level's rules and the sections below it are written in one pass
         below = lambda step, v, role: F.struct(F.concat("path", F.lit(step)).alias("path"), v.alias("v"), F.lit(role).alias("role"))
-        key = lambda name: section(F.col("s"), name)
+        key = lambda name: _part(F.col("s"), name)
         inner = F.when(is_data & (inside == "_array"), F.array(below("/e", F.col("s"), "data"))).when(is_data & (inside == "_set"), F.array(below("/e", key("_set_scalar"), "_set_scalar")))
         inner = inner.when(is_data & (inside == "_dict"), F.array(below("/k", key("_dict_key"), "_dict_key"), below("/v", key("_dict_value"), "data")))
         level = cut(rows.select("descriptor", "path", "container", *_rule_columns(F.col("s"), F.col("role")), tuple_types, *faults, n_fields, inner.alias("inner")))
@@ -544,11 +552,15 @@ def notable(report: DataFrame) -> DataFrame:
     return report.where((F.col("code") != 0) | (F.size("changes") > 0))
 
 
+def structure_columns(v: Column) -> list[Column]:
+    get = lambda s, kind: F.try_variant_get(v, f"$._required['{s}']", kind)
+    selectors = [get(s, "array<array<string>>" if n == "one_none_of" else "array<string>").alias(n) for n, s in model.SELECTORS.items()]
+    return [*selectors, F.try_variant_get(v, "$._banned", "array<string>").alias("banned")]
+
+
 def structure_rules(definitions: DataFrame) -> DataFrame:
     """(structure, one, one_none, any, one_none_of, all, banned) from (structure, definition VARIANT)."""
-    get = lambda s, kind: F.try_variant_get("definition", f"$._required['{s}']", kind)
-    selectors = [get(s, "array<array<string>>" if n == "one_none_of" else "array<string>").alias(n) for n, s in model.SELECTORS.items()]
-    return definitions.select("structure", *selectors, F.try_variant_get("definition", "$._banned", "array<string>").alias("banned"))
+    return definitions.select("structure", *structure_columns(F.col("definition")))
 
 
 def structure_holds(keys: Column) -> Column:

@@ -861,7 +861,7 @@ _TITLED = "STRUCT<_title: MAP<STRING, STRING>, _definition: MAP<STRING, STRING>,
 
 def _part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as descriptors of an array of numbers, the least of which is their size, with two remarks."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("m", F.col("p_partkey") % 6)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").repartition("p_partkey").withColumn("m", F.col("p_partkey") % 6)
     lid = F.col("p_partkey").cast("string")
     none = F.lit(None).cast("array<string>").alias("_pid")
     code = F.struct(F.lit("part").alias("_nid"), lid.alias("_lid"), F.concat(F.lit("part_"), lid).alias("_gid"), F.array(lid, "p_brand").alias("_aid"), none, F.col("p_name").alias("_name"))
