@@ -1312,11 +1312,11 @@ def x6_shape_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda w, s, d: (w.alias("west"), s.alias("south"), (w + d).alias("east"), (s + d).alias("north"))
     shapes = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("shape_id"), *box(west, south, side), F.array("p_type").alias("datasets"), F.col("p_size").alias("area"))
     side = F.when(c % 3 == 0, 1.0).when(c % 3 == 1, 7.0).otherwise(14.0)
-    lists = F.when(n % 2 == 1, F.array(F.lit("SMALL"), F.lit("ECONOMY"))).alias("datasets")
-    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        c.alias("search_id"), *box((c * 53) % 330 - 165.0, (c * 29) % 150 - 75.0, side), lists, F.when(n % 3 > 0, n).alias("area_min"), F.when(n % 5 > 0, n + 20).alias("area_max")
+    lists = F.when(n % 2 != 0, F.array(F.lit("SMALL"), F.lit("ECONOMY"))).alias("datasets")
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").where(n.isNotNull()).select(
+        c.alias("search_id"), *box((c * 53) % 330 - 165.0, (c * 29) % 150 - 75.0, side), lists, F.when(n % 3 != 0, n).alias("area_min"), F.when(n % 5 != 0, n + 20).alias("area_max")
     )
-    return geo.search_shapes(shapes, asked, ("area",)).groupBy("search_id").agg(F.count("*").alias("n"), F.sum("shape_id").alias("ids"))
+    return geo.search_totals(shapes, asked, ("area",))
 
 
 @query("""
